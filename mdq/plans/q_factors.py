@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.core import tidy
-from ..operators import calendar, factors
-from ..sources.adapters import daily, panel
+from ..operators import factors
+from .inputs import daily, grid
 from .registry import cte, query, rounded
 
 cte(
@@ -213,11 +213,6 @@ cte(
 cte("gridr", f"SELECT *, row_number() {O} AS rn, close / lag(close) {O} - 1 AS r FROM grid")
 
 
-def grid(spark, sf_dir):
-    """Dense forward-filled nation panel."""
-    return calendar.fill_grid(panel(spark, sf_dir).select("ticker", "date", "close", "volume"), ["close", "volume"])
-
-
 def _register(kind: str) -> None:
     names = factors.names_of(kind)
     digits = DIGITS.get(kind, 6)

@@ -35,9 +35,30 @@ def local_session(cores: str = "8", name: str = "mdq", **extra: str) -> SparkSes
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; an own one only where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext.getCheckpointDir()
+        folder = known or tempfile.mkdtemp(prefix="mdq-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; own folder only when unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mdq-ckpt-"))
+    """Reliable checkpoint: the plan restarts here and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as a Parquet table in the shared folder and read it back.
+
+    Used where several branches read the same result; unlike a checkpoint the table keeps
+    column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/mdq/{spark.sparkContext.applicationId}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
