@@ -35,21 +35,20 @@ def cte(name: str, body: str) -> None:
 def with_ctes(body: str) -> str:
     """Prefix the shared sub-selects a statement mentions, dependencies first."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(CTES[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     if not needed:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
-    kind = "WITH RECURSIVE" if "RECURSIVE" in body else "WITH"
-    inner = body.replace("WITH RECURSIVE ", "", 1).replace("WITH ", "", 1) if re.match(r"\s*WITH\b", body) else None
-    return f"{kind} {head},\n{inner}" if inner is not None else f"{kind} {head}\n{body}"
+    return f"WITH RECURSIVE {head}\n{body}"
 
 
 def rounded(keys: str, values, body: str, digits: int = 6) -> str:
@@ -59,10 +58,6 @@ def rounded(keys: str, values, body: str, digits: int = 6) -> str:
     cols = ", ".join(f"round(CAST({v} AS DOUBLE) + CAST({nudge} AS DOUBLE), {digits}) + 0.0 AS {v}" for v in names)
     keys = ", ".join(keys.split())
     head = f"{keys}, {cols}" if keys else cols
-    if re.match(r"\s*WITH\b", body):
-        # keep the statement's own sub-selects in front
-        cut = body.rindex("\nSELECT")
-        return f"{body[:cut]}\nSELECT {head} FROM ({body[cut:]})"
     return f"SELECT {head} FROM ({body})"
 
 
