@@ -63,8 +63,8 @@ def rounded(keys: str, values, body: str, digits: int = 6) -> str:
 
 # ---- shared inputs, the SQL twins of mdq.sources.adapters ----------------------------
 
-_OHLC = """SELECT ticker, date, open, round(greatest(open, close) * (1 + wick / 10), 4) AS high,
- round(least(open, close) * (1 - wick / 10), 4) AS low, close, volume FROM (
+_OHLC = """SELECT ticker, date, open, round(greatest(open, close) * (1 + wick / 10) + 1.3e-8, 4) AS high,
+ round(least(open, close) * (1 - wick / 10) + 1.3e-8, 4) AS low, close, volume FROM (
  SELECT *, round(pc * exp(gi / 2e6), 4) AS open FROM (
  SELECT *, round(100.0 * exp(cum / 1e6), 4) AS close, round(100.0 * exp((cum - gi) / 1e6), 4) AS pc FROM (
  SELECT *, CAST(sum(gi) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) AS cum FROM ({src}))))"""
@@ -88,8 +88,8 @@ cte(
 )
 cte(
     "bars",
-    """SELECT ticker, ts, open, round(greatest(open, close) * (1 + span / 2e6), 4) AS high,
- round(least(open, close) * (1 - span / 4e6), 4) AS low, close, CAST(cents // 100 + n AS DOUBLE) AS volume FROM (
+    """SELECT ticker, ts, open, round(greatest(open, close) * (1 + span / 2e6) + 1.3e-8, 4) AS high,
+ round(least(open, close) * (1 - span / 4e6) + 1.3e-8, 4) AS low, close, CAST(cents // 100 + n AS DOUBLE) AS volume FROM (
  SELECT *, round(pc * exp(floor((first_c - 5000) / 10) / 1e6), 4) AS open FROM (
  SELECT *, round(20.0 * exp(cum / 1e6), 4) AS close, round(20.0 * exp((cum - gi) / 1e6), 4) AS pc FROM (
  SELECT *, CAST(sum(gi) OVER (PARTITION BY ticker ORDER BY ts) AS BIGINT) AS cum FROM (

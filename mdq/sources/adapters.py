@@ -5,8 +5,8 @@ Everything downstream of a tick or line-item table first collapses it to one row
 rows of one ticker are bounded by the calendar, however hot the ticker is in the raw
 table, which is what lets the operators use ordered windows per ticker.
 
-Prices are quantised to four decimals and the log walk is summed in integers, so the same
-table gives the same bits on any engine.
+Prices are quantised to four decimals (off exact ties) and the log walk is summed in
+integers, so the same table gives the same bits on any engine.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ def _daily_from(lines: DataFrame) -> DataFrame:
         "ticker",
         "date",
         "open",
-        F.round(F.greatest("open", "close") * (1 + F.col("wick") / 10), 4).alias("high"),
-        F.round(F.least("open", "close") * (1 - F.col("wick") / 10), 4).alias("low"),
+        F.round(F.greatest("open", "close") * (1 + F.col("wick") / 10) + 1.3e-8, 4).alias("high"),
+        F.round(F.least("open", "close") * (1 - F.col("wick") / 10) + 1.3e-8, 4).alias("low"),
         "close",
         "volume",
     )
@@ -82,8 +82,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ticker",
         "date",
         "open",
-        F.round(F.greatest("open", "close") * (1 + F.col("wick") / 10), 4).alias("high"),
-        F.round(F.least("open", "close") * (1 - F.col("wick") / 10), 4).alias("low"),
+        F.round(F.greatest("open", "close") * (1 + F.col("wick") / 10) + 1.3e-8, 4).alias("high"),
+        F.round(F.least("open", "close") * (1 - F.col("wick") / 10) + 1.3e-8, 4).alias("low"),
         "close",
         "volume",
     )
@@ -106,8 +106,8 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
         "ticker",
         "ts",
         "open",
-        F.round(F.greatest("open", "close") * (1 + F.col("span") / 2e6), 4).alias("high"),
-        F.round(F.least("open", "close") * (1 - F.col("span") / 4e6), 4).alias("low"),
+        F.round(F.greatest("open", "close") * (1 + F.col("span") / 2e6) + 1.3e-8, 4).alias("high"),
+        F.round(F.least("open", "close") * (1 - F.col("span") / 4e6) + 1.3e-8, 4).alias("low"),
         "close",
         F.expr("cast(cents div 100 + n as double)").alias("volume"),
     )
