@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ROOT_YEAR, YEAR, div, last_n, nz, order_window, prior_n, safe_corr, so_far
 from ..functions.rank import by_group, pct_rank
+from ..session import cut_lineage
 
 # ---- fixed values: feature type -> (name pattern, parameter sets) ---------------------
 _SPEC_ROWS = [
@@ -562,9 +563,19 @@ def rank_transform(features: DataFrame, names: Iterable[str]) -> DataFrame:
     return ranked.withColumn("pct", F.when(F.col("feature").isin(kept), F.col("value")).otherwise(F.col("pct")))
 
 
-def all_features(df: DataFrame, execution_lag: int = 1) -> DataFrame:
-    """The default library in one wide frame (pair correlation needs a dense grid and is left to it)."""
-    return compute(df, [n for n, s in SPECS.items() if s[0] != "correlation_spike"], execution_lag=execution_lag)
+def all_features(df: DataFrame, execution_lag: int = 1, batch: int = 16) -> DataFrame:
+    """The default library in one wide frame, built in batches.
+
+    A single select of the whole library would be one very large plan; each batch is cut and
+    the batches meet in joins on (ticker, date).  Pair correlation needs a dense grid and is
+    left to `compute` on such a grid.
+    """
+    names = [n for n, s in SPECS.items() if s[0] != "correlation_spike"]
+    out = None
+    for i in range(0, len(names), batch):
+        part = cut_lineage(compute(df, names[i : i + batch], execution_lag=execution_lag))
+        out = part if out is None else out.join(part, ["ticker", "date"])
+    return out
 
 
 #: feature-name prefixes of each category, first match wins (fixed values)

@@ -239,10 +239,10 @@ def regimes(df: DataFrame, n_vol: int = 20, n_trend: int = 50, n_market: int = 2
     d = d.withColumn("strength", nz(div(F.abs(F.col("close") - F.lag("close", n_adx).over(w)), F.col("path")) * 100))
     # share of the last year's volatilities at or under the current one
     past = F.collect_list("vol").over(last_n(252))
-    d = d.withColumn("pct", F.when(F.col("vol").isNotNull(), div(F.size(F.filter(past, lambda x: x <= F.col("vol"))), F.size(past))))
+    d = d.withColumn("pct", F.when(F.col("vol").isNotNull(), div(F.size(F.filter(past, lambda x: x <= F.col("vol") * (1 + 1e-12))), F.size(past))))
     p, dirn = F.col("pct"), div(F.col("ma_s") - F.col("ma_l"), F.col("ma_l"))
     tr = F.greatest(F.least(dirn * 10, F.lit(1.0)), F.lit(-1.0)) * F.col("strength") / 100
-    d = d.withColumn("trend_strength", tr)
+    d = d.withColumn("trend_strength", F.when(dirn.isNotNull(), tr))
     t = F.col("trend_strength")
     return d.select(
         "ticker", "date", "pct", "trend_strength",
