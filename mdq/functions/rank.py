@@ -71,6 +71,16 @@ def pct_rank(df: DataFrame, value: str, out: str, by="date") -> DataFrame:
     return df.join(t, [*by, value], "left")
 
 
+def pct_ranks(df: DataFrame, values: dict[str, str], by="date") -> DataFrame:
+    """Several percentile ranks {value: out} of one frame: every table reads the same base."""
+    by = _list(by)
+    out = df
+    for value, name in values.items():
+        t = rank_table(df, value, by).select(*by, value, ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias(name))
+        out = out.join(t, [*by, value], "left")
+    return out
+
+
 def pct_rank_bounded(value: str, by="date"):
     """The same rank as one window Column, for groups of proven size (a fixed universe)."""
     by = _list(by)

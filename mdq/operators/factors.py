@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import ROOT_YEAR, YEAR, div, last_n, nz, order_window, prior_n, safe_corr, so_far
-from ..functions.rank import by_group, pct_rank
+from ..functions.rank import by_group, pct_rank, pct_ranks
 from ..session import cut_lineage
 
 # ---- fixed values: feature type -> (name pattern, parameter sets) ---------------------
@@ -516,10 +516,10 @@ def _prepare(df: DataFrame, specs: list[tuple]) -> DataFrame:
     for p in periods("correlation_spike"):
         spike = mean_pair_correlation(df, p, "near").join(mean_pair_correlation(df, 63, "far"), "date")
         df = df.join(spike.select("date", (F.col("near") - F.col("far")).alias(f"spike_{p}")), "date", "left")
-    for p in periods("relative_strength"):
-        df = pct_rank(df, f"mom_{p}", f"rank_mom_{p}")
-    for p in periods("relative_volatility"):
-        df = pct_rank(df, f"sd_{p}", f"rank_sd_{p}")
+    ranks = {f"mom_{p}": f"rank_mom_{p}" for p in periods("relative_strength")}
+    ranks |= {f"sd_{p}": f"rank_sd_{p}" for p in periods("relative_volatility")}
+    if ranks:
+        df = pct_ranks(df if len(ranks) == 1 else cut_lineage(df), ranks)
     return df
 
 
