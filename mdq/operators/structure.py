@@ -117,7 +117,7 @@ def pivot_distances(df: DataFrame) -> DataFrame:
         "camarilla": (p, c + rng * 1.1 / 12, c - rng * 1.1 / 12, c + rng * 1.1 / 6, c - rng * 1.1 / 6),
         "woodie": (w, 2 * w - l, 2 * w - h, w + rng, w - rng),
     }
-    names = ["pivot", "r1", "s1", "r2", "s2"]
+    names = ["pivot_p", "r1", "s1", "r2", "s2"]
     dist = lambda x: div(F.col(C), x) - 1
     rows = F.array(*[F.struct(F.lit(m).alias("method"), *[dist(x).alias(n) for n, x in zip(names, v)]) for m, v in methods.items()])
     return d.where(h.isNotNull()).select("ticker", "date", F.explode(rows).alias("m")).select("ticker", "date", "m.*")
@@ -166,7 +166,7 @@ def level_series(df: DataFrame, value: str, n: int = 52, short: int = 12) -> Dat
     """Deviation from the n-row mean, change, trend slope and surprise of an inventory or utilisation series."""
     x = F.col(value)
     d = df.withColumns({"rn": F.row_number().over(_w()), "mean_n": F.avg(x).over(last_n(n)), "change": x - _lag(value)})
-    d = d.withColumns({"deviation": div(x, F.col("mean_n")) - 1, "slope": F.regr_slope(x, F.col("rn")).over(last_n(short))})
+    d = d.withColumns({"deviation": div(x, F.col("mean_n")) - 1, "slope": F.when(F.col("rn") > 1, F.regr_slope(x, F.col("rn")).over(last_n(short)))})
     return d.withColumn("surprise", F.col("change") - F.avg("change").over(prior_n(4)))
 
 

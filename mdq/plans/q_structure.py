@@ -88,9 +88,9 @@ _PV = {
 }
 
 
-@query("sr_pivot_distances", rounded("ticker date method", "pivot r1 s1", " UNION ALL ".join(f"SELECT ticker, date, '{m}' AS method, close/({a})-1 AS pivot, close/({b})-1 AS r1, close/({c})-1 AS s1 FROM (SELECT *, lag(high) {_O} AS h, lag(low) {_O} AS l, lag(close) {_O} AS c FROM daily) WHERE h IS NOT NULL" for m, (a, b, c) in _PV.items())))
+@query("sr_pivot_distances", rounded("ticker date method", "pivot_p r1 s1", " UNION ALL ".join(f"SELECT ticker, date, '{m}' AS method, close/({a})-1 AS pivot_p, close/({b})-1 AS r1, close/({c})-1 AS s1 FROM (SELECT *, lag(high) {_O} AS h, lag(low) {_O} AS l, lag(close) {_O} AS c FROM daily) WHERE h IS NOT NULL" for m, (a, b, c) in _PV.items())))
 def q_pivots(spark, sf_dir):
-    return tidy(structure.pivot_distances(daily(spark, sf_dir)), [*K, "method"], ["pivot", "r1", "s1"])
+    return tidy(structure.pivot_distances(daily(spark, sf_dir)), [*K, "method"], ["pivot_p", "r1", "s1"])
 
 
 BV = ["ma_50_distance", "ma_200_distance", "ma_20_distance", "bb_position", "bb_width", "keltner_position", "keltner_width"]
@@ -124,7 +124,7 @@ def q_commodity(spark, sf_dir):
     return tidy(structure.commodity(panel(spark, sf_dir)), K, ["momentum", "volatility", "up_share"], 5)
 
 
-@query("oil_inventory_and_utilisation", rounded("ticker date", "deviation change slope surprise", f"""SELECT *, change - avg(change) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS surprise FROM (SELECT ticker, date, volume / nullif(avg(volume) {_w(52)}, 0) - 1 AS deviation, volume - lag(volume) {_O} AS change, regr_slope(volume, rn) {_w(12)} AS slope
+@query("oil_inventory_and_utilisation", rounded("ticker date", "deviation change slope surprise", f"""SELECT *, change - avg(change) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS surprise FROM (SELECT ticker, date, volume / nullif(avg(volume) {_w(52)}, 0) - 1 AS deviation, volume - lag(volume) {_O} AS change, CASE WHEN rn > 1 THEN regr_slope(volume, rn) {_w(12)} END AS slope
  FROM (SELECT *, row_number() {_O} AS rn FROM panel))""", 4))
 def q_inventory(spark, sf_dir):
     return tidy(structure.level_series(panel(spark, sf_dir), "volume"), K, ["deviation", "change", "slope", "surprise"], 4)
