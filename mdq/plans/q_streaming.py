@@ -17,7 +17,7 @@ _WM = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
 def _ticks(spark, sf_dir):
-    return streams.ticks(spark, f"{sf_dir}/events.parquet")
+    return streams.ticks(spark, f"{sf_dir}/events*.parquet")
 
 
 def _bars(spark, sf_dir):
