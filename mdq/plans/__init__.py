@@ -13,4 +13,4 @@ def load_all():
     for info in sorted(pkgutil.iter_modules(__path__), key=lambda i: i.name):
         if info.name.startswith("q_"):
             importlib.import_module(f"{__name__}.{info.name}")
-    return registry.QUERIES, registry.SQL
+    return registry.QUERIES, {name: registry.with_ctes(text) for name, text in registry.SQL.items()}

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_ctes(sql)
+            SQL[name] = sql
         return fn
 
     return wrap
