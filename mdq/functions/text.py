@@ -53,39 +53,59 @@ def prices(text: Column) -> Column:
     return F.filter(found, lambda x: (x > 0.001) & (x < 100000))
 
 
-def prices_near(text: Column, keyword: str, window: int = 80) -> Column:
-    """Prices inside the window around every keyword match, in order of the matches."""
-    parts, words = F.split(text, keyword), F.regexp_extract_all(text, F.lit(keyword), 1)
+def _windows(text: Column, parts: Column, words: Column, window: int) -> Column:
+    """Prices in the window around each keyword match, from the split text and its matches."""
     upto = lambda arr, n: F.length(F.concat_ws("", F.slice(arr, 1, n)))
 
-    def snippet(i):
+    def found(i):
         start = upto(parts, i) + upto(words, i - 1)
         left = F.greatest(start - window, F.lit(0))
         end = F.least(start + F.length(F.element_at(words, i)) + window, F.length(text))
-        return F.substr(text, left + 1, end - left)
+        return prices(F.substr(text, left + 1, end - left))
 
     steps = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(steps, lambda i: prices(snippet(i))))
+    return F.flatten(F.transform(steps, found))
+
+
+def prices_near(text: Column, keyword: str, window: int = 80) -> Column:
+    """Prices inside the window around every keyword match, in order of the matches."""
+    return _windows(text, F.split(text, keyword), F.regexp_extract_all(text, F.lit(keyword), 1), window)
+
+
+def with_prices_near(df: DataFrame, text: str, keywords: dict[str, str], window: int = 80) -> DataFrame:
+    """prices_near for several keywords; the split text is a column of its own, so it is made once per row."""
+    df = df.withColumns({f"_p_{n}": F.split(text, k) for n, k in keywords.items()})
+    df = df.withColumns({f"_w_{n}": F.regexp_extract_all(text, F.lit(k), 1) for n, k in keywords.items()})
+    df = df.withColumns({n: _windows(F.col(text), F.col(f"_p_{n}"), F.col(f"_w_{n}"), window) for n in keywords})
+    return df.drop(*[f"_{x}_{n}" for n in keywords for x in "pw"])
+
 
+def with_blocks(df: DataFrame) -> DataFrame:
+    """One row per (post, symbol) with the post's part from the symbol's line start to the next symbol's.
 
-def ticker_block(content: Column, symbols: Column, symbol: Column) -> Column:
-    """The part of a post from a symbol's line start to the next symbol's; the whole post if it cannot be split."""
-    head = F.concat(F.lit(r"(?i)(?:^|\n)\s*\$?("), F.array_join(symbols, "|"), F.lit(r")\b"))
-    marked = F.regexp_replace(content, head, F.lit("\u0001$0"))
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: F.regexp_like(p, F.concat(F.lit("^"), head)))
-    own = F.concat(F.lit(r"(?i)^\s*\$?"), symbol, F.lit(r"\b"))
-    mine = F.filter(parts, lambda p: F.regexp_like(p, own))
-    return F.when(F.size(parts) < 2, content).otherwise(F.coalesce(F.try_element_at(mine, F.lit(-1)), content))
+    Posts that cannot be split keep the whole content for every symbol; a symbol with several
+    blocks keeps its last.
+    """
+    head = F.concat(F.lit(r"(?i)(?:^|\n)\s*\$?("), F.array_join("symbols", "|"), F.lit(r")\b"))
+    df = df.withColumn("_marked", F.regexp_replace("content", head, F.lit("\u0001$0")))
+    df = df.withColumn("_parts", F.filter(F.split("_marked", "\u0001"), lambda p: p != ""))
+    # a part belongs to the symbol it starts with
+    first = F.transform("_parts", lambda p: F.struct(F.upper(F.regexp_extract(p, r"^\s*\$?([A-Za-z]+)", 1)).alias("s"), p.alias("t")))
+    df = df.withColumn("_parts", F.filter(first, lambda x: F.array_contains("symbols", x["s"])))
+    df = df.withColumn("ticker", F.explode("symbols"))
+    mine = F.filter("_parts", lambda x: x["s"] == F.col("ticker"))
+    df = df.withColumn("_mine", F.try_element_at(mine, F.lit(-1)))
+    block = F.when(F.size("_parts") < 2, F.col("content")).otherwise(F.coalesce("_mine.t", "content"))
+    return df.withColumn("block", block).drop("_marked", "_parts", "_mine")
 
 
 def parse_posts(posts: DataFrame) -> DataFrame:
     """posts(title, content, timestamp) to one entry row per ticker."""
     text = F.concat_ws("\n", "title", "content")
     p = posts.withColumns({"symbols": tickers(text), "session": session(text), "post_ts": parse_time(F.col("timestamp"))}).where(F.size("symbols") > 0)
-    p = p.select("title", "content", "symbols", "session", "post_ts", F.explode("symbols").alias("ticker"))
-    p = p.withColumn("block", ticker_block(F.col("content"), F.col("symbols"), F.col("ticker")))
-    p = p.withColumns({"all_p": prices(F.col("block")), "sup": prices_near(F.col("block"), SUPPORT), "res": prices_near(F.col("block"), RESISTANCE), "stp": prices_near(F.col("block"), STOP)})
-    median = F.coalesce(F.try_element_at(F.array_sort("all_p"), (F.floor(F.size("all_p") / 2) + 1).cast("int")), F.lit(0.0))
+    p = with_blocks(p.select("title", "content", "symbols", "session", "post_ts"))
+    p = with_prices_near(p, "block", {"sup": SUPPORT, "res": RESISTANCE, "stp": STOP}).withColumn("all_p", F.array_sort(prices(F.col("block"))))
+    median = F.coalesce(F.try_element_at("all_p", (F.floor(F.size("all_p") / 2) + 1).cast("int")), F.lit(0.0))
     p = p.withColumn("median", median)
     first = lambda a: F.try_element_at(a, F.lit(1))
     p = p.withColumn("support", F.coalesce(first(F.filter("sup", lambda x: x < F.col("median"))), first(F.col("sup"))))
