@@ -77,3 +77,10 @@ def compound(df: DataFrame, keys: list[str], order: list[str], ret: str, capital
     """Capital after each return in order."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("equity", capital * F.exp(F.sum(F.log1p(ret)).over(w)))
+
+
+def vessel_state(df: DataFrame) -> DataFrame:
+    """Direction from course over ground and laden state from draught against the maximum."""
+    c = F.col("course")
+    direction = F.when(c.between(45, 135), "outbound").when(c.between(225, 315), "inbound").otherwise("other")
+    return df.withColumns({"direction": direction, "laden": nz(div(F.col("draught"), F.col("max_draught")) > 0.7, 0) if False else F.coalesce(div(F.col("draught"), F.col("max_draught")) > 0.7, F.lit(False))})
