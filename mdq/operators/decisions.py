@@ -80,7 +80,17 @@ def compound(df: DataFrame, keys: list[str], order: list[str], ret: str, capital
 
 
 def vessel_state(df: DataFrame) -> DataFrame:
-    """Direction from course over ground and laden state from draught against the maximum."""
+    """Direction from course over ground and laden state from draught in metres."""
     c = F.col("course")
-    direction = F.when(c.between(45, 135), "outbound").when(c.between(225, 315), "inbound").otherwise("other")
-    return df.withColumns({"direction": direction, "laden": nz(div(F.col("draught"), F.col("max_draught")) > 0.7, 0) if False else F.coalesce(div(F.col("draught"), F.col("max_draught")) > 0.7, F.lit(False))})
+    direction = F.when(c.isNull(), "unknown").when(c.between(90, 210), "outbound").when(c.between(270, 360), "inbound").otherwise("transit")
+    return df.withColumns({"direction": direction, "laden": F.coalesce(F.col("draught"), F.lit(0.0)) > 15.0})
+
+
+def vessel_counts(df: DataFrame) -> DataFrame:
+    """Census of the latest message of each vessel: totals, large, laden and direction counts."""
+    one = lambda cond: F.sum(cond.cast("bigint"))
+    s = vessel_state(df)
+    return s.agg(
+        F.count("*").alias("vessels"), one(F.col("length") > 300).alias("large"), one(F.col("laden")).alias("laden"),
+        one(F.col("direction") == "outbound").alias("outbound"), one(F.col("direction") == "inbound").alias("inbound"), one(F.col("direction") == "transit").alias("transit"),
+    )

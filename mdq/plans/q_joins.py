@@ -368,3 +368,11 @@ def q_tod(spark, sf_dir):
     t = b.groupBy("ticker", F.date_format("ts", "HH:mm").alias("tod")).agg(F.when(F.count("*") >= 3, F.percentile("volume", 0.5)).alias("m"))
     a = b.groupBy("ticker").agg(F.percentile("volume", 0.5).alias("a"))
     return tidy(t.join(a, "ticker").withColumn("cap", F.coalesce("m", "a") * 0.02), ["ticker", "tod"], ["cap"])
+
+
+@query("vessel_census", """SELECT count(*) AS vessels, CAST(sum(CASE WHEN k * 5 > 300 THEN 1 ELSE 0 END) AS BIGINT) AS large, CAST(sum(CASE WHEN k / 4.0 > 15 THEN 1 ELSE 0 END) AS BIGINT) AS laden, count(*) FILTER (value BETWEEN 90 AND 210) AS outbound,
+ count(*) FILTER (value BETWEEN 270 AND 360) AS inbound, count(*) FILTER (NOT (value BETWEEN 90 AND 210 OR value BETWEEN 270 AND 360)) AS transit FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(CAST(json_extract(props, '$.k') AS INTEGER), event_id) AS k FROM events GROUP BY 1)""")
+def q_census(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.from_json("props", "k int").alias("p"))
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("value", "p.k"), "event_id").alias("x"))
+    return decisions.vessel_counts(last.select(F.col("x.value").alias("course"), (F.col("x.k") / 4.0).alias("draught"), (F.col("x.k") * 5).alias("length")))
