@@ -120,9 +120,6 @@ def q_newest(spark, sf_dir):
     return o.withColumn("k", F.row_number().over(w)).where("k <= 15").select("o_custkey", "o_orderkey")
 
 
-_NW = " OR ".join(f"contains(lower(text), '{w}')" for w in [*text.NEWS_WORDS, "the"])
-
-
 @query("news_dilution_hits", "SELECT doc_id FROM documents WHERE (" + " OR ".join(f"contains(lower(text), '{w}')" for w in text.NEWS_WORDS) + f" OR lang = 'en' AND contains(lower(text), 'peace')) AND ({_SENT}) / 10 < -0.3 OR (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def q_news(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -44,7 +44,6 @@ def compare(names, rows_a, cols_a, rows_b, cols_b):
         return f"{len(bad)} of {len(a)} rows differ, cols {sorted(cols_a)}\n   spark {bad[0][0]}\n   sql   {bad[0][1]}"
     if not a:
         return "EMPTY"
-    kinds = {type(v).__name__ for r in rows_a[:1] for v in r}
     return None
 
 
