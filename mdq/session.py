@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: settings every operator relies on; sizes are left to the cluster
@@ -36,14 +34,13 @@ def local_session(cores: str = "8", name: str = "mdq", **extra: str) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; an own one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir (or SparkContext.setCheckpointDir), which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="mdq-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from mdq.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = local_session("4", "tests")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()

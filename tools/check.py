@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -58,6 +59,7 @@ def main(argv):
     queries, sql = load_all()
     names = [n for n in queries if not argv or any(n.startswith(a) for a in argv)]
     spark = local_session(name="check")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="check-"))
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES.split():
