@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality
-from .common import table
+from . import line_dedup, quality, simhash, substring_dedup
+from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -55,3 +55,30 @@ def op8_quality_rules(spark, sf_dir):
     """Base quality counts and the verdict by divergence from the language references."""
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """Words covered by 35-word windows that occur elsewhere, cut."""
+    out = substring_dedup.drop_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.array_join(word_list(whole_text()), " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+_SQL["op5_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents)),
+v AS (SELECT doc_id, pos, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS n FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT md5(win) AS win FROM v WHERE n = 35 GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT v.doc_id, v.pos, v.n = 35 AND r.win IS NOT NULL AS hit FROM v LEFT JOIN r ON md5(v.win) = r.win),
+c AS (SELECT doc_id, pos, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM h)
+SELECT d.doc_id, count(w.pos) AS n_words, count(*) FILTER (c.gone) AS n_removed,
+ sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.pos) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN c USING (doc_id, pos) GROUP BY d.doc_id"""
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    """SimHash fingerprints and the groups of documents linked at 3 or fewer differing bits."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))

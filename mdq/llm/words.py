@@ -51,9 +51,10 @@ def windows(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A hash of every n consecutive values; element i covers i to i + n - 1."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    base, out, done, step = np.uint64(seed | 1), None, 0, 1
-    part, factor = h, base
+    out, done, step = None, 0, 1
+    part, power = h, seed | 1
     while True:
+        factor = np.uint64(power)
         if n & step:
             if out is None:
                 out, done = part, step
@@ -63,7 +64,7 @@ def windows(h: np.ndarray, n: int, seed: int) -> np.ndarray:
         if step * 2 > n:
             return mix(out)
         k = len(h) - 2 * step + 1
-        part, factor, step = part[:k] * factor + part[step : step + k], factor * factor, step * 2
+        part, power, step = part[:k] * factor + part[step : step + k], power * power % 2**64, step * 2
 
 
 def as_bytes(column: pa.ChunkedArray) -> list[bytes]:
