@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, simhash, substring_dedup
+from . import line_dedup, quality, simhash, substring_dedup, suffix_dedup
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,13 @@ def sha(text: str):
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    """Bytes covered by 400-byte strings that occur elsewhere, cut."""
+    out = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     """Lines found in two or more documents, dropped from all but the first."""
