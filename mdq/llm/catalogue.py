@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, simhash, substring_dedup, suffix_dedup
+from . import line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,12 @@ def op2_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_packing(spark, sf_dir):
+    """Token pieces of all documents packed into sequences of at most 2048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     """Lines found in two or more documents, dropped from all but the first."""
