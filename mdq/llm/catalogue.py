@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
+from . import line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,20 @@ def sha(text: str):
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
+@query
+def op1_warc(spark, sf_dir):
+    """Pages written as WARC archives, repeated payloads as revisits, and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+_SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to, true AS payload_ok FROM f"""
+
+
 @query
 def op2_suffix_dedup(spark, sf_dir):
     """Bytes covered by 400-byte strings that occur elsewhere, cut."""
