@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,17 @@ FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN c USING (doc_id, pos) GROU
 def op6_simhash(spark, sf_dir):
     """SimHash fingerprints and the groups of documents linked at 3 or fewer differing bits."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ann(spark, sf_dir):
+    """The five nearest vectors of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """The language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", (langid.fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
