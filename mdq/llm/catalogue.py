@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, bpe, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,20 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op4_bpe(spark, sf_dir):
+    """Byte-level BPE ids of all documents, and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.little_endian(F.col("ids"), len(ranks)), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     """Lines found in two or more documents, dropped from all but the first."""
@@ -124,3 +138,11 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return out.select("doc_id", (langid.fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
