@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import div, nz, order_window
 from . import intraday
-from .outcomes import forward_bars
+from .joins import asof_backward
+from .outcomes import forward_bars, minute_of_day
 
 
 def session_candidates(cands: DataFrame, bars: DataFrame, history: DataFrame, first: int = 810, last: int = 1140) -> DataFrame:
@@ -18,31 +19,46 @@ def session_candidates(cands: DataFrame, bars: DataFrame, history: DataFrame, fi
     past = history.select("ticker", F.to_date("exit_ts").alias("h_day"), (F.col("outcome") == "win").cast("double").alias("won"))
     daily = past.groupBy("ticker", "h_day").agg(F.sum("won").alias("w"), F.count("*").alias("n"))
     run = Window.partitionBy("ticker").orderBy("h_day").rowsBetween(Window.unboundedPreceding, 0)
-    daily = daily.select("ticker", "h_day", div(F.sum("w").over(run), F.sum("n").over(run)).alias("rate"))
-    spans = daily.withColumn("until", F.lead("h_day").over(Window.partitionBy("ticker").orderBy("h_day")))
-    spans = spans.withColumn("day", F.explode(F.sequence(F.date_add("h_day", 1), F.coalesce("until", F.date_add("h_day", 10)))))
-    return j.join(spans.select("ticker", "day", "rate"), ["ticker", "day"], "left").withColumn("rate", nz(F.col("rate"), 0.5))
+    daily = daily.select("ticker", F.col("h_day").alias("at"), "h_day", div(F.sum("w").over(run), F.sum("n").over(run)).alias("rate"))
+    days = j.select("ticker", F.col("day").alias("at")).distinct().withColumn("h_day", F.col("at"))
+    # the record of the last earlier day with a trade, however long ago
+    rates = asof_backward(days, daily, "ticker", "at", ["rate"], "h_day", bucket=F.trunc("at", "year")).select("ticker", F.col("at").alias("day"), "rate")
+    return j.join(rates, ["ticker", "day"], "left").withColumn("rate", nz(F.col("rate"), 0.5))
 
 
-def card_outcomes(c: DataFrame, bars: DataFrame, pt: float = 1.2, sl: float = 0.8, trail: float = 0.5, stall: int = 6, horizon: int = 12) -> DataFrame:
-    """First of stop (trailing once in profit), target, stall without progress, or the last bar."""
+def card_outcomes(c: DataFrame, bars: DataFrame, pt: float = 1.2, sl: float = 0.8, trail_from: float = 2.0, trail: float = 1.0, stall: int = 6, slip: float = 0.005, start: int = 810, close: int = 1200) -> DataFrame:
+    """First of trail (once in profit), stop with slippage, target, session close, or a stall under water; a card ends on its own day and in its session.
+
+    There is no longest hold. A card without a later bar in its session ends at its entry price.
+    """
     c = c.select("ticker", "day", "entry_idx", "entry_ts", "entry_price")
     e = F.col("entry_price")
-    j = forward_bars(c, bars, horizon)
+    j = forward_bars(c, bars, close).where((F.to_date("b_ts") == F.to_date("entry_ts")) & minute_of_day(F.col("b_ts")).between(start, close))
     w = Window.partitionBy("ticker", "day", "entry_idx")
-    j = j.withColumns({"top": F.greatest(e, F.max("b_high").over(w.orderBy("b_idx").rowsBetween(Window.unboundedPreceding, 0))), "last_idx": F.max("b_idx").over(w)})
-    stop = F.when(F.col("top") >= e * (1 + trail / 100), F.greatest(e * (1 - sl / 100), F.col("top") * (1 - trail / 100))).otherwise(e * (1 - sl / 100))
-    j = j.withColumn("stop", stop)
-    held = F.col("b_idx") - F.col("entry_idx")
+    j = j.withColumns(
+        {
+            "top": F.greatest(e, F.max("b_high").over(w.orderBy("b_idx").rowsBetween(Window.unboundedPreceding, 0))),
+            "last_idx": F.max("b_idx").over(w),
+            "held": F.row_number().over(w.orderBy("b_idx")),
+        }
+    )
+    stop, tail = e * (1 - sl / 100), F.col("top") * (1 - trail / 100)
     ev = (
-        F.when(F.col("b_low") <= F.col("stop"), F.struct(F.lit("stop").alias("why"), F.least("b_open", "stop").alias("px")))
+        F.when((F.col("top") >= e * (1 + trail_from / 100)) & (F.col("b_low") <= tail), F.struct(F.lit("trail").alias("why"), tail.alias("px")))
+        .when(F.col("b_low") <= stop, F.struct(F.lit("stop").alias("why"), (F.least(F.col("b_open"), stop) * (1 - slip)).alias("px")))
         .when(F.col("b_high") >= e * (1 + pt / 100), F.struct(F.lit("target").alias("why"), (e * (1 + pt / 100)).alias("px")))
-        .when((held >= stall) & (F.col("b_close") < e * 1.002), F.struct(F.lit("stall").alias("why"), F.col("b_close").alias("px")))
+        .when(minute_of_day(F.col("b_ts")) >= close, F.struct(F.lit("close").alias("why"), F.col("b_close").alias("px")))
+        .when((F.col("held") >= stall) & (F.col("b_close") < e), F.struct(F.lit("stall").alias("why"), F.col("b_close").alias("px")))
         .when(F.col("b_idx") == F.col("last_idx"), F.struct(F.lit("close").alias("why"), F.col("b_close").alias("px")))
     )
     j = j.withColumn("ev", ev)
-    g = j.groupBy("ticker", "day", "entry_idx", "entry_ts", "entry_price").agg(F.min_by(F.struct("ev.why", "ev.px", "b_idx", "b_ts"), F.when(F.col("ev").isNotNull(), F.col("b_idx"))).alias("x"))
-    return g.select("ticker", "day", "entry_idx", "entry_ts", "entry_price", F.col("x.why").alias("reason"), F.col("x.b_ts").alias("exit_ts"), F.round((F.col("x.px") / e - 1) * 100, 4).alias("pnl_pct"))
+    keys = ["ticker", "day", "entry_idx", "entry_ts", "entry_price"]
+    g = j.groupBy(*keys).agg(F.min_by(F.struct("ev.why", "ev.px", "b_idx", "b_ts"), F.when(F.col("ev").isNotNull(), F.col("b_idx"))).alias("x"))
+    g = c.join(g, keys, "left")
+    return g.select(
+        "ticker", "day", "entry_idx", "entry_ts", "entry_price", F.coalesce("x.why", F.lit("close")).alias("reason"),
+        F.coalesce("x.b_ts", "entry_ts").alias("exit_ts"), F.round((F.coalesce("x.px", e) / e - 1) * 100, 4).alias("pnl_pct"),
+    )
 
 
 def admit(cards: DataFrame, slots: int = 3, day_loss: float = -2.0, cooldown_minutes: int = 30) -> DataFrame:

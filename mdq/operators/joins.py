@@ -39,13 +39,26 @@ def nearest_date(wanted: DataFrame, stored: DataFrame, key: str, within: int = 5
     return g.select(key, "wanted", *[F.col(f"x.{c}").alias("stored" if c == "date" else c) for c in cols])
 
 
-def nearest_bar(points: DataFrame, bars: DataFrame, key: str, width_seconds: int = 3600, reach: int = 2) -> DataFrame:
-    """Bar whose start is closest to each point's ts, looked up in the few buckets around it."""
-    b = bars.withColumn("_b", F.floor(F.unix_timestamp("ts") / width_seconds)).withColumnRenamed("ts", "bar_ts")
-    p = points.withColumn("_b", F.explode(F.sequence(F.floor(F.unix_timestamp("ts") / width_seconds) - reach, F.floor(F.unix_timestamp("ts") / width_seconds) + reach)))
-    j = p.join(b, [key, "_b"])
-    gap = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("bar_ts").cast("timestamp")))
-    return j.groupBy(*points.columns).agg(F.min_by(F.struct("bar_ts", "close"), F.struct(gap, "bar_ts")).alias("x")).select(*points.columns, "x.bar_ts", "x.close")
+def nearest_bar(points: DataFrame, bars: DataFrame, key: str) -> DataFrame:
+    """Bar whose start is closest to each point's ts, however far, the earlier one on a tie.
+
+    A point meets the bars of its own day and the nearest bar before and after that day; these
+    come from one row per (key, day), whose list of bars the calendar bounds. Points are joined to
+    that row as they are, never copied.
+    """
+    b = bars.select(key, F.to_date("ts").alias("_day"), F.struct(F.col("ts").alias("bar_ts"), "close").alias("_bar"))
+    own = b.groupBy(key, "_day").agg(F.collect_list("_bar").alias("_bars"), F.max("_bar").alias("_last"), F.min("_bar").alias("_first"))
+    days = points.select(key, F.to_date("ts").alias("_day")).distinct().join(own, [key, "_day"], "full")
+    w = Window.partitionBy(key).orderBy("_day")
+    back = Window.partitionBy(key).orderBy(F.col("_day").desc())
+    up_to = Window.unboundedPreceding
+    days = days.withColumns({"_before": F.last("_last", ignorenulls=True).over(w.rowsBetween(up_to, -1)), "_after": F.last("_first", ignorenulls=True).over(back.rowsBetween(up_to, -1))})
+    near = F.concat(F.coalesce("_bars", F.array().cast(own.schema["_bars"].dataType)), F.array("_before", "_after"))
+    days = days.select(key, "_day", F.filter(near, lambda x: x.isNotNull()).alias("_near"))
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    best = F.array_min(F.transform("_near", lambda x: F.struct(F.abs(us(F.col("ts")) - us(x["bar_ts"])).alias("gap"), x["bar_ts"].alias("bar_ts"), x["close"].alias("close"))))
+    j = points.withColumn("_day", F.to_date("ts")).join(days, [key, "_day"]).withColumn("_x", best).where("_x is not null")
+    return j.select(*points.columns, F.col("_x.bar_ts").alias("bar_ts"), F.col("_x.close").alias("close"))
 
 
 def within_windows(rows: DataFrame, windows: DataFrame, date: str = "date") -> DataFrame:

@@ -1,7 +1,8 @@
 """From entries to trades: candidates, first-barrier outcomes, admissible chains.
 
-Bars of one ticker carry a row index; forward looks are bounded by a horizon in bars, so the
-range joins hash on (ticker, index block) and never compare all bars of a ticker.
+Bars of one ticker carry a row index; a forward look ends with the session, at the first bar at or
+after its close (or the last bar there is), so the range joins hash on (ticker, index block) and
+never compare all bars of a ticker.
 """
 
 from __future__ import annotations
@@ -36,19 +37,31 @@ def in_session(ts: Column, start: Column, end: Column) -> Column:
     return F.when(start <= end, m.between(start, end)).otherwise((m >= start) | (m <= end))
 
 
-def entries_from_bars(bars: DataFrame, days: int = 5, q_low: float = 0.15, q_high: float = 0.85) -> DataFrame:
-    """Per (ticker, day): quantile support and resistance of the prior days only."""
+def entries_from_bars(bars: DataFrame, q_low: float = 0.15, q_high: float = 0.85) -> DataFrame:
+    """Per (ticker, day) after the first: quantile support and resistance of all prior days.
+
+    The quantiles grow day by day over a sorted array of one ticker's bars, which the calendar bounds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        lows, highs, out = np.zeros(0), np.zeros(0), []
+        for day, own in rows.sort_values("src", kind="stable").groupby("src"):
+            if len(lows):
+                out.append((own["ticker"].iloc[0], day, float(np.quantile(lows, q_low)), float(np.quantile(highs, q_high))))
+            low, high = np.sort(own["low"].to_numpy()), np.sort(own["high"].to_numpy())
+            lows = np.insert(lows, np.searchsorted(lows, low), low)
+            highs = np.insert(highs, np.searchsorted(highs, high), high)
+        return pd.DataFrame(out, columns=["ticker", "day", "s", "r"])
+
     b = bars.select("ticker", F.to_date("ts").alias("src"), "low", "high")
-    # each bar serves the few days after it: a bounded fan-out instead of a range join
-    fan = b.withColumn("day", F.explode(F.sequence(F.date_add("src", 1), F.date_add("src", days))))
-    lv = fan.groupBy("ticker", "day").agg(
-        F.round(F.percentile("low", q_low) + 1e-9, 4).alias("support"), F.round(F.percentile("high", q_high) + 1e-9, 4).alias("resistance")
-    )
-    present = b.select("ticker", F.col("src").alias("day")).distinct()
-    return lv.join(present, ["ticker", "day"], "left_semi").withColumn("stop", F.round(F.col("support") * 0.95 + 1e-9, 4))
+    lv = b.groupBy("ticker").applyInPandas(grow, "ticker string, day date, s double, r double")
+    lv = lv.select("ticker", "day", F.round(F.col("s") + 1e-9, 4).alias("support"), F.round(F.col("r") + 1e-9, 4).alias("resistance"))
+    return lv.withColumn("stop", F.round(F.col("support") * 0.95 + 1e-9, 4))
 
 
-def candidates(bars: DataFrame, entries: DataFrame, pattern_bars: DataFrame, look: int = 20, open_min: int = 810, open_max: int = 1200, max_loss: float = 5.0) -> DataFrame:
+def candidates(bars: DataFrame, entries: DataFrame, pattern_bars: DataFrame, look: int = 20, open_min: int = 810, open_max: int = 1199, max_loss: float = 5.0) -> DataFrame:
     """Entry candidates per (ticker, day): support touched, close held, a pattern nearby; enter at the next open.
 
     bars carry idx; pattern_bars (ticker, idx, pattern) flags pattern rows.
@@ -105,25 +118,35 @@ def barriers(c: DataFrame, max_loss: float = 5.0) -> DataFrame:
     )
 
 
-def forward_bars(c: DataFrame, bars: DataFrame, horizon: int, start: str = "entry_idx") -> DataFrame:
-    """Candidate rows joined to the next `horizon` bars of the ticker, by (ticker, index block)."""
-    blocks = F.sequence(F.floor((F.col(start) + 1) / _SPAN), F.floor((F.col(start) + horizon) / _SPAN))
-    left = c.withColumn("_blk", F.explode(blocks))
+def session_ends(bars: DataFrame, close_minute: int = 1200) -> DataFrame:
+    """(ticker, entry_idx, end_idx): the first later bar at or after the close, or the ticker's last bar."""
+    w = Window.partitionBy("ticker").orderBy(F.col("idx").desc())
+    after = F.when(minute_of_day(F.col("ts")) >= close_minute, F.col("idx"))
+    later = F.last(after, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.first("idx").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return bars.select("ticker", F.col("idx").alias("entry_idx"), F.coalesce(later, last).alias("end_idx"))
+
+
+def forward_bars(c: DataFrame, bars: DataFrame, close_minute: int = 1200) -> DataFrame:
+    """Candidate rows joined to the bars after their entry up to the session end, by (ticker, index block)."""
+    left = c.join(session_ends(bars, close_minute), ["ticker", "entry_idx"]).where(F.col("end_idx") > F.col("entry_idx"))
+    blocks = F.sequence(F.floor((F.col("entry_idx") + 1) / _SPAN), F.floor(F.col("end_idx") / _SPAN))
+    left = left.withColumn("_blk", F.explode(blocks))
     right = bars.select(
         "ticker", F.floor(F.col("idx") / _SPAN).alias("_blk"), F.col("idx").alias("b_idx"), F.col("ts").alias("b_ts"),
         *[F.col(x).alias(f"b_{x}") for x in ("open", "high", "low", "close")],
     )
     j = left.join(right, ["ticker", "_blk"])
-    return j.where((F.col("b_idx") > F.col(start)) & (F.col("b_idx") <= F.col(start) + horizon)).drop("_blk")
+    return j.where((F.col("b_idx") > F.col("entry_idx")) & (F.col("b_idx") <= F.col("end_idx"))).drop("_blk", "end_idx")
 
 
-def first_barrier(c: DataFrame, bars: DataFrame, horizon: int = 12, trail: float | None = None, trail_from: float = 1.0, close_minute: int | None = None) -> DataFrame:
+def first_barrier(c: DataFrame, bars: DataFrame, trail: float | None = None, trail_from: float = 1.0, close_minute: int = 1200) -> DataFrame:
     """One trade per candidate: the first bar that hits floor, stop or trail, target, or the session end.
 
     c needs entry_idx, entry_price, target, stop, floor, support and any identifying columns.
     """
     keys = [x for x in c.columns]
-    j = forward_bars(c, bars, horizon)
+    j = forward_bars(c, bars, close_minute)
     w = Window.partitionBy(*keys).orderBy("b_idx")
     e = F.col("entry_price")
     eff = F.col("stop")
@@ -134,8 +157,6 @@ def first_barrier(c: DataFrame, bars: DataFrame, horizon: int = 12, trail: float
         eff = F.when(active, F.greatest(F.col("stop"), F.col("top") * (1 - trail / 100))).otherwise(F.col("stop"))
     j = j.withColumns({"eff": eff, "last_idx": F.max("b_idx").over(Window.partitionBy(*keys))})
     ended = F.col("b_idx") == F.col("last_idx")
-    if close_minute is not None:
-        ended = ended | (minute_of_day(F.col("b_ts")) > close_minute)
     event = (
         F.when(F.col("b_low") <= F.col("floor"), F.struct(F.lit("loss").alias("outcome"), F.least("b_open", "floor").alias("px")))
         .when(
@@ -189,19 +210,20 @@ def admissible(trades: DataFrame, keys: list[str], cooldown: int = 6, max_losses
     return trades.join(kept, [*keys, "entry_idx"], "left_semi")
 
 
-def breakout_trades(signals: DataFrame, bars: DataFrame, pt: float = 5.0, sl: float = 1.0, max_loss: float = 5.0, horizon: int = 48) -> DataFrame:
-    """Equal-highs breakouts: enter at the next open; floor, target, stop or a close under the ceiling ends it."""
+def breakout_trades(signals: DataFrame, bars: DataFrame, pt: float = 5.0, sl: float = 1.0, max_loss: float = 5.0, close_minute: int = 1200) -> DataFrame:
+    """Equal-highs breakouts: enter at the next open inside the session; its close (at the open), floor, target, stop or a close under the ceiling ends it."""
     w = order_window("ticker", "idx")
     nxt = bars.withColumns({"e_idx": F.lead("idx").over(w), "e_ts": F.lead("ts").over(w), "e_px": F.lead("open").over(w)})
     s = signals.where("signal = 'eqh_breakout'").select("ticker", "idx", "ceiling").groupBy("ticker", "idx").agg(F.max("ceiling").alias("ceiling"))
-    c = s.join(nxt.select("ticker", "idx", "e_idx", "e_ts", "e_px"), ["ticker", "idx"]).where("e_px > 0")
+    c = s.join(nxt.select("ticker", "idx", "e_idx", "e_ts", "e_px"), ["ticker", "idx"]).where((F.col("e_px") >= 0.10) & (minute_of_day(F.col("e_ts")) < close_minute))
     c = c.select("ticker", "ceiling", F.col("e_idx").alias("entry_idx"), F.col("e_ts").alias("entry_ts"), F.col("e_px").alias("entry_price"))
     e = F.col("entry_price")
     c = c.withColumns({"target": e * (1 + pt / 100), "stop": F.greatest(e * (1 - sl / 100), F.col("ceiling") * 0.998), "floor": e * (1 - max_loss / 100)})
     keys = c.columns
-    j = forward_bars(c, bars, horizon).withColumn("last_idx", F.max("b_idx").over(Window.partitionBy(*keys)))
+    j = forward_bars(c, bars, close_minute).withColumn("last_idx", F.max("b_idx").over(Window.partitionBy(*keys)))
     event = (
-        F.when(F.col("b_low") <= F.col("floor"), F.struct(F.lit("loss").alias("outcome"), F.least("b_open", "floor").alias("px")))
+        F.when(minute_of_day(F.col("b_ts")) >= close_minute, F.struct(F.lit("timeout").alias("outcome"), F.col("b_open").alias("px")))
+        .when(F.col("b_low") <= F.col("floor"), F.struct(F.lit("loss").alias("outcome"), F.least("b_open", "floor").alias("px")))
         .when(F.col("b_high") >= F.col("target"), F.struct(F.lit("win").alias("outcome"), F.col("target").alias("px")))
         .when(F.col("b_low") <= F.col("stop"), F.struct(F.lit("loss").alias("outcome"), F.least("b_open", "stop").alias("px")))
         .when(F.col("b_close") < F.col("ceiling"), F.struct(F.lit("loss").alias("outcome"), F.col("b_close").alias("px")))

@@ -198,7 +198,7 @@ def q_exhaustion(spark, sf_dir):
 cte(
     "levels_daily",
     """SELECT d.ticker, d.day, round(quantile_cont(b.low, 0.15) + 1e-9, 4) AS support, round(quantile_cont(b.high, 0.85) + 1e-9, 4) AS resistance
- FROM (SELECT DISTINCT ticker, day FROM bi) d JOIN bi b ON b.ticker = d.ticker AND b.day < d.day AND b.day >= d.day - 5 GROUP BY 1, 2""",
+ FROM (SELECT DISTINCT ticker, day FROM bi) d JOIN bi b ON b.ticker = d.ticker AND b.day < d.day GROUP BY 1, 2""",
 )
 
 

@@ -43,7 +43,7 @@ def q_nearest_date(spark, sf_dir):
 
 
 @query("join_nearest_bar", rounded("event_id bar_ts", "close", """SELECT event_id, ts2 AS bar_ts, close FROM (SELECT e.event_id, b.ts AS ts2, b.close, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - epoch_us(b.ts)), b.ts) AS k
- FROM events e JOIN bars b ON b.ticker = e.event_type AND b.ts BETWEEN date_trunc('hour', e.ts) - INTERVAL 2 HOUR AND date_trunc('hour', e.ts) + INTERVAL 2 HOUR) WHERE k = 1""", 4))
+ FROM events e JOIN bars b ON b.ticker = e.event_type) WHERE k = 1""", 4))
 def q_nearest_bar(spark, sf_dir):
     pts = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("ticker"))
     return tidy(joins.nearest_bar(pts, bars(spark, sf_dir), "ticker"), ["event_id", "bar_ts"], ["close"], 4)

@@ -142,9 +142,9 @@ cte(
  SELECT b.*, max(p.idx) OVER (PARTITION BY b.ticker ORDER BY b.ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS last_p,
   lead(open) OVER (PARTITION BY b.ticker ORDER BY b.ts) AS next_open, lead(b.ts) OVER (PARTITION BY b.ticker ORDER BY b.ts) AS next_ts
  FROM bi b LEFT JOIN pbars p ON p.ticker = b.ticker AND p.idx = b.idx) x JOIN levels_daily l ON l.ticker = x.ticker AND l.day = x.day
- WHERE hour(x.ts) * 60 + minute(x.ts) BETWEEN 810 AND 1200))
+ WHERE hour(x.ts) * 60 + minute(x.ts) BETWEEN 810 AND 1199))
  WHERE touch_idx > coalesce(broke_idx, -1) AND NOT close < support * 0.9 AND last_p IS NOT NULL AND next_open >= 0.1
- AND (next_open - support) / next_open * 100 <= 5 AND hour(next_ts) * 60 + minute(next_ts) <= 1200 AND CAST(next_ts AS DATE) = day""",
+ AND (next_open - support) / next_open * 100 <= 5 AND hour(next_ts) * 60 + minute(next_ts) <= 1199 AND CAST(next_ts AS DATE) = day""",
 )
 GRID = [(p, s) for p in (0.6, 1.2, 2.4) for s in (0.4, 0.8, 1.6)]
 
@@ -169,6 +169,13 @@ cte(
 )
 
 
+cte(
+    "be",
+    """SELECT *, coalesce(min(idx) FILTER (hour(ts) * 60 + minute(ts) >= 1200) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+ max(idx) OVER (PARTITION BY ticker)) AS end_idx FROM bi""",
+)
+
+
 def _trades_sql(trail: bool) -> str:
     eff = "stop"
     if trail:
@@ -182,7 +189,7 @@ def _trades_sql(trail: bool) -> str:
   CASE WHEN b_low <= floor THEN least(b_open, floor) WHEN b_low <= eff THEN least(b_open, eff) WHEN b_high >= target THEN target WHEN b_idx = last_idx THEN b_close END AS px FROM (
  SELECT *, {eff} AS eff, max(b_idx) OVER (PARTITION BY ticker, day, pt, sl, entry_idx) AS last_idx FROM (
  SELECT c.*, b.idx AS b_idx, b.ts AS b_ts, b.open AS b_open, b.high AS b_high, b.low AS b_low, b.close AS b_close
- FROM barr c JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= c.entry_idx + 12)
+ FROM barr c JOIN be n ON n.ticker = c.ticker AND n.idx = c.entry_idx JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= n.end_idx)
  WINDOW w AS (PARTITION BY ticker, day, pt, sl, entry_idx ORDER BY b_idx))) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)"""
 
 
@@ -233,12 +240,12 @@ def q_chain(spark, sf_dir):
 
 @query("outcomes_breakout", rounded("ticker entry_ts outcome exit_ts hold_bars", "pnl_pct", """SELECT ticker, entry_ts, outcome, exit_ts, exit_idx - entry_idx AS hold_bars, round((px - entry_price) / entry_price * 100, 4) AS pnl_pct FROM (
  SELECT ticker, entry_ts, entry_idx, entry_price, arg_min(oc, b_idx) FILTER (oc IS NOT NULL) AS outcome, arg_min(px, b_idx) FILTER (oc IS NOT NULL) AS px, arg_min(b_ts, b_idx) FILTER (oc IS NOT NULL) AS exit_ts, min(b_idx) FILTER (oc IS NOT NULL) AS exit_idx FROM (
- SELECT *, CASE WHEN low <= floor THEN 'loss' WHEN high >= target THEN 'win' WHEN low <= stop THEN 'loss' WHEN close < ceiling THEN 'loss' WHEN b_idx = last_idx THEN 'timeout' END AS oc,
- CASE WHEN low <= floor THEN least(open, floor) WHEN high >= target THEN target WHEN low <= stop THEN least(open, stop) WHEN close < ceiling THEN close WHEN b_idx = last_idx THEN close END AS px FROM (
+ SELECT *, CASE WHEN hour(b_ts) * 60 + minute(b_ts) >= 1200 THEN 'timeout' WHEN low <= floor THEN 'loss' WHEN high >= target THEN 'win' WHEN low <= stop THEN 'loss' WHEN close < ceiling THEN 'loss' WHEN b_idx = last_idx THEN 'timeout' END AS oc,
+ CASE WHEN hour(b_ts) * 60 + minute(b_ts) >= 1200 THEN open WHEN low <= floor THEN least(open, floor) WHEN high >= target THEN target WHEN low <= stop THEN least(open, stop) WHEN close < ceiling THEN close WHEN b_idx = last_idx THEN close END AS px FROM (
  SELECT c.*, b.idx AS b_idx, b.ts AS b_ts, b.open, b.high, b.low, b.close, max(b.idx) OVER (PARTITION BY c.ticker, c.entry_idx) AS last_idx FROM (
- SELECT s.ticker, s.ceiling, n.idx AS entry_idx, n.ts AS entry_ts, n.open AS entry_price, n.open * 1.05 AS target, greatest(n.open * 0.99, s.ceiling * 0.998) AS stop, n.open * 0.95 AS floor
- FROM (SELECT ticker, idx, max(ceiling) AS ceiling FROM eqhsig WHERE signal = 'eqh_breakout' GROUP BY 1, 2) s JOIN bi n ON n.ticker = s.ticker AND n.idx = s.idx + 1) c
- JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= c.entry_idx + 48)) GROUP BY 1, 2, 3, 4)""", 3))
+ SELECT s.ticker, s.ceiling, n.end_idx, n.idx AS entry_idx, n.ts AS entry_ts, n.open AS entry_price, n.open * 1.05 AS target, greatest(n.open * 0.99, s.ceiling * 0.998) AS stop, n.open * 0.95 AS floor
+ FROM (SELECT ticker, idx, max(ceiling) AS ceiling FROM eqhsig WHERE signal = 'eqh_breakout' GROUP BY 1, 2) s JOIN be n ON n.ticker = s.ticker AND n.idx = s.idx + 1 WHERE n.open >= 0.1 AND hour(n.ts) * 60 + minute(n.ts) < 1200) c
+ JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= c.end_idx)) GROUP BY 1, 2, 3, 4)""", 3))
 def q_breakout(spark, sf_dir):
     t = outcomes.breakout_trades(eqh_signals(spark, sf_dir), candles(spark, sf_dir))
     return tidy(t, ["ticker", "entry_ts", "outcome", "exit_ts", "hold_bars"], ["pnl_pct"], 3)

@@ -78,12 +78,18 @@ def q_latest(spark, sf_dir):
     return tidy(last.join(scores(spark, sf_dir).select("ticker", "score", "label"), "ticker").orderBy(F.col("score").desc()), ["ticker", "day", "label"], ["score"], 2)
 
 
-_CARD = """SELECT ticker, day, entry_idx, entry_ts, why AS reason, exit_ts, round((px / entry_price - 1) * 100, 4) AS pnl_pct FROM (SELECT ticker, day, entry_idx, entry_ts, entry_price, arg_min(why, b_idx) FILTER (why IS NOT NULL) AS why, arg_min(px, b_idx) FILTER (why IS NOT NULL) AS px, arg_min(b_ts, b_idx) FILTER (why IS NOT NULL) AS exit_ts FROM (
- SELECT *, CASE WHEN low <= stop THEN 'stop' WHEN high >= entry_price * 1.012 THEN 'target' WHEN b_idx - entry_idx >= 6 AND close < entry_price * 1.002 THEN 'stall' WHEN b_idx = last_idx THEN 'close' END AS why,
- CASE WHEN low <= stop THEN least(open, stop) WHEN high >= entry_price * 1.012 THEN entry_price * 1.012 ELSE close END AS px FROM (
- SELECT *, CASE WHEN top >= entry_price * 1.005 THEN greatest(entry_price * 0.992, top * 0.995) ELSE entry_price * 0.992 END AS stop FROM (
- SELECT c.ticker, c.day, c.entry_idx, c.entry_ts, c.entry_price, b.idx AS b_idx, b.ts AS b_ts, b.open, b.high, b.low, b.close, greatest(c.entry_price, max(b.high) OVER (PARTITION BY c.ticker, c.day, c.entry_idx ORDER BY b.idx)) AS top, max(b.idx) OVER (PARTITION BY c.ticker, c.day, c.entry_idx) AS last_idx
- FROM cands c JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= c.entry_idx + 12))) GROUP BY 1, 2, 3, 4, 5)"""
+_CARD = """SELECT c.ticker, c.day, c.entry_idx, c.entry_ts, coalesce(why, 'close') AS reason, coalesce(exit_ts, c.entry_ts) AS exit_ts,
+ round((coalesce(px, c.entry_price) / c.entry_price - 1) * 100, 4) AS pnl_pct FROM cands c LEFT JOIN (
+ SELECT ticker, day, entry_idx, arg_min(why, b_idx) FILTER (why IS NOT NULL) AS why, arg_min(px, b_idx) FILTER (why IS NOT NULL) AS px, arg_min(b_ts, b_idx) FILTER (why IS NOT NULL) AS exit_ts FROM (
+ SELECT *, CASE WHEN top >= entry_price * 1.02 AND low <= top * 0.99 THEN 'trail' WHEN low <= stop THEN 'stop' WHEN high >= entry_price * 1.012 THEN 'target'
+  WHEN late THEN 'close' WHEN held >= 6 AND close < entry_price THEN 'stall' WHEN b_idx = last_idx THEN 'close' END AS why,
+ CASE WHEN top >= entry_price * 1.02 AND low <= top * 0.99 THEN top * 0.99 WHEN low <= stop THEN least(open, stop) * 0.995 WHEN high >= entry_price * 1.012 THEN entry_price * 1.012 ELSE close END AS px FROM (
+ SELECT c.ticker, c.day, c.entry_idx, c.entry_price, c.entry_price * 0.992 AS stop, b.idx AS b_idx, b.ts AS b_ts, b.open, b.high, b.low, b.close, hour(b.ts) * 60 + minute(b.ts) >= 1200 AS late,
+  greatest(c.entry_price, max(b.high) OVER (PARTITION BY c.ticker, c.day, c.entry_idx ORDER BY b.idx)) AS top, max(b.idx) OVER (PARTITION BY c.ticker, c.day, c.entry_idx) AS last_idx,
+  row_number() OVER (PARTITION BY c.ticker, c.day, c.entry_idx ORDER BY b.idx) AS held
+ FROM cands c JOIN be n ON n.ticker = c.ticker AND n.idx = c.entry_idx JOIN bi b ON b.ticker = c.ticker AND b.idx > c.entry_idx AND b.idx <= n.end_idx
+  AND CAST(b.ts AS DATE) = CAST(c.entry_ts AS DATE) AND hour(b.ts) * 60 + minute(b.ts) BETWEEN 810 AND 1200)) GROUP BY 1, 2, 3) x
+ ON x.ticker = c.ticker AND x.day = c.day AND x.entry_idx = c.entry_idx"""
 
 
 @once("cards")

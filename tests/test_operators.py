@@ -151,17 +151,57 @@ def _bars(spark, rows):
 def test_first_barrier_rules(spark, bar, outcome, price):
     b = _bars(spark, [(10, 10.1, 9.95, 10), bar])
     c = spark.createDataFrame([("A", 1, 10.0, 9.0, 10.5, 9.9, 9.5)], "ticker string, entry_idx bigint, entry_price double, support double, target double, stop double, floor double")
-    r = outcomes.first_barrier(c, b, horizon=5).first()
+    r = outcomes.first_barrier(c, b).first()
     assert r.outcome == outcome and r.exit_price == pytest.approx(price) and r.hold_bars == 1
 
 
 def test_trailing_stop_turns_into_a_win(spark):
     b = _bars(spark, [(10, 10, 10, 10), (10.3, 10.4, 10.3, 10.35), (10.35, 10.36, 10.1, 10.2)])
     c = spark.createDataFrame([("A", 1, 10.0, 9.0, 12.0, 9.5, 9.0)], "ticker string, entry_idx bigint, entry_price double, support double, target double, stop double, floor double")
-    r = outcomes.first_barrier(c, b, horizon=5, trail=1.0, trail_from=2.0).first()
+    r = outcomes.first_barrier(c, b, trail=1.0, trail_from=2.0).first()
     assert r.outcome == "win" and r.exit_price == pytest.approx(10.4 * 0.99)
 
 
+def _at(spark, rows):
+    """(ts, open, high, low, close) rows of one ticker as indexed bars."""
+    return spark.createDataFrame([("A", t, i + 1, *map(float, r)) for i, (t, *r) in enumerate(rows)], "ticker string, ts timestamp, idx bigint, open double, high double, low double, close double")
+
+
+def test_trade_stays_open_past_twelve_bars_and_ends_with_the_session(spark):
+    t0 = dt.datetime(2024, 1, 15, 14, 0)
+    flat = [(t0 + dt.timedelta(minutes=15 * i), 10, 10.1, 9.95, 10) for i in range(40)]
+    c = spark.createDataFrame([("A", 1, 10.0, 9.0, 10.5, 9.9, 9.5)], "ticker string, entry_idx bigint, entry_price double, support double, target double, stop double, floor double")
+    r = outcomes.first_barrier(c, _at(spark, flat)).first()
+    assert r.outcome == "timeout" and r.exit_ts == dt.datetime(2024, 1, 15, 20, 0) and r.hold_bars == 24
+    late = flat[:20] + [(flat[20][0], 10, 10.6, 9.95, 10)] + flat[21:]
+    r = outcomes.first_barrier(c, _at(spark, late)).first()
+    assert r.outcome == "win" and r.hold_bars == 20
+
+
+def test_trade_without_a_late_bar_meets_the_gap_of_the_next_day(spark):
+    a, b = dt.datetime(2024, 1, 15, 19, 0), dt.datetime(2024, 1, 16, 9, 0)
+    c = spark.createDataFrame([("A", 1, 10.0, 9.0, 10.5, 9.9, 9.5)], "ticker string, entry_idx bigint, entry_price double, support double, target double, stop double, floor double")
+    bars = _at(spark, [(a, 10, 10, 10, 10), (b, 9.2, 9.3, 9.1, 9.2)])
+    r = outcomes.first_barrier(c, bars).first()
+    assert r.outcome == "loss" and r.exit_price == pytest.approx(9.2) and r.exit_ts == b
+    card = spark.createDataFrame([("A", a.date(), 1, a, 10.0)], "ticker string, day date, entry_idx bigint, entry_ts timestamp, entry_price double")
+    x = cards.card_outcomes(card, bars).first()
+    assert (x.reason, x.exit_ts, x.pnl_pct) == ("close", a, 0.0)  # a card never holds overnight
+
+
+def test_nearest_bar_has_no_reach(spark):
+    day = dt.datetime(2024, 1, 15)
+    bars = spark.createDataFrame([("A", day + dt.timedelta(hours=h), float(h)) for h in (8, 14)] + [("A", day + dt.timedelta(days=9), 99.0)], "ticker string, ts timestamp, close double")
+    pts = spark.createDataFrame([("A", day + dt.timedelta(hours=11), 1), ("A", day + dt.timedelta(hours=17), 2), ("A", day + dt.timedelta(days=3), 3), ("A", day - dt.timedelta(days=40), 4)], "ticker string, ts timestamp, id int")
+    assert {r.id: r.close for r in joins.nearest_bar(pts, bars, "ticker").collect()} == {1: 8.0, 2: 14.0, 3: 14.0, 4: 8.0}
+
+
+def test_entries_use_history_of_any_age(spark):
+    old = [(dt.datetime(2024, 1, 2, 14 + i), 10, 11 + i, 9 - i, 10) for i in range(3)]
+    got = outcomes.entries_from_bars(_at(spark, old + [(dt.datetime(2024, 1, 20, 14), 5, 5, 5, 5)])).collect()
+    assert [(r.day, r.support, r.resistance) for r in got] == [(dt.date(2024, 1, 20), pytest.approx(7.3), pytest.approx(12.7))]
+
+
 def test_admission_walk_matches_loop(spark):
     rng = np.random.default_rng(9)
     t0 = dt.datetime(2024, 1, 15, 14)
