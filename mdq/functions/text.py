@@ -55,16 +55,19 @@ def prices(text: Column) -> Column:
 
 def _windows(text: Column, parts: Column, words: Column, window: int) -> Column:
     """Prices in the window around each keyword match, from the split text and its matches."""
-    upto = lambda arr, n: F.length(F.concat_ws("", F.slice(arr, 1, n)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def found(i):
-        start = upto(parts, i) + upto(words, i - 1)
-        left = F.greatest(start - window, F.lit(0))
-        end = F.least(start + F.length(F.element_at(words, i)) + window, F.length(text))
-        return prices(F.substr(text, left + 1, end - left))
+    def add(acc, x):
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["w"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    steps = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(steps, found))
+    def found(x):
+        left = F.greatest(x["start"] - window, F.lit(0))
+        return prices(F.substr(text, left + 1, F.least(x["end"] + window, F.length(text)) - left))
+
+    pairs = F.transform(words, lambda w, i: F.struct(F.get(parts, i).alias("p"), w.alias("w")))
+    return F.flatten(F.transform(F.aggregate(pairs, none, add, lambda acc: acc["out"]), found))
 
 
 def prices_near(text: Column, keyword: str, window: int = 80) -> Column:
@@ -112,7 +115,7 @@ def parse_posts(posts: DataFrame) -> DataFrame:
     above = F.filter("res", lambda x: F.col("support").isNull() | (x > F.col("support")))
     return p.select(
         "title", "ticker", "session", "post_ts", "support", F.coalesce(first(above), first(F.col("res"))).alias("resistance"), first(F.col("stp")).alias("stop"),
-        F.trim(F.substr(F.col("block"), F.lit(1), F.lit(200))).alias("notes"),
+        F.trim(F.substr(F.col("block"), F.lit(1), F.lit(200))).alias("notes"), F.col("block").alias("raw_text"),
     )
 
 
@@ -169,11 +172,28 @@ def first_available(latest: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dilution_profile(df: DataFrame) -> DataFrame:
-    """Headroom, fully diluted count, runway and flags from shares, authorized, warrants, cash, burn."""
+    """Headroom, share of the authorization used, fully diluted count and runway in months, from shares, authorized, warrants, cash and yearly operating cash flow.
+
+    Risks are high, moderate or low: of dilution over 85 and 70 percent used, of a raise under 6
+    and 12 months. Both are null where their inputs are missing; there is a runway only for a
+    negative cash flow.
+    """
     c = F.col
-    return df.withColumns({"headroom": c("authorized") - c("shares"), "diluted": c("shares") + c("warrants"), "runway": F.try_divide(c("cash"), c("burn"))}).withColumns(
+    known = lambda *names: F.least(*[(c(n) != 0).cast("int") for n in names], F.lit(1)) == 1  # noqa: E731  all there and not zero
+    used, months = c("pct_used"), c("runway")
+    tier = lambda high, mid: F.when(high, "high").when(mid, "moderate")
+    out = df.withColumns(
+        {
+            "headroom": F.when(known("shares", "authorized") & c("shares").isNotNull() & c("authorized").isNotNull(), c("authorized") - c("shares")),
+            "pct_used": F.try_divide(c("shares"), c("authorized")) * 100,
+            "diluted": F.when(known("shares", "warrants"), c("shares") + c("warrants")),
+            "warrant_pct": F.try_divide(c("warrants"), c("shares")) * 100,
+            "burn": F.when((c("cash") != 0) & (c("cash_flow") < 0), -c("cash_flow") / 12),
+        }
+    ).withColumn("runway", F.try_divide(c("cash"), c("burn")))
+    return out.withColumns(
         {
-            "overhang": F.try_divide(c("warrants"), c("shares")),
-            "flag": F.when(c("runway") < 6, "cash_low").when(c("headroom") > c("shares"), "large_headroom").otherwise("ok"),
+            "dilution_risk": F.when(used.isNotNull(), tier(used > 85, used > 70).otherwise("low")),
+            "raise_risk": F.when(months.isNotNull(), tier(months < 6, months < 12).otherwise("low")),
         }
     )

@@ -86,8 +86,8 @@ def trade_risk(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def history(trades: DataFrame, before: Column | None = None) -> DataFrame:
-    """Per-ticker record with the last-five streak; `before` cuts the history to avoid leakage."""
-    t = trades if before is None else trades.where(F.col("exit_ts") < before)
+    """Per-ticker record with the last-five streak; `before` (a date) leaves only trades entered on earlier days."""
+    t = trades if before is None else trades.where(F.to_date("entry_ts") < before)
     w = Window.partitionBy("ticker").orderBy(F.col("entry_ts").desc(), F.col("pt"), F.col("sl"))
     # the last five per ticker only: the rank filter is pushed below the shuffle
     last = t.select("ticker", "entry_ts", "pt", "sl", "outcome").withColumn("k", F.row_number().over(w)).where("k <= 5")
@@ -95,9 +95,9 @@ def history(trades: DataFrame, before: Column | None = None) -> DataFrame:
     s = summary(t, "ticker").select("ticker", "trades", "win_rate", "avg_win", "avg_loss", "expectancy")
     out = s.join(streak, "ticker")
     score = (
-        F.when(F.col("trades") < 3, 0.5)
-        .when((F.col("win_rate") >= 0.6) & (F.col("expectancy") > 0), 2.0)
-        .when((F.col("win_rate") >= 0.4) | (F.col("expectancy") > 0), 1.0)
+        F.when(F.col("trades") < 3, 0.0)
+        .when(F.col("win_rate") >= 0.6, 2.0)
+        .when(F.col("win_rate") >= 0.3, 1.0)
         .otherwise(0.0)
     )
     return out.withColumn("history_score", score)

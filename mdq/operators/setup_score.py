@@ -16,13 +16,17 @@ def recent(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 
-def pattern_score(found: DataFrame, bars: DataFrame, support: DataFrame, look: int = 30, band: float = 0.005) -> DataFrame:
-    """2 for a confident pattern at support, 1 for one anywhere, among the last bars."""
+def pattern_score(strict: DataFrame, exhaustion: DataFrame, absorbed: DataFrame, bars: DataFrame, support: DataFrame, look: int = 30) -> DataFrame:
+    """Best of the last bars: twice the confidence at the support (absorption always is), else once the confidence of a twin anywhere; at most 2."""
     r = recent(bars, look).select("ticker", "ts", F.least("open", "close").alias("body_low"))
+    found = strict.select("ticker", "ts", "confidence", F.lit(0.005).alias("band"))
+    found = found.unionByName(exhaustion.select("ticker", "ts", "confidence", F.lit(0.008).alias("band")))
+    found = found.unionByName(absorbed.select("ticker", "ts", "confidence", F.lit(None).cast("double").alias("band")))
     j = found.join(r, ["ticker", "ts"]).join(support, "ticker", "left")
-    near = F.abs(F.col("body_low") - F.col("level")) <= band * F.col("level")
-    g = j.groupBy("ticker").agg(F.max(F.when(near & (F.col("confidence") >= 0.6), 2.0).otherwise(1.0)).alias("pattern"))
-    return bars.select("ticker").distinct().join(g, "ticker", "left").select("ticker", nz(F.col("pattern")).alias("pattern"))
+    near = F.col("band").isNull() | (F.abs(F.col("body_low") - F.col("level")) <= F.col("band") * F.col("level"))
+    g = j.groupBy("ticker").agg(F.max(F.when(near, 2 * F.col("confidence"))).alias("at"), F.max(F.when(F.col("band").isNotNull(), F.col("confidence"))).alias("any"))
+    best = F.round(F.least(F.coalesce("at", "any", F.lit(0.0)), F.lit(2.0)), 2)
+    return bars.select("ticker").distinct().join(g, "ticker", "left").select("ticker", best.alias("pattern"))
 
 
 def adx_score(bars_adx: DataFrame) -> DataFrame:
@@ -40,53 +44,68 @@ def rr_score(df: DataFrame) -> DataFrame:
     return df.withColumn("rr_ratio", rr).withColumn("rr", F.when(F.col("rr_ratio") >= 2, 2.0).when(F.col("rr_ratio") >= 1, 1.0).otherwise(0.0))
 
 
-def confluence(lv: DataFrame, support: DataFrame, band: float = 0.003) -> DataFrame:
-    """Distinct methods with a level at the support; one more for the point of control."""
+def confluence(lv: DataFrame, support: DataFrame, band: float = 0.003, poc_band: float = 0.005) -> DataFrame:
+    """Levels at the support; a point of control within the wider band counts if none of them is one."""
     j = support.join(lv, "ticker", "left")
-    near = F.abs(F.col("price") - F.col("level")) <= band * F.col("level")
-    g = j.groupBy("ticker").agg(F.count_distinct(F.when(near, F.col("method"))).alias("methods"), F.max(F.when(near & (F.col("method") == "poc"), 1).otherwise(0)).alias("poc"))
-    n = F.col("methods") + F.col("poc")
-    return g.select("ticker", F.when(n >= 3, 2.0).when(n >= 2, 1.0).otherwise(0.0).alias("confluence"))
+    gap = F.abs(F.col("price") - F.col("level"))
+    near, poc = gap <= band * F.col("level"), F.col("method") == "poc"
+    g = j.groupBy("ticker").agg(
+        F.count(F.when(near, 1)).alias("n"),
+        F.max(F.when(poc & (gap <= poc_band * F.col("level")), 1).otherwise(0)).alias("bonus"),
+        F.max(F.when(near & poc, 1).otherwise(0)).alias("counted"),
+    )
+    n = F.col("n") + F.when(F.col("counted") == 0, F.col("bonus")).otherwise(0)
+    return g.select("ticker", F.when(n >= 2, 2.0).when(n == 1, 1.0).otherwise(0.0).alias("confluence"))
 
 
-def relative_volume(bars: DataFrame, look: int = 15, minutes: int = 5) -> DataFrame:
-    """Volume of the largest-body bar of the last ones against the median at that time of day."""
-    big = recent(bars, look).groupBy("ticker").agg(F.max_by(F.struct("ts", "volume"), F.struct(F.abs(F.col("close") - F.col("open")), "ts")).alias("x"))
+def relative_volume(bars: DataFrame, look: int = 15, minutes: int = 5, least: int = 3) -> DataFrame:
+    """Volume of the largest-body bar of the last ones against the median at that time of day before them."""
+    k = bars.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("ts").desc())))
+    big = k.where(F.col("k") <= look).groupBy("ticker").agg(F.max_by(F.struct("ts", "volume"), F.struct(F.abs(F.col("close") - F.col("open")), F.col("k"))).alias("x"))
     big = big.select("ticker", F.col("x.ts").alias("at"), F.col("x.volume").alias("v"))
     m = lambda c: F.hour(c) * 60 + F.minute(c)
-    j = bars.join(big, "ticker").where((F.to_date("ts") < F.to_date("at")) & (F.abs(m("ts") - m("at")) <= minutes))
-    med = j.groupBy("ticker", "v").agg(F.percentile("volume", 0.5).alias("median"))
-    r = div(F.col("v"), F.col("median"))
-    return big.join(med.select("ticker", "median"), "ticker", "left").withColumn("ratio", r).select(
-        "ticker", "ratio", F.when(F.col("ratio") >= 2, 2.0).when(F.col("ratio") >= 1.2, 1.0).otherwise(0.0).alias("rel_volume")
+    j = k.where(F.col("k") > look).join(big, "ticker").where(F.abs(m("ts") - m("at")) <= minutes)
+    med = j.groupBy("ticker").agg(F.percentile("volume", 0.5).alias("median"), F.count("*").alias("samples")).where(F.col("samples") >= least)
+    r = F.when(F.col("v") > 0, div(F.col("v"), F.col("median")))
+    return big.join(med, "ticker", "left").withColumn("ratio", nz(r)).select(
+        "ticker", "ratio", F.when(F.col("ratio") >= 2, 2.0).when(F.col("ratio") >= 1.5, 1.0).otherwise(0.0).alias("rel_volume")
     )
 
 
-def macd_score(bars: DataFrame) -> DataFrame:
-    """2 for a rising histogram above zero, 1 for a rising one."""
+def macd_score(bars: DataFrame, least: int = 35) -> DataFrame:
+    """2 for a histogram that rose over the last three bars, 1 for one that rose on the last."""
     h = intraday.macd(bars, adjust=False)
-    g = recent(h, 3).groupBy("ticker").agg(F.max_by("histogram", "ts").alias("h0"), F.min_by("histogram", "ts").alias("h2"))
-    rise = F.col("h0") > F.col("h2")
-    return g.select("ticker", F.when(rise & (F.col("h0") > 0), 2.0).when(rise, 1.0).otherwise(0.0).alias("macd"))
-
-
-def rsi_divergence(bars: DataFrame, half: int = 10) -> DataFrame:
-    """Lower price low with a higher RSI between two adjoining row ranges."""
-    r = recent(intraday.rsi(bars), 2 * half)
-    new = F.col("k") <= half
-    low = lambda c: F.min(F.when(c, F.col("low")))
-    at = lambda c: F.min_by("rsi", F.when(c, F.struct("low", "ts")))
-    g = r.groupBy("ticker").agg(low(new).alias("l1"), low(~new).alias("l0"), at(new).alias("r1"), at(~new).alias("r0"))
-    hit = (F.col("l1") < F.col("l0")) & (F.col("r1") > F.col("r0"))
-    return g.select("ticker", F.when(hit & (F.col("r1") < 40), 2.0).when(hit, 1.0).otherwise(0.0).alias("rsi"))
-
-
-def regime_score(bars: DataFrame, width: str = "2 hours", fast: int = 9, slow: int = 21) -> DataFrame:
-    """Fast against slow average of the resampled closes."""
+    g = recent(h, 3).groupBy("ticker").agg(*[F.max(F.when(F.col("k") == i + 1, F.col("histogram"))).alias(f"h{i}") for i in range(3)])
+    n = bars.groupBy("ticker").agg(F.count("*").alias("n"))
+    up = F.when(F.col("h0") > F.col("h2"), 2.0).when(F.col("h0") > F.col("h1"), 1.0).otherwise(0.0)
+    return g.join(n, "ticker").select("ticker", F.when(F.col("n") >= least, up).otherwise(0.0).alias("macd"))
+
+
+def rsi_divergence(bars: DataFrame, look: int = 20, last: int = 3, n: int = 14) -> DataFrame:
+    """Lowest of the last closes under the lowest before, with a Wilder RSI more than one point higher (2) or flat (1)."""
+    step = F.col("close") - F.lag("close").over(order_window("ticker", "ts"))
+    d = bars.select("ticker", "ts", "close").withColumn("step", step).where("step is not null")
+    gain, loss = F.greatest(F.col("step"), F.lit(0.0)), F.greatest(-F.col("step"), F.lit(0.0))
+    e = ema(d, {"g": (gain, 1 / n), "l": (loss, 1 / n)}).select("ticker", "ts", (100 - 100 / (1 + div(F.col("g"), F.col("l")))).alias("rsi"))
+    r = recent(bars, look).select("ticker", "ts", "close", "k").join(e, ["ticker", "ts"], "left")
+    new = F.col("k") <= last
+    low = lambda c: F.min(F.when(c, F.struct("close", "ts", "rsi")))
+    g = r.groupBy("ticker").agg(low(new).alias("a"), low(~new).alias("b"), F.count("*").alias("n"))
+    lower, gap = F.col("a.close") < F.col("b.close"), F.col("a.rsi") - F.col("b.rsi")
+    score = F.when(lower & (gap > 1), 2.0).when(lower & (F.abs(gap) < 1), 1.0).otherwise(0.0)
+    return g.select("ticker", F.when(F.col("n") >= look, score).otherwise(0.0).alias("rsi"))
+
+
+def regime_score(bars: DataFrame, width: str = "30 minutes", n: int = 8, flat: float = 0.005) -> DataFrame:
+    """2 for a falling average of the resampled closes over three steps, 1 for a flat one or too little data, 0 for a rising one."""
     c = bars.groupBy("ticker", F.window("ts", width).start.alias("ts")).agg(F.max_by("close", bars["ts"]).alias("close"))
-    e = ema(c, {"f": (F.col("close"), span(fast)), "s": (F.col("close"), span(slow))})
-    g = e.groupBy("ticker").agg(F.max_by(F.struct("close", "f", "s"), "ts").alias("x"))
-    return g.select("ticker", F.when((F.col("x.f") > F.col("x.s")) & (F.col("x.close") > F.col("x.f")), 2.0).when(F.col("x.f") > F.col("x.s"), 1.0).otherwise(0.0).alias("regime"))
+    r = recent(ema(c, {"e": (F.col("close"), span(n))}), 4)
+    at = lambda k, x: F.max(F.when(F.col("k") == k, F.col(x)))
+    g = r.groupBy("ticker").agg(at(1, "e").alias("e0"), at(4, "e").alias("e3"), at(1, "close").alias("close"))
+    size = bars.groupBy("ticker").agg(F.count("*").alias("n")).join(c.groupBy("ticker").agg(F.count("*").alias("steps")), "ticker")
+    slope = nz(div(F.col("e0") - F.col("e3"), F.col("close")))
+    score = F.when(slope < -flat, 2.0).when(slope < flat, 1.0).otherwise(0.0)
+    return g.join(size, "ticker").select("ticker", F.when((F.col("n") >= 40) & (F.col("steps") >= 10), score).otherwise(1.0).alias("regime"))
 
 
 def support_ok(bars: DataFrame, support: DataFrame, look: int = 12) -> DataFrame:
@@ -95,10 +114,29 @@ def support_ok(bars: DataFrame, support: DataFrame, look: int = 12) -> DataFrame
     return j.groupBy("ticker").agg((F.avg((F.col("close") < 0.99 * F.col("level")).cast("double")) <= 0.5).alias("support_ok"))
 
 
-def eqh_score(signals: DataFrame, bars: DataFrame, look: int = 20) -> DataFrame:
-    r = recent(bars, look).select("ticker", "ts")
-    g = signals.join(r, ["ticker", "ts"]).groupBy("ticker").agg(F.max_by("signal", "ts").alias("signal"))
-    return bars.select("ticker").distinct().join(g, "ticker", "left").select("ticker", F.when(F.col("signal") == "eqh_breakout", 2.0).when(F.col("signal").isNotNull(), 1.0).otherwise(0.0).alias("eqh"))
+def eqh_score(pairs: DataFrame, signals: DataFrame, bars: DataFrame, look: int = 20, approach: float = 0.005, nearby: float = 0.02) -> DataFrame:
+    """Equal highs whose two candles lie in the last bars: 2 for a breakout or rejection among these, or a ceiling at the price; 1 for one nearby."""
+    r = recent(bars, look).select("ticker", "ts", "k")
+    last = F.max("k").over(Window.partitionBy("ticker"))
+    inside = r.withColumn("last", last).where(F.col("k") < F.col("last")).select("ticker", "ts")
+    own = pairs.select("ticker", "ts", "ceiling").join(inside, ["ticker", "ts"])
+    fired = signals.join(own.select("ticker", F.col("ts").alias("pair_ts")), ["ticker", "pair_ts"], "left_semi").join(r, ["ticker", "ts"], "left_semi").select("ticker").distinct().withColumn("fired", F.lit(True))
+    px = bars.groupBy("ticker").agg(F.max_by("close", "ts").alias("px"))
+    gap = F.min(F.abs(F.col("ceiling") - F.col("px")) / F.col("px"))
+    g = px.join(own, "ticker", "left").groupBy("ticker").agg(gap.alias("gap")).join(fired, "ticker", "left")
+    return g.select("ticker", F.when(F.col("fired") | (F.col("gap") <= approach), 2.0).when(F.col("gap") <= nearby, 1.0).otherwise(0.0).alias("eqh"))
+
+
+def role_score(bars: DataFrame, support: DataFrame) -> DataFrame:
+    """2 for a confirmed role reversal, 1 for one close above in the last 50 bars."""
+    hard = levels.role_reversal(bars, support).select("ticker", F.col("reversed").alias("hard"))
+    soft = levels.role_reversal(bars, support, look=50, need=1).select("ticker", F.col("reversed").alias("soft"))
+    return hard.join(soft, "ticker").select("ticker", F.when(F.col("hard"), 2.0).when(F.col("soft"), 1.0).otherwise(0.0).alias("role"))
+
+
+def rejection_score(bars: DataFrame, support: DataFrame) -> DataFrame:
+    n = F.col("rejections")
+    return levels.rejections(bars, support).select("ticker", F.when(n >= 2, 2.0).when(n == 1, 1.0).otherwise(0.0).alias("rejection"))
 
 
 def resolve_levels(lv: DataFrame, prices: DataFrame, given: DataFrame, limit: float = 0.15) -> DataFrame:
@@ -129,15 +167,12 @@ def total(df: DataFrame) -> DataFrame:
     return out.withColumn("label", F.when(c("score") >= 7, "strong").when(c("score") >= 4, "watch").otherwise("skip"))
 
 
-def setup_scores(bars_adx: DataFrame, found: DataFrame, signals: DataFrame, lv: DataFrame, support: DataFrame, history: DataFrame) -> DataFrame:
+def setup_scores(bars_adx: DataFrame, strict: DataFrame, exhaustion: DataFrame, absorbed: DataFrame, pairs: DataFrame, signals: DataFrame, lv: DataFrame, support: DataFrame, history: DataFrame) -> DataFrame:
     """All components of every ticker joined on the ticker, then the total."""
-    rev = levels.role_reversal(bars_adx, support).select("ticker", F.when(F.col("reversed"), 2.0).otherwise(0.0).alias("role"))
-    rej = levels.rejections(bars_adx, support)
-    rej = rej.select("ticker", F.when(F.col("rejections") >= 5, 2.0).when(F.col("rejections") >= 2, 1.0).otherwise(0.0).alias("rejection"))
     parts = [
-        adx_score(bars_adx).select("ticker", "adx"), macd_score(bars_adx), regime_score(bars_adx), pattern_score(found, bars_adx, support), confluence(lv, support),
-        rev, rej, eqh_score(signals, bars_adx), rsi_divergence(bars_adx), relative_volume(bars_adx).select("ticker", "rel_volume"),
-        history.select("ticker", F.col("history_score").alias("history")),
+        adx_score(bars_adx).select("ticker", "adx"), macd_score(bars_adx), regime_score(bars_adx), pattern_score(strict, exhaustion, absorbed, bars_adx, support),
+        confluence(lv, support), role_score(bars_adx, support), rejection_score(bars_adx, support), eqh_score(pairs, signals, bars_adx), rsi_divergence(bars_adx),
+        relative_volume(bars_adx).select("ticker", "rel_volume"), history.select("ticker", F.col("history_score").alias("history")),
     ]
     out = bars_adx.select("ticker").distinct()
     for p in parts:

@@ -89,14 +89,14 @@ def q_risk(spark, sf_dir):
     return tidy(reports.trade_risk(trades(spark, sf_dir), ["pt", "sl"]), ["pt", "sl"], ["sharpe", "sortino", "max_drawdown"], 4)
 
 
-_CUT = "TIMESTAMP '2024-01-20 00:00:00'"
+_CUT = "DATE '2024-01-20'"
 
 
-@query("ticker_history_as_of", rounded("ticker trades last5_wins", "win_rate expectancy history_score", f"""SELECT *, CASE WHEN trades < 3 THEN 0.5 WHEN win_rate >= 0.6 AND expectancy > 0 THEN 2 WHEN win_rate >= 0.4 OR expectancy > 0 THEN 1 ELSE 0 END AS history_score FROM (
- SELECT *, win_rate * avg_win + (1 - win_rate) * avg_loss AS expectancy FROM (SELECT ticker, {_S} FROM trades WHERE exit_ts < {_CUT} GROUP BY 1)) JOIN (
- SELECT ticker, count(*) FILTER (outcome = 'win') AS last5_wins FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY entry_ts DESC, pt, sl) AS k FROM trades WHERE exit_ts < {_CUT}) WHERE k <= 5 GROUP BY 1) USING (ticker)""", 4))
+@query("ticker_history_as_of", rounded("ticker trades last5_wins", "win_rate expectancy history_score", f"""SELECT *, CASE WHEN trades < 3 THEN 0 WHEN win_rate >= 0.6 THEN 2 WHEN win_rate >= 0.3 THEN 1 ELSE 0 END AS history_score FROM (
+ SELECT *, win_rate * avg_win + (1 - win_rate) * avg_loss AS expectancy FROM (SELECT ticker, {_S} FROM trades WHERE CAST(entry_ts AS DATE) < {_CUT} GROUP BY 1)) JOIN (
+ SELECT ticker, count(*) FILTER (outcome = 'win') AS last5_wins FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY entry_ts DESC, pt, sl) AS k FROM trades WHERE CAST(entry_ts AS DATE) < {_CUT}) WHERE k <= 5 GROUP BY 1) USING (ticker)""", 4))
 def q_history(spark, sf_dir):
-    h = reports.history(trades(spark, sf_dir), F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    h = reports.history(trades(spark, sf_dir), F.lit("2024-01-20").cast("date"))
     return tidy(h, ["ticker", "trades", "last5_wins"], ["win_rate", "expectancy", "history_score"], 4)
 
 

@@ -25,14 +25,82 @@ def q_rr(spark, sf_dir):
     return tidy(setup_score.rr_score(c), ["ticker", "entry_ts"], ["rr_ratio", "rr"], 4)
 
 
-@query("score_relative_volume", rounded("ticker", "ratio rel_volume", """SELECT b.ticker, v / nullif(median, 0) AS ratio, CASE WHEN v / nullif(median, 0) >= 2 THEN 2 WHEN v / nullif(median, 0) >= 1.2 THEN 1 ELSE 0 END AS rel_volume FROM (
- SELECT ticker, ts AS at, volume AS v FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(close - open) DESC, ts DESC) AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM bi) WHERE k <= 15) WHERE r = 1) b LEFT JOIN (
- SELECT x.ticker, quantile_cont(y.volume, 0.5) AS median FROM (SELECT ticker, ts AS at FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(close - open) DESC, ts DESC) AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM bi) WHERE k <= 15) WHERE r = 1) x
- JOIN bi y ON y.ticker = x.ticker AND y.day < CAST(x.at AS DATE) AND hour(y.ts) = hour(x.at) GROUP BY 1) m ON m.ticker = b.ticker""", 4))
+cte("lastk", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM bi")
+cte("bigbar", "SELECT ticker, ts AS at, volume AS v FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(close - open) DESC, ts) AS r FROM lastk WHERE k <= 15) WHERE r = 1")
+
+
+@query("score_relative_volume", rounded("ticker", "ratio rel_volume", """SELECT ticker, ratio, CASE WHEN ratio >= 2 THEN 2 WHEN ratio >= 1.5 THEN 1 ELSE 0 END AS rel_volume FROM (
+ SELECT b.ticker, CASE WHEN v > 0 AND samples >= 3 AND median > 0 THEN v / median ELSE 0 END AS ratio FROM bigbar b LEFT JOIN (
+ SELECT x.ticker, quantile_cont(y.volume, 0.5) AS median, count(*) AS samples FROM bigbar x JOIN lastk y ON y.ticker = x.ticker AND y.k > 15
+ AND abs(hour(y.ts) * 60 + minute(y.ts) - hour(x.at) * 60 - minute(x.at)) <= 5 GROUP BY 1) m ON m.ticker = b.ticker)""", 4))
 def q_relvol(spark, sf_dir):
     return tidy(setup_score.relative_volume(bars(spark, sf_dir)), ["ticker"], ["ratio", "rel_volume"], 4)
 
 
+def _ema_sql(x: str, alpha: float, src: str) -> str:
+    """The recursive average of x at every row t (from 1) of src, as one weighted sum."""
+    w = f"CASE WHEN i.t = 1 THEN pow({1 - alpha!r}, j.t - 1) ELSE {alpha!r} * pow({1 - alpha!r}, j.t - i.t) END"
+    return f"sum(i.{x} * {w})"
+
+
+cte("steps", "SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS t, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM (SELECT *, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS d FROM bi) WHERE d IS NOT NULL")
+cte("wilder", f"""SELECT ticker, ts, 100 - 100 / (1 + g / nullif(l, 0)) AS rsi FROM (
+ SELECT j.ticker, j.ts, {_ema_sql('g', 1 / 14, 'steps')} AS g, {_ema_sql('l', 1 / 14, 'steps')} AS l
+ FROM steps j JOIN lastk z ON z.ticker = j.ticker AND z.ts = j.ts AND z.k <= 20 JOIN steps i ON i.ticker = j.ticker AND i.t <= j.t GROUP BY 1, 2)""")
+
+
+@query("score_rsi_divergence", """SELECT ticker, CASE WHEN n < 20 THEN 0.0 WHEN ac < bc AND ar - br > 1 THEN 2.0 WHEN ac < bc AND abs(ar - br) < 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS rsi FROM (
+ SELECT ticker, any_value(n) AS n, min(close) FILTER (k <= 3) AS ac, min(close) FILTER (k > 3) AS bc, arg_min(coalesce(rsi, 'nan'::DOUBLE), (close, ts)) FILTER (k <= 3) AS ar, arg_min(coalesce(rsi, 'nan'::DOUBLE), (close, ts)) FILTER (k > 3) AS br
+ FROM lastk LEFT JOIN wilder USING (ticker, ts) WHERE k <= 20 GROUP BY 1)""")
+def q_rsi_div(spark, sf_dir):
+    return setup_score.rsi_divergence(bars(spark, sf_dir))
+
+
+cte("halves", "SELECT ticker, s AS ts, close, row_number() OVER (PARTITION BY ticker ORDER BY s) AS t, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, time_bucket(INTERVAL 30 MINUTE, ts) AS s, arg_max(close, ts) AS close FROM bi GROUP BY 1, 2)")
+
+
+@query("score_regime", f"""SELECT ticker, CASE WHEN bars < 40 OR steps < 10 THEN 1.0 WHEN slope < -0.005 THEN 2.0 WHEN slope < 0.005 THEN 1.0 ELSE 0.0 END::DOUBLE AS regime FROM (
+ SELECT ticker, any_value(n) AS steps, (max(e) FILTER (t = n) - max(e) FILTER (t = n - 3)) / max(close) FILTER (t = n) AS slope FROM (
+ SELECT j.ticker, j.t, any_value(j.n) AS n, any_value(j.close) AS close, {_ema_sql('close', 2 / 9, 'halves')} AS e FROM halves j JOIN halves i ON i.ticker = j.ticker AND i.t <= j.t WHERE j.t >= j.n - 3 GROUP BY 1, 2) GROUP BY 1)
+ JOIN (SELECT ticker, count(*) AS bars FROM bi GROUP BY 1) USING (ticker)""")
+def q_regime(spark, sf_dir):
+    return setup_score.regime_score(bars(spark, sf_dir))
+
+
+cte("closes", "SELECT ticker, ts, close, idx AS t, n FROM lastk")
+cte("fastslow", f"SELECT j.ticker, j.t, any_value(j.n) AS n, {_ema_sql('close', 2 / 13, 'closes')} - {_ema_sql('close', 2 / 27, 'closes')} AS m FROM closes j JOIN closes i ON i.ticker = j.ticker AND i.t <= j.t GROUP BY 1, 2")
+
+
+@query("score_macd_slope", f"""SELECT ticker, CASE WHEN n < 35 THEN 0.0 WHEN h0 > h2 THEN 2.0 WHEN h0 > h1 THEN 1.0 ELSE 0.0 END::DOUBLE AS macd FROM (
+ SELECT ticker, any_value(n) AS n, max(h) FILTER (t = n) AS h0, max(h) FILTER (t = n - 1) AS h1, max(h) FILTER (t = n - 2) AS h2 FROM (
+ SELECT j.ticker, j.t, any_value(j.n) AS n, any_value(j.m) - {_ema_sql('m', 2 / 10, 'fastslow')} AS h FROM fastslow j JOIN fastslow i ON i.ticker = j.ticker AND i.t <= j.t WHERE j.t >= j.n - 2 GROUP BY 1, 2) GROUP BY 1)""")
+def q_macd_slope(spark, sf_dir):
+    return setup_score.macd_score(bars(spark, sf_dir))
+
+
+@query("score_equal_highs", """SELECT ticker, CASE WHEN fired OR gap <= 0.005 THEN 2.0 WHEN gap <= 0.02 THEN 1.0 ELSE 0.0 END::DOUBLE AS eqh FROM (
+ SELECT p.ticker, min(abs(q.ceiling - p.close) / p.close) AS gap, coalesce(bool_or(s.ticker IS NOT NULL), false) AS fired FROM (SELECT * FROM lastk WHERE k = 1) p
+ LEFT JOIN (SELECT e.ticker, e.ts, e.ceiling FROM eqh e JOIN lastk z ON z.ticker = e.ticker AND z.ts = e.ts WHERE z.k < least(20, z.n)) q ON q.ticker = p.ticker
+ LEFT JOIN (SELECT g.ticker, g.pair_ts FROM eqhsig g JOIN lastk z ON z.ticker = g.ticker AND z.ts = g.ts WHERE z.k <= 20) s ON s.ticker = q.ticker AND s.pair_ts = q.ts GROUP BY 1)""")
+def q_eqh_score(spark, sf_dir):
+    return setup_score.eqh_score(patterns.equal_highs(candles(spark, sf_dir)), eqh_signals(spark, sf_dir), bars(spark, sf_dir))
+
+
+def _reversed_sql(look: int, need: int) -> str:
+    return f"""SELECT ticker, n_up >= {need} AND coalesce(last_up, 0) > 1 AND last BETWEEN level * 0.997 AND level * 1.003 * 1.01 AS hit FROM (SELECT ticker, level, count(*) FILTER (close > level * 1.003) AS n_up,
+ min(k) FILTER (close > level * 1.003) AS last_up, arg_min(close, k) AS last FROM lastk JOIN lastday USING (ticker) WHERE k <= {look} GROUP BY 1, 2)"""
+
+
+@query("score_role_reversal", f"SELECT a.ticker, CASE WHEN a.hit THEN 2.0 WHEN b.hit THEN 1.0 ELSE 0.0 END::DOUBLE AS role FROM ({_reversed_sql(100, 3)}) a JOIN ({_reversed_sql(50, 1)}) b USING (ticker)")
+def q_role_score(spark, sf_dir):
+    return setup_score.role_score(bars(spark, sf_dir), last_support(spark, sf_dir))
+
+
+@query("score_rejections", "SELECT ticker, CASE WHEN r >= 2 THEN 2.0 WHEN r = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS rejection FROM (SELECT ticker, count(*) FILTER (low <= level * 1.003 AND close > level) AS r FROM lastk JOIN lastday USING (ticker) WHERE k <= 60 GROUP BY 1)")
+def q_rejection_score(spark, sf_dir):
+    return setup_score.rejection_score(bars(spark, sf_dir), last_support(spark, sf_dir))
+
+
 @query("score_support_ok", "SELECT ticker, avg(CASE WHEN close < 0.99 * level THEN 1.0 ELSE 0.0 END) <= 0.5 AS support_ok FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM bi) JOIN lastday USING (ticker) WHERE k <= 12 GROUP BY 1")
 def q_ok(spark, sf_dir):
     return setup_score.support_ok(bars(spark, sf_dir), last_support(spark, sf_dir))
@@ -57,7 +125,12 @@ def found(spark, sf_dir):
 @once("setup_scores")
 def scores(spark, sf_dir):
     h = reports.history(trades(spark, sf_dir))
-    return setup_score.setup_scores(bars_adx(spark, sf_dir), found(spark, sf_dir), eqh_signals(spark, sf_dir), merged(spark, sf_dir), last_support(spark, sf_dir), h)
+    c, support = candles(spark, sf_dir), last_support(spark, sf_dir)
+    absorbed = patterns.absorption(c.join(support.withColumnRenamed("level", "support"), "ticker"), adx_min=15.0)
+    return setup_score.setup_scores(
+        bars_adx(spark, sf_dir), patterns.strict_twin(c), patterns.exhaustion_twin(c), absorbed, patterns.equal_highs(c),
+        eqh_signals(spark, sf_dir), merged(spark, sf_dir), support, h,
+    )
 
 
 @query("setup_scores")

@@ -151,10 +151,15 @@ def q_first(spark, sf_dir):
     return text.first_available(q_facts(spark, sf_dir), ["Shares", "Cash", "Debt"])
 
 
-@query("dilution_profile", rounded("p_partkey flag", "headroom diluted runway overhang", """SELECT *, CASE WHEN runway < 6 THEN 'cash_low' WHEN headroom > shares THEN 'large_headroom' ELSE 'ok' END AS flag FROM (SELECT p_partkey, p_size AS shares, p_retailprice - p_size AS headroom, p_size + p_size / 2.0 AS diluted, p_retailprice / nullif(p_size * 4, 0) AS runway, 0.5 AS overhang FROM part)"""))
+@query("dilution_profile", rounded("p_partkey dilution_risk raise_risk", "headroom diluted runway pct_used", """SELECT *, CASE WHEN pct_used > 85 THEN 'high' WHEN pct_used > 70 THEN 'moderate' ELSE 'low' END AS dilution_risk,
+ CASE WHEN runway < 6 THEN 'high' WHEN runway < 12 THEN 'moderate' ELSE 'low' END AS raise_risk FROM (SELECT p_partkey, p_retailprice - p_size * 25 AS headroom, p_size * 25 / p_retailprice * 100 AS pct_used,
+ p_size * 25 + p_size / 2.0 AS diluted, p_retailprice / (p_size * 100 / 12.0) AS runway FROM part)"""))
 def q_profile(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("shares"), F.col("p_retailprice").alias("authorized"), (F.col("p_size") / 2).alias("warrants"), F.col("p_retailprice").alias("cash"), (F.col("p_size") * 4).cast("double").alias("burn"))
-    return tidy(text.dilution_profile(p), ["p_partkey", "flag"], ["headroom", "diluted", "runway", "overhang"])
+    size = F.col("p_size").cast("double")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", (size * 25).alias("shares"), F.col("p_retailprice").alias("authorized"), (size / 2).alias("warrants"), F.col("p_retailprice").alias("cash"), (size * -100).alias("cash_flow")
+    )
+    return tidy(text.dilution_profile(p), ["p_partkey", "dilution_risk", "raise_risk"], ["headroom", "diluted", "runway", "pct_used"])
 
 
 @query("file_stem_dates", "SELECT 'S' || s_suppkey AS ticker, DATE '1998-01-01' + CAST(s_suppkey % 300 AS INTEGER) AS start, DATE '1998-01-01' + CAST(s_suppkey % 300 AS INTEGER) + 5 AS \"end\" FROM supplier")
