@@ -78,6 +78,17 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """How often each pattern of lengths is packed: (times, lengths), every length as often in all as counts says.
 
+    Small pieces spent on exact triples can be missing later, so combinations of up to three, two,
+    one and no lengths are all planned on the histogram and the plan with the fewest sequences is
+    taken.
+    """
+    plans = [exact_fill(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for times, _ in p))
+
+
+def exact_fill(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Gaps filled exactly by at most `most` lengths, then best fit.
+
     Lengths are taken from the longest. Its gap is looked up among single lengths, then among
     indexed pair and triple sums; a combination is consumed as often as the available counts
     allow. A length whose gap no combination fills exactly waits for the best-fit residuals.
@@ -104,14 +115,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
         gap = capacity - n
         if not gap:
             take((n,))
-        elif left[n] and left[gap]:
+        elif left[n] and left[gap] and most:
             take((n, gap))
-        for a in pairs(gap, n) if left[n] and gap else ():
+        for a in pairs(gap, n) if left[n] and gap and most > 1 else ():
             take((n, a, gap - a))
             if not left[n]:
                 break
         longest = np.arange((gap + 2) // 3, min(gap, n + 1))
-        for a in longest[left[longest] > 0][::-1].tolist() if left[n] and gap else ():
+        for a in longest[left[longest] > 0][::-1].tolist() if left[n] and gap and most > 2 else ():
             for b in pairs(gap - a, a):
                 take((n, a, b, gap - a - b))
                 if not left[n] or not left[a]:

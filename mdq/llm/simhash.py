@@ -72,7 +72,7 @@ class Trees:
 
     def __init__(self, shard: np.ndarray, value: np.ndarray):
         n = len(value)
-        self.value = value
+        self.value = value = value.view(np.uint64)  # of signed numbers the bits of the magnitude would be counted
         group = np.unique(shard, return_inverse=True)[1]
         self.root = np.full(n, -1)
         todo, parent, edge = np.arange(n), np.full(n, -1), np.zeros(n, np.int64)

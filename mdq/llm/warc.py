@@ -115,7 +115,9 @@ class WarcReader(DataSourceReader):
         ranges = [Range(p, a, min(a + self.split, size)) for p, size in found for a in range(0, size, self.split)]
         return [Range(r.path if scheme == "file" else self.path.split("://")[0] + "://" + r.path, r.start, r.end) for r in ranges]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files, so no ranges
+            return
         kinds = {"content_length": pa.int64(), "payload": pa.binary()}
         rows, held = [], 0
 
