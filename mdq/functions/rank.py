@@ -71,14 +71,15 @@ def pct_rank(df: DataFrame, value: str, out: str, by="date") -> DataFrame:
     return df.join(t, [*by, value], "left")
 
 
-def pct_ranks(df: DataFrame, values: dict[str, str], by="date") -> DataFrame:
-    """Several percentile ranks {value: out} of one frame: every table reads the same base."""
+def pct_ranks(df: DataFrame, values: dict[str, str], key: list[str], by="date") -> DataFrame:
+    """Several percentile ranks {value: out} of one frame whose rows key tells apart: stacked, ranked once and laid out again."""
     by = _list(by)
-    out = df
-    for value, name in values.items():
-        t = rank_table(df, value, by).select(*by, value, ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias(name))
-        out = out.join(t, [*by, value], "left")
-    return out
+    stacked = F.array(*[F.struct(F.lit(out).alias("_name"), F.col(value).alias("_value")) for value, out in values.items()])
+    long = df.select(*key, F.explode(stacked).alias("_x")).select(*key, "_x.*")
+    t = rank_table(long, "_value", [*by, "_name"]).select(*by, "_name", "_value", ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias("_pct"))
+    ranked = long.join(t, [*by, "_name", "_value"])
+    wide = ranked.groupBy(*key).agg(*[F.max(F.when(F.col("_name") == out, F.col("_pct"))).alias(out) for out in values.values()])
+    return df.join(wide, key, "left")
 
 
 def pct_rank_bounded(value: str, by="date"):

@@ -405,20 +405,45 @@ def register(kind: str, build, default: float = 0.0) -> None:
 
 def _drawdown_fold(p: int, what: str) -> Column:
     """Running-peak statistics inside each p-row window (the peak restarts per window)."""
-    start = 0.0 if what != "dd" else 1.0
-    zero = F.struct(F.lit(1e-300).alias("peak"), F.lit(start).alias("out"))
+    zero = F.struct(F.lit(1e-300).alias("peak"), F.lit(0.0).alias("out"))
 
     def step(acc, x):
         ratio = x / F.greatest(acc["peak"], x)
         out = {
-            "dd": lambda: F.least(acc["out"], ratio),
             "near": lambda: acc["out"] + F.when(ratio - 1 > -0.05, 1.0).otherwise(0.0),
             "square": lambda: acc["out"] + F.pow(ratio - 1, F.lit(2.0)),
         }[what]()
         return F.struct(F.greatest(acc["peak"], x).alias("peak"), out.alias("out"))
 
-    done = (lambda a: a["out"] - 1) if what == "dd" else (lambda a: a["out"])
-    return F.aggregate(F.collect_list("close").over(last_n(p)), zero, step, done)
+    return F.aggregate(F.collect_list("close").over(last_n(p)), zero, step, lambda a: a["out"])
+
+
+def _add_drawdowns(df: DataFrame, periods: list[int]) -> DataFrame:
+    """dd_<p>: worst fall from the running peak inside the last p rows.
+
+    A block of rows is known by its highest and lowest close and its worst ratio; two neighbouring
+    blocks combine, so blocks of 2, 4, 8 ... rows and their sums cost a lag each and no arrays.
+    """
+    parts = ("mx", "mn", "ws")
+    names = lambda k: [f"{x}:{k}" for x in parts]
+
+    def combine(old: list[Column], new: list[Column]) -> list[Column]:
+        return [F.greatest(old[0], new[0]), F.least(old[1], new[1]), F.least(old[2], new[2], div(new[1], old[0]))]
+
+    df = df.withColumns(dict(zip(names(1), (F.col("close"), F.col("close"), F.lit(1.0)))))
+    k = 1
+    while 2 * k <= max(periods):
+        now = [F.col(f"`{n}`") for n in names(k)]
+        df = df.withColumns(dict(zip(names(2 * k), combine([_lag(x, k) for x in now], now))))
+        k *= 2
+    for p in periods:
+        acc, done = None, 0
+        for b in (1 << i for i in reversed(range(p.bit_length())) if p >> i & 1):
+            block = [F.col(f"`{n}`") for n in names(b)]
+            block = [_lag(x, done) for x in block] if done else block
+            acc, done = block if acc is None else combine(block, acc), done + b
+        df = df.withColumn(f"dd_{p}", acc[2] - 1)
+    return df.drop(*[c for c in df.columns if c.split(":")[0] in parts and ":" in c])
 
 
 def _reversal(p: int) -> Column:
@@ -471,8 +496,6 @@ def _prepare(df: DataFrame, specs: list[tuple]) -> DataFrame:
         level[f"r_{k}"] = _lag(r, k)
     if "vol_of_vol" in kinds:
         level["sd5"] = F.when(F.count(r).over(last_n(5)) == 5, F.stddev_samp(r).over(last_n(5)))
-    for p in periods("max_drawdown", "calmar_ratio", "drawdown_adjusted_momentum"):
-        level[f"dd_{p}"] = _drawdown_fold(p, "dd")
     for p in periods("recovery_rate"):
         level[f"near_{p}"] = _drawdown_fold(p, "near")
     for p in periods("ulcer_index"):
@@ -491,6 +514,8 @@ def _prepare(df: DataFrame, specs: list[tuple]) -> DataFrame:
         level["turn"] = F.when(~nz((F.signum(r) == F.signum(_lag(r, 1))).cast("int"), 0).cast("boolean"), rn)
     if level:
         df = df.withColumns(level)
+    if falls := periods("max_drawdown", "calmar_ratio", "drawdown_adjusted_momentum"):
+        df = _add_drawdowns(df, falls)
     if "streak_strength" in kinds:
         df = df.withColumn("run_start", F.max("turn").over(so_far()))
 
@@ -519,7 +544,7 @@ def _prepare(df: DataFrame, specs: list[tuple]) -> DataFrame:
     ranks = {f"mom_{p}": f"rank_mom_{p}" for p in periods("relative_strength")}
     ranks |= {f"sd_{p}": f"rank_sd_{p}" for p in periods("relative_volatility")}
     if ranks:
-        df = pct_ranks(df if len(ranks) == 1 else cut_lineage(df), ranks)
+        df = pct_ranks(df, ranks, ["ticker", "date"])
     return df
 
 

@@ -220,6 +220,28 @@ def dollar_sizing(trades: DataFrame, risk: float = 100.0, k: float = 1.5, fallba
     return trades.withColumns({"shares": sh, "dollars": sh * (F.col("exit_price") - F.col("entry_price"))})
 
 
+def _expanding_rank(df: DataFrame) -> DataFrame:
+    """(ticker, date, pct): mean percentile rank of vol among all volatilities of the ticker up to the date.
+
+    One ticker's rows, which the calendar bounds, go into a sorted list one by one.
+    """
+    from bisect import bisect_left, bisect_right, insort
+
+    def rank(rows):
+        rows = rows.sort_values("date")
+        seen, out = [], []
+        for x in rows["vol"].round(10):
+            if x != x:
+                out.append(None)
+                continue
+            below, upto = bisect_left(seen, x), bisect_right(seen, x) + 1
+            insort(seen, x)
+            out.append((below + upto + 1) / 2 / len(seen))
+        return rows[["ticker", "date"]].assign(pct=out)
+
+    return df.groupBy("ticker").applyInPandas(rank, "ticker string, date date, pct double")
+
+
 def regimes(df: DataFrame, n_vol: int = 20, n_trend: int = 50, n_market: int = 200, n_adx: int = 14) -> DataFrame:
     """Volatility, trend and market regime of every row, from its own past."""
     w = order_window()
@@ -237,9 +259,9 @@ def regimes(df: DataFrame, n_vol: int = 20, n_trend: int = 50, n_market: int = 2
         }
     )
     d = d.withColumn("strength", nz(div(F.abs(F.col("close") - F.lag("close", n_adx).over(w)), F.col("path")) * 100))
-    # share of the last year's volatilities at or under the current one
-    past = F.collect_list("vol").over(last_n(252))
-    d = d.withColumn("pct", F.when(F.col("vol").isNotNull(), div(F.size(F.filter(past, lambda x: x <= F.col("vol") * (1 + 1e-12))), F.size(past))))
+    d = d.join(_expanding_rank(d.select("ticker", "date", "vol")), ["ticker", "date"])
+    long_vol = full(F.col("r"), n_market, F.stddev_samp)
+    d = d.withColumn("wide", long_vol).withColumn("usual", F.avg("wide").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     p, dirn = F.col("pct"), div(F.col("ma_s") - F.col("ma_l"), F.col("ma_l"))
     tr = F.greatest(F.least(dirn * 10, F.lit(1.0)), F.lit(-1.0)) * F.col("strength") / 100
     d = d.withColumn("trend_strength", F.when(dirn.isNotNull(), tr))
@@ -248,7 +270,7 @@ def regimes(df: DataFrame, n_vol: int = 20, n_trend: int = 50, n_market: int = 2
         "ticker", "date", "pct", "trend_strength",
         F.when(p < 0.25, "low").when(p < 0.75, "normal").when(p < 0.95, "high").when(p.isNotNull(), "extreme").alias("vol_regime"),
         F.when(t.isNull(), None).when(F.col("strength") < 20, "sideways").when(t > 0.5, "strong_up").when(t > 0.2, "weak_up").when(t < -0.5, "strong_down").when(t < -0.2, "weak_down").otherwise("sideways").alias("trend_regime"),
-        F.when(F.col("ma_m").isNull(), None).when((F.col("close") > F.col("ma_m") * 1.05) & (F.col("recent") > 0), "bull").when((F.col("close") < F.col("ma_m") * 0.95) & (F.col("recent") < 0), "bear").otherwise("sideways").alias("market_regime"),
+        F.when(F.col("ma_m").isNull(), None).when((F.col("close") > F.col("ma_m") * 1.05) & (F.col("recent") > 0), "bull").when((F.col("close") < F.col("ma_m") * 0.95) & (F.col("recent") < 0), "bear").when(F.col("vol") / ROOT_YEAR > 1.5 * F.col("usual"), "volatile").otherwise("sideways").alias("market_regime"),
     )
 
 

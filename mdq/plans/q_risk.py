@@ -234,12 +234,20 @@ cte(
     "regs",
     f"""SELECT ticker, date, pct, trend_strength, CASE WHEN pct < 0.25 THEN 'low' WHEN pct < 0.75 THEN 'normal' WHEN pct < 0.95 THEN 'high' WHEN pct IS NOT NULL THEN 'extreme' END AS vol_regime,
  CASE WHEN trend_strength IS NULL THEN NULL WHEN strength < 20 THEN 'sideways' WHEN trend_strength > 0.5 THEN 'strong_up' WHEN trend_strength > 0.2 THEN 'weak_up' WHEN trend_strength < -0.5 THEN 'strong_down' WHEN trend_strength < -0.2 THEN 'weak_down' ELSE 'sideways' END AS trend_regime,
- CASE WHEN ma_m IS NULL THEN NULL WHEN close > ma_m * 1.05 AND recent > 0 THEN 'bull' WHEN close < ma_m * 0.95 AND recent < 0 THEN 'bear' ELSE 'sideways' END AS market_regime FROM (
- SELECT *, CASE WHEN vol IS NOT NULL THEN len(list_filter(vols, lambda x: x <= vol * (1 + 1e-12))) / nullif(len(vols), 0)::DOUBLE END AS pct, greatest(least((ma_s - ma_l) / ma_l * 10, 1), -1) * strength / 100 + CASE WHEN ma_l IS NULL OR ma_s IS NULL THEN NULL ELSE 0 END AS trend_strength FROM (
- SELECT *, list(vol) FILTER (vol IS NOT NULL) {_w(252)} AS vols FROM (
- SELECT *, CASE WHEN count(r) {_w(20)} = 20 THEN stddev_samp(r) {_w(20)} END * sqrt(252) AS vol, CASE WHEN count(*) {_w(25)} = 25 THEN avg(close) {_w(25)} END AS ma_s, CASE WHEN count(*) {_w(50)} = 50 THEN avg(close) {_w(50)} END AS ma_l,
+ CASE WHEN ma_m IS NULL THEN NULL WHEN close > ma_m * 1.05 AND recent > 0 THEN 'bull' WHEN close < ma_m * 0.95 AND recent < 0 THEN 'bear' WHEN vol / sqrt(252) > 1.5 * usual THEN 'volatile' ELSE 'sideways' END AS market_regime FROM (
+ SELECT v.*, pct, greatest(least((ma_s - ma_l) / ma_l * 10, 1), -1) * strength / 100 + CASE WHEN ma_l IS NULL OR ma_s IS NULL THEN NULL ELSE 0 END AS trend_strength FROM (
+ SELECT *, avg(wide) OVER (PARTITION BY ticker ORDER BY date) AS usual FROM vols) v LEFT JOIN volrank USING (ticker, date))""",
+)
+cte(
+    "vols",
+    f"""SELECT *, CASE WHEN count(r) {_w(200)} = 200 THEN stddev_samp(r) {_w(200)} END AS wide, CASE WHEN count(r) {_w(20)} = 20 THEN stddev_samp(r) {_w(20)} END * sqrt(252) AS vol, CASE WHEN count(*) {_w(25)} = 25 THEN avg(close) {_w(25)} END AS ma_s, CASE WHEN count(*) {_w(50)} = 50 THEN avg(close) {_w(50)} END AS ma_l,
  CASE WHEN count(*) {_w(200)} = 200 THEN avg(close) {_w(200)} END AS ma_m, avg(r) {_w(50)} AS recent, coalesce(abs(close - lag(close, 14) {_O}) / nullif(sum(st) {_w(14)}, 0) * 100, 0) AS strength FROM (
- SELECT *, close / lag(close) {_O} - 1 AS r, abs(close - lag(close) {_O}) AS st FROM daily))))""",
+ SELECT *, close / lag(close) {_O} - 1 AS r, abs(close - lag(close) {_O}) AS st FROM daily)""",
+)
+cte(
+    "volrank",
+    """SELECT a.ticker, a.date, (count(*) FILTER (round(b.vol, 10) < round(a.vol, 10)) + count(*) FILTER (round(b.vol, 10) <= round(a.vol, 10)) + 1) / 2.0 / count(*) AS pct
+ FROM vols a JOIN vols b ON b.ticker = a.ticker AND b.date <= a.date WHERE a.vol IS NOT NULL AND b.vol IS NOT NULL GROUP BY 1, 2""",
 )
 
 

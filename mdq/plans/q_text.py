@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.core import tidy
-from ..session import spread
 from ..sources import store
 from ..sources.adapters import table
 from .inputs import once
@@ -24,7 +23,7 @@ cte(
 
 @once("posts")
 def posts(spark, sf_dir):
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Pre-market plan").when(F.col("o_orderpriority") == "2-HIGH", "After hours list").when(F.col("o_orderpriority") == "3-MEDIUM", "Market open list").otherwise("Daily list")
     spell = lambda c: F.translate((F.col(c) % 1000).cast("string"), *_LET)
     p = F.floor(F.col("o_totalprice") / 100) + 10

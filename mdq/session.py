@@ -49,15 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when a small input came as fewer splits than there are cores.
-
-    Large inputs already have more splits and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
