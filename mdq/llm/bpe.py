@@ -14,6 +14,7 @@ import base64
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -28,6 +29,8 @@ SLOTS = 1 << 15
 COMMON = 1 << 16
 #: bytes of a word that is folded in the JVM; the fold is quadratic
 LONGEST = 64
+#: documents of an Arrow batch that a task hands back
+_ROWS = 256
 
 
 @lru_cache(2)
@@ -95,12 +98,16 @@ def common_words(docs: DataFrame, pattern: str, text_col: str, most: int = COMMO
     return counted.filter(F.col("level") >= least).select("word")
 
 
-def dictionary(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> dict[str, tuple[int, ...]]:
-    """Ids of the common words, folded in the JVM; bounded by COMMON."""
+def _bytes(ids: tuple[int, ...]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+def dictionary(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> dict[str, bytes]:
+    """Ids of the common words as little-endian bytes, folded in the JVM; bounded by COMMON."""
     words = common_words(docs, pattern, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = words.repartition(n).select("word", fold_word(F.col("word"), rank_map(read_ranks(ranks_path))).alias("ids")).toArrow()
-    return {w: tuple(i) for w, i in zip(rows["word"].to_pylist(), rows["ids"].to_pylist())}
+    return {w: _bytes(i) for w, i in zip(rows["word"].to_pylist(), rows["ids"].to_pylist())}
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -140,20 +147,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batches):
         ranks, common = shared.value
-        find, rare = regex.compile(pattern).findall, {}
-        for batch in batches:
-            if len(rare) > cache:
-                rare.clear()
-            ids, ends = [], [0]
-            for text in batch.column(at):
-                for w in find(text.as_py() or ""):
-                    known = common.get(w) or rare.get(w)
-                    if known is None:
-                        known = rare[w] = merge(w.encode(), ranks)
-                    ids += known
-                ends.append(len(ids))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, "ids"])
+        find = regex.compile(pattern).findall
+
+        class Known(dict):
+            """Ids of words as little-endian bytes; a word that is not known is folded and kept."""
+
+            def __missing__(self, word: str) -> bytes:
+                if len(self) > len(common) + cache:
+                    self.clear()
+                    self.update(common)
+                self[word] = ids = _bytes(merge(word.encode(), ranks))
+                return ids
+
+        known = Known(common)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):  # short batches: the ids take more room than the text
+                batch = whole.slice(start, _ROWS)
+                ids = [b"".join(map(known.__getitem__, find(text.as_py() or ""))) for text in batch.column(at)]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], [*names, "ids"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "ids array<int>"])
     return docs.mapInArrow(run, schema)
