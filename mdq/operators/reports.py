@@ -135,36 +135,80 @@ def levels_of(df: DataFrame, name: str, values: list) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
 
 
-def slippage_sensitivity(trades: DataFrame, levels: list[float]) -> DataFrame:
-    """Profit factor after a round-trip cost in percent, and whether it still pays."""
-    t = levels_of(trades, "slip", levels).withColumn("net", F.col("pnl_pct") - 2 * F.col("slip"))
-    g = t.groupBy("slip").agg(nz(F.sum(F.when(F.col("net") > 0, F.col("net")))).alias("up"), F.abs(nz(F.sum(F.when(F.col("net") <= 0, F.col("net"))))).alias("down"), F.avg("net").alias("avg_net"))
-    return g.withColumn("profit_factor", div(F.col("up"), F.col("down"))).withColumn("fails", (F.col("profit_factor") < 1).cast("int"))
+def slippage_sensitivity(trades: DataFrame, levels: list[float], fail_under: float = 1.0) -> DataFrame:
+    """Profit factor with a worse entry and, by outcome, a worse exit (in percent), and whether it still pays."""
+    t, f = levels_of(trades, "slip", levels), F.col("slip") / 100
+    entry = F.col("entry_price") * (1 + f)
+    exit_ = F.col("exit_price") * F.when(F.col("outcome") == "win", 1 - f).when(F.col("outcome") == "loss", 1 + f).otherwise(1.0)
+    t = t.withColumn("net", nz((exit_ - entry) / entry * 100))
+    g = t.groupBy("slip").agg(nz(F.sum(F.when(F.col("net") > 0, F.col("net")))).alias("up"), F.abs(nz(F.sum(F.when(F.col("net") < 0, F.col("net"))))).alias("down"), F.avg("net").alias("avg_net"))
+    return g.withColumn("profit_factor", div(F.col("up"), F.col("down"))).withColumn("fails", nz((F.col("profit_factor") < fail_under).cast("int"), 0).cast("int"))
 
 
-def uniform(*parts: Column) -> Column:
-    """Repeatable uniform in [0, 1) from a hash of its arguments."""
+def uniform(key: Column, rep: Column, salt: int) -> Column:
+    """Repeatable draw in [0, 1) from whole numbers, by arithmetic that any engine can repeat."""
+    p = F.lit(1_000_003).cast("bigint")
+    m = F.pmod(F.pmod(key.cast("bigint"), p) * 7919 + rep.cast("bigint") * 104_729 + salt * 611_953, p)
+    return F.pmod(F.pmod(m * m, p) * 48_271 + salt, p) / 1_000_003
+
+
+def hashed(*parts: Column) -> Column:
+    """Repeatable draw in [0, 1) from a hash of its arguments."""
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003
 
 
-def monte_carlo(trades: DataFrame, reps: int = 1000, max_slip: float = 0.3) -> DataFrame:
-    """Total P&L under random slippage per replicate, then its distribution."""
-    t = trades.select("ticker", "entry_ts", "pt", "sl", "pnl_pct", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    draw = F.col("pnl_pct") - max_slip * uniform(F.col("rep"), F.col("ticker"), F.col("entry_ts"), F.col("pt"), F.col("sl"))
-    tot = t.groupBy("rep").agg(F.sum(draw).alias("total"))
-    return tot.agg(
-        F.avg("total").alias("mean"), F.percentile("total", 0.5).alias("median"), F.percentile("total", 0.05).alias("p05"),
-        F.percentile("total", 0.95).alias("p95"), share(F.col("total") < 0).alias("p_loss"),
-    )
+def trade_key() -> Column:
+    """A whole number that tells trades of one grid apart."""
+    return F.col("entry_idx") * 10_007 + F.round(F.col("pt") * 100).cast("bigint") * 101 + F.round(F.col("sl") * 100).cast("bigint") + F.ascii("ticker")
+
+
+def monte_carlo(trades: DataFrame, reps: int = 1000, low: float = 0.001, high: float = 0.005, size: float = 500.0) -> DataFrame:
+    """Dollar P&L and win rate of equal stakes when every leg slips by a random share, over many replicates.
+
+    Quantiles are the sorted replicates at reps/2, reps/20 and 19 reps/20.
+    """
+    t = trades.select("entry_price", "exit_price", trade_key().alias("key"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    slip = lambda salt: low + (high - low) * uniform(F.col("key"), F.col("rep"), salt)
+    entry, exit_ = F.col("entry_price") * (1 + slip(1)), F.col("exit_price") * (1 - slip(2))
+    tot = t.groupBy("rep").agg(F.sum(size / entry * (exit_ - entry)).alias("pnl"), share(exit_ > entry).alias("win_rate"))
+    got = tot.agg(F.sort_array(F.collect_list("pnl")).alias("p"), F.sort_array(F.collect_list("win_rate")).alias("w"), F.avg("pnl").alias("mean"), F.avg("win_rate").alias("mean_win_rate"), share(F.col("pnl") < 0).alias("p_loss"))
+    at = lambda c, q: F.get(c, F.lit(int(reps * q)))
+    base = trades.agg(F.sum(size / F.col("entry_price") * (F.col("exit_price") - F.col("entry_price"))).alias("base"))
+    return got.join(F.broadcast(base)).select(  # one row each
+        "base", "mean", at("p", 0.5).alias("median"), at("p", 0.05).alias("p05"), at("p", 0.95).alias("p95"), "mean_win_rate", at("w", 0.5).alias("median_win_rate"), "p_loss"
+    )
+
+
+def shuffled_entries(entries: DataFrame, reps: int) -> DataFrame:
+    """entries(ticker, day, support, resistance) once per replicate, with supports drawn between their 5th and 95th percentile.
+
+    The replicate is part of the ticker, so every outcome operator runs on them as they are. The
+    limits are the sorted supports at 5 and 95 percent of their number, found by a rank.
+    """
+    n = entries.where("support is not null").agg(F.count("*").alias("n"))
+    ranked = rank_table(entries.where("support is not null").select(F.lit(1).alias("all"), "support"), "support", "all").join(F.broadcast(n))
+    at = lambda q: F.max(F.when((F.col("below") <= q) & (q < F.col("below") + F.col("ties")), F.col("support")))
+    lo, hi = F.floor(F.col("n") * 0.05), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    limits = ranked.agg(at(lo).alias("lo"), at(hi).alias("hi"))
+    e = entries.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(F.broadcast(limits))
+    key = F.datediff("day", F.lit("2000-01-01").cast("date")) * 211 + F.ascii("ticker")
+    drawn = F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * uniform(key, F.col("rep"), 3) + 1e-9, 4)
+    return e.select(F.concat("ticker", F.lit("#"), F.col("rep").cast("string")).alias("ticker"), "day", drawn.alias("support"), "resistance")
+
+
+def replicated(rows: DataFrame, reps: int) -> DataFrame:
+    """Rows of a ticker once per replicate, named like shuffled_entries."""
+    r = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return r.withColumn("ticker", F.concat("ticker", F.lit("#"), F.col("rep").cast("string"))).drop("rep")
 
 
-def shuffle_control(trades: DataFrame, reps: int = 20) -> DataFrame:
-    """Real win rate against replicates whose targets are hit by hash-drawn outcomes of the same size."""
-    base = trades.agg(share(WIN()).alias("real"))
-    r = trades.select("ticker", "entry_ts", "pt", "sl", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    fake = r.groupBy("rep").agg(share(uniform(F.col("rep"), F.col("ticker"), F.col("entry_ts"), F.col("pt"), F.col("sl")) < F.lit(0.5)).alias("wr"))
-    lim = fake.agg(F.avg("wr").alias("mean"), F.stddev_samp("wr").alias("sd"))
-    return base.join(F.broadcast(lim)).withColumn("beats_chance", F.col("real") > F.col("mean") + 1.5 * F.col("sd"))
+def shuffle_control(real: DataFrame, shuffled: DataFrame, reps: int = 20) -> DataFrame:
+    """Win rate of real trades against the mean and deviation of trades on shuffled supports; a replicate without trades has rate 0."""
+    rep = F.split("ticker", "#").getItem(1).cast("int")
+    rates = shuffled.groupBy(rep.alias("rep")).agg(share(WIN()).alias("wr"))
+    all_ = real.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep")).join(rates, "rep", "left").select(nz(F.col("wr")).alias("wr"))
+    lim = all_.agg(F.avg("wr").alias("mean"), F.stddev_samp("wr").alias("sd"))
+    return real.agg(share(WIN()).alias("real")).join(F.broadcast(lim)).withColumn("beats_chance", F.col("real") > F.col("mean") + 1.5 * F.col("sd"))
 
 
 # ---- daily reports --------------------------------------------------------------------
@@ -340,7 +384,7 @@ def permutation_test(df: DataFrame, month: int = 3, reps: int = 200) -> DataFram
     d = df.where("ret is not null").withColumn("inside", F.col("month") == month)
     real = d.groupBy("ticker").agg((F.avg(F.when(F.col("inside"), F.col("ret"))) - F.avg(F.when(~F.col("inside"), F.col("ret")))).alias("real"), share(F.col("inside")).alias("p"))
     r = d.join(real, "ticker").select("ticker", "date", "ret", "real", "p", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    pick = uniform(F.col("rep"), F.col("ticker"), F.col("date")) < F.col("p")
+    pick = hashed(F.col("rep"), F.col("ticker"), F.col("date")) < F.col("p")
     g = r.groupBy("ticker", "rep").agg(F.first("real").alias("real"), (F.avg(F.when(pick, F.col("ret"))) - F.avg(F.when(~pick, F.col("ret")))).alias("fake"))
     return g.groupBy("ticker").agg(F.first("real").alias("real_difference"), share(F.col("fake") >= F.col("real")).alias("p_value"))
 
@@ -348,9 +392,13 @@ def permutation_test(df: DataFrame, month: int = 3, reps: int = 200) -> DataFram
 def bootstrap_sharpe(df: DataFrame, reps: int = 200) -> DataFrame:
     """Poisson-weighted bootstrap interval of the annual Sharpe ratio per ticker."""
     d = df.where("ret is not null").select("ticker", "date", "ret", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    u = uniform(F.col("rep"), F.col("ticker"), F.col("date"))
-    # Poisson(1) weights from cumulative probabilities (fixed values)
-    wt = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5).cast("double")
+    u = hashed(F.col("rep"), F.col("ticker"), F.col("date"))
+    # Poisson(1) weights by inverse distribution, until the tail is below double precision
+    total, term, wt, k = 0.0, math.exp(-1), F.when(F.lit(False), 0), 0
+    while term > 1e-17:
+        total, wt = total + term, wt.when(u < total + term, k)
+        k, term = k + 1, term / (k + 1)
+    wt = wt.otherwise(k).cast("double")
     g = d.withColumn("w", wt).groupBy("ticker", "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("ret")).alias("s"), F.sum(F.col("w") * F.col("ret") * F.col("ret")).alias("q"))
     m = F.col("s") / F.col("n")
     g = g.withColumn("sharpe", div(m, F.sqrt(F.greatest(F.col("q") / F.col("n") - m * m, F.lit(0.0)))) * ROOT_YEAR)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.core import tidy
-from ..operators import outcomes, reports
+from ..operators import outcomes, patterns, reports
 from .inputs import daily, once, panel
+from .q_intraday import candles, levels_daily
 from .q_levels import trades
-from .registry import cte, query, rounded
+from .registry import CTES, cte, query, rounded
 
 _S = """count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'timeout') AS timeouts,
  avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(avg(pnl_pct) FILTER (outcome = 'win'), 0) AS avg_win, coalesce(avg(pnl_pct) FILTER (outcome = 'loss'), 0) AS avg_loss,
@@ -122,8 +125,8 @@ def q_folds(spark, sf_dir):
 _SL = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75]
 
 
-@query("slippage_sensitivity", rounded("slip fails", "profit_factor avg_net", f"""SELECT *, CASE WHEN profit_factor < 1 THEN 1 WHEN profit_factor IS NULL THEN NULL ELSE 0 END AS fails FROM (SELECT slip, coalesce(sum(net) FILTER (net > 0), 0) / nullif(abs(coalesce(sum(net) FILTER (net <= 0), 0)), 0) AS profit_factor, avg(net) AS avg_net
- FROM (SELECT slip, pnl_pct - 2 * slip AS net FROM trades, (SELECT unnest({_SL}::DOUBLE[]) AS slip)) GROUP BY 1)""", 5))
+@query("slippage_sensitivity", rounded("slip fails", "profit_factor avg_net", f"""SELECT *, CASE WHEN profit_factor < 1 THEN 1 ELSE 0 END AS fails FROM (SELECT slip, coalesce(sum(net) FILTER (net > 0), 0) / nullif(abs(coalesce(sum(net) FILTER (net < 0), 0)), 0) AS profit_factor, avg(net) AS avg_net
+ FROM (SELECT slip, (x - e) / e * 100 AS net FROM (SELECT slip, entry_price * (1 + slip / 100) AS e, exit_price * CASE outcome WHEN 'win' THEN 1 - slip / 100 WHEN 'loss' THEN 1 + slip / 100 ELSE 1 END AS x FROM trades, (SELECT unnest({_SL}::DOUBLE[]) AS slip))) GROUP BY 1)""", 5))
 def q_slip(spark, sf_dir):
     return tidy(reports.slippage_sensitivity(trades(spark, sf_dir), _SL), ["slip", "fails"], ["profit_factor", "avg_net"], 5)
 
@@ -143,14 +146,62 @@ def q_loose(spark, sf_dir):
     return tidy(g, ["band", "trades"], ["win_rate", "avg_pnl"], 5)
 
 
-@query("monte_carlo_slippage")
+def _uniform_sql(key: str, rep: str, salt: int) -> str:
+    m = f"(({key}) % 1000003 * 7919 + {rep} * 104729 + {salt * 611_953}) % 1000003"
+    return f"((({m}) * ({m})) % 1000003 * 48271 + {salt}) % 1000003 / 1000003.0::DOUBLE"
+
+
+_REPS = 200
+_KEY = "entry_idx * 10007 + CAST(round(pt * 100) AS BIGINT) * 101 + CAST(round(sl * 100) AS BIGINT) + ascii(ticker)"
+cte(
+    "replicates",
+    f"""SELECT rep, sum(500.0 / e * (x - e)) AS pnl, avg(CASE WHEN x > e THEN 1.0 ELSE 0.0 END) AS win_rate FROM (
+ SELECT rep, entry_price * (1 + 0.001 + 0.004 * ({_uniform_sql('key', 'rep', 1)})) AS e, exit_price * (1 - 0.001 - 0.004 * ({_uniform_sql('key', 'rep', 2)})) AS x
+ FROM (SELECT entry_price, exit_price, {_KEY} AS key FROM trades), (SELECT unnest(range(1, {_REPS + 1})) AS rep)) GROUP BY 1""",
+)
+
+
+@query("monte_carlo_slippage", rounded("", "base mean median p05 p95 mean_win_rate median_win_rate p_loss", f"""SELECT b.base, mean, p[{_REPS // 2 + 1}] AS median, p[{_REPS // 20 + 1}] AS p05, p[{_REPS * 19 // 20 + 1}] AS p95, mean_win_rate, w[{_REPS // 2 + 1}] AS median_win_rate, p_loss FROM (
+ SELECT list_sort(list(pnl)) AS p, list_sort(list(win_rate)) AS w, avg(pnl) AS mean, avg(win_rate) AS mean_win_rate, avg(CASE WHEN pnl < 0 THEN 1.0 ELSE 0.0 END) AS p_loss FROM replicates), (SELECT sum(500.0 / entry_price * (exit_price - entry_price)) AS base FROM trades) b""", 4))
 def q_mc(spark, sf_dir):
-    return tidy(reports.monte_carlo(trades(spark, sf_dir), 200), [], ["mean", "median", "p05", "p95", "p_loss"], 4)
+    names = ["base", "mean", "median", "p05", "p95", "mean_win_rate", "median_win_rate", "p_loss"]
+    return tidy(reports.monte_carlo(trades(spark, sf_dir), _REPS), [], names, 4)
+
+
+_SHUFFLES = 20
+cte(
+    "shuffled_levels",
+    f"""SELECT ticker || '#' || rep AS ticker, day, round(lo + (hi - lo) * ({_uniform_sql("date_diff('day', DATE '2000-01-01', day) * 211 + ascii(ticker)", "rep", 3)}) + 1e-9, 4) AS support, resistance
+ FROM levels_daily, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep), (SELECT s[CAST(floor(len(s) * 0.05) AS BIGINT) + 1] AS lo, s[least(len(s), CAST(floor(len(s) * 0.95) AS BIGINT) + 1)] AS hi FROM (SELECT list_sort(list(support)) AS s FROM levels_daily))""",
+)
+cte("bi_x", f"SELECT * REPLACE (ticker || '#' || rep AS ticker) FROM bi, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep)")
+cte("pbars_x", f"SELECT ticker || '#' || rep AS ticker, idx FROM pbars, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep)")
+
+
+def _again(body: str) -> str:
+    """A candidate or outcome statement over the shuffled tables."""
+    for name, other in (("bi", "bi_x"), ("pbars", "pbars_x"), ("levels_daily", "shuffled_levels"), ("cands", "cands_x"), ("barr", "barr_x"), ("be", "be_x"), ("gridp", "one_grid")):
+        body = re.sub(rf"\b{name}\b", other, body)
+    return body
+
+
+cte("one_grid", "SELECT 1.2::DOUBLE AS pt, 0.8::DOUBLE AS sl")
+for _name in ("be", "cands", "barr"):
+    cte(f"{_name}_x", _again(CTES[_name]))
 
 
-@query("shuffle_control")
+@query("shuffle_control", rounded("beats_chance", "real mean sd", f"""SELECT *, real > mean + 1.5 * sd AS beats_chance FROM (SELECT avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS real FROM trades WHERE pt = 1.2 AND sl = 0.8),
+ (SELECT avg(coalesce(wr, 0)) AS mean, stddev_samp(coalesce(wr, 0)) AS sd FROM (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep) LEFT JOIN (
+ SELECT CAST(split_part(ticker, '#', 2) AS BIGINT) AS rep, avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS wr FROM ({_again(CTES['trades'])}) GROUP BY 1) USING (rep))"""))
 def q_shuffle(spark, sf_dir):
-    return tidy(reports.shuffle_control(trades(spark, sf_dir)), ["beats_chance"], ["real", "mean", "sd"])
+    c = candles(spark, sf_dir)
+    again = lambda df: reports.replicated(df, _SHUFFLES)
+    entries = reports.shuffled_entries(levels_daily(spark, sf_dir).select("ticker", "day", "support", "resistance"), _SHUFFLES)
+    bars_x = again(c.select("ticker", "ts", "idx", "open", "high", "low", "close"))
+    found = outcomes.candidates(bars_x, entries, again(patterns.equal_highs(c)))
+    fake = outcomes.first_barrier(outcomes.barriers(outcomes.with_grid(found, [(1.2, 0.8)])), bars_x)
+    real = trades(spark, sf_dir).where("pt = 1.2 AND sl = 0.8")
+    return tidy(reports.shuffle_control(real, fake, _SHUFFLES), ["beats_chance"], ["real", "mean", "sd"])
 
 
 @query("daily_ledger", rounded("day trades wins", "pnl equity", """SELECT *, sum(pnl) OVER (ORDER BY day) AS equity FROM (SELECT CAST(exit_ts AS DATE) AS day, count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, sum(pnl_pct) AS pnl FROM trades GROUP BY 1)""", 4))
