@@ -24,40 +24,46 @@ def _full(x, n: int, f) -> Column:
 
 
 def order_blocks(df: DataFrame, move: float = 0.02, look: int = 20) -> DataFrame:
-    """On a large move, strength from the last opposite candle before it: volume ratio times range."""
-    d = df.withColumns({"chg": div(F.col(C), _lag(C)) - 1, "avg_v": F.avg(V).over(last_n(look))})
-    box = F.struct(F.col(V).alias("v"), div(F.col(H) - F.col(L), F.col(C)).alias("range"))
-    before = _w().rowsBetween(-(look - 1), -1)
+    """On a large move, strength (at most 1) of the last row before it that closed the other way: volume against the rows before it, times ten times its range."""
+    d = df.withColumns({"chg": div(F.col(C), _lag(C)) - 1, "rn": F.row_number().over(_w())})
+    before = F.when(F.count(V).over(prior_n(20)) == 20, F.avg(V).over(prior_n(20)))
+    d = d.withColumn("force", F.least(div(F.col(V), before) * div(F.col(H) - F.col(L), F.col(C)) * 10, F.lit(1.0)))
+    box = F.struct(F.col("force").alias("x"))
+    span = _w().rowsBetween(-(look - 1), -1)
     d = d.withColumns(
         {
-            "red": F.last(F.when(F.col(C) < F.col(O), box), ignorenulls=True).over(before),
-            "green": F.last(F.when(F.col(C) > F.col(O), box), ignorenulls=True).over(before),
+            "fell": F.last(F.when(F.col("chg") < 0, box), ignorenulls=True).over(span),
+            "rose": F.last(F.when(F.col("chg") > 0, box), ignorenulls=True).over(span),
         }
     )
-    strength = lambda x: nz(div(F.col(f"{x}.v"), F.col("avg_v")) * F.col(f"{x}.range"))
+    ready = F.col("rn") > look
     return d.withColumns(
         {
-            "order_block_bull": F.when(F.col("chg") > move, strength("red")).otherwise(0.0),
-            "order_block_bear": F.when(F.col("chg") < -move, strength("green")).otherwise(0.0),
+            "order_block_bull": nz(F.when(ready & (F.col("chg") > move), F.col("fell.x"))),
+            "order_block_bear": nz(F.when(ready & (F.col("chg") < -move), F.col("rose.x"))),
         }
     )
 
 
 def fair_value_gaps(df: DataFrame, least: float = 0.001) -> DataFrame:
-    """Gap between a row and the one two rows back, as a share of price."""
+    """Gap between a row and the one two rows back: a hundred times its share of price, at most 1."""
     up = div(F.col(L) - _lag(H, 2), F.col(C))
     down = div(_lag(L, 2) - F.col(H), F.col(C))
-    return df.withColumns({"fvg_bull": nz(F.when(up >= least, up)), "fvg_bear": nz(F.when(down >= least, down))})
+    size = lambda x: nz(F.when(x > least, F.least(x * 100, F.lit(1.0))))
+    return df.withColumns({"fvg_bull": size(up), "fvg_bear": size(down)})
 
 
 def liquidity_sweeps(df: DataFrame, n: int = 20, spike: float = 1.5) -> DataFrame:
-    """A break of the n-row extreme that reverses on the next row with heavy volume; written on the next row."""
-    d = df.withColumns({"hi_n": F.max(H).over(prior_n(n)), "lo_n": F.min(L).over(prior_n(n)), "av": F.avg(V).over(last_n(n))})
-    d = d.withColumns({f"p_{x}": _lag(x) for x in (H, L, C, V, "hi_n", "lo_n", "av")})
-    heavy = F.col("p_volume") > spike * F.col("p_av")
-    bear = (F.col("p_high") > F.col("p_hi_n")) & (F.col(C) < F.col("p_hi_n")) & heavy
-    bull = (F.col("p_low") < F.col("p_lo_n")) & (F.col(C) > F.col("p_lo_n")) & heavy
-    return d.withColumn("liquidity_sweep", F.when(bull, 1).when(bear, -1).otherwise(0))
+    """A heavy row that breaks the n-row extreme and closes back, confirmed by the next row, where it is written; positive after a broken high."""
+    whole = F.count("*").over(prior_n(n)) == n
+    d = df.withColumns({"hi_n": F.when(whole, F.max(H).over(prior_n(n))), "lo_n": F.when(whole, F.min(L).over(prior_n(n))), "av": F.avg(V).over(last_n(n)), "c_1": _lag(C)})
+    d = d.withColumns({f"p_{x}": _lag(x) for x in (H, L, C, V, "hi_n", "lo_n", "av", "c_1")})
+    heavy = div(F.col("p_volume"), F.col("p_av")) > spike
+    high, low = F.col("p_high") > F.col("p_hi_n"), F.col("p_low") < F.col("p_lo_n")
+    turn = div(F.col(C) - F.col("p_close"), F.col("p_close")) * 50
+    up = high & (F.col("p_close") < F.col("p_c_1")) & (F.col(C) > F.col("p_close")) & heavy
+    down = ~high & low & (F.col("p_close") > F.col("p_c_1")) & (F.col(C) < F.col("p_close")) & heavy
+    return d.withColumn("liquidity_sweep", F.when(up, F.least(turn, F.lit(1.0))).when(down, F.greatest(turn, F.lit(-1.0))).otherwise(0.0))
 
 
 def swings(df: DataFrame, n: int = 5) -> DataFrame:
@@ -85,12 +91,13 @@ def structure_breaks(df: DataFrame, n: int = 5) -> DataFrame:
     return d.withColumn("break_of_structure", F.when(F.col("side").isNotNull() & (F.col("side") != F.col("trend")), F.col("side")).otherwise(0))
 
 
-def character_changes(df: DataFrame, n: int = 5) -> DataFrame:
-    """Momentum sign turn on above-average volume."""
-    d = df.withColumn("mom", div(F.col(C), _lag(C, n)) - 1).withColumn("av", F.avg(V).over(last_n(20)))
-    d = d.withColumn("pm", _lag("mom"))
-    turn = (F.signum("mom") != F.signum("pm")) & (F.col(V) > F.col("av"))
-    return d.withColumn("change_of_character", nz(F.when(turn, F.signum("mom"))))
+def character_changes(df: DataFrame, n: int = 10, volume_rows: int = 20) -> DataFrame:
+    """Mean return of n rows that turns up from below zero, or down from above, on more than the usual volume: fifty times the turn, at most 1."""
+    d = df.withColumns({"chg": div(F.col(C), _lag(C)) - 1, "rn": F.row_number().over(_w()), "av": F.avg(V).over(last_n(volume_rows))})
+    d = d.withColumn("mom", _full("chg", n, F.avg))
+    d = d.withColumn("pm", _lag("mom")).withColumn("turn", F.col("mom") - F.col("pm"))
+    hit = (F.signum("turn") * F.signum("pm") < 0) & (F.col(V) > F.col("av")) & (F.col("rn") > volume_rows)
+    return d.withColumn("change_of_character", nz(F.when(hit, F.greatest(F.least(F.col("turn") * 50, F.lit(1.0)), F.lit(-1.0)))))
 
 
 def rolling_profile(df: DataFrame, n: int = 20, bins: int = 50) -> DataFrame:

@@ -22,22 +22,36 @@ def _last(x: str, lo: int, hi: int) -> str:
     return f"last_value({x} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {lo} PRECEDING AND {hi} PRECEDING)"
 
 
-@query("smc_order_blocks", rounded("ticker date", "order_block_bull order_block_bear", f"""SELECT ticker, date, CASE WHEN chg > 0.02 THEN coalesce(rv / nullif(av, 0) * rr, 0) ELSE 0 END AS order_block_bull, CASE WHEN chg < -0.02 THEN coalesce(gv / nullif(av, 0) * gr, 0) ELSE 0 END AS order_block_bear FROM (
- SELECT ticker, date, close / lag(close) {_O} - 1 AS chg, avg(volume) {_w(20)} AS av, {_last('CASE WHEN close < open THEN volume END', 19, 1)} AS rv, {_last('CASE WHEN close < open THEN (high - low) / close END', 19, 1)} AS rr,
- {_last('CASE WHEN close > open THEN volume END', 19, 1)} AS gv, {_last('CASE WHEN close > open THEN (high - low) / close END', 19, 1)} AS gr FROM daily)""", 5))
+cte(
+    "moves",
+    f"""SELECT *, least(volume / nullif(CASE WHEN count(*) {prior(20)} = 20 THEN avg(volume) {prior(20)} END, 0) * (high - low) / close * 10, 1) AS force FROM (
+ SELECT *, close / lag(close) {_O} - 1 AS chg, row_number() {_O} AS rn FROM daily)""",
+)
+
+
+def _last_move(sign: str) -> str:
+    """The force of the last row of the 19 before that moved this way, null where it has none."""
+    return f"list_extract(list(force) FILTER (chg {sign} 0) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING), -1)"
+
+
+@query("smc_order_blocks", rounded("ticker date", "order_block_bull order_block_bear", f"""SELECT ticker, date, CASE WHEN rn > 20 AND chg > 0.02 THEN coalesce(fell, 0) ELSE 0 END AS order_block_bull,
+ CASE WHEN rn > 20 AND chg < -0.02 THEN coalesce(rose, 0) ELSE 0 END AS order_block_bear FROM (SELECT *, {_last_move('<')} AS fell, {_last_move('>')} AS rose FROM moves)""", 5))
 def q_blocks(spark, sf_dir):
     return tidy(structure.order_blocks(daily(spark, sf_dir)), K, ["order_block_bull", "order_block_bear"], 5)
 
 
-@query("smc_fair_value_gaps", rounded("ticker date", "fvg_bull fvg_bear", f"SELECT ticker, date, CASE WHEN u >= 0.001 THEN u ELSE 0 END AS fvg_bull, CASE WHEN d >= 0.001 THEN d ELSE 0 END AS fvg_bear FROM (SELECT *, (low - lag(high, 2) {_O}) / close AS u, (lag(low, 2) {_O} - high) / close AS d FROM daily)"))
+@query("smc_fair_value_gaps", rounded("ticker date", "fvg_bull fvg_bear", f"""SELECT ticker, date, CASE WHEN u > 0.001 THEN least(u * 100, 1) ELSE 0 END AS fvg_bull, CASE WHEN d > 0.001 THEN least(d * 100, 1) ELSE 0 END AS fvg_bear
+ FROM (SELECT *, (low - lag(high, 2) {_O}) / close AS u, (lag(low, 2) {_O} - high) / close AS d FROM daily)"""))
 def q_gaps(spark, sf_dir):
     return tidy(structure.fair_value_gaps(daily(spark, sf_dir)), K, ["fvg_bull", "fvg_bear"])
 
 
-@query("smc_liquidity_sweeps", f"""SELECT ticker, date, CASE WHEN pl < plo AND close > plo AND pv > 1.5 * pav THEN 1 WHEN ph > phi AND close < phi AND pv > 1.5 * pav THEN -1 ELSE 0 END AS liquidity_sweep FROM (
- SELECT *, lag(high) {_O} AS ph, lag(low) {_O} AS pl, lag(volume) {_O} AS pv, lag(hi) {_O} AS phi, lag(lo) {_O} AS plo, lag(av) {_O} AS pav FROM (SELECT *, max(high) {prior(20)} AS hi, min(low) {prior(20)} AS lo, avg(volume) {_w(20)} AS av FROM daily))""")
+@query("smc_liquidity_sweeps", rounded("ticker date", "liquidity_sweep", f"""SELECT ticker, date, CASE WHEN ph > phi AND pc < ppc AND close > pc AND pv / nullif(pav, 0) > 1.5 THEN least((close - pc) / pc * 50, 1)
+ WHEN NOT ph > phi AND pl < plo AND pc > ppc AND close < pc AND pv / nullif(pav, 0) > 1.5 THEN greatest((close - pc) / pc * 50, -1) ELSE 0 END AS liquidity_sweep FROM (
+ SELECT *, lag(high) {_O} AS ph, lag(low) {_O} AS pl, lag(close) {_O} AS pc, lag(close, 2) {_O} AS ppc, lag(volume) {_O} AS pv, lag(hi) {_O} AS phi, lag(lo) {_O} AS plo, lag(av) {_O} AS pav FROM (
+ SELECT *, CASE WHEN count(*) {prior(20)} = 20 THEN max(high) {prior(20)} END AS hi, CASE WHEN count(*) {prior(20)} = 20 THEN min(low) {prior(20)} END AS lo, avg(volume) {_w(20)} AS av FROM daily))""", 5))
 def q_sweeps(spark, sf_dir):
-    return structure.liquidity_sweeps(daily(spark, sf_dir)).select("ticker", "date", "liquidity_sweep")
+    return tidy(structure.liquidity_sweeps(daily(spark, sf_dir)), K, ["liquidity_sweep"], 5)
 
 
 _AFT = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
@@ -62,15 +76,15 @@ def q_breaks(spark, sf_dir):
     return structure.structure_breaks(daily(spark, sf_dir)).select("ticker", "date", "break_of_structure")
 
 
-@query("smc_change_of_character", f"""SELECT ticker, date, CASE WHEN sign(mom) <> sign(lag(mom) {_O}) AND volume > av THEN sign(mom)::DOUBLE ELSE 0.0::DOUBLE END AS change_of_character FROM (
- SELECT *, close / lag(close, 5) {_O} - 1 AS mom, avg(volume) {_w(20)} AS av FROM daily)""")
+@query("smc_change_of_character", rounded("ticker date", "change_of_character", f"""SELECT ticker, date, CASE WHEN sign(mom - pm) * sign(pm) < 0 AND volume > av AND rn > 20 THEN greatest(least((mom - pm) * 50, 1), -1) ELSE 0 END AS change_of_character FROM (
+ SELECT *, lag(mom) {_O} AS pm FROM (SELECT *, CASE WHEN count(chg) {_w(10)} = 10 THEN avg(chg) {_w(10)} END AS mom, avg(volume) {_w(20)} AS av FROM moves))""", 5))
 def q_choch(spark, sf_dir):
-    return structure.character_changes(daily(spark, sf_dir)).select("ticker", "date", (F.col("change_of_character") + 0.0).alias("change_of_character"))
+    return tidy(structure.character_changes(daily(spark, sf_dir)), K, ["change_of_character"], 5)
 
 
 @query("smc_all_features")
 def q_smc(spark, sf_dir):
-    return tidy(structure.smart_money(daily(spark, sf_dir)), [*K, "liquidity_sweep", "break_of_structure"], ["order_block_bull", "order_block_bear", "fvg_bull", "fvg_bear", "change_of_character"], 5)
+    return tidy(structure.smart_money(daily(spark, sf_dir)), [*K, "break_of_structure"], ["order_block_bull", "order_block_bear", "fvg_bull", "fvg_bear", "liquidity_sweep", "change_of_character"], 5)
 
 
 @query("sr_rolling_volume_profile", rounded("ticker date", "poc poc_distance", f"""SELECT ticker, date, lo + (bin + 0.5) * width AS poc, close / (lo + (bin + 0.5) * width) - 1 AS poc_distance FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY v DESC, bin) AS k FROM (
