@@ -228,8 +228,11 @@ for _kind in dict.fromkeys(s[0] for s in factors.SPECS.values()):
 
 
 def _pair_corr(p: int) -> str:
-    w = f"OVER (PARTITION BY a, b ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
-    return f"covar_samp(ra, rb) {w} / nullif(stddev_samp(ra) {w} * stddev_samp(rb) {w}, 0) AS c{p}, count(*) {w} AS n{p}"
+    """Mean correlation over all pairs per date: the sum over pairs is half the squared column sums of the standardised window, less its diagonal."""
+    w = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
+    return f"""SELECT date, (sum(s * s) / {p - 1} - max(k)) / nullif(max(k) * (max(k) - 1), 0) AS c{p} FROM (
+ SELECT date, pos, sum((x - mu) / sd) AS s, count(*) AS k FROM (SELECT date, mu, sd, unnest(rr) AS x, unnest(range({p})) AS pos FROM (
+ SELECT date, list(r) FILTER (r IS NOT NULL) {w} AS rr, avg(r) {w} AS mu, stddev_samp(r) {w} AS sd FROM gridr) WHERE len(rr) = {p} AND sd > 0) GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query(
@@ -237,11 +240,8 @@ def _pair_corr(p: int) -> str:
     rounded(
         "ticker date",
         ["correlation_spike_21d"],
-        f"""SELECT ticker, date, CASE WHEN rn < 84 THEN 0 ELSE coalesce(s, 0) END AS correlation_spike_21d FROM gridr LEFT JOIN (
- SELECT date, avg(c21) FILTER (n21 = 21) - avg(c63) FILTER (n63 = 63) AS s FROM (
- SELECT date, {_pair_corr(21)}, {_pair_corr(63)} FROM (
- SELECT x.date, x.ticker AS a, y.ticker AS b, x.r AS ra, y.r AS rb FROM gridr x JOIN gridr y
- ON x.date = y.date AND x.ticker < y.ticker WHERE x.r IS NOT NULL AND y.r IS NOT NULL)) GROUP BY date) USING (date)""",
+        f"""SELECT ticker, date, CASE WHEN rn < 84 THEN 0 ELSE coalesce(c21 - c63, 0) END AS correlation_spike_21d FROM gridr
+ LEFT JOIN ({_pair_corr(21)}) USING (date) LEFT JOIN ({_pair_corr(63)}) USING (date)""",
     ),
 )
 def correlation_spike(spark, sf_dir):

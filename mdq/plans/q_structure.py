@@ -9,7 +9,7 @@ from ..operators import structure
 from .inputs import daily, panel
 from .q_reports import _O, _w
 from .q_risk import prior
-from .registry import cte, query, rounded
+from .registry import SQL, cte, query, rounded
 
 K = ["ticker", "date"]
 
@@ -41,9 +41,9 @@ def q_blocks(spark, sf_dir):
 
 
 @query("smc_fair_value_gaps", rounded("ticker date", "fvg_bull fvg_bear", f"""SELECT ticker, date, CASE WHEN u > 0.001 THEN least(u * 100, 1) ELSE 0 END AS fvg_bull, CASE WHEN d > 0.001 THEN least(d * 100, 1) ELSE 0 END AS fvg_bear
- FROM (SELECT *, (low - lag(high, 2) {_O}) / close AS u, (lag(low, 2) {_O} - high) / close AS d FROM daily)"""))
+ FROM (SELECT *, (low - lag(high, 2) {_O}) / close AS u, (lag(low, 2) {_O} - high) / close AS d FROM daily)""", 5))
 def q_gaps(spark, sf_dir):
-    return tidy(structure.fair_value_gaps(daily(spark, sf_dir)), K, ["fvg_bull", "fvg_bear"])
+    return tidy(structure.fair_value_gaps(daily(spark, sf_dir)), K, ["fvg_bull", "fvg_bear"], 5)
 
 
 @query("smc_liquidity_sweeps", rounded("ticker date", "liquidity_sweep", f"""SELECT ticker, date, CASE WHEN ph > phi AND pc < ppc AND close > pc AND pv / nullif(pav, 0) > 1.5 THEN least((close - pc) / pc * 50, 1)
@@ -82,7 +82,10 @@ def q_choch(spark, sf_dir):
     return tidy(structure.character_changes(daily(spark, sf_dir)), K, ["change_of_character"], 5)
 
 
-@query("smc_all_features")
+_FAMILY = ["smc_order_blocks", "smc_fair_value_gaps", "smc_liquidity_sweeps", "smc_break_of_structure", "smc_change_of_character"]
+
+
+@query("smc_all_features", "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + (" USING (ticker, date)" if i else "") for i, n in enumerate(_FAMILY)))
 def q_smc(spark, sf_dir):
     return tidy(structure.smart_money(daily(spark, sf_dir)), [*K, "break_of_structure"], ["order_block_bull", "order_block_bear", "fvg_bull", "fvg_bear", "liquidity_sweep", "change_of_character"], 5)
 

@@ -9,7 +9,7 @@ from ..functions.core import tidy
 from ..sources import store
 from ..sources.adapters import table
 from .inputs import once
-from .registry import cte, query, rounded
+from .registry import SQL, cte, query, rounded
 
 # posts written from orders: two symbols per post, digits spelled as letters
 _LET = ("0123456789", "BCDFGKLMNQ")
@@ -145,7 +145,7 @@ def _facts(spark, sf_dir):
     return o.select(F.col("o_custkey").alias("company"), concept.alias("concept"), F.floor("o_totalprice").cast("double").alias("val"), F.col("o_orderdate").alias("end"), F.col("o_orderpriority").alias("form"))
 
 
-@query("facts_first_available")
+@query("facts_first_available", f"""SELECT company, concept, val FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY CASE concept WHEN 'Shares' THEN 1 WHEN 'Cash' THEN 2 ELSE 3 END) AS k FROM ({SQL["facts_latest_value"]})) WHERE k = 1""")
 def q_first(spark, sf_dir):
     return text.first_available(q_facts(spark, sf_dir), ["Shares", "Cash", "Debt"])
 
