@@ -7,9 +7,10 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions.core import tidy
+from ..operators import patterns
 from ..streaming import streams
 from .inputs import bars
-from .q_intraday import levels_daily
+from .q_intraday import candles, levels_daily
 from .registry import query, rounded
 
 _NTZ = "timestamp_ntz"
@@ -55,14 +56,29 @@ def s_last(spark, sf_dir):
     return streams.last_seen(_ticks(spark, sf_dir)).withColumn("ts", F.col("ts").cast(_NTZ))
 
 
+@query("stream_last_versions", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def s_versions(spark, sf_dir):
+    t = _ticks(spark, sf_dir).select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    return streams.drain_table(streams.last_versions(t, ["user_id", "event_type"], "at")).drop("at")
+
+
+@query("stream_stale_keys", rounded("user_id ts", "minutes_old", "SELECT user_id, ts, (epoch_us(max(ts) OVER ()) - epoch_us(ts)) / 6e7 AS minutes_old FROM (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) QUALIFY minutes_old > 6", 4))
+def s_stale(spark, sf_dir):
+    t = streams.stale(streams.last_seen(_ticks(spark, sf_dir)), "user_id").withColumn("ts", F.col("ts").cast(_NTZ))
+    return tidy(t, ["user_id", "ts"], ["minutes_old"], 4)
+
+
 @query("stream_merged_messages", "SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'signup') AS static, arg_max(value, event_id) FILTER (event_type = 'view') AS position FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1")
 def s_merged(spark, sf_dir):
     return streams.merged_messages(_ticks(spark, sf_dir))
 
 
-@query("stream_alerts", "SELECT b.ticker, b.ts, support FROM bi b JOIN levels_daily l ON l.ticker = b.ticker AND l.day = b.day WHERE abs(close - support) <= 0.01 * support")
+@query("stream_alerts", rounded("ticker ts pattern", "support score", """SELECT b.ticker, b.ts, support, p.pattern, p.confidence AS score FROM bi b JOIN levels_daily l ON l.ticker = b.ticker AND l.day = b.day
+ JOIN (SELECT ticker, ts, 'eqh_pair' AS pattern, 0.8::DOUBLE AS confidence FROM eqh) p ON p.ticker = b.ticker AND p.ts = b.ts WHERE abs(close - support) <= 0.01 * support""", 4))
 def s_alerts(spark, sf_dir):
-    return streams.drain(streams.alerts(_bars(spark, sf_dir), levels_daily(spark, sf_dir))).withColumn("ts", F.col("ts").cast(_NTZ))
+    found = patterns.equal_highs(candles(spark, sf_dir))
+    t = streams.drain(streams.alerts(_bars(spark, sf_dir), levels_daily(spark, sf_dir), found)).withColumn("ts", F.col("ts").cast(_NTZ))
+    return tidy(t, ["ticker", "ts", "pattern"], ["support", "score"], 4)
 
 
 @query("stream_cooldown", """WITH RECURSIVE p AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase'),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_folder
-from ..sources.store import keep_last
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -19,10 +18,13 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a query over the available input into a fresh Parquet table and read it back."""
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a query over the available input into a Parquet table and read it back.
+
+    With a folder of the caller's the query resumes from its checkpoint and the table grows.
+    """
     spark = stream.sparkSession
-    folder = _fresh(spark)
+    folder = folder or _fresh(spark)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -33,25 +35,27 @@ def _fresh(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain_each(stream: DataFrame, schema: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fold micro-batches into a stored table: step(stored, batch) gives the new table.
+def drain_table(aggregate: DataFrame, folder: str | None = None) -> DataFrame:
+    """Keep the table of a streaming aggregation and read it back.
 
-    Every batch writes a new version beside the old one, so a repeated batch is harmless.
+    The rows live in the aggregation's state. Every micro-batch writes the table as a version
+    named by its number, so a batch that is repeated after a failure writes the same version
+    again, and a query that resumes from the caller's folder goes on with the next.
     """
-    spark = stream.sparkSession
-    folder = _fresh(spark)
-    at = {"path": None}
+    spark = aggregate.sparkSession
+    folder = folder or _fresh(spark)
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        stored = s.read.schema(schema).parquet(at["path"]) if at["path"] else s.createDataFrame([], schema)
-        path = f"{folder}/v{epoch}"
-        step(stored, batch).write.mode("overwrite").parquet(path)
-        at["path"] = path
+    def each(table: DataFrame, epoch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{folder}/table/version={epoch}")
 
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = aggregate.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(at["path"]) if at["path"] else spark.createDataFrame([], schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)] if fs.exists(path) else []
+    if not versions:
+        return spark.createDataFrame([], aggregate.schema)
+    return spark.read.schema(aggregate.schema).parquet(f"{folder}/table/version={max(versions)}")
 
 
 def ticks(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +78,7 @@ def unique_keys(t: DataFrame, keys: list[str], late: str = "2 hours") -> DataFra
 def census(t: DataFrame, width: str = "30 minutes", slide: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows, distinct kinds of traffic and severity per sliding window."""
     g = t.withWatermark("ts", late).groupBy(F.window("ts", width, slide)).agg(
-        F.count("*").alias("seen"), F.sum((F.col("value") > 50).cast("bigint")).alias("large"), F.sum((F.col("event_type") == "error").cast("bigint")).alias("errors"), F.approx_count_distinct("user_id").alias("approx_users")
+        F.count("*").alias("seen"), F.sum((F.col("value") > 50).cast("bigint")).alias("large"), F.sum((F.col("event_type") == "error").cast("bigint")).alias("errors")
     )
     sev = F.when(F.col("errors") >= 4, "high").when(F.col("errors") >= 2, "elevated").otherwise("normal")
     return g.select(F.col("window.start").alias("start"), "seen", "large", "errors", sev.alias("severity"))
@@ -87,28 +91,45 @@ def sessions(t: DataFrame, late: str = "10 minutes") -> DataFrame:
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def last_seen(t: DataFrame) -> DataFrame:
-    """Newest timestamp per user, kept as a table."""
-    schema = "user_id bigint, ts timestamp"
-    return drain_each(t.select("user_id", "ts"), schema, lambda stored, batch: stored.unionByName(batch).groupBy("user_id").agg(F.max("ts").alias("ts")))
+def last_versions(t: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Newest row of each key by the order column, as a streaming aggregation."""
+    rest = [c for c in t.columns if c not in keys]
+    g = t.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_x"))
+    return g.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
+def last_seen(t: DataFrame, folder: str | None = None) -> DataFrame:
+    """Newest timestamp per user."""
+    return drain_table(t.groupBy("user_id").agg(F.max("ts").alias("ts")), folder)
+
+
+def stale(seen: DataFrame, key: str, minutes: int = 6) -> DataFrame:
+    """Keys whose newest timestamp is more than `minutes` older than the newest of all."""
+    now = seen.agg(F.max("ts").alias("now"))
+    age = (F.unix_micros("now") - F.unix_micros("ts")) / 60e6
+    return seen.join(F.broadcast(now)).withColumn("minutes_old", age).where(F.col("minutes_old") > minutes).select(key, "ts", "minutes_old")
 
 
-def merged_messages(t: DataFrame) -> DataFrame:
+def merged_messages(t: DataFrame, folder: str | None = None) -> DataFrame:
     """Latest static and latest position message of each user, side by side."""
-    schema = "user_id bigint, event_type string, event_id bigint, value double"
-    rows = t.where("event_type in ('signup', 'view')").select("user_id", "event_type", "event_id", "value")
-    table = drain_each(rows, schema, lambda stored, batch: keep_last(stored.unionByName(batch), ["user_id", "event_type"], ["event_id"]))
-    return table.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("value"))).alias("static"), F.max(F.when(F.col("event_type") == "view", F.col("value"))).alias("position"))
+    rows = t.where("event_type in ('signup', 'view')")
+    newest = lambda kind: F.max_by("value", F.when(F.col("event_type") == kind, F.col("event_id")))
+    return drain_table(rows.groupBy("user_id").agg(newest("signup").alias("static"), newest("view").alias("position")), folder)
 
 
-def alerts(bars: DataFrame, levels: DataFrame, band: float = 0.01) -> DataFrame:
-    """Bars that close within the band of the day's support (stream-static join)."""
+def alerts(bars: DataFrame, levels: DataFrame, found: DataFrame, band: float = 0.01) -> DataFrame:
+    """Bars with a pattern that close within the band of the day's support (stream-static joins)."""
     j = bars.withColumn("day", F.to_date("ts")).join(levels.select("ticker", "day", "support"), ["ticker", "day"])
-    return j.where(F.abs(F.col("close") - F.col("support")) <= band * F.col("support")).select("ticker", "ts", "support")
+    j = j.where(F.abs(F.col("close") - F.col("support")) <= band * F.col("support"))
+    p = found.where("confidence > 0").select("ticker", F.col("ts").cast("timestamp").alias("ts"), "pattern", F.col("confidence").alias("score"))
+    return j.join(p, ["ticker", "ts"]).select("ticker", "ts", "support", "pattern", "score")
 
 
 def _cool(minutes: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the pause is over: nothing left to remember
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("event_id")  # one user, one micro-batch
         kept = []
@@ -117,15 +138,16 @@ def _cool(minutes: int):
                 kept.append(int(i))
                 last = int(ts)
         state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": kept})
 
     return step
 
 
 def cooldown(t: DataFrame, minutes: int = 30) -> DataFrame:
-    """Signals at least `minutes` after the last accepted one of the same user."""
-    s = t.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    return s.groupBy("user_id").applyInPandasWithState(_cool(minutes), "user_id bigint, event_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    """Signals at least `minutes` after the last accepted one of the same user; a user's state goes when the watermark has passed its pause."""
+    s = t.withWatermark("ts", f"{minutes} minutes").select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return s.groupBy("user_id").applyInPandasWithState(_cool(minutes), "user_id bigint, event_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _monitor(pt: float, sl: float, fade: float):

@@ -263,3 +263,34 @@ def test_feature_store_round_trip(spark, prices, tmp_path):
     assert missing == ["2023-01-20", "2023-01-23", "2023-01-24"]
     store.write_csv(f, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == f.count()
+
+
+def test_stream_table_resumes_over_two_batches_of_files(spark, tmp_path):
+    """A query that stopped goes on from the caller's folder with the state and the table it had."""
+    from mdq.streaming import streams
+
+    t0 = dt.datetime(2024, 1, 15, 14)
+    schema = "user_id bigint, event_type string, event_id bigint, value double, ts timestamp"
+    row = lambda u, kind, i, v: (u, kind, i, v, t0 + dt.timedelta(minutes=i))
+    src, own = str(tmp_path / "in"), str(tmp_path / "own")
+    spark.createDataFrame([row(1, "signup", 1, 1.0), row(1, "view", 2, 2.0), row(2, "view", 3, 3.0)], schema).write.parquet(src)
+    got = streams.merged_messages(streams.ticks(spark, src), own).collect()
+    assert {r.user_id: (r.static, r.position) for r in got} == {1: (1.0, 2.0), 2: (None, 3.0)}
+    spark.createDataFrame([row(1, "view", 9, 9.0), row(3, "signup", 8, 8.0)], schema).write.mode("append").parquet(src)
+    got = streams.merged_messages(streams.ticks(spark, src), own).collect()
+    assert {r.user_id: (r.static, r.position) for r in got} == {1: (1.0, 9.0), 2: (None, 3.0), 3: (8.0, None)}
+    again = streams.merged_messages(streams.ticks(spark, src), own).collect()  # no new files
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
+def test_stream_cooldown_keeps_its_pause_over_a_restart(spark, tmp_path):
+    from mdq.streaming import streams
+
+    t0 = dt.datetime(2024, 1, 15, 14)
+    schema = "user_id bigint, event_id bigint, ts timestamp"
+    src, own = str(tmp_path / "in"), str(tmp_path / "own")
+    spark.createDataFrame([(1, 1, t0), (1, 2, t0 + dt.timedelta(minutes=10))], schema).write.parquet(src)
+    assert [r.event_id for r in streams.drain(streams.cooldown(streams.ticks(spark, src)), folder=own).collect()] == [1]
+    spark.createDataFrame([(1, 3, t0 + dt.timedelta(minutes=20)), (1, 4, t0 + dt.timedelta(minutes=31))], schema).write.mode("append").parquet(src)
+    got = streams.drain(streams.cooldown(streams.ticks(spark, src)), folder=own).collect()
+    assert sorted(r.event_id for r in got) == [1, 4]
