@@ -38,8 +38,9 @@ def with_ctes(body: str) -> str:
     seen: set[str] = set()
 
     def visit(text: str) -> None:
+        words = set(re.findall(r"\w+", text))
         for name in CTES:
-            if name not in seen and re.search(rf"\b{name}\b", text):
+            if name in words and name not in seen:
                 seen.add(name)
                 visit(CTES[name])
                 needed.append(name)
