@@ -21,7 +21,7 @@ HEADLINE = [
     "daily_enrichment", "tail_risk", "overnight_edge", "market_regimes", "dilution_combined", "slippage_by_order_size", "score_expressions",
     "walk_forward_results", "fitness_sharpe", "wilder_atr_adx", "pattern_strict_twin", "levels_volume_profile", "outcomes_first_barrier",
     "trade_summary_grid", "join_asof_backward", "join_nearest_date", "pareto_front_large", "niche_count_and_novelty", "headline_sentiment",
-    "post_entries", "stream_tumbling_bars",
+    "post_entries", "stream_tumbling_bars", "setup_scores", "shuffle_control", "stream_last_versions",
 ]
 
 
