@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from .common import staged
 
 SLOTS = 1 << 15
 #: words of the dictionary at most; a bound on memory alone, results do not depend on it
-COMMON = 1 << 16
+COMMON = 1 << 17
 #: bytes of a word that is folded in the JVM; the fold is quadratic
 LONGEST = 64
 #: documents of an Arrow batch that a task hands back
@@ -111,9 +112,30 @@ def dictionary(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The same fold for one word; all places of the lowest pair are merged in one pass, which gives the same result."""
+    """The same fold for one word: the pair with the lowest rank is merged, leftmost first."""
     if word in ranks:
         return (ranks[word],)
+    if len(word) > 4 * LONGEST:
+        return _merge_long(word, ranks)
+    none, get = 1 << 60, ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+    return tuple([ranks[p] for p in parts])
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """For long words: all places of the lowest pair in one pass, which gives the same result, as new pairs rank above it."""
     parts = [word[i : i + 1] for i in range(len(word))]
     while len(parts) > 1:
         best, none = None, 1 << 60
@@ -132,7 +154,34 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
                 out.append(parts[i])
                 i += 1
         parts = out
-    return tuple(ranks[p] for p in parts)
+    return tuple([ranks[p] for p in parts])
+
+
+class Known(dict):
+    """Ids of words as little-endian bytes; a word that is not known is folded and kept, up to `room` of them."""
+
+    def __init__(self, common: dict[str, bytes], ranks: dict[bytes, int], room: int):
+        super().__init__(common)
+        self.common, self.ranks, self.most = common, ranks, len(common) + room
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.common)
+        self[word] = ids = np.array(merge(word.encode(), self.ranks), "<i4").tobytes()
+        return ids
+
+
+#: the words that this worker knows, kept from task to task; of the last dictionary only
+_KEPT: dict[str, Known] = {}
+
+
+def _known(made: str, shared, room: int) -> Known:
+    if made not in _KEPT:
+        _KEPT.clear()
+        ranks, common = shared.value
+        _KEPT[made] = Known(common, ranks, room)
+    return _KEPT[made]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", cache: int = 300_000) -> DataFrame:
@@ -143,23 +192,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """
     docs = docs.drop("ids") if "ids" in docs.columns else docs
     names, at = docs.columns, docs.columns.index(text_col)
+    made = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), dictionary(docs, ranks_path, pattern, text_col)))
 
     def run(batches):
-        ranks, common = shared.value
         find = regex.compile(pattern).findall
-
-        class Known(dict):
-            """Ids of words as little-endian bytes; a word that is not known is folded and kept."""
-
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > len(common) + cache:
-                    self.clear()
-                    self.update(common)
-                self[word] = ids = _bytes(merge(word.encode(), ranks))
-                return ids
-
-        known = Known(common)
+        known = _known(made, shared, cache)
         for whole in batches:
             for start in range(0, whole.num_rows, _ROWS):  # short batches: the ids take more room than the text
                 batch = whole.slice(start, _ROWS)
