@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute
 import corpus_pipeline
-from mdq.llm import ann, bpe, catalogue, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from mdq.llm import ann, bpe, catalogue, langid, line_dedup, near_copies, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from mdq.llm.common import work_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -180,6 +180,70 @@ def test_simhash_ids_may_be_null_or_repeated(spark):
     assert sorted(r.doc_id for r in kept) == [2, 9]
 
 
+# ---- near copies of the pipeline ------------------------------------------------------------
+
+
+def plain_near_copies(rows, n=5, percent=80):
+    """Ids that stay: the smallest of each component of texts whose n-word runs overlap enough."""
+    sets = []
+    for _, t in rows:
+        w = brute.WORDS.findall((t or "").encode().lower().decode())
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def changed(text, words, rng):
+    w = text.split(" ")
+    for k in range(words):
+        w[rng.randrange(len(w))] = f"c{rng.random()}"
+    return " ".join(w)
+
+
+def test_near_copies_of_five_word_overlap_go(spark):
+    text = prose(130)
+    near = text.split(" ")
+    for k in (30, 90):
+        near[k] = "changed"
+    rows = [(1, text), (2, " ".join(near)), (3, prose(130))]
+    assert plain_near_copies(rows) == [1, 3]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, [t for _, t in rows], [i for i, _ in rows]), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+@pytest.mark.parametrize("small,common", [(8, 5), (1, 2)])
+def test_near_copies_match_plain_version(spark, monkeypatch, small, common):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rng = random.Random(small)
+    base = [prose(n, rng) for n in (120, 120, 60, 300)]
+    texts = [changed(rng.choice(base), rng.randint(0, 7), rng) for _ in range(90)]
+    texts += [base[0] + " " + prose(k, rng) for k in (5, 15, 25, 35, 45)] + [t.upper() for t in texts[:3]]
+    texts += [prose(40, rng) + " " + base[1] for _ in range(5)] + AWKWARD + ["a", "A b"]
+    ids = rng.sample(range(1000), len(texts))
+    got = near_copies.keep_one(frame(spark, texts, ids))
+    assert sorted(r.doc_id for r in got.collect()) == plain_near_copies(list(zip(ids, texts)))
+
+
+def test_near_copies_keep_rows_without_an_id(spark):
+    text = prose(30)
+    got = near_copies.keep_one(frame(spark, [text, text, None, text, "other words here"], [None, 7, None, 3, None])).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [3, None, None, None]
+
+
 # ---- quality --------------------------------------------------------------------------------
 
 
