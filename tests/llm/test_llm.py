@@ -288,6 +288,19 @@ def test_divergence_matches_plain_version(spark):
     assert not got[12].kept and all(got[i].kept for i in range(12))
 
 
+def test_quality_keeps_clean_documents_of_a_rare_language(spark, monkeypatch):
+    rng = random.Random(3)
+    greek = " ".join("".join(rng.choice("αβγδεζηθικλμνοπρστυφχψω") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    latin = [(i, prose(60), "en", "s", 1) for i in range(399)]
+    df = spark.createDataFrame([*latin, (900, greek, "el", "s", 1)], DOCS)
+    assert [r.kept for r in quality.quality_rules(df).filter("doc_id = 900").collect()] == [True]
+    few = quality.references
+    monkeypatch.setattr(quality, "references", lambda *a: few(*a, most=1))
+    got = {r.doc_id: r for r in quality.quality_rules(df.unionByName(df.filter("doc_id = 900").withColumns({"doc_id": F.lit(901), "lang": F.lit(None).cast("string")}))).filter("doc_id >= 900").collect()}
+    assert got[900].kept and got[900].char_distance > 0.29  # no reference of its language
+    assert not got[901].kept
+
+
 def test_quality_without_labels(spark):
     got = quality.quality_rules(frame(spark, [prose(60), None]).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.doc_id: (r.kept, r.char_distance) for r in got} == {0: (True, None), 1: (False, None)}
