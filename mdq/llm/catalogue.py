@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, bpe, langid, line_dedup, mixing, packing, quality, retrieval, simhash, spelling, substring_dedup, suffix_dedup, warc
 from .common import table, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,40 @@ def op10_language_id(spark, sf_dir):
     return out.select("doc_id", (langid.fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query
+def op11_mixing(spark, sf_dir):
+    """Copies of every document that bring the sources to their shares of all words."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_spelling(spark, sf_dir):
+    """Words of all documents, their near words, forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_retrieval(spark, sf_dir):
+    """The ten highest-scoring documents of every benchmark item."""
+    return retrieval.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL["op13_retrieval"] = r"""
+WITH lowered AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM lowered),
+s AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM s),
+t AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM s) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, g GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT item_id, term, count(*)::BIGINT AS times FROM q GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM c JOIN w USING (term) JOIN t USING (term), g GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
 @query
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py, one after the other."""
