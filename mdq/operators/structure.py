@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import ROOT_YEAR, div, last_n, nz, order_window, prior_n
+from ..functions.scan import state_before
 
 O, H, L, C, V = "open", "high", "low", "close", "volume"
 
@@ -18,6 +22,10 @@ def _lag(x, k: int = 1) -> Column:
     return F.lag(x, k).over(_w())
 
 
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
 def _full(x, n: int, f) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.when(F.count(x).over(last_n(n)) == n, f(x).over(last_n(n)))
@@ -74,21 +82,29 @@ def swings(df: DataFrame, n: int = 5) -> DataFrame:
     return df.withColumns({"swing_high": nz(hi.cast("int"), 0).cast("int"), "swing_low": nz(lo.cast("int"), 0).cast("int")})
 
 
-def structure_breaks(df: DataFrame, n: int = 5) -> DataFrame:
-    """Close beyond the last confirmed swing; the trend is the side of the last break."""
-    d = swings(df, n)
-    # a swing is known n rows later
-    seen = _w().rowsBetween(Window.unboundedPreceding, -n)
-    d = d.withColumns(
-        {
-            "last_high": F.last(F.when(F.col("swing_high") == 1, F.col(H)), ignorenulls=True).over(seen),
-            "last_low": F.last(F.when(F.col("swing_low") == 1, F.col(L)), ignorenulls=True).over(seen),
-        }
-    )
-    side = F.when(F.col(C) > F.col("last_high"), 1).when(F.col(C) < F.col("last_low"), -1)
-    d = d.withColumn("side", side)
-    d = d.withColumn("trend", nz(F.last("side", ignorenulls=True).over(_w().rowsBetween(Window.unboundedPreceding, -1)), 0))
-    return d.withColumn("break_of_structure", F.when(F.col("side").isNotNull() & (F.col("side") != F.col("trend")), F.col("side")).otherwise(0))
+def structure_breaks(df: DataFrame, n: int = 5, skip: int = 50) -> DataFrame:
+    """Break of the last swing against the trend: fifty times its share of the close, at most 1; negative under a swing low in an uptrend.
+
+    The trend turns up at a swing high over the one before, down at a swing low under the one
+    before, and with every break. The first `skip` rows of a ticker and their swings don't count.
+    """
+    d = swings(df, n).withColumn("rn", F.row_number().over(_w()))
+    live = F.col("rn") > skip
+    d = d.withColumns({"at_high": F.when(live & (F.col("swing_high") == 1), F.col(H)), "at_low": F.when(live & (F.col("swing_low") == 1), F.col(L))})
+    upto, before = _w().rowsBetween(Window.unboundedPreceding, 0), _w().rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda x, w: F.last(x, ignorenulls=True).over(w)
+    d = d.withColumns({"last_high": last("at_high", upto), "last_low": last("at_low", upto), "old_high": last("at_high", before), "old_low": last("at_low", before)})
+    up, down = _yes(F.col("at_high") > F.col("old_high")), _yes(F.col("at_low") < F.col("old_low"))
+    under, over = live & _yes(F.col(L) < F.col("last_low")), live & _yes(F.col(H) > F.col("last_high"))
+    # states: 0 down, 1 neutral, 2 up; the swings set the trend first, then a break turns it
+    set_to = lambda s: F.when(down, 0).when(up, 2).otherwise(s)
+    turned = lambda t: F.when((t == 2) & under, 0).when((t == 0) & over, 2).otherwise(t)
+    d = state_before(d, ["ticker"], "date", [turned(set_to(s)) for s in range(3)], start=1, name="trend")
+    d = d.withColumn("side", set_to(F.col("trend")))
+    size = lambda x: F.least(div(x, F.col(C)) * 50, F.lit(1.0))
+    drop, rise = size(F.col("last_low") - F.col(L)), size(F.col(H) - F.col("last_high"))
+    out = F.when((F.col("side") == 2) & under, -drop).when((F.col("side") == 0) & over, rise)
+    return d.withColumn("break_of_structure", nz(out))
 
 
 def character_changes(df: DataFrame, n: int = 10, volume_rows: int = 20) -> DataFrame:
@@ -100,56 +116,117 @@ def character_changes(df: DataFrame, n: int = 10, volume_rows: int = 20) -> Data
     return d.withColumn("change_of_character", nz(F.when(hit, F.greatest(F.least(F.col("turn") * 50, F.lit(1.0)), F.lit(-1.0)))))
 
 
-def rolling_profile(df: DataFrame, n: int = 20, bins: int = 50) -> DataFrame:
-    """Busiest price bin of the last n rows at every row: a bounded self fan-out, then sums per bin."""
-    d = df.withColumns({"rn": F.row_number().over(_w()), "lo": F.min(L).over(last_n(n)), "hi": F.max(H).over(last_n(n))})
-    win = d.select("ticker", "date", "rn", "lo", "hi", "close", F.explode(F.sequence(F.greatest(F.col("rn") - n + 1, F.lit(1)), "rn")).alias("src"))
-    src = d.select("ticker", F.col("rn").alias("src"), ((F.col(H) + F.col(L) + F.col(C)) / 3).alias("tp"), F.col(V).alias("v"))
-    j = win.join(src, ["ticker", "src"]).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
-    j = j.withColumn("bin", nz(F.least(F.floor(div(F.col("tp") - F.col("lo"), F.col("width")) + 1e-9), F.lit(bins - 1)), 0).cast("int"))
-    g = j.groupBy("ticker", "date", "bin").agg(F.sum("v").alias("v"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("close").alias("close"))
-    p = g.groupBy("ticker", "date").agg(F.max_by(F.struct("bin", "lo", "width", "close"), F.struct("v", -F.col("bin"))).alias("x"))
-    poc = F.col("x.lo") + (F.col("x.bin") + 0.5) * F.col("x.width")
-    return p.select("ticker", "date", poc.alias("poc"), (div(F.col("x.close"), poc) - 1).alias("poc_distance"))
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("poc", "high", "low")]))
+def _value_area(closes: pd.Series, volumes: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+    """Busiest bin's middle and the edges of the value area, for many windows at once."""
+    bins, share = PROFILE_BINS - 1, 0.70
+    price, volume = np.stack(closes.to_numpy()).astype(float), np.stack(volumes.to_numpy()).astype(float)
+    low, step = lo.to_numpy(float), (hi - lo).to_numpy(float) / bins
+    with np.errstate(all="ignore"):
+        at = np.ceil((price - low[:, None]) / step[:, None] - 1e-9) - 1
+    at = np.clip(np.nan_to_num(at, nan=0.0, posinf=0.0, neginf=0.0), 0, bins - 1).astype(int)
+    rows = np.arange(len(price))
+    held = np.zeros((len(price), bins + 2))  # an empty bin on both sides
+    for k in range(price.shape[1]):
+        held[rows, at[:, k] + 1] += volume[:, k]
+    top = held[:, 1:-1].argmax(axis=1)
+    first, last = top.copy(), top.copy()
+    now, goal = held[rows, top + 1], held.sum(axis=1) * share
+    for _ in range(bins - 1):
+        left, right = held[rows, first], held[rows, last + 2]
+        go = now < goal
+        down = go & (left > right) & (first > 0)
+        up = go & ~down & (last < bins - 1)
+        now = now + np.where(down, left, 0) + np.where(up, right, 0)
+        first, last = first - down, last + up
+    return pd.DataFrame({"poc": low + (top + 0.5) * step, "high": low + (last + 1) * step, "low": low + first * step})
+
+
+#: edges of the price bins of a rolling profile
+PROFILE_BINS = 50
+
+
+def rolling_profile(df: DataFrame, n: int = 20) -> DataFrame:
+    """Distance of the close to the busiest price and to the edges of the value area of the n rows before, as shares of the close.
+
+    The value area grows from the busiest bin to the busier neighbour, upwards if equal, until it
+    holds 70 % of the volume. Rows without n rows before have 0.
+    """
+    w = prior_n(n)
+    d = df.withColumns({"closes": F.collect_list(C).over(w), "volumes": F.collect_list(V).over(w), "lo": F.min(L).over(w), "hi": F.max(H).over(w)})
+    whole = d.where(F.size("closes") == n).select("ticker", "date", _value_area("closes", "volumes", "lo", "hi").alias("x"))
+    far = lambda x: nz(div(F.col(x) - F.col(C), F.col(C)))
+    out = df.join(whole, ["ticker", "date"], "left")
+    return out.select("ticker", "date", far("x.poc").alias("poc_distance"), far("x.high").alias("va_high_distance"), far("x.low").alias("va_low_distance"))
+
+
+def pivot_levels(h: Column, l: Column, c: Column) -> dict[str, tuple[Column, ...]]:
+    """pivot, r1, r2, r3, s1, s2, s3 by method, of one row's high, low and close."""
+    rng, p, w = h - l, (h + l + c) / 3, (h + l + 2 * c) / 4
+    plain = lambda p: (p, 2 * p - l, p + rng, h + 2 * (p - l), 2 * p - h, p - rng, l - 2 * (h - p))
+    around = lambda x, mid, steps: (x, *[mid + k * rng for k in steps], *[mid - k * rng for k in steps])
+    return {
+        "traditional": plain(p),
+        "fibonacci": around(p, p, (0.382, 0.618, 1.0)),
+        "camarilla": around(p, c, (1.1 / 12, 1.1 / 6, 1.1 / 4)),
+        "woodie": plain(w),
+    }
+
+
+PIVOTS = ["pivot_p", "r1", "r2", "r3", "s1", "s2", "s3"]
 
 
 def pivot_distances(df: DataFrame) -> DataFrame:
-    """Distance of the close to pivot levels of the row before, by method."""
-    d = df.withColumns({"h": _lag(H), "l": _lag(L), "c": _lag(C)})
-    h, l, c, o = F.col("h"), F.col("l"), F.col("c"), F.col(O)
-    rng, p, w = h - l, (h + l + c) / 3, (h + l + 2 * o) / 4
-    methods = {
-        "traditional": (p, 2 * p - l, 2 * p - h, p + rng, p - rng),
-        "fibonacci": (p, p + 0.382 * rng, p - 0.382 * rng, p + 0.618 * rng, p - 0.618 * rng),
-        "camarilla": (p, c + rng * 1.1 / 12, c - rng * 1.1 / 12, c + rng * 1.1 / 6, c - rng * 1.1 / 6),
-        "woodie": (w, 2 * w - l, 2 * w - h, w + rng, w - rng),
-    }
-    names = ["pivot_p", "r1", "s1", "r2", "s2"]
-    dist = lambda x: div(F.col(C), x) - 1
-    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[dist(x).alias(n) for n, x in zip(names, v)]) for m, v in methods.items()])
-    return d.where(h.isNotNull()).select("ticker", "date", F.explode(rows).alias("m")).select("ticker", "date", "m.*")
+    """Distance of the pivot levels of the row before to the close, as a share of it, by method; 0 in a ticker's first row."""
+    far = lambda x: nz(div(x - F.col(C), F.col(C)))
+    levels = pivot_levels(_lag(H), _lag(L), _lag(C))
+    d = df.withColumns({f"{m}_{n}": far(x) for m, v in levels.items() for n, x in zip(PIVOTS, v)})
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{n}").alias(n) for n in PIVOTS]) for m in levels])
+    return d.select("ticker", "date", F.explode(rows).alias("m")).select("ticker", "date", "m.*")
+
+
+AVERAGES = (20, 50, 100, 200)
 
 
 def bands(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    """Moving-average distances, Bollinger and Keltner position and width, squeeze."""
+    """Distances to moving averages, Bollinger and Keltner bands as shares of the close, band widths and positions, and the squeeze (the first inside the second)."""
     pc = _lag(C)
     d = df.withColumn("tr", F.greatest(F.col(H) - F.col(L), F.abs(F.col(H) - pc), F.abs(F.col(L) - pc)))
-    d = d.withColumns({"ma": _full(C, n, F.avg), "sd": _full(C, n, F.stddev_samp), "atr": _full("tr", n, F.avg), **{f"ma_{m}": _full(C, m, F.avg) for m in (50, 100, 200)}})
-    c, ma, sd, atr = F.col(C), F.col("ma"), F.col("sd"), F.col("atr")
-    return d.select(
-        "ticker", "date", *[(div(c, F.col(f"ma_{m}")) - 1).alias(f"ma_{m}_distance") for m in (50, 100, 200)], (div(c, ma) - 1).alias("ma_20_distance"),
-        (c > ma).cast("int").alias("above_ma_20"), div(c - (ma - k * sd), 2 * k * sd).alias("bb_position"), div(2 * k * sd, ma).alias("bb_width"),
-        div(c - (ma - k * atr), 2 * k * atr).alias("keltner_position"), div(2 * k * atr, ma).alias("keltner_width"), (sd < atr).cast("int").alias("squeeze"),
-    )
+    d = d.withColumns({"mid": _full(C, n, F.avg), "sd": _full(C, n, F.stddev_samp), "atr": _full("tr", n, F.avg), **{f"ma_{m}": _full(C, m, F.avg) for m in AVERAGES}})
+    c, far = F.col(C), lambda x: div(x - F.col(C), F.col(C))
+    flag = lambda x: _yes(x).cast("int")
+    out: dict[str, Column] = {}
+    for m in AVERAGES:
+        out |= {f"ma_{m}_distance": far(F.col(f"ma_{m}")), f"above_ma_{m}": flag(c > F.col(f"ma_{m}"))}
+    for name, half in (("bb", F.col("sd") * k), ("kc", F.col("atr") * k)):
+        low, high = F.col("mid") - half, F.col("mid") + half
+        out |= {f"{name}_upper_distance": far(high), f"{name}_lower_distance": far(low), f"{name}_width": div(high - low, F.col("mid")), f"{name}_position": div(c - low, high - low)}
+    out["squeeze"] = flag(F.col("sd") < F.col("atr"))
+    return d.select("ticker", "date", *[x.alias(n) for n, x in out.items()])
+
+
+ROUND = (5, 10, 50, 100)
 
 
 def action_levels(df: DataFrame, n: int = 50) -> DataFrame:
-    """Distance to the n-row extremes, consolidation and distance to round numbers."""
-    d = df.withColumns({"hi": F.max(H).over(last_n(n)), "lo": F.min(L).over(last_n(n)), "sd20": _full(C, 20, F.stddev_samp)})
-    d = d.withColumn("sd_mean", _full("sd20", 100, F.avg))
-    c = F.col(C)
-    rounds = {f"round_{k}": F.abs(div(c - F.round(c / k) * k, c)) for k in (5, 10, 50, 100)}
-    return d.withColumns({"high_distance": div(c, F.col("hi")) - 1, "low_distance": div(c, F.col("lo")) - 1, "consolidation": nz((F.col("sd20") < 0.5 * F.col("sd_mean")).cast("int"), 0).cast("int"), **rounds})
+    """Distances to the n-row extremes and to round numbers as shares of the close, place in the range, and consolidation (volatility of returns under half its 100-row mean)."""
+    d = df.withColumns({"r": div(C, _lag(C)) - 1, "hi": _full(H, n, F.max), "lo": _full(L, n, F.min)})
+    d = d.withColumn("vol", _full("r", 20, F.stddev_samp)).withColumn("usual", _full("vol", 100, F.avg))
+    c, far = F.col(C), lambda x: div(x - F.col(C), F.col(C))
+    out = {"distance_to_high": far(F.col("hi")), "distance_to_low": far(F.col("lo")), "range_position": div(c - F.col("lo"), F.col("hi") - F.col("lo"))}
+    out |= {"consolidation": _yes(F.col("vol") < F.col("usual") * 0.5).cast("int")}
+    out |= {f"distance_to_round_{k}": far(F.rint(c / k) * k) for k in ROUND}
+    return d.select("ticker", "date", *[x.alias(n) for n, x in out.items()])
+
+
+def support_resistance(df: DataFrame) -> DataFrame:
+    """The support/resistance family in one frame: profile, traditional pivots, bands and averages, action levels."""
+    profile = rolling_profile(df).select("ticker", "date", *[F.col(x).alias(f"sr_{x}") for x in ("poc_distance", "va_high_distance", "va_low_distance")])
+    pivots = pivot_distances(df).where("method = 'traditional'").select("ticker", "date", *[F.col(x).alias(f"sr_pivot_{x}") for x in PIVOTS])
+    out = profile
+    for part in (pivots, bands(df), action_levels(df)):
+        out = out.join(part, ["ticker", "date"])
+    return out
 
 
 def linked(df: DataFrame, series: DataFrame, n: int = 60) -> DataFrame:
@@ -163,33 +240,60 @@ def linked(df: DataFrame, series: DataFrame, n: int = 60) -> DataFrame:
     return d.withColumns({"correlation": F.when(full, nz(div(cov, F.sqrt(va * vb)))), "beta": F.when(full, nz(div(cov, vb)))})
 
 
-def commodity(df: DataFrame, n: int = 20) -> DataFrame:
-    """Momentum, volatility and up-day share."""
-    d = df.withColumn("r", div(F.col(C), _lag(C)) - 1)
-    return d.withColumns({"momentum": div(F.col(C), _lag(C, n)) - 1, "volatility": _full("r", n, F.stddev_samp) * ROOT_YEAR, "up_share": _full((F.col("r") > 0).cast("double"), n, F.avg)})
+def commodity(df: DataFrame, value: str = C, periods: tuple[int, ...] = (5, 10, 20, 60), n: int = 20) -> DataFrame:
+    """Momentum over several periods, yearly volatility, and up days of the last n against half of them."""
+    d = df.withColumn("r", div(value, _lag(value)) - 1)
+    up = _full(_yes(F.col("r") > 0).cast("double"), n, F.sum)
+    return d.withColumns({**{f"momentum_{p}": div(value, _lag(value, p)) - 1 for p in periods}, "volatility": _full("r", n, F.stddev_samp) * ROOT_YEAR, "trend_strength": (up - n / 2) / (n / 2)})
+
+
+def _slope(x: Column, n: int) -> Column:
+    """Slope of x over the last n rows, null before there are so many; needs the row number rn."""
+    w = last_n(n)
+    return F.when(F.count(x).over(w) == n, F.regr_slope(x, F.col("rn")).over(w))
+
+
+def inventory_features(df: DataFrame, value: str, n: int = 20) -> DataFrame:
+    """Deviation from the mean of 5 n rows, change and its share, slope over n rows, and change against the mean change of 4 rows."""
+    x, was = F.col(value), _lag(value)
+    d = df.withColumns({"rn": F.row_number().over(_w()), "inventory_change": x - was, "inventory_change_pct": div(x, was) - 1, "usual": _full(value, 5 * n, F.avg)})
+    return d.withColumns({"inventory_deviation": div(x - F.col("usual"), F.col("usual")), "inventory_trend": _slope(x, n), "inventory_surprise": F.col("inventory_change") - _full("inventory_change", 4, F.avg)}).drop("rn", "usual")
 
 
-def level_series(df: DataFrame, value: str, n: int = 52, short: int = 12) -> DataFrame:
-    """Deviation from the n-row mean, change, trend slope and surprise of an inventory or utilisation series."""
+def utilisation_features(df: DataFrame, value: str, n: int = 52, short: int = 12) -> DataFrame:
+    """Change, deviation from the mean of n rows and slope over `short` rows."""
     x = F.col(value)
-    d = df.withColumns({"rn": F.row_number().over(_w()), "mean_n": F.avg(x).over(last_n(n)), "change": x - _lag(value)})
-    d = d.withColumns({"deviation": div(x, F.col("mean_n")) - 1, "slope": F.when(F.col("rn") > 1, F.regr_slope(x, F.col("rn")).over(last_n(short)))})
-    return d.withColumn("surprise", F.col("change") - F.avg("change").over(prior_n(4)))
+    d = df.withColumns({"rn": F.row_number().over(_w()), "utilisation_change": x - _lag(value), "usual": _full(value, n, F.avg)})
+    return d.withColumns({"utilisation_deviation": div(x - F.col("usual"), F.col("usual")), "utilisation_trend": _slope(x, short)}).drop("rn", "usual")
+
+
+def _rolling_rank(x: str, n: int) -> Column:
+    """Mean rank of the last value among the last n, as a share; null before there are so many."""
+    past = F.collect_list(x).over(last_n(n))
+    below, upto = (F.size(F.filter(past, f)) for f in (lambda y: y < F.col(x), lambda y: y <= F.col(x)))
+    return F.when(F.size(past) == n, (below + upto + 1) / 2 / n)
+
+
+def crack_spreads(df: DataFrame, crude: str, gasoline: str, diesel: str, n: int = 252, mom: int = 20) -> DataFrame:
+    """Refining margins: two parts gasoline and one diesel over three crude, and each product alone; momentum of the first and percentiles within the last n rows."""
+    g, d, c = F.col(gasoline), F.col(diesel), F.col(crude)
+    out = df.withColumns({"crack_321": (2 * g + d) / 3 - c, "crack_gasoline": g - c, "crack_diesel": d - c})
+    out = out.withColumn("crack_momentum", div("crack_321", _lag("crack_321", mom)) - 1)
+    return out.withColumns({f"{x}_percentile": _rolling_rank(x, n) for x in ("crack_321", "crack_gasoline", "crack_diesel")})
 
 
-def spread_series(df: DataFrame, other: DataFrame, n: int = 252, mom: int = 20) -> DataFrame:
-    """Spread of two price series, its momentum and the percentile of the value within the last n rows."""
-    o = other.select("date", F.col(C).alias("other"))
-    d = df.join(o, "date").withColumn("spread", F.col(C) - F.col("other"))
-    d = d.withColumns({"spread_pct": div(F.col("spread"), F.col("other")), "spread_momentum": F.col("spread") - _lag("spread", mom), "past": F.collect_list("spread").over(last_n(n))})
-    return d.withColumn("percentile", div(F.size(F.filter("past", lambda x: x <= F.col("spread"))), F.size("past"))).drop("past")
+def spread_series(df: DataFrame, one: str, other: str, n: int = 252, mom: int = 20) -> DataFrame:
+    """Difference of two prices, its share of the second, its relative change over mom rows and its percentile within the last n."""
+    d = df.withColumn("spread", F.col(one) - F.col(other)).withColumn("spread_pct", div("spread", other))
+    return d.withColumns({"spread_momentum": div("spread", _lag("spread", mom)) - 1, "spread_percentile": _rolling_rank("spread", n)})
 
 
 def seasonal(df: DataFrame) -> DataFrame:
-    """Driving and heating season flags and the same-month average return of the ticker."""
+    """Driving, heating and shoulder season flags and the same-month average return of the ticker."""
     d = df.withColumns({"r": div(F.col(C), _lag(C)) - 1, "month": F.month("date")})
     avg = d.groupBy("ticker", "month").agg(F.avg("r").alias("month_avg"))
-    return d.join(avg, ["ticker", "month"]).withColumns({"driving": F.col("month").between(5, 9).cast("int"), "heating": F.col("month").isin(11, 12, 1, 2, 3).cast("int")})
+    driving, heating = F.col("month").between(5, 9), F.col("month").isin(11, 12, 1, 2, 3)
+    return d.join(avg, ["ticker", "month"]).withColumns({"driving": driving.cast("int"), "heating": heating.cast("int"), "shoulder": (~driving & ~heating).cast("int")})
 
 
 def risk_proxy(df: DataFrame, move: float = 0.03) -> DataFrame:
@@ -199,6 +303,66 @@ def risk_proxy(df: DataFrame, move: float = 0.03) -> DataFrame:
     return d.withColumns({"risk": div(F.col("vol"), _full("vol", 60, F.avg)), "large_5": F.sum("large").over(last_n(5))})
 
 
+MARKET = [*[f"momentum_{p}" for p in (5, 10, 20, 60)], "volatility", "trend_strength", "inventory_deviation", "inventory_change", "inventory_change_pct", "inventory_trend", "inventory_surprise"]
+MARKET += ["crack_321", "crack_gasoline", "crack_diesel", "crack_momentum", "crack_321_percentile", "crack_gasoline_percentile", "crack_diesel_percentile"]
+MARKET += ["utilisation_change", "utilisation_deviation", "utilisation_trend", "spread", "spread_pct", "spread_momentum", "spread_percentile", "vol_spike", "large_move", "large_move_5"]
+
+
+def market_features(market: DataFrame) -> DataFrame:
+    """Everything that follows from the commodity market alone: (date, ...) of market(date, crude, other_crude, gasoline, diesel, inventory, utilisation), one row a date."""
+    d = commodity(market.withColumn("ticker", F.lit("market")), "crude")
+    d = inventory_features(d, "inventory")
+    d = utilisation_features(crack_spreads(d, "crude", "gasoline", "diesel"), "utilisation")
+    d = spread_series(d, "crude", "other_crude").withColumn("large_move", _yes(F.abs("r") > 0.03).cast("int"))
+    d = d.withColumns({"vol_spike": div("volatility", _full("volatility", 60, F.avg)), "large_move_5": _full("large_move", 5, F.sum)})
+    return d.select("date", *MARKET)
+
+
+def commodity_linked(df: DataFrame, market: DataFrame, n: int = 60) -> DataFrame:
+    """The commodity-linked family in one frame: correlation and beta to crude, the market's features, seasons.
+
+    The market has a row per date, so joining it needs no shuffle by ticker.
+    """
+    w = last_n(n)
+    crude = market.withColumn("ticker", F.lit("market")).withColumn("b", div("crude", _lag("crude")) - 1).select("date", "b")
+    d = df.withColumn("a", div(C, _lag(C)) - 1).join(crude, "date")
+    d = d.withColumns({"x": F.when(F.col("b").isNotNull(), F.col("a")), "y": F.when(F.col("a").isNotNull(), F.col("b"))})
+    whole = F.count("x").over(w) == n
+    cov, va, vb = F.covar_samp("x", "y").over(w), F.var_samp("x").over(w), F.var_samp("y").over(w)
+    d = d.withColumns({"correlation": nz(F.when(whole, div(cov, F.sqrt(va * vb)))), "beta": nz(F.when(whole, div(cov, vb)))}).select("ticker", "date", "correlation", "beta")
+    seasons = seasonal(df).select("ticker", "date", "driving", "heating", "shoulder", "month_avg")
+    return d.join(seasons, ["ticker", "date"]).join(market_features(market), "date")
+
+
+#: family and column of every feature type of the three families
+FAMILIES = {
+    **{t: "smart_money" for t in ("order_block_bull", "order_block_bear", "fvg_bull", "fvg_bear", "liquidity_sweep", "break_of_structure", "change_of_character")},
+    **{t: "support_resistance" for t in (*[f"sr_{x}" for x in ("poc_distance", "va_high_distance", "va_low_distance")], *[f"sr_{x if x[0] == "p" else "pivot_" + x}" for x in PIVOTS])},
+    **{t: "support_resistance" for t in (*[f"ma_{m}_distance" for m in AVERAGES], *[f"above_ma_{m}" for m in AVERAGES], "squeeze", "range_position", "consolidation")},
+    **{t: "support_resistance" for t in (*[f"{x}_{y}" for x in ("bb", "kc") for y in ("upper_distance", "lower_distance", "width", "position")], "distance_to_high", "distance_to_low")},
+    **{t: "support_resistance" for t in (f"distance_to_round_{k}" for k in ROUND)},
+    **{t: "commodity_linked" for t in ("correlation", "beta", "driving", "heating", "shoulder", "month_avg", *MARKET)},
+}
+
+
+def family_features(df: DataFrame, names: list[str], market: DataFrame | None = None, lag: int = 0) -> DataFrame:
+    """Chosen features of the three families by name; only the families asked for are computed. lag shifts them back by so many rows.
+
+    Features that are undefined in a row are 0, like those of the main library. Commodity-linked
+    ones need a market.
+    """
+    unknown = [n for n in names if n not in FAMILIES]
+    if unknown:
+        raise KeyError(f"no such feature: {unknown}")
+    build = {"smart_money": smart_money, "support_resistance": support_resistance, "commodity_linked": lambda d: commodity_linked(d, market)}
+    out = df.select("ticker", "date")
+    for family in dict.fromkeys(FAMILIES[n] for n in names):
+        own = [n for n in names if FAMILIES[n] == family]
+        out = out.join(build[family](df).select("ticker", "date", *own), ["ticker", "date"], "left")
+    out = out.select("ticker", "date", *[nz(F.col(n)).alias(n) for n in names])
+    return out.select("ticker", "date", *[F.lag(n, lag).over(_w()).alias(n) for n in names]) if lag else out
+
+
 def smart_money(df: DataFrame) -> DataFrame:
     """The smart-money family in one frame."""
     return character_changes(structure_breaks(liquidity_sweeps(fair_value_gaps(order_blocks(df)))))
