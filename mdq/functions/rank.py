@@ -108,3 +108,37 @@ def top_share(df: DataFrame, score: str, share: float, by="date", tie="ticker")
         .where(F.col("pick") <= F.col("k"))
         .drop("below", "ties", "total", "k")
     )
+
+
+#: earlier rows of one time block that a row is compared with directly
+_NEAR = 64
+
+
+def expanding_rank(df: DataFrame, value: str, out: str, key: str = "ticker", order: str = "date") -> DataFrame:
+    """(key, order, out): mean percentile rank of each value among all of the key up to and with its own row.
+
+    Values become places u in value order, so the rows before that rank lower are the inversions
+    of places against time. Inside a block of rows they are counted directly; between two
+    neighbouring blocks of 64, 128, 256 ... rows the later one's counts are running sums over both
+    in value order. One shuffle by key; no order is kept in Python. Rows without a value are left out.
+    """
+    in_time = Window.partitionBy(key).orderBy(order)
+    d = df.where(F.col(value).isNotNull()).select(key, order, value)
+    d = d.withColumns({
+        "_t": F.row_number().over(in_time) - 1,
+        "_u": F.row_number().over(Window.partitionBy(key).orderBy(value, order)),
+        "_same": F.row_number().over(Window.partitionBy(key, value).orderBy(order)) - 1,
+    })
+    near = Window.partitionBy(key, F.expr(f"_t div {_NEAR}")).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_before", F.collect_list("_u").over(near))
+    d = d.withColumn("_under", F.size(F.filter("_before", lambda u: u < F.col("_u")))).drop("_before")
+    most = d.agg(F.max("_t")).first()[0] or 0
+    half = _NEAR
+    while half <= most:
+        both = Window.partitionBy(key, F.expr(f"_t div {2 * half}")).orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
+        later = F.expr(f"(_t div {half}) % 2")
+        d = d.withColumn("_under", F.col("_under") + F.coalesce(later * F.sum(1 - later).over(both), F.lit(0)))
+        half *= 2
+    # equal values earlier in time rank lower in u: below are those without them, up to are those with them and the row itself
+    below, upto = F.col("_under") - F.col("_same"), F.col("_under") + 1
+    return d.select(key, order, ((below + upto + 1) / 2 / (F.col("_t") + 1)).alias(out))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import ROOT_YEAR, div, last_n, nz, order_window, prior_n
-from ..functions.ema import ema, wilder
+from ..functions.ema import ema, span
+from ..functions.rank import expanding_rank
 
 
 def with_adv(df: DataFrame, n: int = 20) -> DataFrame:
@@ -220,63 +221,95 @@ def dollar_sizing(trades: DataFrame, risk: float = 100.0, k: float = 1.5, fallba
     return trades.withColumns({"shares": sh, "dollars": sh * (F.col("exit_price") - F.col("entry_price"))})
 
 
-def _expanding_rank(df: DataFrame) -> DataFrame:
-    """(ticker, date, pct): mean percentile rank of vol among all volatilities of the ticker up to the date.
+def close_adx(df: DataFrame, n: int) -> DataFrame:
+    """(ticker, date, adx) from closes alone; every smoothing has weight 2 / (n + 1). Rows before a ticker's first move are left out."""
+    step = F.col("close") - F.lag("close").over(order_window())
+    up, down = F.greatest(nz(step), F.lit(0.0)), F.greatest(nz(-step), F.lit(0.0))
+    d = ema(df.select("ticker", "date", "close"), {"up": (up, span(n)), "down": (down, span(n))}, order="date")
+    d = d.withColumn("dx", 100 * div(F.abs(F.col("up") - F.col("down")), F.col("up") + F.col("down"))).where("dx is not null")
+    return ema(d, {"adx": (F.col("dx"), span(n))}, order="date").select("ticker", "date", "adx")
 
-    One ticker's rows, which the calendar bounds, go into a sorted list one by one.
-    """
-    from bisect import bisect_left, bisect_right, insort
-
-    def rank(rows):
-        rows = rows.sort_values("date")
-        seen, out = [], []
-        for x in rows["vol"].round(10):
-            if x != x:
-                out.append(None)
-                continue
-            below, upto = bisect_left(seen, x), bisect_right(seen, x) + 1
-            insort(seen, x)
-            out.append((below + upto + 1) / 2 / len(seen))
-        return rows[["ticker", "date"]].assign(pct=out)
 
-    return df.groupBy("ticker").applyInPandas(rank, "ticker string, date date, pct double")
+def correlation_regime(panel: DataFrame, n: int = 20) -> DataFrame:
+    """(date, correlation_level, correlation_regime): mean absolute correlation of the last n returns over all pairs of a fixed universe's tickers.
 
-
-def regimes(df: DataFrame, n_vol: int = 20, n_trend: int = 50, n_market: int = 200, n_adx: int = 14) -> DataFrame:
-    """Volatility, trend and market regime of every row, from its own past."""
+    Needs a dense panel; pairs with a constant side are left out. The pairs of a fixed universe are a fixed number.
+    """
+    r = panel.select("ticker", "date", (div(F.col("close"), F.lag("close").over(order_window())) - 1).alias("r")).where("r is not null")
+    pair = r.select(F.col("ticker").alias("a"), "date", F.col("r").alias("x")).join(r.select(F.col("ticker").alias("b"), "date", F.col("r").alias("y")), "date").where("a < b")
+    w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-(n - 1), 0)
+    cov, va, vb = F.covar_samp("x", "y").over(w), F.var_samp("x").over(w), F.var_samp("y").over(w)
+    # a variance that is nothing but rounding is a constant side
+    moving = (va > 1e-15) & (vb > 1e-15) & (F.count("*").over(w) == n)
+    c = pair.select("date", F.abs(F.when(moving, cov / F.sqrt(va * vb))).alias("c")).where("c > 1e-12")
+    level = c.groupBy("date").agg(F.avg("c").alias("correlation_level"))
+    x = F.col("correlation_level")
+    return level.withColumn("correlation_regime", F.when(x < 0.3, "low").when(x < 0.6, "moderate").otherwise("high"))
+
+
+def regimes(df: DataFrame, correlation: DataFrame | None = None, n_vol: int = 20, n_trend: int = 50, n_market: int = 200) -> DataFrame:
+    """Volatility, trend, market and correlation regime of every row from its own past, with strengths and confidence.
+
+    correlation: (date, correlation_level, correlation_regime) of the universe; where it has no
+    row, 0.5 and moderate stand. Before there are enough rows the trend and the market are sideways.
+    """
     w = order_window()
     d = df.withColumn("r", div(F.col("close"), F.lag("close").over(w)) - 1)
     full = lambda x, n, f: F.when(F.count(x).over(last_n(n)) == n, f(x).over(last_n(n)))
-    step = F.abs(F.col("close") - F.lag("close").over(w))
     d = d.withColumns(
         {
-            "vol": full(F.col("r"), n_vol, F.stddev_samp) * ROOT_YEAR,
+            "vol": F.round(full(F.col("r"), n_vol, F.stddev_samp) * ROOT_YEAR, 10),
             "ma_s": full(F.col("close"), n_trend // 2, F.avg),
             "ma_l": full(F.col("close"), n_trend, F.avg),
             "ma_m": full(F.col("close"), n_market, F.avg),
             "recent": F.avg("r").over(last_n(n_market // 4)),
-            "path": F.sum(step).over(last_n(n_adx)),
+            "wide": full(F.col("r"), n_market, F.stddev_samp),
+        }
+    )
+    d = d.withColumn("usual", F.avg("wide").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.join(expanding_rank(d, "vol", "pct"), ["ticker", "date"], "left").join(close_adx(df, n_trend), ["ticker", "date"], "left")
+    p, adx, c = F.col("pct"), nz(F.col("adx")), F.col("close")
+    way = F.greatest(F.least(div(F.col("ma_s") - F.col("ma_l"), F.col("ma_l")) * 10, F.lit(1.0)), F.lit(-1.0))
+    far = div(c - F.col("ma_m"), F.col("ma_m")) * 2
+    d = d.withColumns(
+        {
+            "trend_strength": F.when(F.col("ma_l").isNotNull(), way * adx / 100),
+            "sentiment": F.when(far.isNotNull(), F.greatest(F.least(far, F.lit(1.0)), F.lit(-1.0))),
+            "strength": adx,
         }
     )
-    d = d.withColumn("strength", nz(div(F.abs(F.col("close") - F.lag("close", n_adx).over(w)), F.col("path")) * 100))
-    d = d.join(_expanding_rank(d.select("ticker", "date", "vol")), ["ticker", "date"])
-    long_vol = full(F.col("r"), n_market, F.stddev_samp)
-    d = d.withColumn("wide", long_vol).withColumn("usual", F.avg("wide").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p, dirn = F.col("pct"), div(F.col("ma_s") - F.col("ma_l"), F.col("ma_l"))
-    tr = F.greatest(F.least(dirn * 10, F.lit(1.0)), F.lit(-1.0)) * F.col("strength") / 100
-    d = d.withColumn("trend_strength", F.when(dirn.isNotNull(), tr))
     t = F.col("trend_strength")
+    d = d.withColumns(
+        {
+            "vol_regime": F.when(p < 0.25, "low").when(p < 0.75, "normal").when(p < 0.95, "high").when(p.isNotNull(), "extreme"),
+            "trend_regime": F.when(F.col("strength") < 20, "sideways").when(t > 0.5, "strong_uptrend").when(t > 0.2, "weak_uptrend").when(t < -0.5, "strong_downtrend").when(t < -0.2, "weak_downtrend").otherwise("sideways"),
+            "market_regime": F.when((c > F.col("ma_m") * 1.05) & (F.col("recent") > 0), "bull").when((c < F.col("ma_m") * 0.95) & (F.col("recent") < 0), "bear").when(F.col("vol") / ROOT_YEAR > 1.5 * F.col("usual"), "volatile").otherwise("sideways"),
+        }
+    )
+    if correlation is not None:
+        d = d.join(correlation, "date", "left")
+    else:
+        d = d.withColumns({"correlation_level": F.lit(None).cast("double"), "correlation_regime": F.lit(None).cast("string")})
     return d.select(
-        "ticker", "date", "pct", "trend_strength",
-        F.when(p < 0.25, "low").when(p < 0.75, "normal").when(p < 0.95, "high").when(p.isNotNull(), "extreme").alias("vol_regime"),
-        F.when(t.isNull(), None).when(F.col("strength") < 20, "sideways").when(t > 0.5, "strong_up").when(t > 0.2, "weak_up").when(t < -0.5, "strong_down").when(t < -0.2, "weak_down").otherwise("sideways").alias("trend_regime"),
-        F.when(F.col("ma_m").isNull(), None).when((F.col("close") > F.col("ma_m") * 1.05) & (F.col("recent") > 0), "bull").when((F.col("close") < F.col("ma_m") * 0.95) & (F.col("recent") < 0), "bear").when(F.col("vol") / ROOT_YEAR > 1.5 * F.col("usual"), "volatile").otherwise("sideways").alias("market_regime"),
+        "ticker", "date", "pct", "trend_strength", "sentiment", nz(F.col("correlation_level"), 0.5).alias("correlation_level"), regime_confidence().alias("confidence"),
+        "vol_regime", "trend_regime", "market_regime", F.coalesce("correlation_regime", F.lit("moderate")).alias("correlation_regime"),
     )
 
 
+def regime_confidence() -> Column:
+    """0.5, and more where the regimes of a row agree."""
+    v, t, m = F.col("vol_regime"), F.col("trend_regime"), F.col("market_regime")
+    plus = lambda c, x: F.when(c, x).otherwise(0.0)
+    bull = plus(t.isin("strong_uptrend", "weak_uptrend"), 0.2) + plus(v.isin("low", "normal"), 0.1)
+    bear = plus(t.isin("strong_downtrend", "weak_downtrend"), 0.2) + plus(v == "high", 0.1)
+    return 0.5 + F.when(m == "bull", bull).when(m == "bear", bear).when(m == "volatile", plus(v.isin("high", "extreme"), 0.3)).otherwise(0.0)
+
+
 def regime_weights(reg: DataFrame) -> DataFrame:
-    """Position scale and slot limit of each row's regimes."""
-    v = F.when(F.col("vol_regime") == "low", 1.2).when(F.col("vol_regime") == "high", 0.7).when(F.col("vol_regime") == "extreme", 0.5).otherwise(1.0)
-    m = F.when(F.col("market_regime") == "bull", 1.1).when(F.col("market_regime") == "bear", 0.8).otherwise(1.0)
-    slots = F.when(F.col("vol_regime") == "extreme", 5).when(F.col("market_regime") == "bear", 6).when(F.col("market_regime") == "bull", 12).otherwise(10)
-    return reg.withColumns({"scale": v * m, "max_positions": slots})
+    """Position scale, stop scale and slot limit of each row's regimes."""
+    v, m, high = F.col("vol_regime"), F.col("market_regime"), F.col("correlation_regime") == "high"
+    scale = F.when(v == "low", 1.2).when(v == "high", 0.7).when(v == "extreme", 0.5).otherwise(1.0)
+    scale = scale * F.when(m == "bull", 1.1).when(m == "bear", 0.8).when(m == "volatile", 0.6).otherwise(1.0) * F.when(high, 0.9).otherwise(1.0)
+    stop = F.when(v == "low", 0.8).when(v == "high", 1.5).when(v == "extreme", 2.0).otherwise(1.0)
+    slots = F.when(m == "bull", 12).when(m == "bear", 6).when(m == "volatile", 5).otherwise(10)
+    return reg.withColumns({"scale": scale, "stop_scale": stop, "max_positions": F.when(high, F.least(slots, F.lit(5))).otherwise(slots)})

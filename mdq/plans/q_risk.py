@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.core import tidy
 from ..operators import risk
 from ..sources.adapters import table
-from .inputs import daily, once, panel
+from .inputs import daily, grid, once, panel
 from .q_intraday import bars_adx
 from .q_levels import trades
 from .q_reports import _O, _w
@@ -230,38 +230,78 @@ def q_dollars(spark, sf_dir):
     return tidy(risk.dollar_sizing(trades(spark, sf_dir).join(atr, ["ticker", "entry_idx"])), ["ticker", "entry_ts", "pt", "sl", "shares"], ["dollars"], 3)
 
 
+# the smoothings of a close-only ADX, row by row
 cte(
-    "regs",
-    f"""SELECT ticker, date, pct, trend_strength, CASE WHEN pct < 0.25 THEN 'low' WHEN pct < 0.75 THEN 'normal' WHEN pct < 0.95 THEN 'high' WHEN pct IS NOT NULL THEN 'extreme' END AS vol_regime,
- CASE WHEN trend_strength IS NULL THEN NULL WHEN strength < 20 THEN 'sideways' WHEN trend_strength > 0.5 THEN 'strong_up' WHEN trend_strength > 0.2 THEN 'weak_up' WHEN trend_strength < -0.5 THEN 'strong_down' WHEN trend_strength < -0.2 THEN 'weak_down' ELSE 'sideways' END AS trend_regime,
- CASE WHEN ma_m IS NULL THEN NULL WHEN close > ma_m * 1.05 AND recent > 0 THEN 'bull' WHEN close < ma_m * 0.95 AND recent < 0 THEN 'bear' WHEN vol / sqrt(252) > 1.5 * usual THEN 'volatile' ELSE 'sideways' END AS market_regime FROM (
- SELECT v.*, pct, greatest(least((ma_s - ma_l) / ma_l * 10, 1), -1) * strength / 100 + CASE WHEN ma_l IS NULL OR ma_s IS NULL THEN NULL ELSE 0 END AS trend_strength FROM (
- SELECT *, avg(wide) OVER (PARTITION BY ticker ORDER BY date) AS usual FROM vols) v LEFT JOIN volrank USING (ticker, date))""",
+    "adx_moves",
+    f"SELECT ticker, date, row_number() {_O} AS rn, greatest(coalesce(close - lag(close) {_O}, 0), 0) AS up, greatest(coalesce(lag(close) {_O} - close, 0), 0) AS down FROM daily",
+)
+cte(
+    "adx_steps",
+    """SELECT ticker, date, rn, CAST(up AS DOUBLE) AS u, CAST(down AS DOUBLE) AS d, CAST(NULL AS DOUBLE) AS adx FROM adx_moves WHERE rn = 1
+ UNION ALL
+ SELECT ticker, date, rn, u, d, CASE WHEN u + d > 0 THEN coalesce(old + (100 * abs(u - d) / (u + d) - old) * 2 / 51.0, 100 * abs(u - d) / (u + d)) END FROM (
+ SELECT n.ticker, n.date, n.rn, p.u + (n.up - p.u) * 2 / 51.0 AS u, p.d + (n.down - p.d) * 2 / 51.0 AS d, p.adx AS old FROM adx_steps p JOIN adx_moves n ON n.ticker = p.ticker AND n.rn = p.rn + 1)""",
 )
 cte(
     "vols",
-    f"""SELECT *, CASE WHEN count(r) {_w(200)} = 200 THEN stddev_samp(r) {_w(200)} END AS wide, CASE WHEN count(r) {_w(20)} = 20 THEN stddev_samp(r) {_w(20)} END * sqrt(252) AS vol, CASE WHEN count(*) {_w(25)} = 25 THEN avg(close) {_w(25)} END AS ma_s, CASE WHEN count(*) {_w(50)} = 50 THEN avg(close) {_w(50)} END AS ma_l,
- CASE WHEN count(*) {_w(200)} = 200 THEN avg(close) {_w(200)} END AS ma_m, avg(r) {_w(50)} AS recent, coalesce(abs(close - lag(close, 14) {_O}) / nullif(sum(st) {_w(14)}, 0) * 100, 0) AS strength FROM (
- SELECT *, close / lag(close) {_O} - 1 AS r, abs(close - lag(close) {_O}) AS st FROM daily)""",
+    f"""SELECT *, CASE WHEN count(r) {_w(200)} = 200 THEN stddev_samp(r) {_w(200)} END AS wide, round(CASE WHEN count(r) {_w(20)} = 20 THEN stddev_samp(r) {_w(20)} END * sqrt(252), 10) AS vol,
+ CASE WHEN count(*) {_w(25)} = 25 THEN avg(close) {_w(25)} END AS ma_s, CASE WHEN count(*) {_w(50)} = 50 THEN avg(close) {_w(50)} END AS ma_l,
+ CASE WHEN count(*) {_w(200)} = 200 THEN avg(close) {_w(200)} END AS ma_m, avg(r) {_w(50)} AS recent FROM (SELECT *, close / lag(close) {_O} - 1 AS r FROM daily)""",
 )
 cte(
     "volrank",
-    """SELECT a.ticker, a.date, (count(*) FILTER (round(b.vol, 10) < round(a.vol, 10)) + count(*) FILTER (round(b.vol, 10) <= round(a.vol, 10)) + 1) / 2.0 / count(*) AS pct
+    """SELECT a.ticker, a.date, (count(*) FILTER (b.vol < a.vol) + count(*) FILTER (b.vol <= a.vol) + 1) / 2.0 / count(*) AS pct
  FROM vols a JOIN vols b ON b.ticker = a.ticker AND b.date <= a.date WHERE a.vol IS NOT NULL AND b.vol IS NOT NULL GROUP BY 1, 2""",
 )
+cte(
+    "pair_levels",
+    """SELECT date, avg(c) AS correlation_level FROM (SELECT date, CASE WHEN count(*) OVER w = 20 AND var_samp(x) OVER w > 1e-15 AND var_samp(y) OVER w > 1e-15
+  THEN abs(covar_samp(x, y) OVER w / sqrt(var_samp(x) OVER w * var_samp(y) OVER w)) END AS c
+  FROM (SELECT a.ticker AS a, b.ticker AS b, a.date, a.r AS x, b.r AS y FROM gridr a JOIN gridr b ON a.date = b.date AND a.ticker < b.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL)
+  WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE c > 1e-12 GROUP BY 1""",
+)
+cte("correlations", "SELECT *, CASE WHEN correlation_level < 0.3 THEN 'low' WHEN correlation_level < 0.6 THEN 'moderate' ELSE 'high' END AS correlation_regime FROM pair_levels")
+cte(
+    "regs",
+    """SELECT ticker, date, pct, trend_strength, sentiment, coalesce(correlation_level, 0.5) AS correlation_level, vol_regime, trend_regime, market_regime, coalesce(correlation_regime, 'moderate') AS correlation_regime,
+ 0.5 + CASE market_regime WHEN 'bull' THEN CASE WHEN trend_regime IN ('strong_uptrend', 'weak_uptrend') THEN 0.2 ELSE 0 END + CASE WHEN vol_regime IN ('low', 'normal') THEN 0.1 ELSE 0 END
+  WHEN 'bear' THEN CASE WHEN trend_regime IN ('strong_downtrend', 'weak_downtrend') THEN 0.2 ELSE 0 END + CASE WHEN vol_regime = 'high' THEN 0.1 ELSE 0 END
+  WHEN 'volatile' THEN CASE WHEN vol_regime IN ('high', 'extreme') THEN 0.3 ELSE 0 END ELSE 0 END AS confidence FROM (
+ SELECT *, CASE WHEN pct < 0.25 THEN 'low' WHEN pct < 0.75 THEN 'normal' WHEN pct < 0.95 THEN 'high' WHEN pct IS NOT NULL THEN 'extreme' END AS vol_regime,
+  CASE WHEN strength < 20 THEN 'sideways' WHEN trend_strength > 0.5 THEN 'strong_uptrend' WHEN trend_strength > 0.2 THEN 'weak_uptrend' WHEN trend_strength < -0.5 THEN 'strong_downtrend' WHEN trend_strength < -0.2 THEN 'weak_downtrend' ELSE 'sideways' END AS trend_regime,
+  CASE WHEN close > ma_m * 1.05 AND recent > 0 THEN 'bull' WHEN close < ma_m * 0.95 AND recent < 0 THEN 'bear' WHEN vol / sqrt(252) > 1.5 * usual THEN 'volatile' ELSE 'sideways' END AS market_regime FROM (
+ SELECT v.*, pct, coalesce(adx, 0) AS strength, CASE WHEN ma_l IS NOT NULL THEN greatest(least((ma_s - ma_l) / ma_l * 10, 1), -1) * coalesce(adx, 0) / 100 END AS trend_strength,
+  CASE WHEN ma_m IS NOT NULL THEN greatest(least((close - ma_m) / ma_m * 2, 1), -1) END AS sentiment FROM (
+ SELECT *, avg(wide) OVER (PARTITION BY ticker ORDER BY date) AS usual FROM vols) v LEFT JOIN volrank USING (ticker, date) LEFT JOIN (SELECT ticker, date, adx FROM adx_steps) USING (ticker, date))) LEFT JOIN correlations USING (date)""",
+)
+
+
+@once("correlation_regime")
+def correlation(spark, sf_dir):
+    return risk.correlation_regime(grid(spark, sf_dir))
 
 
 @once("regimes")
 def regimes(spark, sf_dir):
-    return risk.regimes(daily(spark, sf_dir))
+    return risk.regimes(daily(spark, sf_dir), correlation(spark, sf_dir))
+
+
+RK = ["ticker", "date", "vol_regime", "trend_regime", "market_regime", "correlation_regime"]
+RV = ["pct", "trend_strength", "sentiment", "correlation_level", "confidence"]
+
+
+@query("correlation_regime", rounded("date correlation_regime", "correlation_level", "SELECT * FROM correlations", 5))
+def q_correlation(spark, sf_dir):
+    return tidy(correlation(spark, sf_dir), ["date", "correlation_regime"], ["correlation_level"], 5)
 
 
-@query("market_regimes", rounded("ticker date vol_regime trend_regime market_regime", "pct trend_strength", "SELECT * FROM regs", 5))
+@query("market_regimes", rounded(" ".join(RK), RV, "SELECT * FROM regs", 5))
 def q_regimes(spark, sf_dir):
-    return tidy(regimes(spark, sf_dir), ["ticker", "date", "vol_regime", "trend_regime", "market_regime"], ["pct", "trend_strength"], 5)
+    return tidy(regimes(spark, sf_dir), RK, RV, 5)
 
 
-@query("regime_weights", rounded("ticker date max_positions", "scale", """SELECT ticker, date, CASE WHEN vol_regime = 'low' THEN 1.2 WHEN vol_regime = 'high' THEN 0.7 WHEN vol_regime = 'extreme' THEN 0.5 ELSE 1.0 END * CASE WHEN market_regime = 'bull' THEN 1.1 WHEN market_regime = 'bear' THEN 0.8 ELSE 1.0 END AS scale,
- CASE WHEN vol_regime = 'extreme' THEN 5 WHEN market_regime = 'bear' THEN 6 WHEN market_regime = 'bull' THEN 12 ELSE 10 END AS max_positions FROM regs"""))
+@query("regime_weights", rounded("ticker date max_positions", "scale stop_scale", """SELECT ticker, date, CASE vol_regime WHEN 'low' THEN 1.2 WHEN 'high' THEN 0.7 WHEN 'extreme' THEN 0.5 ELSE 1.0 END * CASE market_regime WHEN 'bull' THEN 1.1 WHEN 'bear' THEN 0.8 WHEN 'volatile' THEN 0.6 ELSE 1.0 END
+  * CASE correlation_regime WHEN 'high' THEN 0.9 ELSE 1.0 END AS scale, CASE vol_regime WHEN 'low' THEN 0.8 WHEN 'high' THEN 1.5 WHEN 'extreme' THEN 2.0 ELSE 1.0 END AS stop_scale,
+ least(CASE market_regime WHEN 'bull' THEN 12 WHEN 'bear' THEN 6 WHEN 'volatile' THEN 5 ELSE 10 END, CASE correlation_regime WHEN 'high' THEN 5 ELSE 12 END) AS max_positions FROM regs"""))
 def q_weights(spark, sf_dir):
-    return tidy(risk.regime_weights(regimes(spark, sf_dir)), ["ticker", "date", "max_positions"], ["scale"])
+    return tidy(risk.regime_weights(regimes(spark, sf_dir)), ["ticker", "date", "max_positions"], ["scale", "stop_scale"])
