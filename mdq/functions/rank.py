@@ -142,3 +142,43 @@ def expanding_rank(df: DataFrame, value: str, out: str, key: str = "ticker", ord
     # equal values earlier in time rank lower in u: below are those without them, up to are those with them and the row itself
     below, upto = F.col("_under") - F.col("_same"), F.col("_under") + 1
     return d.select(key, order, ((below + upto + 1) / 2 / (F.col("_t") + 1)).alias(out))
+
+
+def expanding_quantiles(df: DataFrame, values: dict[str, tuple[str, float]], key: str = "ticker", order: str = "day") -> DataFrame:
+    """(key, order, out...): exact interpolated quantiles {out: (value, share)} of all rows of the key with an earlier order.
+
+    Many rows may share an order; groups without earlier rows are left out, null values don't count.
+    Each quantile lies between two order statistics, which are found bit by bit in value order: at
+    every bit a running count over time tells how many earlier rows lie in the lower half of the
+    range that is left, as in a wavelet tree. One shuffle by key; a pass per bit of the largest
+    number of rows of a key.
+    """
+    rows = None
+    for column in dict.fromkeys(v for v, _ in values.values()):
+        part = df.where(F.col(column).isNotNull()).select(key, F.col(order).alias("_o"), F.lit(column).alias("_of"), F.col(column).cast("double").alias("_v"))
+        rows = part if rows is None else rows.unionByName(part)
+    in_value = Window.partitionBy(key, "_of").orderBy("_v", "_o")
+    # the last two columns tell rows and asked places apart
+    held = rows.select(key, "_of", "_o", (F.row_number().over(in_value) - 1).cast("long").alias("_u"), "_v", F.lit(None).cast("string").alias("_out"), F.lit(None).cast("long").alias("_k"))
+    daily = rows.groupBy(key, "_of", "_o").agg(F.count("*").alias("_n"))
+    seen = daily.withColumn("_n", F.sum("_n").over(Window.partitionBy(key, "_of").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1))).where("_n > 0")
+    wanted = F.array(*[F.struct(F.lit(o).alias("out"), F.lit(v).alias("of"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for o, (v, q) in values.items()])
+    asked = seen.select(key, "_of", "_o", "_n", F.explode(wanted).alias("w")).where("w.of = _of")
+    asked = asked.select(key, "_of", "_o", F.col("w.out").alias("_out"), F.explode(F.array(F.floor("w.at"), F.least(F.floor("w.at") + 1, F.col("_n") - 1))).alias("_k"), F.col("w.at").alias("_at")).distinct()
+    both = held.withColumn("_at", F.lit(None).cast("double")).unionByName(asked.select(key, "_of", "_o", F.lit(0).cast("long").alias("_u"), F.lit(None).cast("double").alias("_v"), "_out", F.col("_k").cast("long").alias("_k"), "_at"))
+    most = held.agg(F.max("_u")).first()[0] or 0
+    both = both.withColumn("_left", F.col("_k"))
+    earlier = lambda node: Window.partitionBy(key, "_of", node).orderBy("_o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for bit in range(int(most).bit_length() - 1, -1, -1):
+        # _u of an asked place holds the bits found so far; only rows before its order count
+        node = F.shiftright("_u", bit + 1)
+        low = F.when(F.col("_out").isNull() & (F.shiftright("_u", bit) % 2 == 0), 1)
+        own = Window.partitionBy(key, "_of", node, "_o")
+        both = both.withColumn("_c", F.coalesce(F.sum(low).over(earlier(node)), F.lit(0)) - F.coalesce(F.sum(low).over(own), F.lit(0)))
+        up = F.col("_out").isNotNull() & (F.col("_left") >= F.col("_c"))
+        both = both.withColumns({"_u": F.when(up, F.col("_u") + (1 << bit)).otherwise(F.col("_u")), "_left": F.when(up, F.col("_left") - F.col("_c")).otherwise(F.col("_left"))})
+    both = both.withColumn("_v", F.max("_v").over(Window.partitionBy(key, "_of", "_u")))
+    found = both.where("_out is not null")
+    lo, hi = F.min("_v"), F.max("_v")
+    g = found.groupBy(key, "_o", "_out").agg((lo + (hi - lo) * (F.first("_at") - F.floor(F.first("_at")))).alias("_q"))
+    return g.groupBy(key, F.col("_o").alias(order)).agg(*[F.max(F.when(F.col("_out") == o, F.col("_q"))).alias(o) for o in values])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import div, nz, order_window
+from ..session import stage
 
 _COLS = ["ticker", "price", "method", "strength", "is_support"]
 NEW_YORK = "America/New_York"
@@ -142,18 +141,41 @@ def profile_levels(bars: DataFrame, bins: int = 100) -> DataFrame:
     return _rows(v, (F.col("poc"), "poc", 3.0, False), (F.col("vah"), "vah", 2.0, False), (F.col("val"), "val", 2.0, True))
 
 
-def centres(bars: DataFrame, ticker: str, k: int = 6, reach: int = 5, seed: int = 42) -> DataFrame:
-    """Clustered fractal extremes of one ticker (distributed k-means)."""
-    w = order_window("ticker", "ts").rowsBetween(-reach, reach)
-    b = bars.where(F.col("ticker") == ticker).withColumns({"top": F.max("high").over(w), "bot": F.min("low").over(w), "last": F.last("close").over(Window.partitionBy("ticker"))})
-    pts = b.select("ticker", F.explode(F.filter(F.array(F.when(F.col("high") == F.col("top"), F.col("high")), F.when(F.col("low") == F.col("bot"), F.col("low"))), lambda x: x.isNotNull())).alias("p"))
-    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(VectorAssembler(inputCols=["p"], outputCol="v").transform(pts))
-    spark = bars.sparkSession
-    return spark.createDataFrame([(ticker, float(c[0]), "centre", 1.5) for c in model.clusterCenters()], "ticker string, price double, method string, strength double")
+def centres(bars: DataFrame, k: int = 6, reach: int = 5, rounds: int = 20) -> DataFrame:
+    """Centres of k clusters of each ticker's fractal extremes, all tickers at once.
 
-
-def merged(bars: DataFrame, min_strength: float = 0.5, band: float = 0.30, near: float = 0.003) -> DataFrame:
-    """All levels: anchors nearby double a level, weak and far ones go, close ones keep the strongest."""
+    Lloyd steps on the distinct prices with their counts, from evenly spread order statistics; on a
+    line the nearest centre is told by the midpoints. A step is one join of the prices with their
+    ticker's few centres and one aggregation. Tickers with fewer than k extremes have none.
+    """
+    around = order_window("ticker", "ts").rowsBetween(-reach, reach)
+    b = bars.withColumns({"full": F.count("*").over(around) == 2 * reach + 1, "top": F.max("high").over(around), "bot": F.min("low").over(around)}).where("full")
+    both = F.array(F.when(F.col("high") == F.col("top"), F.col("high")), F.when(F.col("low") == F.col("bot"), F.col("low")))
+    pts = b.select("ticker", F.explode(both).alias("p")).where("p is not null").groupBy("ticker", "p").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("ticker").orderBy("p"))
+    pts = stage(pts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy("ticker"))).where(F.col("total") >= k), "centre_points")
+    # the value at a rank: the first price whose running count is over it
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("p")))
+    start = [at(F.floor((2 * j + 1) * F.col("total") / (2 * k))).alias(f"c{j}") for j in range(k)]
+    middle = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
+    now = stage(pts.groupBy("ticker").agg(*start, middle.alias("middle")), "centres_0")
+    for r in range(1, rounds + 1):
+        mids = [(F.col(f"c{j}") + F.col(f"c{j + 1}")) / 2 for j in range(k - 1)]
+        own = sum(((F.col("p") > m).cast("int") for m in mids), F.lit(0))
+        d = pts.select("ticker", "p", "n").join(now, "ticker").withColumn("own", own)
+        mean = lambda j: div(F.sum(F.when(F.col("own") == j, F.col("p") * F.col("n"))), F.sum(F.when(F.col("own") == j, F.col("n"))))
+        now = d.groupBy("ticker").agg(*[F.coalesce(mean(j), F.first(f"c{j}")).alias(f"c{j}") for j in range(k)], F.first("middle").alias("middle"))
+        if r % 5 == 0:
+            now = stage(now, f"centres_{r}")
+    c = now.select("ticker", "middle", F.explode(F.array(*[f"c{j}" for j in range(k)])).alias("c"))
+    return c.select("ticker", F.round("c", 4).alias("price"), F.lit("kmeans").alias("method"), F.lit(1.5).alias("strength"), (F.col("c") <= F.col("middle")).alias("is_support"))
+
+
+def merged(bars: DataFrame, prices: DataFrame | None = None, min_strength: float = 0.5, band: float = 0.30, near: float = 0.003) -> DataFrame:
+    """All levels: anchors nearby double a level, weak and far ones go, close ones keep the strongest.
+
+    Far is told from prices (ticker, px), by default each ticker's last close.
+    """
     anchor = anchors(bars)
     raw = pivots(bars).unionByName(anchor)
     soft = extremes(bars).unionByName(profile_levels(bars))
@@ -162,7 +184,7 @@ def merged(bars: DataFrame, min_strength: float = 0.5, band: float = 0.30, near:
         "strength", F.col("strength") * F.when(F.exists(nz_array("marks"), lambda a: F.abs(F.col("price") - a) / a <= near), 2.0).otherwise(1.0)
     )
     every = raw.unionByName(boosted.select(*_COLS))
-    last = bars.groupBy("ticker").agg(F.max_by("close", "ts").alias("px"))
+    last = prices if prices is not None else bars.groupBy("ticker").agg(F.max_by("close", "ts").alias("px"))
     ok = every.join(last, "ticker").where((F.col("strength") >= min_strength) & F.col("price").between(F.col("px") * (1 - band), F.col("px") * (1 + band)))
     return dedupe(ok, near)
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import div, nz, order_window
+from ..functions.rank import expanding_quantiles
+from .levels import merged, nearest
 
 _SPAN = 32
 
@@ -38,26 +40,24 @@ def in_session(ts: Column, start: Column, end: Column) -> Column:
 
 
 def entries_from_bars(bars: DataFrame, q_low: float = 0.15, q_high: float = 0.85) -> DataFrame:
-    """Per (ticker, day) after the first: quantile support and resistance of all prior days.
+    """Per (ticker, day) after the first: support and resistance from all prior days.
 
-    The quantiles grow day by day over a sorted array of one ticker's bars, which the calendar bounds.
+    The levels as of the day come first, the nearest ones around the day's last close; where there
+    is none, a quantile of the prior lows or highs stands in.
     """
-    import numpy as np
-    import pandas as pd
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        lows, highs, out = np.zeros(0), np.zeros(0), []
-        for day, own in rows.sort_values("src", kind="stable").groupby("src"):
-            if len(lows):
-                out.append((own["ticker"].iloc[0], day, float(np.quantile(lows, q_low)), float(np.quantile(highs, q_high))))
-            low, high = np.sort(own["low"].to_numpy()), np.sort(own["high"].to_numpy())
-            lows = np.insert(lows, np.searchsorted(lows, low), low)
-            highs = np.insert(highs, np.searchsorted(highs, high), high)
-        return pd.DataFrame(out, columns=["ticker", "day", "s", "r"])
-
-    b = bars.select("ticker", F.to_date("ts").alias("src"), "low", "high")
-    lv = b.groupBy("ticker").applyInPandas(grow, "ticker string, day date, s double, r double")
-    lv = lv.select("ticker", "day", F.round(F.col("s") + 1e-9, 4).alias("support"), F.round(F.col("r") + 1e-9, 4).alias("resistance"))
+    b = bars.withColumn("day", F.to_date("ts"))
+    days = b.groupBy("ticker", "day").agg(F.max_by("close", "ts").alias("px"))
+    known = expanding_quantiles(b, {"q_low": ("low", q_low), "q_high": ("high", q_high)})
+    # a ticker as of a day is a ticker of its own: its bars are all bars before the day
+    of = F.concat_ws("|", "ticker", "day")
+    marks = days.select(F.col("ticker").alias("t"), "day", of.alias("as_of"), "px")
+    past = bars.join(marks.select("t", F.col("day").alias("d"), "as_of"), (F.col("ticker") == F.col("t")) & (F.to_date("ts") < F.col("d")))
+    past = past.drop("ticker", "t", "d").withColumnRenamed("as_of", "ticker")
+    prices = marks.select(F.col("as_of").alias("ticker"), "px")
+    near = nearest(merged(past, prices), prices).select(F.col("ticker").alias("as_of"), "support", "resistance")
+    lv = known.join(days, ["ticker", "day"]).withColumn("as_of", of).join(near, "as_of", "left")
+    up = lambda x: F.round(x + 1e-9, 4)
+    lv = lv.select("ticker", "day", up(F.coalesce("support", "q_low")).alias("support"), up(F.coalesce("resistance", "q_high")).alias("resistance"))
     return lv.withColumn("stop", F.round(F.col("support") * 0.95 + 1e-9, 4))
 
 

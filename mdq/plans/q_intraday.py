@@ -197,8 +197,10 @@ def q_exhaustion(spark, sf_dir):
 
 cte(
     "levels_daily",
-    """SELECT d.ticker, d.day, round(quantile_cont(b.low, 0.15) + 1e-9, 4) AS support, round(quantile_cont(b.high, 0.85) + 1e-9, 4) AS resistance
- FROM (SELECT DISTINCT ticker, day FROM bi) d JOIN bi b ON b.ticker = d.ticker AND b.day < d.day GROUP BY 1, 2""",
+    """SELECT ticker, day, round(coalesce(n.support, q.support) + 1e-9, 4) AS support, round(coalesce(n.resistance, q.resistance) + 1e-9, 4) AS resistance FROM (
+ SELECT d.ticker, d.day, d.ticker || '|' || d.day AS of, quantile_cont(b.low, 0.15) AS support, quantile_cont(b.high, 0.85) AS resistance
+ FROM (SELECT DISTINCT ticker, day FROM bi) d JOIN bi b ON b.ticker = d.ticker AND b.day < d.day GROUP BY 1, 2, 3) q LEFT JOIN (SELECT ticker AS of, support, resistance FROM asof_nearest) n USING (of)""",
+    kept=True,
 )
 
 

@@ -10,16 +10,93 @@ from .inputs import bars, once
 from .q_intraday import T, candles, eqh_signals, levels_daily
 from .registry import cte, query, rounded
 
-cte("nyday", "SELECT *, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS ny FROM bi")
-cte("hl", "SELECT ticker, ny, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c, row_number() OVER (PARTITION BY ticker ORDER BY ny DESC) AS age FROM nyday GROUP BY 1, 2")
+_R = f"OVER ({T} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+_LOW = "lag(p) OVER (PARTITION BY ticker, s ORDER BY p, age)"
 
 
 def _union(specs, src):
     return " UNION ALL ".join(f"SELECT ticker, round({p}, 4) AS price, '{m}' AS method, {s}::DOUBLE AS strength, {str(b).lower()} AS is_support FROM {src}" for p, m, s, b in specs)
 
 
-cte("pivots", _union([("(h+l+c)/3", "pivot_p", "2.0", False), ("2*((h+l+c)/3)-l", "pivot_r1", "1.5", False), ("(h+l+c)/3+(h-l)", "pivot_r2", "1.2", False), ("2*((h+l+c)/3)-h", "pivot_s1", "1.5", True), ("(h+l+c)/3-(h-l)", "pivot_s2", "1.2", True)], "hl WHERE age = 2"))
-cte("anchors", _union([("h", "daily_high", "(7.0 - age)", False), ("l", "daily_low", "(7.0 - age)", True)], "hl WHERE age BETWEEN 2 AND 6"))
+_PIVOT = "(h + l + c) / 3"
+_PIVOTS = [(_PIVOT, "pivot_p", "2.0", False), (f"2 * ({_PIVOT}) - l", "pivot_r1", "1.5", False), (f"{_PIVOT} + (h - l)", "pivot_r2", "1.2", False), (f"2 * ({_PIVOT}) - h", "pivot_s1", "1.5", True), (f"{_PIVOT} - (h - l)", "pivot_s2", "1.2", True)]
+
+
+def level_ctes(x: str, bars: str, prices: str) -> None:
+    """The levels of every ticker of `bars` as sub-selects whose names start with x; prices has (ticker, px)."""
+    cte(f"{x}nyday", f"SELECT *, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS ny FROM {bars}")
+    cte(f"{x}hl", f"SELECT ticker, ny, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c, row_number() OVER (PARTITION BY ticker ORDER BY ny DESC) AS age FROM {x}nyday GROUP BY 1, 2")
+    cte(f"{x}pivots", f"SELECT * FROM ({_union(_PIVOTS, f'{x}hl WHERE age = 2')}) WHERE price > 0")
+    cte(f"{x}anchors", f"SELECT * FROM ({_union([('h', 'daily_high', '(7.0 - age)', False), ('l', 'daily_low', '(7.0 - age)', True)], f'{x}hl WHERE age BETWEEN 2 AND 6')}) WHERE price > 0")
+    cte(
+        f"{x}ext",
+        f"""SELECT * FROM (SELECT *, count(*) {_R} AS n, max(high) {_R} AS mx, min(low) {_R} AS mn,
+ greatest(epoch_us(max(ts) OVER (PARTITION BY ticker)) - epoch_us(ts), 43200000000) / 86400e6 AS age FROM {bars}) WHERE n = 11""",
+    )
+    cte(f"{x}points", f"SELECT ticker, high AS p, false AS s, age FROM {x}ext WHERE high = mx UNION ALL SELECT ticker, low, true, age FROM {x}ext WHERE low = mn")
+    cte(
+        f"{x}extremes",
+        f"""SELECT ticker, round(avg(p), 4) AS price, CASE WHEN s THEN 'local_low' ELSE 'local_high' END AS method, round(sum(1 / age), 4) AS strength, s AS is_support FROM (
+ SELECT *, sum(far) OVER (PARTITION BY ticker, s ORDER BY p, age ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM (
+ SELECT *, CASE WHEN p - {_LOW} > 0.003 * {_LOW} OR {_LOW} IS NULL THEN 1 ELSE 0 END AS far FROM {x}points)) GROUP BY ticker, s, cluster""",
+    )
+    cte(
+        f"{x}prof100",
+        f"""SELECT ticker, bin, sum(v) AS volume, any_value(lo + (bin + 0.5) * w) AS price FROM (
+ SELECT ticker, lo, w, unnest(range(b0, b1 + 1)) AS bin, volume / (b1 - b0 + 1) AS v FROM (
+ SELECT *, greatest(b0, CAST(least(floor((high - lo) / w), 99) AS BIGINT)) AS b1 FROM (
+ SELECT *, CAST(greatest(ceil((low - lo) / w) - 1, 0) AS BIGINT) AS b0 FROM (
+ SELECT b.*, e.lo, (e.hi - e.lo) / 100 AS w FROM {bars} b JOIN (SELECT ticker, min(low) AS lo, max(high) AS hi FROM {bars} GROUP BY 1) e USING (ticker) WHERE volume > 0 AND high > low)))) GROUP BY 1, 2""",
+        kept=True,
+    )
+    # the area grows from the busiest bin; held has the volumes of all bins
+    cte(
+        f"{x}grow",
+        f"""SELECT ticker, held, mn, mx, total, top AS lo, top AS hi, held[top + 1] AS acc, top AS poc, 0 AS step FROM (
+  SELECT ticker, list_transform(range(100), lambda b: coalesce(m[b], 0)) AS held, mn, mx, total, top FROM (
+  SELECT ticker, map_from_entries(list((bin, volume))) AS m, min(bin) AS mn, max(bin) AS mx, sum(volume) AS total, arg_max(bin, (round(volume, 9), -bin)) AS top FROM {x}prof100 GROUP BY 1))
+ UNION ALL SELECT ticker, held, mn, mx, total, CASE WHEN dn >= up THEN lo - 1 ELSE lo END, CASE WHEN dn >= up THEN hi ELSE hi + 1 END, acc + greatest(dn, up), poc, step + 1 FROM (
+ SELECT *, CASE WHEN lo > mn THEN held[lo] ELSE -1 END AS dn, CASE WHEN hi < mx THEN held[hi + 2] ELSE -1 END AS up FROM {x}grow)
+ WHERE acc < total * 0.7 AND greatest(dn, up) >= 0""",
+    )
+    cte(
+        f"{x}area",
+        f"""SELECT ticker, m[z.poc] AS poc, m[z.hi] AS vah, m[z.lo] AS val FROM (SELECT ticker, arg_max({{'lo': lo, 'hi': hi, 'poc': poc}}, step) AS z FROM {x}grow GROUP BY 1)
+ JOIN (SELECT ticker, map_from_entries(list((bin, price))) AS m FROM {x}prof100 GROUP BY 1) USING (ticker)""",
+    )
+    soft = f"SELECT * FROM {x}extremes UNION ALL " + _union([("poc", "poc", "3.0", False), ("vah", "vah", "2.0", False), ("val", "val", "2.0", True)], f"{x}area")
+    cte(
+        f"{x}boosted",
+        f"""SELECT s.ticker, s.price, s.method, s.strength * CASE WHEN EXISTS (SELECT 1 FROM {x}anchors a WHERE a.ticker = s.ticker AND abs(s.price - a.price) / a.price <= 0.003) THEN 2 ELSE 1 END AS strength, s.is_support
+ FROM ({soft}) s WHERE s.price > 0""",
+    )
+    # numbered by price; then one after the other, the levels kept so far in a list
+    cte(
+        f"{x}walk",
+        f"""SELECT ticker, {{'price': price, 'method': method, 'strength': strength, 'is_support': is_support}} AS v, row_number() OVER (PARTITION BY ticker ORDER BY price, strength DESC, method, is_support) AS i
+ FROM (SELECT * FROM {x}pivots UNION ALL SELECT * FROM {x}anchors UNION ALL SELECT * FROM {x}boosted) JOIN {prices} USING (ticker) WHERE strength >= 0.5 AND price BETWEEN px * (1 - 0.30) AND px * (1 + 0.30)""",
+        kept=True,
+    )
+    cte(
+        f"{x}kept",
+        f"""SELECT ticker, i, [v] AS kept FROM {x}walk WHERE i = 1
+ UNION ALL
+ SELECT k.ticker, n.i, CASE WHEN abs(n.v.price - k.kept[-1].price) / k.kept[-1].price >= 0.003 THEN list_append(k.kept, n.v) WHEN n.v.strength > k.kept[-1].strength THEN list_append(k.kept[:-2], n.v) ELSE k.kept END
+ FROM {x}kept k JOIN {x}walk n ON n.ticker = k.ticker AND n.i = k.i + 1""",
+    )
+    cte(f"{x}merged", f"SELECT ticker, v.price AS price, v.method AS method, v.strength AS strength, v.is_support AS is_support FROM (SELECT ticker, unnest(kept) AS v FROM (SELECT ticker, arg_max(kept, i) AS kept FROM {x}kept GROUP BY 1))")
+    cte(
+        f"{x}nearest",
+        f"SELECT ticker, px, max(price) FILTER (price < px AND is_support) AS support, min(price) FILTER (price > px AND NOT is_support) AS resistance FROM {prices} LEFT JOIN {x}merged USING (ticker) GROUP BY 1, 2",
+    )
+
+
+cte("last_px", "SELECT ticker, arg_max(close, ts) AS px FROM bi GROUP BY 1")
+level_ctes("", "bi", "last_px")
+# a ticker as of a day is a ticker of its own
+cte("asof_bi", "SELECT d.ticker || '|' || d.day AS ticker, b.ts, b.open, b.high, b.low, b.close, b.volume FROM (SELECT DISTINCT ticker, day FROM bi) d JOIN bi b ON b.ticker = d.ticker AND b.day < d.day", kept=True)
+cte("asof_px", "SELECT ticker || '|' || day AS ticker, arg_max(close, ts) AS px FROM bi GROUP BY ticker, day")
+level_ctes("asof_", "asof_bi", "asof_px")
 LV = "ticker method is_support"
 
 
@@ -33,64 +110,34 @@ def q_anchors(spark, sf_dir):
     return tidy(levels.anchors(bars(spark, sf_dir)), LV.split(), ["price", "strength"], 4)
 
 
-_R = f"OVER ({T} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
-cte(
-    "extremes",
-    f"""SELECT ticker, round(avg(p), 4) AS price, CASE WHEN s THEN 'local_low' ELSE 'local_high' END AS method, round(sum(1 / age), 4) AS strength, s AS is_support FROM (
- SELECT *, sum(far) OVER (PARTITION BY ticker, s ORDER BY p, age ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM (
- SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY ticker, s ORDER BY p, age) > 0.003 * lag(p) OVER (PARTITION BY ticker, s ORDER BY p, age) THEN 1
-  WHEN lag(p) OVER (PARTITION BY ticker, s ORDER BY p, age) IS NULL THEN 1 ELSE 0 END AS far FROM (
- SELECT ticker, high AS p, false AS s, age FROM ext WHERE high = mx UNION ALL SELECT ticker, low, true, age FROM ext WHERE low = mn))) GROUP BY ticker, s, cluster""",
-)
-cte(
-    "ext",
-    f"""SELECT * FROM (SELECT *, count(*) {_R} AS n, max(high) {_R} AS mx, min(low) {_R} AS mn,
- greatest(epoch_us(max(ts) OVER (PARTITION BY ticker)) - epoch_us(ts), 43200000000) / 86400e6 AS age FROM bi) WHERE n = 11""",
-)
-
-
 @query("levels_fractal_clusters", rounded(LV, "price strength", "SELECT * FROM extremes", 3))
 def q_extremes(spark, sf_dir):
     return tidy(levels.extremes(bars(spark, sf_dir)), LV.split(), ["price", "strength"], 3)
 
 
-cte(
-    "prof100",
-    """SELECT ticker, bin, sum(v) AS volume, any_value(lo + (bin + 0.5) * w) AS price FROM (
- SELECT ticker, lo, w, unnest(range(b0, b1 + 1)) AS bin, volume / (b1 - b0 + 1) AS v FROM (
- SELECT *, greatest(b0, CAST(least(floor((high - lo) / w), 99) AS BIGINT)) AS b1 FROM (
- SELECT *, CAST(greatest(ceil((low - lo) / w) - 1, 0) AS BIGINT) AS b0 FROM (
- SELECT bi.*, e.lo, (e.hi - e.lo) / 100 AS w FROM bi JOIN (SELECT ticker, min(low) AS lo, max(high) AS hi FROM bi GROUP BY 1) e USING (ticker) WHERE volume > 0 AND high > low)))) GROUP BY 1, 2""",
-)
-
-
 @query("levels_volume_profile", rounded("ticker bin", "volume price", "SELECT * FROM prof100", 4))
 def q_profile(spark, sf_dir):
     return tidy(levels.profile(bars(spark, sf_dir)), ["ticker", "bin"], ["volume", "price"], 4)
 
 
-cte(
-    "grow",
-    """SELECT p.ticker, total, bin AS lo, bin AS hi, volume AS acc, bin AS poc, 0 AS step FROM (
-  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(volume, 9) DESC, bin) AS k, sum(volume) OVER (PARTITION BY ticker) AS total FROM prof100) p WHERE k = 1
- UNION ALL SELECT ticker, total, CASE WHEN dn >= up THEN lo - 1 ELSE lo END, CASE WHEN dn >= up THEN hi ELSE hi + 1 END, acc + greatest(dn, up), poc, step + 1 FROM (
- SELECT g.*, CASE WHEN g.lo > e.mn THEN coalesce(a.volume, 0) ELSE -1 END AS dn, CASE WHEN g.hi < e.mx THEN coalesce(b.volume, 0) ELSE -1 END AS up
- FROM grow g JOIN (SELECT ticker, min(bin) AS mn, max(bin) AS mx FROM prof100 GROUP BY 1) e USING (ticker)
- LEFT JOIN prof100 a ON a.ticker = g.ticker AND a.bin = g.lo - 1 LEFT JOIN prof100 b ON b.ticker = g.ticker AND b.bin = g.hi + 1)
- WHERE acc < total * 0.7 AND greatest(dn, up) >= 0""",
-)
-
-
-@query("levels_value_area", rounded("ticker", "poc vah val", """SELECT g.ticker, p.price AS poc, h.price AS vah, l.price AS val FROM (
- SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY step DESC) AS k FROM grow) g JOIN prof100 p ON p.ticker = g.ticker AND p.bin = g.poc
- JOIN prof100 h ON h.ticker = g.ticker AND h.bin = g.hi JOIN prof100 l ON l.ticker = g.ticker AND l.bin = g.lo WHERE k = 1""", 4))
+@query("levels_value_area", rounded("ticker", "poc vah val", "SELECT * FROM area", 4))
 def q_area(spark, sf_dir):
     return tidy(levels.value_area(levels.profile(bars(spark, sf_dir))), ["ticker"], ["poc", "vah", "val"], 4)
 
 
-@query("levels_cluster_centres")
+# Lloyd steps on the same points
+cte("spots", "SELECT ticker, p, row_number() OVER (PARTITION BY ticker ORDER BY p) AS k, count(*) OVER (PARTITION BY ticker) AS total FROM points")
+cte(
+    "lloyd",
+    """SELECT ticker, 0 AS step, list_transform(range(6), lambda j: ps[CAST(floor((2 * j + 1) * len(ps) / 12) AS BIGINT) + 1]) AS c, median(ps) AS middle, ps FROM (SELECT ticker, list(p ORDER BY p) AS ps FROM spots WHERE total >= 6 GROUP BY 1)
+ UNION ALL
+ SELECT ticker, step + 1, list_transform(range(6), lambda j: coalesce(list_avg(list_filter(ps, lambda p: len(list_filter(range(1, 6), lambda m: p > (c[m] + c[m + 1]) / 2)) = j)), c[j + 1])), middle, ps FROM lloyd WHERE step < 20""".replace("median(ps)", "list_median(ps)"),
+)
+
+
+@query("levels_cluster_centres", rounded("ticker method is_support", "price strength", "SELECT ticker, 'kmeans' AS method, round(v, 4) AS price, 1.5 AS strength, v <= middle AS is_support FROM (SELECT ticker, middle, unnest(c) AS v FROM lloyd WHERE step = 20)", 3))
 def q_centres(spark, sf_dir):
-    return tidy(levels.centres(bars(spark, sf_dir), "click"), ["ticker", "method"], ["price", "strength"], 3)
+    return tidy(levels.centres(bars(spark, sf_dir)), ["ticker", "method", "is_support"], ["price", "strength"], 3)
 
 
 @once("levels_merged")
@@ -98,12 +145,12 @@ def merged(spark, sf_dir):
     return levels.merged(bars(spark, sf_dir))
 
 
-@query("levels_merged")
+@query("levels_merged", rounded(LV, "price strength", "SELECT * FROM merged", 3))
 def q_merged(spark, sf_dir):
     return tidy(merged(spark, sf_dir), LV.split(), ["price", "strength"], 3)
 
 
-@query("levels_nearest")
+@query("levels_nearest", rounded("ticker", "px support resistance", "SELECT * FROM nearest", 4))
 def q_nearest(spark, sf_dir):
     px = bars(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "ts").alias("px"))
     return tidy(levels.nearest(merged(spark, sf_dir), px), ["ticker"], ["px", "support", "resistance"], 4)

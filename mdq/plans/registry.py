@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
+KEPT: set[str] = set()
 
 
 def query(name: str, sql: str | None = None):
@@ -28,8 +29,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, kept: bool = False) -> None:
+    """A shared sub-select; kept: computed once a statement, however often it is mentioned."""
     CTES[name] = body
+    if kept:
+        KEPT.add(name)
 
 
 def with_ctes(body: str) -> str:
@@ -48,7 +52,7 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({CTES[n]})" for n in needed)
     return f"WITH RECURSIVE {head}\n{body}"
 
 
