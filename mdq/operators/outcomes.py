@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import div, nz, order_window
 from ..functions.rank import expanding_quantiles
+from ..functions.scan import state_before
+from . import patterns
 from .levels import merged, nearest
 
 _SPAN = 32
@@ -61,36 +63,49 @@ def entries_from_bars(bars: DataFrame, q_low: float = 0.15, q_high: float = 0.85
     return lv.withColumn("stop", F.round(F.col("support") * 0.95 + 1e-9, 4))
 
 
-def candidates(bars: DataFrame, entries: DataFrame, pattern_bars: DataFrame, look: int = 20, open_min: int = 810, open_max: int = 1199, max_loss: float = 5.0) -> DataFrame:
+def gate_patterns(candles: DataFrame, entries: DataFrame, look: int = 20, tol: float = 0.01, near: float = 0.015) -> DataFrame:
+    """(ticker, day, idx, pattern, confidence): the most confident pattern of every bar that a look-back from an entry's day can reach.
+
+    Strict and exhaustion twins do not depend on the entry; absorption is judged at its support.
+    """
+    w = order_window("ticker", "idx")
+    day = F.to_date("ts")
+    # the entry days a bar is in reach of: its own up to that of the bar `look` rows on
+    far = F.coalesce(F.lead(day, look).over(w), F.last(day).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    reach = candles.select("ticker", "idx", F.sequence(day, far).alias("days")).select("ticker", "idx", F.explode("days").alias("day")).join(entries.select("ticker", "day", "support"), ["ticker", "day"])
+    free = patterns.best_per_bar(patterns.strict_twin(candles, tol=tol), patterns.exhaustion_twin(candles))
+    found = reach.join(free.select("ticker", "idx", "pattern", "confidence"), ["ticker", "idx"]).select("ticker", "day", "idx", "pattern", "confidence")
+    held = patterns.absorption(candles.join(reach, ["ticker", "idx"]), tol=near, keep=("day",)).select("ticker", "day", "idx", "pattern", "confidence")
+    best = found.unionByName(held).groupBy("ticker", "day", "idx").agg(F.max(F.struct("confidence", "pattern")).alias("b"))
+    return best.select("ticker", "day", "idx", "b.pattern", "b.confidence")
+
+
+def candidates(bars: DataFrame, entries: DataFrame, found: DataFrame, look: int = 20, open_min: int = 810, open_max: int = 1199, max_loss: float = 5.0) -> DataFrame:
     """Entry candidates per (ticker, day): support touched, close held, a pattern nearby; enter at the next open.
 
-    bars carry idx; pattern_bars (ticker, idx, pattern) flags pattern rows.
+    bars carry idx; found (ticker, day, idx, pattern) has the pattern of a bar as seen from the
+    entry of a day. A touch arms the level; a close under 90 % of it, a next open under 0.10 or too
+    far above the level disarms it until the next touch. attempt counts the armings so far.
     """
-    w = order_window("ticker", "ts")
-    p = pattern_bars.select("ticker", "idx", "pattern")
-    b = bars.join(p, ["ticker", "idx"], "left").withColumn("p_idx", F.when(F.col("pattern").isNotNull(), F.struct("idx", "pattern")))
-    b = b.withColumn("last_p", F.max("p_idx").over(w.rowsBetween(-look, 0)))
-    b = b.withColumns({"next_open": F.lead("open").over(w), "next_ts": F.lead("ts").over(w), "day": F.to_date("ts")})
-    b = b.where(minute_of_day(F.col("ts")).between(open_min, open_max))
-    j = b.join(entries.select("ticker", "day", "support", "resistance"), ["ticker", "day"])
-    dw = Window.partitionBy("ticker", "day").orderBy("idx")
+    w = order_window("ticker", "idx")
+    b = bars.withColumns({"next_open": F.lead("open").over(w), "next_ts": F.lead("ts").over(w), "day": F.to_date("ts")})
+    b = b.where(minute_of_day(F.col("ts")).between(open_min, open_max)).join(entries.select("ticker", "day", "support", "resistance"), ["ticker", "day"])
+    # patterns lie on bars before the session too, so both kinds of rows share one ordered window
+    marks = found.select("ticker", "day", "idx", F.struct("idx", "pattern").alias("mark"))
+    seen = F.max("mark").over(Window.partitionBy("ticker", "day").orderBy("idx").rangeBetween(-look, 0))
+    both = b.unionByName(marks, allowMissingColumns=True)
+    j = both.withColumn("last_p", seen).where("ts is not null").drop("mark")
     touch = F.least("open", "close") <= F.col("support") * 1.02
     broke = F.col("close") < F.col("support") * 0.90
-    before = dw.rowsBetween(Window.unboundedPreceding, -1)
-    j = j.withColumns(
-        {
-            "touch_idx": F.max(F.when(touch, F.col("idx"))).over(before),
-            "broke_idx": F.max(F.when(broke, F.col("idx"))).over(before),
-            "attempt": F.sum(touch.cast("int")).over(before),
-        }
-    )
     risk = (F.col("next_open") - F.col("support")) / F.col("next_open") * 100
-    ok = (
-        F.col("touch_idx").isNotNull() & (F.col("touch_idx") > nz(F.col("broke_idx"), -1)) & ~broke & F.col("last_p").isNotNull()
-        & (F.col("next_open") >= 0.10) & (risk <= max_loss) & (minute_of_day(F.col("next_ts")) <= open_max)
-        & (F.to_date("next_ts") == F.col("day"))
-    )
-    return j.where(ok).select(
+    inside = (minute_of_day(F.col("next_ts")) <= open_max) & (F.to_date("next_ts") == F.col("day"))
+    ready = F.col("last_p").isNotNull() & F.coalesce(inside, F.lit(False))
+    refused = (F.col("next_open") < 0.10) | (risk > max_loss)
+    reset = broke | (ready & refused)
+    j = state_before(j, ["ticker", "day"], "idx", [F.when(touch, 1).otherwise(0), F.when(reset, 0).otherwise(1)], 0, "armed")
+    arming = F.when((F.col("armed") == 0) & touch, 1).otherwise(0)
+    j = j.withColumn("attempt", F.sum(arming).over(Window.partitionBy("ticker", "day").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    return j.where((F.col("armed") == 1) & ready & ~reset).select(
         "ticker", "day", "support", "resistance", (F.col("idx") + 1).alias("entry_idx"), F.col("next_ts").alias("entry_ts"),
         F.col("next_open").alias("entry_price"), F.col("last_p.pattern").alias("pattern"),
         (F.col("idx") - F.col("last_p.idx")).alias("bars_since"), F.col("attempt").cast("bigint").alias("attempt"),

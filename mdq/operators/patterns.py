@@ -74,7 +74,7 @@ def exhaustion_twin(c: DataFrame, tol: float = 0.05, min_body: float = 0.10, adx
     return lead.where(ok).select(*_KEEP, F.lit("exhaustion").alias("pattern"), F.lit(0.6).alias("confidence"))
 
 
-def absorption(c: DataFrame, tol: float = 0.01, adx_min: float | None = None, lead_body: float = 1.5, small: float = 0.4) -> DataFrame:
+def absorption(c: DataFrame, tol: float = 0.01, adx_min: float | None = 15.0, lead_body: float = 1.5, small: float = 0.4, keep: tuple[str, ...] = ()) -> DataFrame:
     """A heavy bearish candle onto a level, then two small ones that hold its low; needs `support`."""
     hold = F.col("low_2") * 0.998
     cap = small * 2 * F.col("mean_body")
@@ -86,7 +86,7 @@ def absorption(c: DataFrame, tol: float = 0.01, adx_min: float | None = None, le
     )
     if adx_min is not None:
         ok = ok & (F.col("adx") >= adx_min)
-    return c.where(ok).select(*_KEEP, "support", F.lit("absorption").alias("pattern"), F.lit(0.7).alias("confidence"))
+    return c.where(ok).select(*_KEEP, *keep, "support", F.lit("absorption").alias("pattern"), F.lit(0.7).alias("confidence"))
 
 
 def near_level(matches: DataFrame, levels: DataFrame, band: float = 0.005) -> DataFrame:

@@ -157,9 +157,15 @@ def hashed(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003
 
 
+def name_key(name: str) -> Column:
+    """A whole name as a number: its code points weighted by their places."""
+    at = F.sequence(F.lit(1), F.length(name))
+    return F.aggregate(at, F.lit(0).cast("bigint"), lambda acc, i: acc + F.ascii(F.substring(name, i, F.lit(1))) * (i * 131 + 7))
+
+
 def trade_key() -> Column:
     """A whole number that tells trades of one grid apart."""
-    return F.col("entry_idx") * 10_007 + F.round(F.col("pt") * 100).cast("bigint") * 101 + F.round(F.col("sl") * 100).cast("bigint") + F.ascii("ticker")
+    return F.col("entry_idx") * 10_007 + F.round(F.col("pt") * 100).cast("bigint") * 101 + F.round(F.col("sl") * 100).cast("bigint") + name_key("ticker")
 
 
 def monte_carlo(trades: DataFrame, reps: int = 1000, low: float = 0.001, high: float = 0.005, size: float = 500.0) -> DataFrame:
@@ -191,7 +197,7 @@ def shuffled_entries(entries: DataFrame, reps: int) -> DataFrame:
     lo, hi = F.floor(F.col("n") * 0.05), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
     limits = ranked.agg(at(lo).alias("lo"), at(hi).alias("hi"))
     e = entries.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(F.broadcast(limits))
-    key = F.datediff("day", F.lit("2000-01-01").cast("date")) * 211 + F.ascii("ticker")
+    key = F.datediff("day", F.lit("2000-01-01").cast("date")) * 211 + name_key("ticker")
     drawn = F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * uniform(key, F.col("rep"), 3) + 1e-9, 4)
     return e.select(F.concat("ticker", F.lit("#"), F.col("rep").cast("string")).alias("ticker"), "day", drawn.alias("support"), "resistance")
 

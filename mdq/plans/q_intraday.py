@@ -219,7 +219,7 @@ def q_entries(spark, sf_dir):
 @query("pattern_absorption", """SELECT ticker, ts, support FROM (SELECT c.*, l.support FROM canda c JOIN levels_daily l ON l.ticker = c.ticker AND l.day = c.day)
  WHERE idx >= 3 AND close_2 < open_2 AND mean_body_2 > 0 AND body_2 >= 1.2 * mean_body_2 AND abs(least(close_2, low_2) - support) <= 0.03 * support
  AND low_1 >= low_2 * 0.998 AND low >= low_2 * 0.998 AND (mean_body IS NULL OR mean_body <= 0 OR (body_1 <= 0.8 * mean_body AND body <= 0.8 * mean_body))
- AND (close_1 > open_1 OR close > open)""")
+ AND (close_1 > open_1 OR close > open) AND adx >= 15""")
 def q_absorption(spark, sf_dir):
     c = candles(spark, sf_dir).withColumn("day", F.to_date("ts")).join(levels_daily(spark, sf_dir).select("ticker", "day", "support"), ["ticker", "day"])
     return patterns.absorption(c, tol=0.03, lead_body=1.2).select("ticker", "ts", "support")

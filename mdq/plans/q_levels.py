@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.core import tidy
 from ..operators import levels, outcomes, patterns
 from .inputs import bars, once
-from .q_intraday import T, candles, eqh_signals, levels_daily
+from .q_intraday import _BEAR3, _EXH, _TWIN, T, candles, eqh_signals, levels_daily
 from .registry import cte, query, rounded
 
 _R = f"OVER ({T} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
@@ -178,20 +178,43 @@ def q_rejections(spark, sf_dir):
 
 # ---- candidates and outcomes ----------------------------------------------------------
 
-cte("pbars", "SELECT ticker, idx, 'eqh_pair' AS pattern FROM eqh")
-_DW = "OVER (PARTITION BY ticker, day ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+# the entry days that a bar is in reach of, and its best pattern as seen from each
+cte(
+    "reached",
+    """SELECT c.*, l.day AS entry_day, l.support FROM (SELECT *, coalesce(lead(day, 20) OVER (PARTITION BY ticker ORDER BY idx), last_value(day) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS far FROM canda) c
+ JOIN levels_daily l ON l.ticker = c.ticker AND l.day BETWEEN c.day AND c.far""",
+)
+cte(
+    "gated",
+    f"""SELECT ticker, day, idx, arg_max(pattern, (confidence, pattern)) AS pattern FROM (
+ SELECT ticker, entry_day AS day, idx, 'strict' AS pattern, 1.0 AS confidence FROM reached WHERE {_TWIN.replace('0.03', '0.01')} AND {_BEAR3} AND adx >= 20
+ UNION ALL SELECT r.ticker, r.entry_day, r.idx, 'exhaustion', 0.6 FROM reached r JOIN ({_EXH.replace('ticker, ts, lead_idx', 'ticker, idx', 1)}) e ON e.ticker = r.ticker AND e.idx = r.idx
+ UNION ALL SELECT ticker, entry_day, idx, 'absorption', 0.7 FROM reached WHERE idx >= 3 AND close_2 < open_2 AND mean_body_2 > 0 AND body_2 >= 1.5 * mean_body_2 AND abs(least(close_2, low_2) - support) <= 0.015 * support
+  AND low_1 >= low_2 * 0.998 AND low >= low_2 * 0.998 AND (mean_body IS NULL OR mean_body <= 0 OR (body_1 <= 0.8 * mean_body AND body <= 0.8 * mean_body)) AND (close_1 > open_1 OR close > open) AND adx >= 15) GROUP BY 1, 2, 3""",
+)
+# one bar of a session after the other: a touch arms, a break or a refused entry disarms
+cte(
+    "session_bars",
+    """SELECT *, row_number() OVER (PARTITION BY ticker, day ORDER BY idx) AS k, least(open, close) <= support * 1.02 AS touch,
+ close < support * 0.90 OR (ready AND (next_open < 0.1 OR (next_open - support) / next_open * 100 > 5)) AS reset FROM (
+ SELECT *, last_p IS NOT NULL AND coalesce(hour(next_ts) * 60 + minute(next_ts) <= 1199 AND CAST(next_ts AS DATE) = day, false) AS ready FROM (
+ SELECT b.*, l.support, l.resistance, (SELECT max(g.idx) FROM gated g WHERE g.ticker = b.ticker AND g.day = b.day AND g.idx BETWEEN b.idx - 20 AND b.idx) AS last_p
+ FROM (SELECT *, lead(open) OVER (PARTITION BY ticker ORDER BY ts) AS next_open, lead(ts) OVER (PARTITION BY ticker ORDER BY ts) AS next_ts FROM bi) b JOIN levels_daily l ON l.ticker = b.ticker AND l.day = b.day
+ WHERE hour(b.ts) * 60 + minute(b.ts) BETWEEN 810 AND 1199))""",
+    kept=True,
+)
+cte(
+    "armings",
+    """SELECT ticker, day, k, 0 AS armed, CASE WHEN touch THEN 1 ELSE 0 END AS after, CASE WHEN touch THEN 1 ELSE 0 END AS attempt FROM session_bars WHERE k = 1
+ UNION ALL
+ SELECT n.ticker, n.day, n.k, a.after, CASE WHEN a.after = 0 THEN CASE WHEN n.touch THEN 1 ELSE 0 END WHEN n.reset THEN 0 ELSE 1 END, a.attempt + CASE WHEN a.after = 0 AND n.touch THEN 1 ELSE 0 END
+ FROM armings a JOIN session_bars n ON n.ticker = a.ticker AND n.day = a.day AND n.k = a.k + 1""",
+)
 cte(
     "cands",
-    f"""SELECT ticker, day, support, resistance, idx + 1 AS entry_idx, next_ts AS entry_ts, next_open AS entry_price, pattern, idx - last_p AS bars_since, attempt FROM (
- SELECT *, max(CASE WHEN least(open, close) <= support * 1.02 THEN idx END) {_DW} AS touch_idx, max(CASE WHEN close < support * 0.9 THEN idx END) {_DW} AS broke_idx,
-  CAST(sum(CASE WHEN least(open, close) <= support * 1.02 THEN 1 ELSE 0 END) {_DW} AS BIGINT) AS attempt FROM (
- SELECT x.*, l.support, l.resistance, 'eqh_pair' AS pattern FROM (
- SELECT b.*, max(p.idx) OVER (PARTITION BY b.ticker ORDER BY b.ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS last_p,
-  lead(open) OVER (PARTITION BY b.ticker ORDER BY b.ts) AS next_open, lead(b.ts) OVER (PARTITION BY b.ticker ORDER BY b.ts) AS next_ts
- FROM bi b LEFT JOIN pbars p ON p.ticker = b.ticker AND p.idx = b.idx) x JOIN levels_daily l ON l.ticker = x.ticker AND l.day = x.day
- WHERE hour(x.ts) * 60 + minute(x.ts) BETWEEN 810 AND 1199))
- WHERE touch_idx > coalesce(broke_idx, -1) AND NOT close < support * 0.9 AND last_p IS NOT NULL AND next_open >= 0.1
- AND (next_open - support) / next_open * 100 <= 5 AND hour(next_ts) * 60 + minute(next_ts) <= 1199 AND CAST(next_ts AS DATE) = day""",
+    """SELECT s.ticker, s.day, s.support, s.resistance, s.idx + 1 AS entry_idx, s.next_ts AS entry_ts, s.next_open AS entry_price, g.pattern, s.idx - s.last_p AS bars_since, CAST(a.attempt AS BIGINT) AS attempt
+ FROM session_bars s JOIN armings a ON a.ticker = s.ticker AND a.day = s.day AND a.k = s.k JOIN gated g ON g.ticker = s.ticker AND g.day = s.day AND g.idx = s.last_p WHERE a.armed = 1 AND s.ready AND NOT s.reset""",
+    kept=True,
 )
 GRID = [(p, s) for p in (0.6, 1.2, 2.4) for s in (0.4, 0.8, 1.6)]
 
@@ -199,7 +222,8 @@ GRID = [(p, s) for p in (0.6, 1.2, 2.4) for s in (0.4, 0.8, 1.6)]
 @once("cands")
 def cands(spark, sf_dir):
     c = candles(spark, sf_dir)
-    return outcomes.candidates(c.select("ticker", "ts", "idx", "open", "high", "low", "close"), levels_daily(spark, sf_dir), patterns.equal_highs(c))
+    entries = levels_daily(spark, sf_dir)
+    return outcomes.candidates(c.select("ticker", "ts", "idx", "open", "high", "low", "close"), entries, outcomes.gate_patterns(c, entries))
 
 
 @query("entry_candidates", rounded("ticker day entry_idx entry_ts pattern bars_since attempt", "entry_price support", "SELECT * FROM cands", 4))

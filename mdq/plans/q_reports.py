@@ -11,7 +11,7 @@ from ..operators import outcomes, patterns, reports
 from .inputs import daily, once, panel
 from .q_intraday import candles, levels_daily
 from .q_levels import trades
-from .registry import CTES, cte, query, rounded
+from .registry import CTES, KEPT, cte, query, rounded
 
 _S = """count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'timeout') AS timeouts,
  avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(avg(pnl_pct) FILTER (outcome = 'win'), 0) AS avg_win, coalesce(avg(pnl_pct) FILTER (outcome = 'loss'), 0) AS avg_loss,
@@ -151,8 +151,10 @@ def _uniform_sql(key: str, rep: str, salt: int) -> str:
     return f"((({m}) * ({m})) % 1000003 * 48271 + {salt}) % 1000003 / 1000003.0::DOUBLE"
 
 
-_REPS = 200
-_KEY = "entry_idx * 10007 + CAST(round(pt * 100) AS BIGINT) * 101 + CAST(round(sl * 100) AS BIGINT) + ascii(ticker)"
+_REPS = 1000
+# the whole name as a number
+_NAME = "list_sum(list_transform(range(1, length(ticker) + 1), lambda i: ascii(ticker[i]) * (i * 131 + 7)))"
+_KEY = "entry_idx * 10007 + CAST(round(pt * 100) AS BIGINT) * 101 + CAST(round(sl * 100) AS BIGINT) + " + _NAME
 cte(
     "replicates",
     f"""SELECT rep, sum(500.0 / e * (x - e)) AS pnl, avg(CASE WHEN x > e THEN 1.0 ELSE 0.0 END) AS win_rate FROM (
@@ -171,23 +173,24 @@ def q_mc(spark, sf_dir):
 _SHUFFLES = 20
 cte(
     "shuffled_levels",
-    f"""SELECT ticker || '#' || rep AS ticker, day, round(lo + (hi - lo) * ({_uniform_sql("date_diff('day', DATE '2000-01-01', day) * 211 + ascii(ticker)", "rep", 3)}) + 1e-9, 4) AS support, resistance
+    f"""SELECT ticker || '#' || rep AS ticker, day, round(lo + (hi - lo) * ({_uniform_sql("date_diff('day', DATE '2000-01-01', day) * 211 + " + _NAME, "rep", 3)}) + 1e-9, 4) AS support, resistance
  FROM levels_daily, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep), (SELECT s[CAST(floor(len(s) * 0.05) AS BIGINT) + 1] AS lo, s[least(len(s), CAST(floor(len(s) * 0.95) AS BIGINT) + 1)] AS hi FROM (SELECT list_sort(list(support)) AS s FROM levels_daily))""",
 )
 cte("bi_x", f"SELECT * REPLACE (ticker || '#' || rep AS ticker) FROM bi, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep)")
-cte("pbars_x", f"SELECT ticker || '#' || rep AS ticker, idx FROM pbars, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep)")
+cte("canda_x", f"SELECT * REPLACE (ticker || '#' || rep AS ticker) FROM canda, (SELECT unnest(range(1, {_SHUFFLES + 1})) AS rep)", kept=True)
+_OWN = ("reached", "gated", "session_bars", "armings", "be", "cands", "barr")
 
 
 def _again(body: str) -> str:
     """A candidate or outcome statement over the shuffled tables."""
-    for name, other in (("bi", "bi_x"), ("pbars", "pbars_x"), ("levels_daily", "shuffled_levels"), ("cands", "cands_x"), ("barr", "barr_x"), ("be", "be_x"), ("gridp", "one_grid")):
+    for name, other in (("bi", "bi_x"), ("canda", "canda_x"), ("levels_daily", "shuffled_levels"), ("gridp", "one_grid"), *((n, f"{n}_x") for n in _OWN)):
         body = re.sub(rf"\b{name}\b", other, body)
     return body
 
 
 cte("one_grid", "SELECT 1.2::DOUBLE AS pt, 0.8::DOUBLE AS sl")
-for _name in ("be", "cands", "barr"):
-    cte(f"{_name}_x", _again(CTES[_name]))
+for _name in _OWN:
+    cte(f"{_name}_x", _again(CTES[_name]), kept=_name in KEPT)
 
 
 @query("shuffle_control", rounded("beats_chance", "real mean sd", f"""SELECT *, real > mean + 1.5 * sd AS beats_chance FROM (SELECT avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS real FROM trades WHERE pt = 1.2 AND sl = 0.8),
@@ -198,7 +201,7 @@ def q_shuffle(spark, sf_dir):
     again = lambda df: reports.replicated(df, _SHUFFLES)
     entries = reports.shuffled_entries(levels_daily(spark, sf_dir).select("ticker", "day", "support", "resistance"), _SHUFFLES)
     bars_x = again(c.select("ticker", "ts", "idx", "open", "high", "low", "close"))
-    found = outcomes.candidates(bars_x, entries, again(patterns.equal_highs(c)))
+    found = outcomes.candidates(bars_x, entries, outcomes.gate_patterns(again(c), entries))
     fake = outcomes.first_barrier(outcomes.barriers(outcomes.with_grid(found, [(1.2, 0.8)])), bars_x)
     real = trades(spark, sf_dir).where("pt = 1.2 AND sl = 0.8")
     return tidy(reports.shuffle_control(real, fake, _SHUFFLES), ["beats_chance"], ["real", "mean", "sd"])
