@@ -14,12 +14,22 @@ STOP = r"(?i)(stop|sl|cut|invalidat[e]*|below)"
 PRE_MARKET = r"(?i)pre[\s\-]?market|pm\b|premarket|before open"
 AFTER_HOURS = r"(?i)after[\s\-]?hours?|ah\b|extended hours?|post[\s\-]?market"
 MARKET_OPEN = r"(?i)market open|open[ing]?|rth|regular hours?|9:30"
-NOT_TICKERS = """THE AND FOR BUT NOT ARE WAS HAS HAD ITS ALL NEW GET SET WITH FROM INTO OVER SOME THIS THAT THEN ALSO WHEN
-WILL BOTH NEXT LAST THEM THEY THEIR THAN ONLY THESE THOSE JUST BEEN HAVE WERE DOES WHAT WHICH SUCH EACH EVEN VERY MUCH MOST
-MANY MORE LESS BACK TOOK MAKE MADE TAKE GIVE GAVE GOES GOING COME CAME KEEP KEPT TELL TOLD KNOW KNEW SHOW SHOWN SAID SAYS
-NEED NEEDS WANT WANTS FEEL FELT YOUR OUR HIS HER OWN MINE YOU HIM SHE WE MY ME DO DID DONE IS IT IN OF TO ON AT BY UP AS IF
-OR AN A BUY SELL STOP HOLD WATCH LONG SHORT LOOK LIKE PLAY FLAT WAIT SIDE BODY HIGH LOW OPEN CLOSE BREAK ABOVE BELOW LEVEL
-PRICE ENTRY EXIT RISK LOSS GAIN""".split()
+#: the words that most often look like symbols; longer lists are a parameter of the caller
+NOT_TICKERS = [
+    "THE", "AND", "FOR", "BUT", "NOT", "ARE", "WAS", "HAS", "HAD", "ITS", "ALL", "NEW", "GET", "SET", "WITH", "FROM", "INTO", "OVER",
+    "SOME", "THIS", "THAT", "THEN", "ALSO", "WHEN", "WILL", "BOTH", "NEXT", "LAST", "THEM", "THEY", "THEIR", "THAN", "ONLY", "THESE",
+    "THOSE", "JUST", "BEEN", "HAVE", "WERE", "DOES", "WHAT", "WHICH", "SUCH", "EACH", "EVEN", "VERY", "MUCH", "MOST", "MANY", "MORE",
+    "LESS", "BACK", "TOOK", "MAKE", "MADE", "TAKE", "GIVE", "GAVE", "GOES", "GOING", "COME", "CAME", "KEEP", "KEPT", "TELL", "TOLD", "KNOW",
+    "KNEW", "SHOW", "SHOWN", "SAID", "SAYS", "NEED", "NEEDS", "WANT", "WANTS", "FEEL", "FELT", "YOUR", "OUR", "HIS", "HER", "OWN", "MINE",
+    "YOU", "HIM", "SHE", "WE", "MY", "ME", "DO", "DID", "DONE", "IS", "IT", "IN", "OF", "TO", "ON", "AT", "BY", "UP", "AS", "IF", "OR",
+    "AN", "A", "BUY", "SELL", "STOP", "HOLD", "WATCH", "LONG", "SHORT", "LOOK", "LIKE", "PLAY", "FLAT", "WAIT", "SIDE", "BODY", "HIGH",
+    "LOW", "OPEN", "CLOSE", "BREAK", "ABOVE", "BELOW", "LEVEL", "PRICE", "ENTRY", "EXIT", "RISK", "LOSS", "GAIN", "NFA", "DYOR", "DD",
+    "IMO", "IMHO", "FWIW", "TBH", "RN", "AH", "PM", "EOD", "EOW", "YTD", "ATH", "ATM", "OTC", "HALT", "EMA", "SMA", "RSI", "ETF", "IPO",
+    "SEC", "ADR",
+    "RISKS", "MONEY", "LOSE", "HUGE", "SMALL", "LARGE", "GOOD", "GREAT", "BEST", "BULL", "BEAR", "PUSH", "PULL", "PUMP", "DUMP", "MOVE",
+    "PRINT", "AFTER", "HOURS", "DAYS", "DAY", "WEEK", "MONTH", "YEAR", "TIME", "CALL", "PUT", "STOCK", "TRADE", "SETUP", "CHART", "NEWS",
+    "ALERT", "TOP", "GAP", "RUN", "DIP", "CASH", "VOL", "RED",
+]
 SENTIMENT = {
     "war": 5.0, "conflict": 5.0, "iran": 5.0, "israel": 5.0, "hormuz": 5.0,
     "well": 2.0, "drilling": 2.0, "bpd": 2.0, "production": 2.0,

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import div, nz
 from ..functions.score_expr import features_in_formula
@@ -39,31 +40,125 @@ def pareto_front_2d(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame
     return j.where((F.col(y) == F.col("_by")) & (F.col("_lim").isNull() | (F.col("_lim") < F.col(y)))).drop("_by", "_lim")
 
 
+#: cells per objective of the dominance grid; with d objectives there are at most GRID ** d cells
+GRID = 8
+
+
+def _gridded(df: DataFrame, objectives: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """df with maximised objectives o0, o1, ... and grid coordinates g0, g1, ... (larger is better): equal shares by a quantile sketch."""
+    vs = _signed(objectives)
+    names = [f"o{i}" for i in range(len(vs))]
+    d = df.withColumns(dict(zip(names, vs)))
+    probs = [i / GRID for i in range(1, GRID)]
+    cuts = d.agg(*[F.percentile_approx(o, probs, 1000).alias(f"_{o}") for o in names]).first()
+    place = lambda o: sum(((F.col(o) > float(c)).cast("int") for c in (cuts[f"_{o}"] or [])), F.lit(0))
+    return d.withColumns({f"g{i}": place(o) for i, o in enumerate(names)}), names
+
+
+def _cells_over(d: DataFrame, n: int) -> DataFrame:
+    """(cell, over, strict): the cells at least as good as each occupied cell in every objective; strict: better in all. At most GRID ** n cells."""
+    cells = d.select(*[f"g{i}" for i in range(n)]).distinct().withColumn("cell", F.concat_ws(",", *[f"g{i}" for i in range(n)]))
+    better = cells.select(F.col("cell").alias("over"), *[F.col(f"g{i}").alias(f"h{i}") for i in range(n)])
+    for i in range(n):  # every cell names the values it has to meet, one objective after the other
+        cells = cells.withColumn(f"h{i}", F.explode(F.sequence(F.col(f"g{i}"), F.lit(GRID - 1))))
+    j = cells.join(better, [f"h{i}" for i in range(n)])
+    strict = F.lit(True)
+    for i in range(n):
+        strict = strict & (F.col(f"h{i}") > F.col(f"g{i}"))
+    return j.select("cell", "over", strict.alias("strict"))
+
+
+def _beats(a: str, b: str, names: list[str]) -> Column:
+    """Whether row a is at least as good as b in all objectives and better in one."""
+    weak, strict = F.lit(True), F.lit(False)
+    for o in names:
+        weak = weak & (F.col(f"{a}.{o}") >= F.col(f"{b}.{o}"))
+        strict = strict | (F.col(f"{a}.{o}") > F.col(f"{b}.{o}"))
+    return weak & strict
+
+
 def dominated_by(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
-    """Dominance pairs of a population (a bounded set of strategies)."""
-    cols = _signed(objectives)
-    a = df.select(F.col(key).alias("loser"), *[c.alias(f"l{i}") for i, c in enumerate(cols)])
-    b = df.select(F.col(key).alias("winner"), *[c.alias(f"w{i}") for i, c in enumerate(cols)])
-    worse, strict = F.lit(True), F.lit(False)
-    for i in range(len(cols)):
-        worse = worse & (F.col(f"w{i}") >= F.col(f"l{i}"))
-        strict = strict | (F.col(f"w{i}") > F.col(f"l{i}"))
-    return a.join(b, worse & strict).select("winner", "loser")
-
-
-def fronts(df: DataFrame, key: str, objectives: dict[str, str]) -> DataFrame:
-    """Front number of every strategy: peel the non-dominated set until nothing is left."""
-    pairs = cut_lineage(dominated_by(df, key, objectives))
-    left, out, n = df, None, 0
-    while True:
-        front = left.join(pairs.select(F.col("loser").alias(key)).distinct(), key, "left_anti").withColumn("front", F.lit(n))
-        front = cut_lineage(front)
-        if front.isEmpty():
-            return out
-        out = front if out is None else out.unionByName(front)
-        left = left.join(front.select(key), key, "left_anti")
-        pairs = cut_lineage(pairs.join(front.select(F.col(key).alias("winner")), "winner", "left_anti"))
-        n += 1
+    """All dominance pairs (winner, loser): rows meet only those of grid cells that can dominate theirs, by an equi-join on the cell."""
+    d, names = _gridded(df, objectives)
+    n = len(names)
+    d = d.withColumn("cell", F.concat_ws(",", *[f"g{i}" for i in range(n)])).select(F.col(key).alias("id"), "cell", *names)
+    asks = d.join(_cells_over(_gridded(df, objectives)[0], n), "cell").select("id", F.col("over").alias("at"), *names)
+    j = asks.alias("l").join(d.alias("w"), F.col("l.at") == F.col("w.cell")).where(_beats("w", "l", names))
+    return j.select(F.col("w.id").alias("winner"), F.col("l.id").alias("loser"))
+
+
+def _local_front(names: list[str]):
+    """Rows of a group that no other row of the group beats, block by block against the front so far."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows[names].to_numpy(float)
+        order = np.lexsort(v.T[::-1])[::-1]  # a row is beaten only by rows before it
+        kept = np.zeros(0, np.int64)
+        for at in range(0, len(order), 1024):
+            new = order[at : at + 1024]
+            for pool in (kept, new):
+                a, b = v[pool][:, None, :], v[new][None, :, :]
+                new = new[~((a >= b).all(axis=2) & (a > b).any(axis=2)).any(axis=0)]
+            kept = np.concatenate([kept, new])
+        return rows.iloc[np.sort(kept)]
+
+    return run
+
+
+def skyline(df: DataFrame, key: str, objectives: dict[str, str], parts: int = 64) -> DataFrame:
+    """Rows of df that no other row beats, for any number of objectives and rows.
+
+    Rows are cut into grid cells. A cell that another occupied cell beats in every objective goes as
+    a whole. What is left is thinned to the front of each part of a cell (parts split large
+    cells), and the thinned rows meet those of the cells that can still beat theirs: an anti join
+    on the cell that sees fronts, not rows.
+    """
+    d, names = _gridded(df, objectives)
+    n = len(names)
+    d = d.withColumn("cell", F.concat_ws(",", *[f"g{i}" for i in range(n)]))
+    over = cut_lineage(_cells_over(d, n))
+    alive = d.join(over.where("strict").select("cell").distinct(), "cell", "left_anti")
+    thin = alive.select(F.col(key).alias("id"), "cell", *names).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    thin = cut_lineage(thin.groupBy("cell", "part").applyInPandas(_local_front(names), thin.schema).drop("part"))
+    asks = thin.join(over.where("not strict").select("cell", F.col("over").alias("at")), "cell").select("id", "at", *names)
+    lost = asks.alias("l").join(thin.alias("w"), F.col("l.at") == F.col("w.cell")).where(_beats("w", "l", names)).select(F.col("l.id").alias("id")).distinct()
+    front = thin.select("id").join(lost, "id", "left_anti")
+    return df.join(front, df[key] == front["id"], "left_semi")
+
+
+def fronts(df: DataFrame, key: str, objectives: dict[str, str], by: str | None = None) -> DataFrame:
+    """df plus front, the number of each row's front: 0 for rows that none beats, then 0 again without those, and so on.
+
+    Populations (the rows of one value of `by`, or all) are ranked in one grouped job. A population
+    is a bounded set of strategies that one task holds; `skyline` is for sets of any size. Rows are
+    taken in an order in which winners come first; a row goes to the first front that has no
+    winner over it, found by halving, because fronts before one that beats it beat it too.
+    """
+    names = list(objectives)
+    sign = np.array([1.0 if x == "max" else -1.0 for x in objectives.values()])
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows[names].to_numpy(float) * sign
+        found: list[list[int]] = []
+        out = np.zeros(len(v), np.int64)
+
+        def beaten(f: int, x: np.ndarray) -> bool:
+            a = v[found[f]]
+            return bool(((a >= x).all(axis=1) & (a > x).any(axis=1)).any())
+
+        for i in np.lexsort(v.T[::-1])[::-1]:
+            lo, hi = 0, len(found)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if beaten(mid, v[i]) else (lo, mid)
+            if lo == len(found):
+                found.append([])
+            found[lo].append(int(i))
+            out[i] = lo
+        return rows.drop(columns="_by").assign(front=out.astype("int32"))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("front", T.IntegerType())])
+    return df.withColumn("_by", F.col(by) if by else F.lit(0)).groupBy("_by").applyInPandas(rank, schema)
 
 
 def crowding(df: DataFrame, key: str, objectives: Iterable[str]) -> DataFrame:
@@ -116,11 +211,84 @@ def sharing(d: Column, sigma: float, alpha: float = 1.0) -> Column:
     return F.when(d < sigma, 1 - F.pow(d / sigma, alpha)).otherwise(0.0)
 
 
-def pairwise(df: DataFrame, key: str, vector: str, sigma: float = 1.0, k: int = 15, alpha: float = 1.0) -> DataFrame:
-    """Niche count, mean distance and mean distance to the k nearest, for every row against all others.
+#: rows of a cell of the neighbour search, and rows asked together
+_CELL_ROWS, _ASK_ROWS = 1024, 2048
+
+
+def _spread(points: np.ndarray, n: int) -> np.ndarray:
+    """n points far from each other: each next one is the farthest from those taken."""
+    taken = [0]
+    d = ((points - points[0]) ** 2).sum(axis=1)
+    for _ in range(min(n, len(points)) - 1):
+        taken.append(int(d.argmax()))
+        d = np.minimum(d, ((points - points[taken[-1]]) ** 2).sum(axis=1))
+    return np.array(taken)
+
+
+def niches(df: DataFrame, key: str, vector: str, sigma: float = 1.0, k: int = 15, alpha: float = 1.0, sample: int = 4096) -> DataFrame:
+    """(key, niche_count, novelty): niche count within sigma and mean distance to the k nearest of every row; exact.
+
+    Pivots from a bounded sample cut the rows into cells of known radius. By the triangle
+    inequality a cell whose nearest point is farther than sigma adds nothing to a niche count, and
+    one farther than the k-th best distance so far adds no neighbour. The first pass finds an upper
+    bound of that distance in the row's own cell, the second looks only into cells within it or
+    within sigma. Rows that ask a cell come in blocks, so a large cell is not one task.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    total = rows.count()
+    every = max(1, total // sample)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(sample).toPandas()  # places the pivots; results do not depend on it
+    points = np.stack(some["v"].to_numpy()) if len(some) else np.zeros((1, 1))
+    pivots = points[_spread(points, math.ceil(total / _CELL_ROWS))]
+
+    def place(frames):
+        for frame in frames:
+            d = np.stack([np.sqrt(((pivots - np.asarray(x)) ** 2).sum(axis=1)) for x in frame["v"]]) if len(frame) else np.zeros((0, 1))
+            yield frame.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
+
+    held = cut_lineage(rows.mapInPandas(place, f"id {kind}, v array<double>, cell int, far double"))
+    sizes = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").toPandas()  # a row per pivot
+    cells, radius = sizes["cell"].to_numpy(), sizes["far"].to_numpy()
+    blocks = held.sparkSession.createDataFrame([(int(c), max(1, math.ceil(n / _ASK_ROWS))) for c, n in zip(cells, sizes["n"])], "cell int, blocks int")
+    to = held.join(blocks, "cell").select(F.col("cell").alias("to"), F.col("id").alias("other"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("turn"))
+
+    def distances(l: pd.DataFrame, r: pd.DataFrame):
+        b, other = np.stack(r["w"].to_numpy()), r["other"].to_numpy()
+        for i, x in zip(l["id"], l["v"]):
+            yield i, np.sqrt(((b - np.asarray(x)) ** 2).sum(axis=1))[other != i]
+
+    def bound(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        found = [float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else float("inf") for _, d in distances(l, r)] if len(l) else []
+        return pd.DataFrame({"id": l["id"], "v": l["v"], "reach": np.array(found, float)})
+
+    def aim(frames):
+        for frame in frames:
+            gaps = [np.sqrt(((pivots[cells] - np.asarray(x)) ** 2).sum(axis=1)) - radius for x in frame["v"]]
+            yield frame[["id", "v"]].assign(cells=[cells[g <= max(reach, sigma) * (1 + 1e-9) + 1e-9].tolist() for g, reach in zip(gaps, frame["reach"])])
+
+    def visit(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, d in distances(l, r) if len(l) and len(r) else ():
+            near = d[d < sigma]
+            out.append((i, float((1 - (near / sigma) ** alpha).sum()), np.sort(d)[:k].tolist()))
+        return pd.DataFrame(out, columns=["id", "niche", "best"])
+
+    in_blocks = lambda d: d.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meet = lambda d, f, schema: in_blocks(d).groupBy("cell", "block").cogroup(to.groupBy("to", "turn")).applyInPandas(f, schema)
+    first = meet(held, bound, f"id {kind}, v array<double>, reach double")
+    aimed = cut_lineage(first.mapInPandas(aim, f"id {kind}, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")))
+    found = meet(aimed, visit, f"id {kind}, niche double, best array<double>")
+    g = found.groupBy("id").agg(F.sum("niche").alias("niche"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    mean_best = F.aggregate("best", F.lit(0.0), lambda s, v: s + v) / F.size("best")
+    return g.select(F.col("id").alias(key), (F.col("niche") + 1).alias("niche_count"), mean_best.alias("novelty"))
+
+
+def mean_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, mean_distance) of every row to all others, which needs every pair.
 
     The vectors are cut into blocks of a few thousand; a task holds two blocks, and emits per
-    row one partial sum and its k best of that block pair, never the pairs themselves.
+    row one partial sum of that block pair, never the pairs themselves.
     """
     blocks = max(1, math.ceil(df.count() / _BLOCK_ROWS))
     base = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
@@ -129,22 +297,14 @@ def pairwise(df: DataFrame, key: str, vector: str, sigma: float = 1.0, k: int =
 
     def part(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
-            return pd.DataFrame({"id": [], "niche": [], "total": [], "n": [], "best": []})
+            return pd.DataFrame({"id": [], "total": [], "n": []})
         a, b = np.stack(l["v"].to_numpy()), np.stack(r["v"].to_numpy())
         ids = r["id"].to_numpy()
-        rows = []
-        for i, row in zip(l["id"].to_numpy(), a):
-            d = np.sqrt(((b - row) ** 2).sum(axis=1))[ids != i]
-            near = d[d < sigma]
-            rows.append((i, float((1 - (near / sigma) ** alpha).sum()), float(d.sum()), len(d), np.sort(d)[:k].tolist()))
-        return pd.DataFrame(rows, columns=["id", "niche", "total", "n", "best"])
+        rows = [(i, float(np.sqrt(((b - row) ** 2).sum(axis=1))[ids != i].sum()), int((ids != i).sum())) for i, row in zip(l["id"].to_numpy(), a)]
+        return pd.DataFrame(rows, columns=["id", "total", "n"])
 
-    schema = f"id {dict(df.dtypes)[key]}, niche double, total double, n bigint, best array<double>"
-    g = left.cogroup(right).applyInPandas(part, schema).groupBy("id").agg(
-        F.sum("niche").alias("niche"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-    )
-    mean_best = F.aggregate("best", F.lit(0.0), lambda s, v: s + v) / F.size("best")
-    return g.select(F.col("id").alias(key), (F.col("niche") + 1).alias("niche_count"), div(F.col("total"), F.col("n")).alias("mean_distance"), mean_best.alias("novelty"))
+    g = left.cogroup(right).applyInPandas(part, f"id {dict(df.dtypes)[key]}, total double, n bigint").groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return g.select(F.col("id").alias(key), div(F.col("total"), F.col("n")).alias("mean_distance"))
 
 
 # ---- population tables ----------------------------------------------------------------

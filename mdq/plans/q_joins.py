@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.core import nz, tidy
 from ..operators import calendar, decisions, factors, joins, portfolio, reports
+from ..session import shared_folder
 from ..sources import store
 from ..sources.adapters import table
 from .inputs import bars, daily, once, panel
@@ -376,3 +379,15 @@ def q_census(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.from_json("props", "k int").alias("p"))
     last = e.groupBy("user_id").agg(F.max_by(F.struct("value", "p.k"), "event_id").alias("x"))
     return decisions.vessel_counts(last.select(F.col("x.value").alias("course"), (F.col("x.k") / 4.0).alias("draught"), (F.col("x.k") * 5).alias("length")))
+
+
+@query("feature_store_update", """SELECT run, CASE run WHEN 1 THEN half WHEN 2 THEN total - half ELSE 0 END AS written, stored FROM (SELECT unnest([1, 2, 3]) AS run),
+ (SELECT count(*) AS stored, count(DISTINCT date) AS total, count(DISTINCT date) FILTER (year(date) < 1995) AS half FROM (SELECT DISTINCT ticker, CAST(date_trunc('month', date) AS DATE) AS date FROM panel))""")
+def q_feature_store(spark, sf_dir):
+    """A store of monthly features updated three times: with the early months, with all, and with all again (which writes nothing)."""
+    month = F.trunc("date", "month").alias("date")
+    f = panel(spark, sf_dir).groupBy("ticker", month).agg(F.avg("close").alias("mean_close"), F.count("*").alias("n"))
+    path = f"{shared_folder(spark)}/mdq/{spark.sparkContext.applicationId}/features-{uuid.uuid4().hex}"
+    written = [store.update_features(part, path, "nations") for part in (f.where(F.year("date") < 1995), f, f)]
+    runs = spark.createDataFrame(list(enumerate(written, 1)), "run int, written bigint")
+    return runs.join(spark.read.parquet(path).agg(F.count("*").alias("stored")))  # one row

@@ -22,6 +22,16 @@ def q_front(spark, sf_dir):
     return tidy(population.pareto_front_2d(o, "x", "y"), ["o_orderkey"], ["x", "y"], 3)
 
 
+_ORD3 = "SELECT o_orderkey, o_totalprice AS x, -date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS y, o_custkey % 977 AS z FROM orders"
+
+
+@query("pareto_skyline_3d", rounded("o_orderkey", "x y z", f"""SELECT * FROM ({_ORD3}) a WHERE NOT EXISTS (SELECT 1 FROM ({_ORD3}) b WHERE b.x >= a.x AND b.y >= a.y AND b.z >= a.z AND (b.x > a.x OR b.y > a.y OR b.z > a.z))""", 3))
+def q_skyline(spark, sf_dir):
+    date = (-F.unix_date(F.to_date("o_orderdate"))).cast("double")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"), date.alias("y"), (F.col("o_custkey") % 977).cast("double").alias("z"))
+    return tidy(population.skyline(o, "o_orderkey", {"x": "max", "y": "max", "z": "max"}), ["o_orderkey"], ["x", "y", "z"], 3)
+
+
 cte("objs", "SELECT ticker, round(avg(ret), 9) AS mean, round(stddev_samp(ret), 9) AS sd FROM enp WHERE ret IS NOT NULL GROUP BY 1")
 
 
@@ -94,27 +104,32 @@ _EMB = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS
 cte("vdist", f"SELECT a.vec_id, a.label, b.vec_id AS other, list_distance(a.v, b.v) AS d FROM ({_EMB}) a JOIN ({_EMB}) b ON a.vec_id <> b.vec_id")
 
 
-@once("pairwise")
-def near(spark, sf_dir):
-    return population.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", sigma=1.2, k=15)
+@once("niches")
+def niches(spark, sf_dir):
+    return population.niches(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", sigma=1.2, k=15)
+
+
+@once("mean_distances")
+def mean_distances(spark, sf_dir):
+    return population.mean_distances(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @query("niche_count_and_novelty", rounded("vec_id", "niche_count mean_distance novelty", """SELECT vec_id, niche_count, mean_distance, novelty FROM (SELECT vec_id, 1 + sum(CASE WHEN d < 1.2 THEN 1 - d / 1.2 ELSE 0 END) AS niche_count, avg(d) AS mean_distance FROM vdist GROUP BY 1)
  JOIN (SELECT vec_id, avg(d) AS novelty FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM vdist) WHERE k <= 15 GROUP BY 1) USING (vec_id)""", 5))
 def q_near(spark, sf_dir):
-    return tidy(near(spark, sf_dir), ["vec_id"], ["niche_count", "mean_distance", "novelty"], 5)
+    return tidy(niches(spark, sf_dir).join(mean_distances(spark, sf_dir), "vec_id"), ["vec_id"], ["niche_count", "mean_distance", "novelty"], 5)
 
 
 @query("shared_fitness", rounded("vec_id", "shared", "SELECT vec_id, any_value(label + 1) / (1 + sum(CASE WHEN d < 1.2 THEN 1 - d / 1.2 ELSE 0 END)) AS shared FROM vdist GROUP BY 1", 5))
 def q_shared(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(near(spark, sf_dir), "vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(niches(spark, sf_dir), "vec_id")
     return tidy(e.withColumn("shared", (F.col("label") + 1) / F.col("niche_count")), ["vec_id"], ["shared"], 5)
 
 
 @query("archive_statistics", rounded("label n", "avg_fitness best diversity", "SELECT label, count(*) AS n, avg(f) AS avg_fitness, max(f) AS best, avg(m) AS diversity FROM (SELECT vec_id, any_value(label) AS label, any_value(vec_id) / 100.0 AS f, avg(d) AS m FROM vdist GROUP BY 1) GROUP BY 1", 5))
 def q_archive(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") / 100.0).alias("fitness"))
-    return tidy(population.archive_statistics(e, near(spark, sf_dir), "vec_id", "label"), ["label", "n"], ["avg_fitness", "best", "diversity"], 5)
+    return tidy(population.archive_statistics(e, mean_distances(spark, sf_dir), "vec_id", "label"), ["label", "n"], ["avg_fitness", "best", "diversity"], 5)
 
 
 # strategies table written from parts: formula, tree, fitness, generation

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.core import tidy
 from ..operators import patterns
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .inputs import bars
 from .q_intraday import candles, levels_daily
-from .registry import query, rounded
+from .registry import cte, query, rounded
 
 _NTZ = "timestamp_ntz"
 _WM = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -81,9 +81,15 @@ def s_alerts(spark, sf_dir):
     return tidy(t, ["ticker", "ts", "pattern"], ["support", "score"], 4)
 
 
-@query("stream_cooldown", """WITH RECURSIVE p AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase'),
- r AS (SELECT user_id, event_id, k, ts AS last, true AS kept FROM p WHERE k = 1 UNION ALL SELECT p.user_id, p.event_id, p.k, CASE WHEN p.ts - r.last >= INTERVAL 30 MINUTE THEN p.ts ELSE r.last END, p.ts - r.last >= INTERVAL 30 MINUTE FROM r JOIN p ON p.user_id = r.user_id AND p.k = r.k + 1)
- SELECT user_id, event_id FROM r WHERE kept""")
+cte("cool_rows", "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase'")
+cte(
+    "cool_steps",
+    """SELECT user_id, event_id, k, ts AS last, true AS kept FROM cool_rows WHERE k = 1
+ UNION ALL SELECT p.user_id, p.event_id, p.k, CASE WHEN p.ts - r.last >= INTERVAL 30 MINUTE THEN p.ts ELSE r.last END, p.ts - r.last >= INTERVAL 30 MINUTE FROM cool_steps r JOIN cool_rows p ON p.user_id = r.user_id AND p.k = r.k + 1""",
+)
+
+
+@query("stream_cooldown", "SELECT user_id, event_id FROM cool_steps WHERE kept")
 def s_cooldown(spark, sf_dir):
     return streams.drain(streams.cooldown(_ticks(spark, sf_dir).where("event_type = 'purchase'")))
 
@@ -96,3 +102,41 @@ def s_exit(spark, sf_dir):
     fills = b.groupBy("ticker").agg(F.min_by("close", "ts").alias("entry"), F.min("ts").cast("timestamp").alias("since"))
     t = streams.drain(streams.exit_monitor(_bars(spark, sf_dir), fills)).withColumn("ts", F.col("ts").cast(_NTZ))
     return tidy(t, ["ticker", "ts", "reason"], ["close"], 4)
+
+
+# vessels: sign-ups and errors are static messages, all other events positions
+_DAYS = 3
+cte(
+    "fleet",
+    f"""SELECT *, coalesce(tanker, false) AND course IS NOT NULL AS counted FROM (SELECT vessel, max(ts) AS seen, arg_max(tanker, (ts, event_id)) FILTER (fixed) AS tanker, arg_max(length, (ts, event_id)) FILTER (fixed) AS length,
+ arg_max(draught, (ts, event_id)) FILTER (fixed) AS draught, arg_max(course, (ts, event_id)) FILTER (NOT fixed) AS course FROM (
+ SELECT user_id AS vessel, ts, event_id, event_type IN ('signup', 'error') AS fixed, event_type = 'signup' AS tanker, value * 4 AS length, value / 4 AS draught, CAST(floor(value * 100) AS BIGINT) % 360 AS course FROM events) GROUP BY 1) WHERE seen + INTERVAL {_DAYS} DAY > {_WM}""",
+)
+
+
+@query("stream_vessel_census", """SELECT *, CASE WHEN large >= 3 THEN 'NORMAL' WHEN large >= 1 THEN 'MODERATE' ELSE 'CRITICAL' END AS severity FROM (
+ SELECT count(*) AS vessels, count(*) FILTER (counted) AS tankers, count(*) FILTER (counted AND length > 300) AS large, count(*) FILTER (counted AND draught > 15) AS laden,
+ count(*) FILTER (counted AND course BETWEEN 90 AND 210) AS outbound, count(*) FILTER (counted AND course BETWEEN 270 AND 360) AS inbound FROM fleet)""")
+def s_fleet(spark, sf_dir):
+    v = F.col("value")
+    static = F.col("event_type").isin("signup", "error")
+    m = _ticks(spark, sf_dir).select(
+        F.col("user_id").alias("vessel"), "ts", F.col("event_id").alias("seq"), static.alias("is_static"), (F.col("event_type") == "signup").alias("tanker"),
+        (v * 4).alias("length"), (v / 4).alias("draught"), (F.floor(v * 100) % 360).cast("double").alias("course"),
+    )
+    return stateful.census_of(streams.drain(stateful.vessel_changes(m, _DAYS * 1440)))
+
+
+cte("gate_rows", "SELECT user_id, event_id, ts, event_type = 'signup' AS closes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'signup')")
+cte(
+    "gate_steps",
+    """SELECT user_id, event_id, k, NOT closes AS taken, CASE WHEN NOT closes THEN ts END AS last, NOT closes AS open FROM gate_rows WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k, ok, CASE WHEN ok THEN ts ELSE last END, CASE WHEN closes THEN false WHEN ok THEN true ELSE open END FROM (
+ SELECT p.*, r.last, r.open, NOT p.closes AND NOT r.open AND (r.last IS NULL OR p.ts - r.last >= INTERVAL 30 MINUTE) AS ok FROM gate_steps r JOIN gate_rows p ON p.user_id = r.user_id AND p.k = r.k + 1)""",
+)
+
+
+@query("stream_gated_signals", "SELECT user_id AS key, event_id AS seq FROM gate_steps WHERE taken")
+def s_gated(spark, sf_dir):
+    of = lambda kind: _ticks(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"))
+    return streams.drain(stateful.gated_signals(of("purchase"), of("signup")))

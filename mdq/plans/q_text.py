@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.core import tidy
-from ..sources import store
+from ..session import shared_folder
+from ..sources import documents, store
 from ..sources.adapters import table
 from .inputs import once
 from .registry import SQL, cte, query, rounded
@@ -166,3 +167,57 @@ def q_stem(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("a", F.date_add(F.lit("1998-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")))
     path = F.concat(F.lit("/cache/bars/S"), F.col("s_suppkey").cast("string"), F.lit("_"), F.col("a").cast("string"), F.lit("_"), F.date_add("a", 5).cast("string"), F.lit(".parquet"))
     return s.select(store.window_dates(path).alias("x")).select("x.ticker", "x.start", "x.end")
+
+
+# ---- documents as JSON text ------------------------------------------------------------
+
+_CONCEPTS = {"O": ("Cash", "USD"), "F": ("CommonStockSharesOutstanding", "shares"), "P": ("LongTermDebt", "USD")}
+
+
+def _written(df, name):
+    """A column of JSON text as text files in the shared folder, one document per line."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/mdq/{spark.sparkContext.applicationId}/{name}"
+    df.write.mode("overwrite").text(path)
+    return documents.lines(spark, path)
+
+
+@once("fact_documents")
+def fact_documents(spark, sf_dir):
+    """A facts document per customer, written from the orders; every fiftieth is cut short."""
+    o = table(spark, sf_dir, "orders")
+    pick = lambda of, k: F.element_at(F.create_map(*[F.lit(x) for s, v in of.items() for x in (s, v[k])]), F.col("o_orderstatus"))
+    form = F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").when(F.col("o_orderpriority") == "2-HIGH", "10-Q").otherwise("8-K")
+    v = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("end"), F.floor("o_totalprice").cast("double").alias("val"), form.alias("form"))
+    c = o.groupBy("o_custkey", pick(_CONCEPTS, 0).alias("concept"), pick(_CONCEPTS, 1).alias("unit")).agg(F.collect_list(v).alias("values"))
+    units = F.struct(F.create_map("unit", "values").alias("units"))
+    d = c.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("concept", units))).alias("concepts"))
+    doc = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("cik"), F.create_map(F.lit("us-gaap"), "concepts").alias("facts")))
+    cut = F.when(F.col("o_custkey") % 50 == 0, F.expr("substring(doc, 1, length(doc) - 7)")).otherwise(F.col("doc"))
+    return _written(d.withColumn("doc", doc).select(cut.alias("value")), "fact_documents")
+
+
+cte(
+    "fact_rows",
+    """SELECT o_custkey AS company, CASE o_orderstatus WHEN 'O' THEN 'cash' WHEN 'F' THEN 'shares_outstanding' ELSE 'long_term_debt' END AS metric,
+ CASE o_orderstatus WHEN 'O' THEN 'Cash' WHEN 'F' THEN 'CommonStockSharesOutstanding' ELSE 'LongTermDebt' END AS concept, floor(o_totalprice) AS val, o_orderdate AS d,
+ CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS pref FROM orders WHERE o_custkey % 50 <> 0""",
+)
+
+
+@query("facts_from_documents", "SELECT CAST(company AS VARCHAR) AS company, metric, concept, arg_max(val, (pref, d, val)) AS val, strftime(arg_max(d, (pref, d, val)), '%Y-%m-%d') AS as_of FROM fact_rows GROUP BY 1, 2, 3")
+def q_documents(spark, sf_dir):
+    return documents.metrics(documents.fact_rows(fact_documents(spark, sf_dir)))
+
+
+@query("malformed_documents", "SELECT count(DISTINCT o_custkey) AS malformed FROM orders WHERE o_custkey % 50 = 0")
+def q_malformed(spark, sf_dir):
+    return documents.malformed(fact_documents(spark, sf_dir), documents.FACTS).agg(F.count("*").alias("malformed"))
+
+
+@query("post_entries_from_documents", rounded("title ticker session post_ts", "support resistance stop", f"SELECT *, {_SESS} AS session FROM parsed", 4))
+def q_post_documents(spark, sf_dir):
+    """All posts, written as JSON text and read back."""
+    feed = posts(spark, sf_dir).select(F.to_json(F.struct("title", "content", "timestamp")).alias("value"))
+    e = text.parse_posts(documents.posts(_written(feed, "post_documents"))).withColumn("post_ts", F.col("post_ts").cast("timestamp_ntz"))
+    return tidy(e, ["title", "ticker", "session", "post_ts"], ["support", "resistance", "stop"], 4)

@@ -70,6 +70,24 @@ def missing_dates(spark: SparkSession, path: str, universe: str, wanted: DataFra
     return wanted.join(have, "date", "left_anti")
 
 
+def update_features(df: DataFrame, path: str, universe: str) -> int:
+    """Write the dates of df that the store does not have yet and return how many.
+
+    Only partition names are read to tell them; the missing dates' partitions are overwritten one
+    by one (dynamic overwrite), so a repeated or interrupted run leaves every date once.
+    """
+    spark = df.sparkSession
+    wanted = df.select("date").distinct()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    todo = missing_dates(spark, path, universe, wanted) if stored else wanted
+    n = todo.count()
+    if n:
+        fresh = df.join(todo, "date", "left_semi").withColumn("universe", F.lit(universe))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("universe", "date").parquet(path)
+    return n
+
+
 def universe_fingerprint(df: DataFrame) -> DataFrame:
     """First eight md5 characters of the sorted ticker list (a fixed universe)."""
     return df.agg(F.substring(F.md5(F.concat_ws(",", F.array_sort(F.collect_set("ticker")))), 1, 8).alias("fingerprint"))

@@ -116,7 +116,7 @@ def test_pairwise_in_blocks(spark, monkeypatch):
     m = rng.normal(size=(90, 4))
     df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(m)], "id bigint, vec array<double>")
     monkeypatch.setattr(population, "_BLOCK_ROWS", 20)
-    got = population.pairwise(df, "id", "vec", sigma=1.5, k=4).toPandas().sort_values("id")
+    got = population.niches(df, "id", "vec", sigma=1.5, k=4).join(population.mean_distances(df, "id", "vec"), "id").toPandas().sort_values("id")
     d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.nan)
     share = np.where(d < 1.5, 1 - d / 1.5, 0)
