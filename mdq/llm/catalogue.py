@@ -95,7 +95,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 @query
 def op8_quality_rules(spark, sf_dir):
     """Base quality counts and the verdict by divergence from the language references."""
-    out = quality.quality_rules(table(spark, sf_dir, "documents"))
+    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 

@@ -271,7 +271,8 @@ def plain_distance(p, q):
 def test_divergence_matches_plain_version(spark):
     texts = [prose(80) for _ in range(12)] + ["### *** $$$ %%% " * 40]
     df = frame(spark, texts)
-    ref = quality.references(df)
+    seen = quality.measured(df)
+    ref = quality.references(quality.language_sums(seen), quality.common_words(seen))
     got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
     for i, t in enumerate(texts):
         words = brute.WORDS.findall(t)
@@ -294,11 +295,23 @@ def test_quality_keeps_clean_documents_of_a_rare_language(spark, monkeypatch):
     latin = [(i, prose(60), "en", "s", 1) for i in range(399)]
     df = spark.createDataFrame([*latin, (900, greek, "el", "s", 1)], DOCS)
     assert [r.kept for r in quality.quality_rules(df).filter("doc_id = 900").collect()] == [True]
-    few = quality.references
-    monkeypatch.setattr(quality, "references", lambda *a: few(*a, most=1))
-    got = {r.doc_id: r for r in quality.quality_rules(df.unionByName(df.filter("doc_id = 900").withColumns({"doc_id": F.lit(901), "lang": F.lit(None).cast("string")}))).filter("doc_id >= 900").collect()}
-    assert got[900].kept and got[900].char_distance > 0.29  # no reference of its language
-    assert not got[901].kept
+    both = df.unionByName(df.filter("doc_id = 900").withColumns({"doc_id": F.lit(901), "lang": F.lit(None).cast("string")}))
+    got = {r.doc_id: r for r in quality.quality_rules(both, most=1).filter("doc_id >= 900").collect()}
+    assert got[900].kept and got[900].char_distance < 1e-6 and got[900].word_distance < 1e-6  # its own language, by a join
+    assert not got[901].kept  # no label, and far from the one language that all are compared with
+
+
+def test_quality_of_250_languages(spark):
+    """Languages beyond those that the driver holds have references too: clean documents stay, noise goes."""
+    rng = random.Random(8)
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(rng.randint(2, 4)))
+    rows = [(k, " ".join(word(k) for _ in range(90)), f"l{k:03d}", "s", 1) for k in range(250)]
+    rows += [(1000 + k, "abc def ghi " * 90, f"l{k:03d}", "s", 1) for k in (3, 249)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: r for r in quality.quality_rules(df, max_repeat_percent=101, most=200).collect()}
+    assert len(got) == 252 and all(got[k].kept for k in range(250))
+    small = quality.quality_rules(df.filter("lang in ('l248', 'l249')"), max_repeat_percent=101, most=1)
+    assert {r.doc_id: r.kept for r in small.collect()}[248]
 
 
 def test_quality_without_labels(spark):
