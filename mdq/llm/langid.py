@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 BUCKET_BITS, DIM, NGRAMS = 16, 16, (2, 3, 4)
 #: labelled documents per language that training and calibration see at most
 SAMPLE = 600
+#: and all languages together
+TOTAL = 120_000
+_HASHES = 1 << 31
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -114,7 +117,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_l
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, keep: float) -> tuple[float, float]:
-    """(temperature, least score): the temperature with the least log loss; the score that a share `keep` of the right predictions reach, at most one half: a language with the majority is never rejected."""
+    """(temperature, least score): the temperature with the least log loss; the score that a share `keep` of the right predictions reach."""
     if not len(labels):
         return 1.0, 0.0
     grid = np.geomspace(0.05, 5, 60)
@@ -123,7 +126,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, keep: float) -> tuple[floa
     p = softmax(logits / t)
     right = p.argmax(axis=1) == labels
     least = float(np.quantile(p.max(axis=1)[right], 1 - keep)) if right.any() else 0.0
-    return t, min(0.5, least)
+    return t, least
 
 
 def fold_of(id_col: Column) -> Column:
@@ -132,21 +135,26 @@ def fold_of(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2, sample: int = SAMPLE, keep: float = 0.999) -> Model:
-    """Train on at most `sample` labelled documents a language, those with the smallest hash of their text; a fifth of them calibrates.
+    """Train on at most `sample` different labelled texts a language, those with the smallest hash; a fifth of them calibrates.
 
-    Only documents outside the held-out fold are used, and only their text and label. The sample
-    is the bound on what reaches the driver: as many as sample rows of counts a language, for at
-    most 200 languages. Without any labelled document the model knows no language.
+    Only documents outside the held-out fold are used, and only their text and label; every
+    language among them is learned. The sample is the bound on what reaches the driver: as many
+    as sample rows of counts a language, and at most TOTAL in all. `keep` is the share of right
+    predictions that the rejection spares. Without any labelled document the model knows no language.
     """
     from pyspark.sql.window import Window
 
     rows = docs.filter((fold_of(F.col(id_col)) != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = [r["lang"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    own = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.pmod(F.xxhash64(text_col), F.lit(_HASHES)).alias("u"))
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").collect()  # a row a language
+    langs = [r["lang"] for r in sizes]
     if not langs:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ranked = rows.filter(F.col(lang_col).isin(langs)).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("id"))
-    chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select("lang", "h").distinct()
+    each = max(5, min(sample, TOTAL // len(langs)))
+    # hashes under a language's cut are a few times the sample, so no task ranks a whole language
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 4 * each / max(1, r["n"])) * _HASHES)) for r in sizes], "lang string, cut long")
+    low = own.join(F.broadcast(cuts), "lang").filter(F.col("u") < F.col("cut")).select("lang", "h", "u").distinct()
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).filter(F.col("r") <= each).select("lang", "h")
     texts = rows.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), ["h", "lang"], "left_semi").dropDuplicates(["h", "lang"])
 
     def features(batches):

@@ -319,6 +319,36 @@ def test_quality_without_labels(spark):
     assert {r.doc_id: (r.kept, r.char_distance) for r in got} == {0: (True, None), 1: (False, None)}
 
 
+def test_language_id_of_250_languages(spark):
+    """Every labelled language is learned; scores are those of a plain mean over n-grams; the bound is the calibrated one."""
+    rng = random.Random(12)
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(rng.randint(2, 4)))
+    rows = [(i, " ".join(word(i % 250) for _ in range(20)), f"l{i % 250:03d}", "s", 1) for i in range(250 * 12)]
+    df = spark.createDataFrame(rows + [rows[0]] * 500, DOCS).repartition(4)
+    model = langid.fit(df)
+    assert len(model.languages) == 250
+    got = langid.predict(df.filter(langid.fold_of(F.col("doc_id")) == 2), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    for r in got[:20]:
+        data = b" " + r.text.encode() + b" "
+        at = []
+        for n, mult in zip((2, 3, 4), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            for k in range(len(data) - n + 1):
+                v = int.from_bytes(data[k : k + n], "big")
+                at.append(((v * mult + n) % 2**32 * 0x27D4EB2F) % 2**32 >> (32 - langid.BUCKET_BITS))
+        z = (model.scores[at].astype(float).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert (r.lang_pred, r.score) == (model.languages[p.argmax()], pytest.approx(p.max(), abs=1e-9))
+        assert r.accepted == (r.score >= model.least)
+
+
+def test_calibrated_bound_rejects(spark):
+    logits = np.array([[4.0, 0.0], [3.0, 0.0], [0.1, 0.0], [0.0, 5.0]])
+    t, least = langid.calibrate(logits, np.array([0, 0, 0, 1]), 0.5)
+    p = langid.softmax(logits / t).max(axis=1)
+    assert least > 0.5 and (p >= least).tolist() == [True, True, False, True]
+
+
 # ---- byte-level BPE and packing -----------------------------------------------------------------
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
