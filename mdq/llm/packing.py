@@ -76,57 +76,55 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id
     return cols.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """How often each pattern of lengths is packed: (times, lengths), every length as often in all as counts says.
-
-    Small pieces spent on exact triples can be missing later, so combinations of up to three, two,
-    one and no lengths are all planned on the histogram and the plan with the fewest sequences is
-    taken.
-    """
-    plans = [exact_fill(counts, capacity, most) for most in (3, 2, 1, 0)]
-    return min(plans, key=lambda p: sum(times for times, _ in p))
+#: lengths under this share of the capacity keep so many of their pieces back for the residuals
+RESERVE, KEPT = 1 / 8, 1 / 2
 
 
-def exact_fill(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Gaps filled exactly by at most `most` lengths, then best fit.
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """How often each pattern of lengths is packed: (times, lengths), every length as often in all as counts says.
 
     Lengths are taken from the longest. Its gap is looked up among single lengths, then among
-    indexed pair and triple sums; a combination is consumed as often as the available counts
-    allow. A length whose gap no combination fills exactly waits for the best-fit residuals.
+    indexed pair and triple sums, those with the longest pieces first; a combination is consumed as
+    often as the available counts allow. A length whose gap no combination fills exactly waits for
+    the best-fit residuals. Short pieces fit almost anywhere, and residuals without any would leave
+    gaps open, so half of the pieces of short lengths are held back from the combinations.
     """
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
+    held = np.where(np.arange(capacity + 1) < capacity * RESERVE, np.ceil(left * KEPT), 0).astype(np.int64)
     out: list[tuple[int, tuple[int, ...]]] = []
     residual: list[tuple[int, int]] = []
 
     def take(lengths: tuple[int, ...]) -> None:
         kinds, need = np.unique(lengths, return_counts=True)
-        times = int((left[kinds] // need).min())
-        if times:
+        free = left[kinds] - np.where(kinds == lengths[0], 0, held[kinds])
+        times = int((free // need).min())
+        if times > 0:
             out.append((times, lengths))
             left[kinds] -= need * times
 
     def pairs(total: int, most: int) -> list[int]:
         """The longer of two available lengths with this sum, longest first."""
+        free = left > held
         a = np.arange((total + 1) // 2, min(total, most + 1))
-        return a[(left[a] > 0) & (left[total - a] > 0)][::-1].tolist()
+        return a[free[a] & free[total - a]][::-1].tolist()
 
     for n in sorted(counts, reverse=True):
         gap = capacity - n
         if not gap:
             take((n,))
-        elif left[n] and left[gap] and most:
+        elif left[n] and left[gap] > held[gap]:
             take((n, gap))
-        for a in pairs(gap, n) if left[n] and gap and most > 1 else ():
+        for a in pairs(gap, n) if left[n] and gap else ():
             take((n, a, gap - a))
             if not left[n]:
                 break
         longest = np.arange((gap + 2) // 3, min(gap, n + 1))
-        for a in longest[left[longest] > 0][::-1].tolist() if left[n] and gap and most > 2 else ():
+        for a in longest[left[longest] > held[longest]][::-1].tolist() if left[n] and gap else ():
             for b in pairs(gap - a, a):
                 take((n, a, b, gap - a - b))
-                if not left[n] or not left[a]:
+                if not left[n] or left[a] <= held[a]:
                     break
             if not left[n]:
                 break
