@@ -3,10 +3,14 @@
 Vectors are scaled to length one, where the largest cosine is the smallest distance. Every vector
 is projected on the same random lines. A shard of vectors keeps one sorted array per line; a query
 opens a window around its own projection on every line and counts how often each vector lies in
-one. Virtual rehashing widens all windows by a constant factor; vectors that have collided on at
-least the threshold share of the lines are verified with exact cosines, until enough verified ones
-lie within the radius. The lines, the window and the threshold follow from the ratio and the error
-bound, as in query-aware locality-sensitive hashing; nothing is fitted to the data.
+one. Virtual rehashing widens all windows by a small constant factor; vectors that have collided on
+at least the threshold number of lines are verified with exact cosines, until enough verified ones
+lie within the radius that the windows stand for.
+
+How many lines and collisions tell near from far depends on how far neighbours and other vectors
+are. Both are measured on a bounded sample: the lines are as many as it takes that a vector at a
+neighbour's distance is verified with the chance 1 - MISSED and one at the median distance with
+the chance PASSED. The sample does not decide which vectors are searched: all are.
 
 Queries are a stated set. Blocks of them meet shards of vectors, so a task holds one shard and one
 block; the best few per block and shard are merged by query.
@@ -16,6 +20,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +33,46 @@ from .common import staged
 
 #: vectors of a shard and queries of a block
 SHARD, BLOCK = 16384, 8192
-RATIO, DELTA, FALSE_POSITIVES = 2.0, 0.01, 100
-#: half-width of the first windows on unit vectors
-FIRST_RADIUS = 0.05
+#: vectors and queries of the sample, widening of the windows, chances to miss a neighbour and to verify a vector at the median distance
+SAMPLE, ASKED, STEP, MISSED, PASSED = 2048, 256, 1.03, 0.08, 0.04
+LEAST_LINES, MOST_LINES = 32, 384
+
+
+@dataclass
+class Settings:
+    """Lines, the collisions on them that make a candidate, and the first radius."""
+
+    lines: int
+    threshold: int
+    start: float
+
 
+def within(half: float, distance: float) -> float:
+    """The chance that a vector at this distance lies in a window of this half-width."""
+    return math.erf(half / max(distance, 1e-9) / math.sqrt(2))
 
-def parameters(n: int, ratio: float = RATIO, delta: float = DELTA, false_positives: int = FALSE_POSITIVES) -> tuple[int, int, float]:
-    """(lines, collision threshold, bucket width at radius 1) for n vectors."""
-    width = math.sqrt(8 * ratio**2 * math.log(ratio) / (ratio**2 - 1))
-    within = lambda r: math.erf(width / 2 / r / math.sqrt(2))  # noqa: E731  chance to collide at distance r
-    p1, p2 = within(1.0), within(ratio)
-    beta = min(0.5, false_positives / max(1, n))
-    a, b = math.sqrt(math.log(2 / beta)), math.sqrt(math.log(1 / delta))
-    lines = math.ceil((a + b) ** 2 / (2 * (p1 - p2) ** 2))
-    share = (a / b * p1 + p2) / (1 + a / b)
-    return lines, math.ceil(share * lines), width
+
+def settings(near: np.ndarray, median: float) -> Settings:
+    """Settings for neighbours at the distances `near` and others at `median`; windows are as wide as their radius on both sides."""
+    typical = float(np.median(near)) if len(near) else 1.0
+    far = max(median, typical * 1.01)
+    p1, p2 = within(1.0, 1.0), within(typical, far)
+    miss, take = NormalDist().inv_cdf(1 - MISSED), NormalDist().inv_cdf(1 - PASSED)
+    need = (miss * math.sqrt(p1 * (1 - p1)) + take * math.sqrt(p2 * (1 - p2))) / (p1 - p2)
+    lines = min(MOST_LINES, max(LEAST_LINES, math.ceil(need**2)))
+    threshold = max(1, math.ceil(p1 * lines - miss * math.sqrt(lines * p1 * (1 - p1))))
+    return Settings(lines, threshold, max(1e-3, float(np.quantile(near, 0.25)) * 0.9 if len(near) else 0.05))
+
+
+def measured(sample: np.ndarray, size: int, k: int) -> Settings:
+    """Settings from a sample of the vectors for shards of `size`: the k-th of a shard is as far as a nearer one of a smaller sample."""
+    if len(sample) < 3:
+        return Settings(LEAST_LINES, 1, 0.05)
+    unit = sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
+    d = np.sqrt(np.maximum(2 - 2 * unit[:ASKED] @ unit.T, 0))
+    d.sort(axis=1)
+    at = min(len(unit) - 1, max(1, round(k * len(unit) / max(size, len(unit)))))
+    return settings(d[:, at], float(np.median(d[:, 1:])))
 
 
 def lines_of(dim: int, lines: int, seed: int = 7) -> np.ndarray:
@@ -56,10 +87,10 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 class Shard:
     """Sorted projections of the vectors of one shard."""
 
-    def __init__(self, vectors: np.ndarray):
+    def __init__(self, vectors: np.ndarray, own: Settings):
         self.vectors = vectors
-        lines, self.threshold, self.width = parameters(len(vectors))
-        self.axes = lines_of(vectors.shape[1], lines)
+        self.threshold, self.start = own.threshold, own.start
+        self.axes = lines_of(vectors.shape[1], own.lines)
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         at = unit @ self.axes
         self.order = np.argsort(at, axis=0).T.astype(np.int32).copy()
@@ -74,7 +105,7 @@ class Shard:
         def windows(step: int) -> tuple[np.ndarray, np.ndarray]:
             """Ends of all queries' windows on all lines after so many widenings."""
             while len(known) <= step:
-                half = self.width * FIRST_RADIUS * RATIO ** len(known) / 2
+                half = self.start * STEP ** len(known)
                 known.append(tuple(np.stack([np.searchsorted(a, x + d, side) for a, x in zip(self.at, mine.T)], axis=1) for d, side in ((-half, "left"), (half, "right"))))
             return known[step]
 
@@ -95,8 +126,8 @@ class Shard:
                     checked[fresh] = True
                     places = np.concatenate([places, fresh])
                     scores = np.concatenate([scores, cosines(self.vectors[fresh], query)])
-                # distance d on unit vectors is cosine 1 - d * d / 2; what lies within the radius has collided often enough, but for DELTA
-                reach = (FIRST_RADIUS * RATIO**step) ** 2 / 2
+                # distance d on unit vectors is cosine 1 - d * d / 2; what lies within the radius has collided often enough, but for MISSED
+                reach = (self.start * STEP**step) ** 2 / 2
                 if np.count_nonzero(scores >= 1 - reach) >= k or len(places) == n:
                     break
                 step += 1
@@ -134,6 +165,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     wanted = index.join(asked, ["h1", "h2", "dim"], "left_semi").select(
         F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("dim").alias("qdim"), F.col("v").alias("qv"), F.pmod(F.col("h1"), F.lit(n_blocks)).cast("int").alias("qblock")
     )
+    # by length, from a bounded sample of different vectors
+    some = index.select("dim", "v").filter(F.pmod(F.xxhash64("h2", "dim"), F.lit(max(1, total // SAMPLE))) == 0).limit(2 * SAMPLE).toArrow()
+    tuned: dict[int, Settings] = {}
+    for dim in set(some["dim"].to_pylist()):
+        own = np.array([v for d, v in zip(some["dim"].to_pylist(), some["v"].to_pylist()) if d == dim], np.float64)[:SAMPLE]
+        tuned[dim] = measured(own, -(-total // n_shards), k + 1)
+
     # a task holds one shard and one block of queries
     spread = wanted.withColumn("qshard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -142,7 +180,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         found: list[list] = [[], [], [], []]
         if own.num_rows and queries.num_rows:
             v = np.array(own["v"].to_pylist(), np.float64)
-            shard, ids_of = Shard(v), own["ids"].to_pylist()
+            shard, ids_of = Shard(v, tuned.get(v.shape[1]) or measured(v[:SAMPLE], len(v), k + 1)), own["ids"].to_pylist()
             asked = np.array(queries["qv"].to_pylist(), np.float64)
             for h1, h2, (places, scores) in zip(queries["q1"].to_pylist(), queries["q2"].to_pylist(), shard.search(asked, k + 1)):
                 best = np.argsort(-scores, kind="stable")[: k + 1]

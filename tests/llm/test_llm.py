@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -502,6 +503,22 @@ def test_nearest_reaches_recall(spark):
     assert hit >= 0.9 * 5 * len(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
 
 
+def test_collisions_leave_most_vectors_unverified():
+    """Recall comes through collision counting: a fifth of the vectors at most is verified."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    v = np.array(pq.read_table(path)["embedding"].to_pylist(), float)
+    shard, asked = ann.Shard(v, ann.measured(v[: ann.SAMPLE], len(v), 6)), v[::50]
+    share, hit = [], []
+    for query, (places, scores) in zip(asked, shard.search(asked, 6)):
+        best = np.argsort(-ann.cosines(v, query), kind="stable")[:6]
+        share.append(len(places) / len(v))
+        hit.append(len(set(best) & set(places[np.argsort(-scores, kind="stable")[:6]])) / 6)
+    print(f"verified share {np.mean(share):.3f}, recall {np.mean(hit):.3f}")
+    assert np.mean(share) <= 0.2 and np.mean(hit) >= 0.9
+
+
 def test_nearest_ties_and_unusable_vectors(spark):
     same = [1.0, 2.0, 2.0]
     rows = [(i, same) for i in range(0, 120)] + [(200, None), (250, [0.0, 0.0, 0.0]), (300, [1.0, None, 1.0]), (350, [float("nan"), 1.0, 1.0]), (None, same), (400, [float("inf"), 0.0, 1.0]), (450, [-1.0, 0.0, 1.0])]
