@@ -77,7 +77,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id
 
 
 #: lengths under this share of the capacity keep so many of their pieces back for the residuals
-RESERVE, KEPT = 1 / 8, 1 / 2
+RESERVE, KEPT = 1 / 2, 1 / 2
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
