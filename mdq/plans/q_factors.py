@@ -227,12 +227,13 @@ for _kind in dict.fromkeys(s[0] for s in factors.SPECS.values()):
         _register(_kind)
 
 
+cte("grid_pairs", "SELECT a.ticker AS a, b.ticker AS b, a.date, a.r AS x, b.r AS y FROM gridr a JOIN gridr b ON a.date = b.date AND a.ticker < b.ticker", kept=True)
+
+
 def _pair_corr(p: int) -> str:
-    """Mean correlation over all pairs per date: the sum over pairs is half the squared column sums of the standardised window, less its diagonal."""
-    w = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
-    return f"""SELECT date, (sum(s * s) / {p - 1} - max(k)) / nullif(max(k) * (max(k) - 1), 0) AS c{p} FROM (
- SELECT date, pos, sum((x - mu) / sd) AS s, count(*) AS k FROM (SELECT date, mu, sd, unnest(rr) AS x, unnest(range({p})) AS pos FROM (
- SELECT date, list(r) FILTER (r IS NOT NULL) {w} AS rr, avg(r) {w} AS mu, stddev_samp(r) {w} AS sd FROM gridr) WHERE len(rr) = {p} AND sd > 0) GROUP BY 1, 2) GROUP BY 1"""
+    """Mean correlation over all pairs per date, of the tickers whose last p returns are known and not all the same."""
+    return f"""SELECT date, avg(cov / (sx * sy)) AS c{p} FROM (SELECT date, count(x) OVER w AS nx, count(y) OVER w AS ny, stddev_samp(x) OVER w AS sx, stddev_samp(y) OVER w AS sy, covar_samp(x, y) OVER w AS cov
+ FROM grid_pairs WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)) WHERE nx = {p} AND ny = {p} AND sx > 0 AND sy > 0 GROUP BY 1"""
 
 
 @query(
