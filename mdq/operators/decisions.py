@@ -29,17 +29,24 @@ def stale_support(bars: DataFrame, entries: DataFrame, limit: float = 0.15) -> D
     return entries.join(med, ["ticker", "day"]).where(F.col("median") <= F.col("support") * (1 + limit))
 
 
-def decide(df: DataFrame, min_score: float = 5.0, max_loss: float = -2.0, max_open: int = 3, budget: float = 1000.0) -> DataFrame:
-    """First failing gate names the reason; otherwise go with a quantity and a limit price."""
+def decide(df: DataFrame, min_score: float = 5.0, max_loss: float = -2.0, max_open: int = 3, budget: float = 1000.0, risk: float = 100.0, atr_times: float = 1.5, by_atr: bool = False) -> DataFrame:
+    """First failing gate names the reason; otherwise go with a quantity and a limit price.
+
+    Weekdays from 13:30 to midnight UTC. The quantity is what the budget buys, or with by_atr what
+    the risk allows at a stop atr_times the column atr away (where that is over 0); at least 1.
+    """
     m = F.hour("ts") * 60 + F.minute("ts")
+    low = (F.col("score") < min_score) if min_score > 0 else F.lit(False)
     reason = (
-        F.when(F.weekday("ts") >= 5, "weekend").when(~m.between(810, 1200), "outside_hours").when(F.col("score") < min_score, "low_score")
+        F.when(F.weekday("ts") >= 5, "weekend").when(m < 810, "outside_hours").when(low, "low_score")
         .when(F.col("day_pnl") <= max_loss, "day_loss").when(F.col("open_positions") >= max_open, "too_many_open").when(F.col("price") <= 0, "no_price").otherwise("ok")
     )
     go = F.col("reason") == "ok"
-    return df.withColumn("reason", reason).withColumns(
-        {"go": go, "quantity": F.when(go, F.floor(budget / F.col("price"))).otherwise(0), "limit_price": F.when(go, F.round(F.col("price") * 1.002 + 1e-9, 4))}
-    )
+    units = F.floor(div(F.lit(budget), F.col("price")))
+    if by_atr:
+        units = F.when(F.col("atr") > 0, F.floor(div(F.lit(risk), F.col("atr") * atr_times))).otherwise(units)
+    quantity = F.when(go, F.greatest(units, F.lit(1))).otherwise(0)
+    return df.withColumn("reason", reason).withColumns({"go": go, "quantity": quantity, "limit_price": F.when(go, F.round(F.col("price") * 1.002 + 1e-9, 4))})
 
 
 def touch_gate(bars: DataFrame, levels: DataFrame) -> DataFrame:

@@ -271,9 +271,24 @@ def overnight_edge(df: DataFrame, min_drop: float) -> DataFrame:
         nz(F.avg(F.when(x > 0, x))).alias("avg_win"), nz(F.avg(F.when(x <= 0, x))).alias("avg_loss"), F.avg(x).alias("avg_ret"),
         (F.exp(F.sum(F.log1p(x))) - 1).alias("total_ret"), nz(div(F.avg(x), F.stddev_samp(x)) * ROOT_YEAR).alias("sharpe"),
     )
-    return g.withColumns(
+    out = g.withColumns(
         {"payoff": F.abs(div(F.col("avg_win"), F.col("avg_loss"))), "ev": F.col("win_rate") * F.col("avg_win") + (1 - F.col("win_rate")) * F.col("avg_loss")}
     ).where("n > 0")
+    return out.join(_signal_drawdowns(e.where(sig)), out["ticker"].eqNullSafe(F.col("_t")) & out["year"].eqNullSafe(F.col("_y")), "left").drop("_t", "_y")
+
+
+def _signal_drawdowns(e: DataFrame) -> DataFrame:
+    """(_t, _y, max_drawdown) per ticker, per year and pooled: the worst fall of compounded returns x from their peak (1 at the start), in order of date and ticker.
+
+    Pooled and per year, months are summed on their own and carry their totals and peaks on, so no
+    task orders all rows.
+    """
+    sets = F.array(F.struct(F.col("ticker").alias("t"), F.lit(None).cast("int").alias("y")), F.struct(F.lit(None).cast("string").alias("t"), F.col("year").cast("int").alias("y")), F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("int").alias("y")))
+    rows = e.select(F.explode(sets).alias("g"), "date", "ticker", F.trunc("date", "month").alias("month"), F.log1p("x").alias("lx"))
+    rows = rows.select(F.coalesce("g.t", F.lit("")).alias("kt"), F.coalesce("g.y", F.lit(-1)).alias("ky"), "date", "ticker", "month", "lx")
+    curve = running_curve(rows, ["kt", "ky"], "month", ["date", "ticker"], "lx")
+    worst = curve.groupBy("kt", "ky").agg(F.min(F.exp(F.col("cum") - F.col("peak")) - 1).alias("max_drawdown"))
+    return worst.select(F.when(F.col("kt") != "", F.col("kt")).alias("_t"), F.when(F.col("ky") != -1, F.col("ky")).alias("_y"), F.least("max_drawdown", F.lit(0.0)).alias("max_drawdown"))
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -221,6 +221,19 @@ def dollar_sizing(trades: DataFrame, risk: float = 100.0, k: float = 1.5, fallba
     return trades.withColumns({"shares": sh, "dollars": sh * (F.col("exit_price") - F.col("entry_price"))})
 
 
+def time_of_day_caps(bars: DataFrame, rate: float = 0.02) -> DataFrame:
+    """(ticker, tod, cap): a share of the median volume of a ticker's bars at the same time of day; none where that is not over 0."""
+    g = bars.groupBy("ticker", F.date_format("ts", "HH:mm").alias("tod")).agg(F.percentile("volume", 0.5).alias("m"))
+    return g.where("m > 0").select("ticker", "tod", (F.col("m") * rate).alias("cap"))
+
+
+def cap_by_time_of_day(trades: DataFrame, bars: DataFrame, rate: float = 0.02) -> DataFrame:
+    """trades(ticker, entry_ts, shares, ...) with capped: at most the cap of the entry's time of day, all shares where there is no such bar."""
+    caps = time_of_day_caps(bars, rate)
+    j = trades.withColumn("tod", F.date_format("entry_ts", "HH:mm")).join(caps, ["ticker", "tod"], "left")
+    return j.withColumn("capped", F.least("shares", F.coalesce("cap", "shares"))).drop("tod", "cap")
+
+
 def close_adx(df: DataFrame, n: int) -> DataFrame:
     """(ticker, date, adx) from closes alone; every smoothing has weight 2 / (n + 1). Rows before a ticker's first move are left out."""
     step = F.col("close") - F.lag("close").over(order_window())

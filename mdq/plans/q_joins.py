@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.core import nz, tidy
-from ..operators import calendar, decisions, factors, joins, portfolio, reports
+from ..operators import calendar, decisions, factors, joins, portfolio, reports, risk
 from ..session import shared_folder
 from ..sources import store
 from ..sources.adapters import table
@@ -16,7 +16,7 @@ from .q_intraday import levels_daily
 from .q_levels import trades
 from .q_portfolio import bench, periods, walk
 from .q_risk import combined, q_flags, regimes, sales
-from .registry import query, rounded
+from .registry import cte, query, rounded
 
 
 def ev(spark, sf_dir):
@@ -222,14 +222,31 @@ def q_stale_support(spark, sf_dir):
     return tidy(decisions.stale_support(bars(spark, sf_dir), levels_daily(spark, sf_dir), 0.02), ["ticker", "day"], ["median"], 4)
 
 
-@query("decision_gate", rounded("ticker ts reason go quantity", "limit_price", """SELECT *, reason = 'ok' AS go, CASE WHEN reason = 'ok' THEN CAST(floor(1000 / price) AS BIGINT) ELSE 0 END AS quantity, CASE WHEN reason = 'ok' THEN round(price * 1.002 + 1e-9, 4) END AS limit_price FROM (
- SELECT ticker, ts, close AS price, CASE WHEN isodow(ts) >= 6 THEN 'weekend' WHEN hour(ts) * 60 + minute(ts) NOT BETWEEN 810 AND 1200 THEN 'outside_hours' WHEN volume / 20 < 5 THEN 'low_score' WHEN (close / open - 1) * 100 <= -0.5 THEN 'day_loss' WHEN idx % 5 >= 3 THEN 'too_many_open' WHEN close <= 0 THEN 'no_price' ELSE 'ok' END AS reason FROM bi)""", 4))
-def q_decide(spark, sf_dir):
+_GATE = """SELECT ticker, ts, close AS price, high - low AS atr, CASE WHEN isodow(ts) >= 6 THEN 'weekend' WHEN hour(ts) * 60 + minute(ts) < 810 THEN 'outside_hours' WHEN volume / 20 < 5 THEN 'low_score'
+ WHEN (close / open - 1) * 100 <= -0.5 THEN 'day_loss' WHEN idx % 5 >= 3 THEN 'too_many_open' WHEN close <= 0 THEN 'no_price' ELSE 'ok' END AS reason FROM bi"""
+
+
+def _gate_sql(units: str) -> str:
+    quantity = f"CASE WHEN reason = 'ok' THEN greatest(CAST({units} AS BIGINT), 1) ELSE 0 END"
+    return f"SELECT *, reason = 'ok' AS go, {quantity} AS quantity, CASE WHEN reason = 'ok' THEN round(price * 1.002 + 1e-9, 4) END AS limit_price FROM ({_GATE})"
+
+
+def _gate_input(spark, sf_dir):
     from pyspark.sql import Window
 
     b = bars(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("ticker").orderBy("ts")))
-    d = b.select("ticker", "ts", F.col("close").alias("price"), (F.col("volume") / 20).alias("score"), ((F.col("close") / F.col("open") - 1) * 100).alias("day_pnl"), (F.col("idx") % 5).alias("open_positions"))
-    return tidy(decisions.decide(d, max_loss=-0.5), ["ticker", "ts", "reason", "go", "quantity"], ["limit_price"], 4)
+    pnl = (F.col("close") / F.col("open") - 1) * 100
+    return b.select("ticker", "ts", F.col("close").alias("price"), (F.col("high") - F.col("low")).alias("atr"), (F.col("volume") / 20).alias("score"), pnl.alias("day_pnl"), (F.col("idx") % 5).alias("open_positions"))
+
+
+@query("decision_gate", rounded("ticker ts reason go quantity", "limit_price", _gate_sql("floor(1000 / price)"), 4))
+def q_decide(spark, sf_dir):
+    return tidy(decisions.decide(_gate_input(spark, sf_dir), max_loss=-0.5), ["ticker", "ts", "reason", "go", "quantity"], ["limit_price"], 4)
+
+
+@query("decision_gate_by_atr", rounded("ticker ts reason go quantity", "limit_price", _gate_sql("CASE WHEN atr > 0 THEN floor(100 / (atr * 1.5)) ELSE floor(1000 / price) END"), 4))
+def q_decide_atr(spark, sf_dir):
+    return tidy(decisions.decide(_gate_input(spark, sf_dir), max_loss=-0.5, by_atr=True), ["ticker", "ts", "reason", "go", "quantity"], ["limit_price"], 4)
 
 
 @query("support_touch_gate", "SELECT ticker, ts, support FROM (SELECT b.*, lag(least(open, close)) OVER (PARTITION BY ticker ORDER BY ts) AS dip FROM bi b) JOIN levels_daily USING (ticker, day) WHERE dip <= support * 1.02 AND close >= support * 0.9")
@@ -365,12 +382,19 @@ def q_resample(spark, sf_dir):
     return tidy(g, ["ticker", "day"], ["open", "high", "low", "close", "volume"], 4)
 
 
-@query("time_of_day_liquidity_cap", rounded("ticker tod", "cap", "SELECT ticker, tod, coalesce(m, a) * 0.02 AS cap FROM (SELECT ticker, strftime(ts, '%H:%M') AS tod, CASE WHEN count(*) >= 3 THEN quantile_cont(volume, 0.5) END AS m FROM bars GROUP BY 1, 2) JOIN (SELECT ticker, quantile_cont(volume, 0.5) AS a FROM bars GROUP BY 1) USING (ticker)"))
+cte("tod_caps", "SELECT ticker, strftime(ts, '%H:%M') AS tod, quantile_cont(volume, 0.5) * 0.02 AS cap FROM bars GROUP BY 1, 2 HAVING quantile_cont(volume, 0.5) > 0")
+
+
+@query("time_of_day_liquidity_cap", rounded("ticker tod", "cap", "SELECT * FROM tod_caps"))
 def q_tod(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    t = b.groupBy("ticker", F.date_format("ts", "HH:mm").alias("tod")).agg(F.when(F.count("*") >= 3, F.percentile("volume", 0.5)).alias("m"))
-    a = b.groupBy("ticker").agg(F.percentile("volume", 0.5).alias("a"))
-    return tidy(t.join(a, "ticker").withColumn("cap", F.coalesce("m", "a") * 0.02), ["ticker", "tod"], ["cap"])
+    return tidy(risk.time_of_day_caps(bars(spark, sf_dir)), ["ticker", "tod"], ["cap"])
+
+
+@query("time_of_day_capped_trades", rounded("ticker entry_ts pt sl", "shares capped", """SELECT ticker, entry_ts, pt, sl, shares, least(shares, coalesce(cap, shares)) AS capped FROM (
+ SELECT ticker, entry_ts, pt, sl, floor(1000 / entry_price) AS shares FROM trades) t LEFT JOIN (SELECT ticker AS k, tod, cap FROM tod_caps) c ON k = ticker AND tod = strftime(entry_ts, '%H:%M')""", 4))
+def q_tod_trades(spark, sf_dir):
+    t = trades(spark, sf_dir).select("ticker", "entry_ts", "pt", "sl", F.floor(1000 / F.col("entry_price")).cast("double").alias("shares"))
+    return tidy(risk.cap_by_time_of_day(t, bars(spark, sf_dir)), ["ticker", "entry_ts", "pt", "sl"], ["shares", "capped"], 4)
 
 
 @query("vessel_census", """SELECT count(*) AS vessels, CAST(sum(CASE WHEN k * 5 > 300 THEN 1 ELSE 0 END) AS BIGINT) AS large, CAST(sum(CASE WHEN k / 4.0 > 15 THEN 1 ELSE 0 END) AS BIGINT) AS laden, count(*) FILTER (value BETWEEN 90 AND 210) AS outbound,

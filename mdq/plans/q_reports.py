@@ -300,12 +300,25 @@ def q_signals(spark, sf_dir):
     return reports.fired_signals(enriched(spark, sf_dir), RULES)
 
 
-OE = ["freq_pct", "win_rate", "avg_win", "avg_loss", "payoff", "avg_ret", "ev", "total_ret", "sharpe"]
+OE = ["freq_pct", "win_rate", "avg_win", "avg_loss", "payoff", "avg_ret", "ev", "total_ret", "sharpe", "max_drawdown"]
 
 
-@query("overnight_edge", rounded("ticker year n", OE, """SELECT *, abs(avg_win / nullif(avg_loss, 0)) AS payoff, win_rate * avg_win + (1 - win_rate) * avg_loss AS ev FROM (SELECT ticker, year, count(*) FILTER (s) AS n, count(*) FILTER (s) / count(*)::DOUBLE * 100 AS freq_pct,
+# compounded signal returns in order of date and ticker, with the peak so far (1 at the start)
+cte(
+    "edge_rows",
+    """SELECT t, y, date, ticker, ln(1 + overnight_ret / 100) AS lx FROM (SELECT ticker AS t, CAST(NULL AS INTEGER) AS y, * FROM en UNION ALL SELECT NULL, CAST(year AS INTEGER), * FROM en UNION ALL SELECT NULL, NULL, * FROM en)
+ WHERE drop_from_open >= 2.0 AND overnight_ret IS NOT NULL""",
+)
+cte(
+    "edge_falls",
+    """SELECT t, y, min(exp(cum - greatest(peak, 0)) - 1) AS max_drawdown FROM (SELECT *, max(cum) OVER (PARTITION BY t, y ORDER BY date, ticker) AS peak FROM (
+ SELECT *, sum(lx) OVER (PARTITION BY t, y ORDER BY date, ticker) AS cum FROM edge_rows)) GROUP BY 1, 2""",
+)
+
+
+@query("overnight_edge", rounded("ticker year n", OE, """SELECT e.*, f.max_drawdown FROM (SELECT *, abs(avg_win / nullif(avg_loss, 0)) AS payoff, win_rate * avg_win + (1 - win_rate) * avg_loss AS ev FROM (SELECT ticker, year, count(*) FILTER (s) AS n, count(*) FILTER (s) / count(*)::DOUBLE * 100 AS freq_pct,
  avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) FILTER (s) AS win_rate, coalesce(avg(x) FILTER (s AND x > 0), 0) AS avg_win, coalesce(avg(x) FILTER (s AND x <= 0), 0) AS avg_loss, avg(x) FILTER (s) AS avg_ret, exp(sum(ln(1 + x)) FILTER (s)) - 1 AS total_ret,
- coalesce(avg(x) FILTER (s) / nullif(stddev_samp(x) FILTER (s), 0) * sqrt(252), 0) AS sharpe FROM (SELECT *, overnight_ret / 100 AS x, drop_from_open >= 2.0 AS s FROM en WHERE overnight_ret IS NOT NULL) GROUP BY GROUPING SETS ((ticker), (year), ())) WHERE n > 0""", 5))
+ coalesce(avg(x) FILTER (s) / nullif(stddev_samp(x) FILTER (s), 0) * sqrt(252), 0) AS sharpe FROM (SELECT *, overnight_ret / 100 AS x, drop_from_open >= 2.0 AS s FROM en WHERE overnight_ret IS NOT NULL) GROUP BY GROUPING SETS ((ticker), (year), ())) WHERE n > 0) e LEFT JOIN edge_falls f ON f.t IS NOT DISTINCT FROM e.ticker AND f.y IS NOT DISTINCT FROM e.year""", 5))
 def q_overnight(spark, sf_dir):
     return tidy(reports.overnight_edge(enriched(spark, sf_dir), 2.0), ["ticker", "year", "n"], OE, 5)
 
