@@ -198,7 +198,8 @@ def test_nearest_bar_has_no_reach(spark):
 
 def test_entries_use_history_of_any_age(spark):
     old = [(dt.datetime(2024, 1, 2, 14 + i), 10, 11 + i, 9 - i, 10) for i in range(3)]
-    got = outcomes.entries_from_bars(_at(spark, old + [(dt.datetime(2024, 1, 20, 14), 5, 5, 5, 5)])).collect()
+    bars = _at(spark, old + [(dt.datetime(2024, 1, 20, 14), 5, 5, 5, 5)]).withColumn("volume", F.lit(0.0))
+    got = outcomes.entries_from_bars(bars).collect()
     assert [(r.day, r.support, r.resistance) for r in got] == [(dt.date(2024, 1, 20), pytest.approx(7.3), pytest.approx(12.7))]
 
 
