@@ -195,20 +195,42 @@ def performance_metrics(results: DataFrame, periods_per_year: int = 6) -> DataFr
     ).drop("down_sd", "n_down")
 
 
-def impact(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Before/after comparison of performance_metrics rows per strategy, with findings as flags."""
-    cols = ["total_return", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown", "win_rate", "avg_turnover"]
-    b = before.select("strategy", *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = after.select("strategy", *cols).join(b, "strategy")
-    out = j.select("strategy", *[(F.col(c) - F.col(f"b_{c}")).alias(f"d_{c}") for c in cols])
-    return out.withColumns(
-        {
-            "finding": F.when((F.col("d_sharpe_ratio") > 0) & (F.col("d_max_drawdown") < 0), "better_risk_and_return")
-            .when(F.col("d_sharpe_ratio") > 0, "better_return")
-            .when(F.col("d_max_drawdown") < 0, "lower_risk")
-            .otherwise("no_gain"),
-            "recommendation": F.when((F.col("d_sharpe_ratio") > 0) & (F.col("d_max_drawdown") <= 0), "adopt")
-            .when((F.col("d_sharpe_ratio") > 0) | (F.col("d_max_drawdown") < 0), "review")
-            .otherwise("reject"),
-        }
-    )
+# ---- fixed values: thresholds of findings and recommendations --------------------------
+#: (name, measure, limit): found where the measure is over the limit
+FINDINGS = [
+    ("returns_collapsed", "return_reduction_pct", 50.0), ("returns_decreased", "return_reduction_pct", 20.0), ("sharpe_improved", "sharpe_improvement", 0.2),
+    ("calmar_improved", "calmar_improvement", 0.5), ("drawdown_reduced", "drawdown_reduction_pct", 20.0), ("slippage_costs", "total_slippage_cost", 0.05),
+    ("dilution_avoided", "dilution_events", 0.0), ("illiquid_filtered", "illiquid_tickers", 0.0),
+]
+RECOMMENDATIONS = [
+    ("expect_after_returns", "return_reduction_pct", 50.0), ("more_robust", "risk_adjusted", 0.0), ("keep_dilution_filter", "dilution_events", 0.0),
+    ("raise_minimum_adv", "illiquid_tickers", 2.0), ("reduce_turnover", "avg_slippage_cost", 0.02),
+]
+DILUTION_COST = 0.20
+# ---- end of fixed values --------------------------------------------------------------
+
+
+def impact(before: DataFrame, after: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Before/after comparison of performance_metrics rows per strategy, with the findings and recommendations that its measures give.
+
+    costs: (strategy, avg_slippage_cost, total_slippage_cost, dilution_events, illiquid_tickers) of
+    the run after; 0 where missing. A collapse of returns takes the place of a mere decrease.
+    """
+    cols = ["total_return", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown", "volatility", "win_rate", "avg_turnover"]
+    j = after.select("strategy", *cols).join(before.select("strategy", *[F.col(c).alias(f"b_{c}") for c in cols]), "strategy")
+    less = lambda c: nz(div(F.col(f"b_{c}") - F.col(c), F.col(f"b_{c}")) * 100)
+    more = lambda c: F.col(c) - F.col(f"b_{c}")
+    extra = ["avg_slippage_cost", "total_slippage_cost", "dilution_events", "illiquid_tickers"]
+    if costs is not None:
+        j = j.join(costs.select("strategy", *extra), "strategy", "left")
+    known = {c: nz(F.col(c)) if costs is not None else F.lit(0.0) for c in extra}
+    out = j.select(
+        "strategy", *[more(c).alias(f"d_{c}") for c in cols], less("total_return").alias("return_reduction_pct"), less("max_drawdown").alias("drawdown_reduction_pct"),
+        less("volatility").alias("volatility_reduction_pct"), more("sharpe_ratio").alias("sharpe_improvement"), more("calmar_ratio").alias("calmar_improvement"),
+        F.greatest(more("sharpe_ratio"), more("calmar_ratio")).alias("risk_adjusted"), *[x.alias(c) for c, x in known.items()],
+    )
+    said = lambda rules: F.array_join(F.array_compact(F.array(*[F.when(F.col(m) > x, n) for n, m, x in rules])), ",")
+    found = F.regexp_replace(said(FINDINGS), "returns_collapsed,returns_decreased", "returns_collapsed")
+    return out.withColumns({"findings": found, "recommendations": said(RECOMMENDATIONS), "dilution_cost_avoided": F.col("dilution_events") * DILUTION_COST})
+
+

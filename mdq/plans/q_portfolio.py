@@ -345,15 +345,34 @@ def q_metrics(spark, sf_dir):
     return tidy(fitness.performance_metrics(walk(spark, sf_dir)), ["strategy", "n_periods"], _PM)
 
 
-@query(
-    "impact_before_after",
-    rounded("strategy finding recommendation", "d_total_return d_sharpe_ratio d_max_drawdown", f"""SELECT *,
- CASE WHEN d_sharpe_ratio > 0 AND d_max_drawdown < 0 THEN 'better_risk_and_return' WHEN d_sharpe_ratio > 0 THEN 'better_return' WHEN d_max_drawdown < 0 THEN 'lower_risk' ELSE 'no_gain' END AS finding,
- CASE WHEN d_sharpe_ratio > 0 AND d_max_drawdown <= 0 THEN 'adopt' WHEN d_sharpe_ratio > 0 OR d_max_drawdown < 0 THEN 'review' ELSE 'reject' END AS recommendation FROM (
- SELECT a.strategy, a.total_return - b.total_return AS d_total_return, a.sharpe_ratio - b.sharpe_ratio AS d_sharpe_ratio, a.max_drawdown - b.max_drawdown AS d_max_drawdown
- FROM ({_pm_sql(_wf_final(0.02))}) a JOIN ({_pm_sql('SELECT * FROM wf')}) b USING (strategy))"""),
-)
+IM = ["return_reduction_pct", "drawdown_reduction_pct", "sharpe_improvement", "calmar_improvement", "total_slippage_cost"]
+_FOUND = [
+    ("returns_collapsed", "return_reduction_pct > 50"), ("returns_decreased", "return_reduction_pct > 20 AND NOT return_reduction_pct > 50"), ("sharpe_improved", "sharpe_improvement > 0.2"),
+    ("calmar_improved", "calmar_improvement > 0.5"), ("drawdown_reduced", "drawdown_reduction_pct > 20"), ("slippage_costs", "total_slippage_cost > 0.05"), ("illiquid_filtered", "illiquid_tickers > 0"),
+]
+_ADVICE = [
+    ("expect_after_returns", "return_reduction_pct > 50"), ("more_robust", "sharpe_improvement > 0 OR calmar_improvement > 0"),
+    ("raise_minimum_adv", "illiquid_tickers > 2"), ("reduce_turnover", "avg_slippage_cost > 0.02"),
+]
+
+
+def _said(rules) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules) + ")"
+
+
+# what the second run pays for: its turnover at 50 basis points, and a ticker filtered in every sixth period
+_COSTS = "SELECT strategy, avg(turnover) * 0.005 AS avg_slippage_cost, sum(turnover) * 0.005 AS total_slippage_cost, CAST(count(*) // 6 AS DOUBLE) AS illiquid_tickers"
+_IMPACT = f"""SELECT a.strategy, coalesce((b.total_return - a.total_return) / nullif(b.total_return, 0) * 100, 0) AS return_reduction_pct,
+ coalesce((b.max_drawdown - a.max_drawdown) / nullif(b.max_drawdown, 0) * 100, 0) AS drawdown_reduction_pct, a.sharpe_ratio - b.sharpe_ratio AS sharpe_improvement,
+ a.calmar_ratio - b.calmar_ratio AS calmar_improvement, c.avg_slippage_cost, c.total_slippage_cost, c.illiquid_tickers
+ FROM ({_pm_sql(_wf_final(0.02))}) a JOIN ({_pm_sql('SELECT * FROM wf')}) b USING (strategy) JOIN ({_COSTS} FROM ({_wf_final(0.02)}) GROUP BY 1) c USING (strategy)"""
+
+
+@query("impact_before_after", rounded("strategy findings recommendations", IM, f"SELECT *, {_said(_FOUND)} AS findings, {_said(_ADVICE)} AS recommendations FROM ({_IMPACT})", 4))
 def q_impact(spark, sf_dir):
-    before = fitness.performance_metrics(walk(spark, sf_dir))
-    after = fitness.performance_metrics(walk(spark, sf_dir, 0.02))
-    return tidy(fitness.impact(before, after), ["strategy", "finding", "recommendation"], ["d_total_return", "d_sharpe_ratio", "d_max_drawdown"])
+    before, second = fitness.performance_metrics(walk(spark, sf_dir)), walk(spark, sf_dir, 0.02)
+    paid = F.col("turnover") * 0.005
+    costs = second.groupBy("strategy").agg(
+        F.avg(paid).alias("avg_slippage_cost"), F.sum(paid).alias("total_slippage_cost"), F.floor(F.count("*") / 6).cast("double").alias("illiquid_tickers"), F.lit(0.0).alias("dilution_events")
+    )
+    return tidy(fitness.impact(before, fitness.performance_metrics(second), costs), ["strategy", "findings", "recommendations"], IM, 4)
