@@ -211,8 +211,37 @@ def sharing(d: Column, sigma: float, alpha: float = 1.0) -> Column:
     return F.when(d < sigma, 1 - F.pow(d / sigma, alpha)).otherwise(0.0)
 
 
-#: rows of a cell of the neighbour search, and rows asked together
-_CELL_ROWS, _ASK_ROWS = 1024, 2048
+#: rows of a cell of the neighbour search, and rows measured together
+_CELL_ROWS, _ASK_ROWS = 1024, 1024
+#: most rows of a block, and the number of blocks up to which it stays smaller
+_MOST_ROWS, _BLOCKS = 65536, 16
+
+
+def _block_rows(total: int) -> int:
+    """Rows of a block: a few thousand at first, more as the rows grow, so that pairs of blocks give enough tasks and rows are sent to few of them."""
+    return min(_MOST_ROWS, max(_BLOCK_ROWS, math.ceil(total / _BLOCKS)))
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, float) for x in vectors]) if len(vectors) else np.zeros((0, 1))
+
+
+def _all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of a to those of b, by one matrix product."""
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squares - 2 * (a @ b.T), 0.0))
+
+
+def _tiles(n: int):
+    return (slice(at, at + _ASK_ROWS) for at in range(0, n, _ASK_ROWS))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame):
+    """Rows that carry the list `to` of (b, other), grouped by the pair of blocks they are sent to."""
+    sent = lambda d: d.withColumn("p", F.explode("to")).select("*", "p.b", "p.other").drop("to", "p")
+    fresh = sent(right)  # both sides may stem from one frame: columns of their own
+    fresh = fresh.select(*[F.col(c).alias(c) for c in fresh.columns])
+    return sent(left).groupBy("b", "other").cogroup(fresh.groupBy("b", "other"))
 
 
 def _spread(points: np.ndarray, n: int) -> np.ndarray:
@@ -225,60 +254,103 @@ def _spread(points: np.ndarray, n: int) -> np.ndarray:
     return np.array(taken)
 
 
+def _nearest(best: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest of best and d by row, in any order."""
+    d = np.concatenate([best, d], axis=1)
+    return np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+
+
 def niches(df: DataFrame, key: str, vector: str, sigma: float = 1.0, k: int = 15, alpha: float = 1.0, sample: int = 4096) -> DataFrame:
     """(key, niche_count, novelty): niche count within sigma and mean distance to the k nearest of every row; exact.
 
-    Pivots from a bounded sample cut the rows into cells of known radius. By the triangle
-    inequality a cell whose nearest point is farther than sigma adds nothing to a niche count, and
-    one farther than the k-th best distance so far adds no neighbour. The first pass finds an upper
-    bound of that distance in the row's own cell, the second looks only into cells within it or
-    within sigma. Rows that ask a cell come in blocks, so a large cell is not one task.
+    Pivots from a bounded sample cut the rows into cells of known radius. Neighbouring cells lie
+    together in blocks. The first pass finds an upper bound of a row's k-th best distance in its own
+    block and cell. By the triangle inequality two cells whose nearest points are farther apart than
+    sigma and than the bounds of their rows add nothing to each other: pairs of blocks without any
+    other cells are not sent, and such pairs of cells are not compared. A pair of blocks is one task,
+    which measures every distance once for both sides and emits a row's part of the niche count and its k best.
     """
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    vectors = dict(rows.dtypes)["v"]
     total = rows.count()
     every = max(1, total // sample)
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(sample).toPandas()  # places the pivots; results do not depend on it
-    points = np.stack(some["v"].to_numpy()) if len(some) else np.zeros((1, 1))
+    points = _stacked(some["v"]) if len(some) else np.zeros((1, 1))
     pivots = points[_spread(points, math.ceil(total / _CELL_ROWS))]
 
     def place(frames):
         for frame in frames:
-            d = np.stack([np.sqrt(((pivots - np.asarray(x)) ** 2).sum(axis=1)) for x in frame["v"]]) if len(frame) else np.zeros((0, 1))
-            yield frame.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
-
-    held = cut_lineage(rows.mapInPandas(place, f"id {kind}, v array<double>, cell int, far double"))
-    sizes = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").toPandas()  # a row per pivot
-    cells, radius = sizes["cell"].to_numpy(), sizes["far"].to_numpy()
-    blocks = held.sparkSession.createDataFrame([(int(c), max(1, math.ceil(n / _ASK_ROWS))) for c, n in zip(cells, sizes["n"])], "cell int, blocks int")
-    to = held.join(blocks, "cell").select(F.col("cell").alias("to"), F.col("id").alias("other"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("turn"))
-
-    def distances(l: pd.DataFrame, r: pd.DataFrame):
-        b, other = np.stack(r["w"].to_numpy()), r["other"].to_numpy()
-        for i, x in zip(l["id"], l["v"]):
-            yield i, np.sqrt(((b - np.asarray(x)) ** 2).sum(axis=1))[other != i]
-
-    def bound(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        found = [float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else float("inf") for _, d in distances(l, r)] if len(l) else []
-        return pd.DataFrame({"id": l["id"], "v": l["v"], "reach": np.array(found, float)})
-
-    def aim(frames):
-        for frame in frames:
-            gaps = [np.sqrt(((pivots[cells] - np.asarray(x)) ** 2).sum(axis=1)) - radius for x in frame["v"]]
-            yield frame[["id", "v"]].assign(cells=[cells[g <= max(reach, sigma) * (1 + 1e-9) + 1e-9].tolist() for g, reach in zip(gaps, frame["reach"])])
+            x = _stacked(frame["v"])
+            cell = _all_distances(x, pivots).argmin(axis=1) if len(x) else np.zeros(0, int)
+            far = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)) if len(x) else np.zeros(0)
+            yield frame.assign(cell=cell.astype("int32"), far=far)
+
+    held = cut_lineage(rows.mapInPandas(place, f"id {kind}, v {vectors}, cell int, far double"))
+    sizes = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas()  # a row per pivot
+    sizes = sizes.assign(near=((pivots[sizes["cell"].to_numpy(int)] - pivots[0]) ** 2).sum(axis=1)).sort_values(["near", "cell"])
+    most, used, block, at = _block_rows(total), 0, 0, []
+    for c, n in zip(sizes["cell"], sizes["n"]):
+        if used and used + n > most:
+            block, used = block + 1, 0
+        parts = max(1, math.ceil(n / most))  # a large cell is several blocks
+        at.append((int(c), block, parts))
+        block, used = (block + parts, 0) if parts > 1 else (block, used + n)
+    spark = held.sparkSession
+    placed = held.join(F.broadcast(spark.createDataFrame(at, "cell int, first int, parts int")), "cell")
+    placed = placed.select("id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int").alias("block"))
+
+    def bound(frame: pd.DataFrame) -> pd.DataFrame:
+        reach = np.full(len(frame), np.inf)
+        ids, cells, x = frame["id"].to_numpy(), frame["cell"].to_numpy(), _stacked(frame["v"])
+        for c in np.unique(cells):
+            own = np.flatnonzero(cells == c)
+            for part in (own[t] for t in _tiles(len(own))):
+                best = np.full((len(part), k), np.inf)
+                for other in (own[t] for t in _tiles(len(own))):
+                    d = _all_distances(x[part], x[other])
+                    d[ids[part][:, None] == ids[other][None, :]] = np.inf
+                    best = _nearest(best, d, k)
+                reach[part] = best.max(axis=1)
+        return frame.assign(reach=reach)
+
+    bounded = cut_lineage(placed.groupBy("block").applyInPandas(bound, f"id {kind}, v {vectors}, cell int, block int, reach double"))
+    # what the driver holds: a row per cell and block
+    known = bounded.groupBy("cell", "block").agg(F.max("reach").alias("reach")).toPandas().merge(sizes[["cell", "far"]], on="cell")
+    widest = np.maximum(known.groupby("cell")["reach"].max(), sigma).to_dict()
+    radius = dict(zip(sizes["cell"], sizes["far"]))
+    seen = sorted(widest)
+    gaps = _all_distances(pivots[seen], pivots[seen]) if seen else np.zeros((0, 0))
+    far, reach = np.array([radius[c] for c in seen]), np.array([widest[c] for c in seen])
+    meet = gaps - far[:, None] - far[None, :] <= np.maximum(reach[:, None], reach[None, :]) * (1 + 1e-9) + 1e-6 * (1 + gaps)
+    place_of = {c: i for i, c in enumerate(seen)}
+    cells_of = {b: [place_of[c] for c in g["cell"]] for b, g in known.groupby("block")}
+    pairs = [(int(b), int(o)) for b in cells_of for o in cells_of if b <= o and meet[np.ix_(cells_of[b], cells_of[o])].any()]
+    sends = spark.createDataFrame([(b, b, o) for b, o in pairs], "block int, b int, other int").groupBy("block").agg(F.collect_list(F.struct("b", "other")).alias("to"))
+    gets = spark.createDataFrame([(o, b, o) for b, o in pairs], "block int, b int, other int").groupBy("block").agg(F.collect_list(F.struct("b", "other")).alias("to"))
+    base = bounded.select("id", "v", "cell", "block")
 
     def visit(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i, d in distances(l, r) if len(l) and len(r) else ():
-            near = d[d < sigma]
-            out.append((i, float((1 - (near / sigma) ** alpha).sum()), np.sort(d)[:k].tolist()))
-        return pd.DataFrame(out, columns=["id", "niche", "best"])
-
-    in_blocks = lambda d: d.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meet = lambda d, f, schema: in_blocks(d).groupBy("cell", "block").cogroup(to.groupBy("to", "turn")).applyInPandas(f, schema)
-    first = meet(held, bound, f"id {kind}, v array<double>, reach double")
-    aimed = cut_lineage(first.mapInPandas(aim, f"id {kind}, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")))
-    found = meet(aimed, visit, f"id {kind}, niche double, best array<double>")
+        same = bool(len(l)) and bool(len(r)) and l["b"].iloc[0] == l["other"].iloc[0]
+        l, r = l.sort_values("cell"), r.sort_values("cell")
+        side = [(f["id"].to_numpy(), np.array([place_of[c] for c in f["cell"]], int), _stacked(f["v"])) for f in (l, r)]
+        if same:
+            side[1] = side[0]
+        (ids, cells, x), (other_ids, other_cells, y) = side
+        niche, best = [np.zeros(len(s[0])) for s in side], [np.full((len(s[0]), k), np.inf) for s in side]
+        for i in _tiles(len(x)):
+            for j in _tiles(len(y)):
+                if not meet[np.ix_(np.unique(cells[i]), np.unique(other_cells[j]))].any():
+                    continue
+                d = _all_distances(x[i], y[j])
+                d[ids[i][:, None] == other_ids[j][None, :]] = np.inf
+                for s, (t, m) in enumerate(((i, d), (j, d.T))[: 1 if same else 2]):
+                    niche[s][t] += np.where(m < sigma, 1 - (np.minimum(m, sigma) / sigma) ** alpha, 0.0).sum(axis=1)
+                    best[s][t] = _nearest(best[s][t], m, k)
+        out = [pd.DataFrame({"id": side[s][0], "niche": niche[s], "best": [row[np.isfinite(row)].tolist() for row in np.sort(best[s], axis=1)]}) for s in range(1 if same else 2)]
+        return pd.concat(out)
+
+    found = _block_pairs(base.join(F.broadcast(sends), "block"), base.join(F.broadcast(gets), "block")).applyInPandas(visit, f"id {kind}, niche double, best array<double>")
     g = found.groupBy("id").agg(F.sum("niche").alias("niche"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     mean_best = F.aggregate("best", F.lit(0.0), lambda s, v: s + v) / F.size("best")
     return g.select(F.col("id").alias(key), (F.col("niche") + 1).alias("niche_count"), mean_best.alias("novelty"))
@@ -287,23 +359,35 @@ def niches(df: DataFrame, key: str, vector: str, sigma: float = 1.0, k: int = 15
 def mean_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, mean_distance) of every row to all others, which needs every pair.
 
-    The vectors are cut into blocks of a few thousand; a task holds two blocks, and emits per
-    row one partial sum of that block pair, never the pairs themselves.
+    The vectors are cut into blocks; a task holds two of them, measures every distance once by
+    matrix products and emits one partial sum per row and side, never the pairs themselves.
     """
-    blocks = max(1, math.ceil(df.count() / _BLOCK_ROWS))
-    base = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    left = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("b", "other")
-    right = base.withColumnRenamed("b", "other").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("b", "other")
+    total = df.count()
+    blocks = max(1, math.ceil(total / _block_rows(total)))
+    kind = dict(df.dtypes)[key]
+    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    pair = lambda b, o: F.struct(b.alias("b"), o.alias("other"))
+    left = base.withColumn("to", F.transform(F.sequence("block", F.lit(blocks - 1)), lambda o: pair(F.col("block"), o)))
+    right = base.withColumn("to", F.transform(F.sequence(F.lit(0), "block"), lambda b: pair(b, F.col("block"))))
 
     def part(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({"id": [], "total": [], "n": []})
-        a, b = np.stack(l["v"].to_numpy()), np.stack(r["v"].to_numpy())
-        ids = r["id"].to_numpy()
-        rows = [(i, float(np.sqrt(((b - row) ** 2).sum(axis=1))[ids != i].sum()), int((ids != i).sum())) for i, row in zip(l["id"].to_numpy(), a)]
-        return pd.DataFrame(rows, columns=["id", "total", "n"])
-
-    g = left.cogroup(right).applyInPandas(part, f"id {dict(df.dtypes)[key]}, total double, n bigint").groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        same = l["b"].iloc[0] == l["other"].iloc[0]
+        side = [(f["id"].to_numpy(), _stacked(f["v"])) for f in (l, r)]
+        totals, counts = [np.zeros(len(s[0])) for s in side], [np.zeros(len(s[0]), np.int64) for s in side]
+        (ids, x), (other_ids, y) = side
+        for i in _tiles(len(x)):
+            for j in _tiles(len(y)):
+                d = _all_distances(x[i], y[j])
+                other = ids[i][:, None] != other_ids[j][None, :]
+                d *= other
+                for s, (t, axis) in enumerate(((i, 1), (j, 0))[: 1 if same else 2]):
+                    totals[s][t] += d.sum(axis=axis)
+                    counts[s][t] += other.sum(axis=axis)
+        return pd.concat([pd.DataFrame({"id": side[s][0], "total": totals[s], "n": counts[s]}) for s in range(1 if same else 2)])
+
+    g = _block_pairs(left, right).applyInPandas(part, f"id {kind}, total double, n bigint").groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     return g.select(F.col("id").alias(key), div(F.col("total"), F.col("n")).alias("mean_distance"))
 
 

@@ -26,3 +26,22 @@ def test_blacklisted_rows_repeat_no_event(spark):
     hits = lambda t, d: any(e == t and x and d and x <= d <= x + dt.timedelta(20) for e, x in events if e)
     assert sorted((r.ticker, r.date) for r in got.collect()) == sorted(r for r in rows if hits(*r))
     assert got.columns == ["ticker", "date"] and "Generate" not in plan(got)
+
+
+def test_neighbours_meet_in_blocks(spark, monkeypatch):
+    for name, rows in (("_CELL_ROWS", 8), ("_ASK_ROWS", 5), ("_BLOCK_ROWS", 20), ("_MOST_ROWS", 30)):
+        monkeypatch.setattr(population, name, rows)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.2, (40, 3)) for c in (0, 3, 9)] + [np.full((50, 3), 4.0)]).astype("float32").astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    other = d[~np.eye(len(x), dtype=bool)].reshape(len(x), -1)
+    got = population.niches(df, "id", "vec", sigma=0.5, k=4).join(population.mean_distances(df, "id", "vec"), "id").toPandas().sort_values("id")
+    assert np.allclose(got["niche_count"], 1 + np.where(other < 0.5, 1 - other / 0.5, 0).sum(axis=1), atol=1e-6)
+    assert np.allclose(got["novelty"], np.sort(other, axis=1)[:, :4].mean(axis=1), atol=1e-6)
+    assert np.allclose(got["mean_distance"], other.mean(axis=1))
+
+
+def test_vectors_are_sent_to_a_bounded_number_of_blocks():
+    assert [-(-n // population._block_rows(n)) for n in (1, 4096, 65536, 10**6)] == [1, 1, 16, 16]
+    assert population._block_rows(10**8) == population._MOST_ROWS
