@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ROOT_YEAR, YEAR, div, last_n, nz, order_window, prior_n, safe_corr, so_far
 from ..functions.rank import by_group, pct_rank, pct_ranks
+from ..functions.rolling import with_windows
 from ..session import cut_lineage
 
 # ---- fixed values: feature type -> (name pattern, parameter sets) ---------------------
@@ -127,6 +128,7 @@ def names_of(kind: str) -> list[str]:
 
 c = v = r = rn = m = wo = None
 _used: set[str] = set()
+_rolled: dict[str, tuple[str, int, str]] = {}
 
 
 def _bind() -> None:
@@ -135,6 +137,7 @@ def _bind() -> None:
     c, v, r, rn, m = (F.col(x) for x in ("close", "volume", "r", "rn", "m"))
     wo = order_window()
     _used.clear()
+    _rolled.clear()
 
 
 def _base(name: str) -> Column:
@@ -225,8 +228,10 @@ def _ret(p: int) -> Column:
     return div(c, _lag(c, p)) - 1
 
 
-def _price_sd(n: int) -> Column:
-    return F.stddev_samp(c).over(last_n(n))
+def _over(kind: str, p: int) -> Column:
+    """A statistic of the last p closes that `compute` adds by rolling.with_windows."""
+    _rolled[f"{kind}_{p}"] = (kind, p, "close")
+    return F.col(f"{kind}_{p}")
 
 
 def _autocorr(p: int, k: int) -> Column:
@@ -268,19 +273,6 @@ def _capture(p: int) -> Column:
     return div(_mean("r_bull", p), _mean("m_bull", p)) - div(_mean("r_bear", p), _mean("m_bear", p))
 
 
-def _slope(p: int) -> Column:
-    return F.regr_slope(c, rn).over(last_n(p))
-
-
-def _fit_r2(p: int) -> Column:
-    return F.pow(safe_corr(F.covar_samp(c, rn).over(last_n(p)), F.var_samp(c).over(last_n(p)), F.var_samp(rn).over(last_n(p))), 2)
-
-
-def _trend_gap(p: int) -> Column:
-    fit = _slope(p) * rn + F.regr_intercept(c, rn).over(last_n(p))
-    return div(c - fit, _mean("close", p))
-
-
 def _range_pos(p: int) -> Column:
     lo, hi = F.min(c).over(last_n(p)), F.max(c).over(last_n(p))
     return div(c - lo, hi - lo)
@@ -328,7 +320,7 @@ _BUILD = {
     "momentum_accel": lambda p, q: (q + 1, _ret(p) - _ret(q) * p / q),
     "momentum_consistency": lambda p, q: (p, _consistency(p, q)),
     "momentum_smoothness": lambda p: (p, Clipped(div(_ret(p - 1), _sum("abs", p)), -1, 1, 0)),
-    "zscore": lambda p: (p, Clipped(div(c - _mean("close", p), _price_sd(p)), -4, 4)),
+    "zscore": lambda p: (p, Clipped(_over("score", p), -4, 4)),
     "distance_from_ma": lambda p: (p, div(c, _mean("close", p)) - 1),
     "reversion_speed": lambda p: (2 * p, -_autocorr(p, 1)),
     "rsi": lambda p: (p + 1, 100 - 100 / (1 + div(_mean("up", p), -_mean("down", p)))),
@@ -337,18 +329,18 @@ _BUILD = {
     "vol_of_vol": lambda p: (p, _sd("sd5", p)),
     "vol_trend": lambda p, q: (q, div(_sd("r", p), _sd("r", q - p, p)) - 1),
     "drawdown": lambda p: (p, div(c, F.max(c).over(last_n(p))) - 1),
-    "drawdown_duration": lambda p: (p, (rn - F.max(F.struct("close", "rn")).over(last_n(p))["rn"]) / p),
-    "recovery_rate": lambda p: (p, F.col(f"near_{p}") / p),
+    "drawdown_duration": lambda p: (p, _over("age", p) / p),
+    "recovery_rate": lambda p: (p, _over("near", p) / p),
     "max_drawdown": lambda p: (p, F.col(f"dd_{p}")),
-    "ulcer_index": lambda p: (p, -F.sqrt(F.col(f"square_{p}") / p)),
+    "ulcer_index": lambda p: (p, -F.sqrt(_over("square", p) / p)),
     "skewness": lambda p: (p, Clipped(_moment3(p), -3, 3)),
     "kurtosis": lambda p: (p, Clipped(_moment4(p), -5, 10)),
     "downside_deviation": lambda p: (p, _sd("down", p) * ROOT_YEAR),
     "up_down_capture": lambda p: (p, _capture(p)),
     "left_tail": lambda p, q: (p, -F.percentile(r, q).over(last_n(p))),
-    "trend_r2": lambda p: (p, _fit_r2(p)),
-    "trend_slope": lambda p: (p, div(_slope(p), _mean("close", p)) * p),
-    "trend_deviation": lambda p: (p, _trend_gap(p)),
+    "trend_r2": lambda p: (p, _over("r2", p)),
+    "trend_slope": lambda p: (p, div(_over("slope", p), _over("mean", p)) * p),
+    "trend_deviation": lambda p: (p, div(c - _over("fit", p), _over("mean", p))),
     "hurst_proxy": lambda p: (p, Clipped(_hurst(p), 0, 1, 0.5)),
     "range_position": lambda p: (p, _range_pos(p)),
     "high_proximity": lambda p: (p, div(c, F.max(c).over(last_n(p)))),
@@ -393,6 +385,10 @@ _BUILD = {
 }
 
 
+#: types that need nothing but the close and statistics of the last closes
+_ROLLED_ONLY = {"zscore", "drawdown_duration", "recovery_rate", "ulcer_index", "trend_r2", "trend_slope", "trend_deviation"}
+
+
 def register(kind: str, build, default: float = 0.0) -> None:
     """Add a feature type: build(*params) -> (rows needed, Column)."""
     _BUILD[kind] = build
@@ -403,21 +399,6 @@ def register(kind: str, build, default: float = 0.0) -> None:
 # ---- intermediate columns -------------------------------------------------------------
 
 
-def _drawdown_fold(p: int, what: str) -> Column:
-    """Running-peak statistics inside each p-row window (the peak restarts per window)."""
-    zero = F.struct(F.lit(1e-300).alias("peak"), F.lit(0.0).alias("out"))
-
-    def step(acc, x):
-        ratio = x / F.greatest(acc["peak"], x)
-        out = {
-            "near": lambda: acc["out"] + F.when(ratio - 1 > -0.05, 1.0).otherwise(0.0),
-            "square": lambda: acc["out"] + F.pow(ratio - 1, F.lit(2.0)),
-        }[what]()
-        return F.struct(F.greatest(acc["peak"], x).alias("peak"), out.alias("out"))
-
-    return F.aggregate(F.collect_list("close").over(last_n(p)), zero, step, lambda a: a["out"])
-
-
 def _add_drawdowns(df: DataFrame, periods: list[int]) -> DataFrame:
     """dd_<p>: worst fall from the running peak inside the last p rows.
 
@@ -496,10 +477,6 @@ def _prepare(df: DataFrame, specs: list[tuple]) -> DataFrame:
         level[f"r_{k}"] = _lag(r, k)
     if "vol_of_vol" in kinds:
         level["sd5"] = F.when(F.count(r).over(last_n(5)) == 5, F.stddev_samp(r).over(last_n(5)))
-    for p in periods("recovery_rate"):
-        level[f"near_{p}"] = _drawdown_fold(p, "near")
-    for p in periods("ulcer_index"):
-        level[f"square_{p}"] = _drawdown_fold(p, "square")
     for p in periods("gap_reversal"):
         level[f"reversal_{p}"] = _reversal(p)
     for p in periods("relative_strength", "excess_momentum"):
@@ -567,11 +544,20 @@ def compute(df: DataFrame, names: Iterable[str], specs: dict[str, tuple] | None
             raw[f"raw_{n}"] = value
             known = nz(x, _SPARSE.get(kind, default))
         final.append(F.when(rn < need, F.lit(default)).otherwise(known).alias(n))
+    if _rolled and {specs[n][0] for n in names} <= _ROLLED_ONLY:
+        ready = with_windows(df.select("ticker", "date", "close"), _rolled)
+        return _finished(ready, raw, final, names, execution_lag)
     ready = _prepare(df, [specs[n] for n in names])
     ready = _add_running_sums(ready)
     for p in sorted({specs[n][1] for n in names if specs[n][0] == "hurst_proxy"}):
         run = F.when(r.isNotNull(), F.col("`s:r`"))
         ready = ready.withColumn(f"span_{p}", F.max(run).over(last_n(p)) - F.min(run).over(last_n(p)))
+    if _rolled:
+        ready = with_windows(ready, _rolled)
+    return _finished(ready, raw, final, names, execution_lag)
+
+
+def _finished(ready: DataFrame, raw: dict[str, Column], final: list[Column], names: list[str], execution_lag: int) -> DataFrame:
     out = ready.withColumns(raw).select("ticker", "date", *final)
     if execution_lag:
         out = out.select("ticker", "date", *[F.lag(n, execution_lag).over(order_window()).alias(n) for n in names])

@@ -5,9 +5,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from mdq.operators import factors, population, risk
+from mdq.operators import factors, population, reports, risk
+from mdq.plans import q_reports
 
 DAY = dt.date(2024, 1, 1)
 
@@ -45,3 +45,75 @@ def test_neighbours_meet_in_blocks(spark, monkeypatch):
 def test_vectors_are_sent_to_a_bounded_number_of_blocks():
     assert [-(-n // population._block_rows(n)) for n in (1, 4096, 65536, 10**6)] == [1, 1, 16, 16]
     assert population._block_rows(10**8) == population._MOST_ROWS
+
+
+def prices(spark, n, gap=None):
+    rng = np.random.default_rng(n)
+    pdf = pd.concat([pd.DataFrame({"ticker": t, "date": [DAY + dt.timedelta(i) for i in range(n + k)], "close": 100 * np.exp(np.cumsum(rng.normal(0, 0.03, n + k)))}) for k, t in enumerate(("A", "B", "C"))])
+    pdf.loc[(pdf.ticker == "B") & (pdf.date > DAY + dt.timedelta(30)), "close"] = 7.3  # a price that stands still
+    if gap:
+        pdf.loc[(pdf.ticker == "A") & (pdf.date == DAY + dt.timedelta(gap)), "close"] = np.nan
+    rows = [(t, d, None if np.isnan(c) else float(c), 1.0) for t, d, c in pdf.itertuples(index=False)]
+    return spark.createDataFrame(rows, "ticker string, date date, close double, volume double"), pdf
+
+
+@pytest.mark.parametrize("gap", [None, 100])
+def test_windows_of_closes_against_pandas(spark, gap):
+    df, pdf = prices(spark, 150, gap)
+    names = ["zscore_5d", "zscore_63d", "drawdown_duration_63d", "recovery_rate_63d", "ulcer_index_63d", "trend_r2_21d", "trend_slope_21d", "trend_deviation_63d"]
+    frame = factors.compute(df, names)
+    assert "Aggregate" not in plan(frame) and "collect_list" not in plan(frame) and "regr" not in plan(frame) and "stddev" not in plan(frame)
+    got = frame.toPandas().sort_values(["ticker", "date"])
+    mixed = factors.compute(df, [*names, "vol_21d"]).toPandas().sort_values(["ticker", "date"])
+    assert np.allclose(got[names], mixed[names])
+    for t, g in pdf.groupby("ticker"):
+        x, s = got[got.ticker == t].reset_index(drop=True), g["close"].to_numpy()
+        for i in (61, 62, 110, len(s) - 1):
+            w = s[max(0, i - 62) : i + 1]
+            if len(w) < 63:
+                assert x["recovery_rate_63d"][i] == 0.5 and x["zscore_63d"][i] == 0
+                continue
+            ok, k = ~np.isnan(w), np.arange(63)
+            fall = w[ok] / np.maximum.accumulate(w[ok]) - 1
+            sd = np.std(w[ok], ddof=1)
+            assert np.isclose(x["zscore_63d"][i], 0 if sd < 1e-9 else np.clip((w[-1] - w[ok].mean()) / sd, -4, 4))
+            assert np.isclose(x["recovery_rate_63d"][i], (fall > -0.05).sum() / 63)
+            assert np.isclose(x["ulcer_index_63d"][i], -np.sqrt((fall**2).sum() / 63))
+            assert np.isclose(x["drawdown_duration_63d"][i], np.argmax(np.where(ok, w, -1)[::-1]) / 63)
+            b, a = np.polyfit(k[ok], w[ok], 1)
+            assert np.isclose(x["trend_deviation_63d"][i], (w[-1] - a - 62 * b) / w[ok].mean())
+    still = got[(got.ticker == "B") & (got.date > DAY + dt.timedelta(60))]
+    assert (still[["zscore_5d", "trend_r2_21d", "trend_slope_21d"]] == 0).all().all()
+
+
+def test_windows_cross_batches_and_keys(spark):
+    df, pdf = prices(spark, 400)
+    names = ["trend_r2_126d", "recovery_rate_126d"]
+    whole = factors.compute(df, names).toPandas().sort_values(["ticker", "date"])[names].to_numpy()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert np.allclose(whole, factors.compute(df, names).toPandas().sort_values(["ticker", "date"])[names].to_numpy(), rtol=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_two_samples_rank_a_ticker_in_one_shuffle(spark):
+    rng = np.random.default_rng(1)
+    rows = [(t, int(m), float(r)) for t in "AB" for m, r in zip(rng.integers(1, 6, 80), rng.integers(-5, 5, 80) / 100)]
+    made = reports.two_sample(spark.createDataFrame(rows, "ticker string, month int, ret double"))
+    assert "Join" not in plan(made)
+    for r in made.collect():
+        d = pd.DataFrame([x[1:] for x in rows if x[0] == r.ticker], columns=["month", "ret"])
+        inside = d["month"] == 3
+        n1 = inside.sum()
+        assert (r.n1, r.n2) == (n1, (~inside).sum()) and np.isclose(r.u, d["ret"].rank()[inside].sum() - n1 * (n1 + 1) / 2)
+        x = d["ret"][inside]
+        assert np.isclose(r.t_stat, x.mean() / (x.std() / np.sqrt(n1)))
+
+
+def test_enriched_columns_are_computed_where_they_are_read(spark, tmp_path):
+    rows = [(1, DAY + dt.timedelta(i), 0.04, 1.0, 0.1) for i in range(40)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate date, l_discount double, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = plan(q_reports.q_monthly(spark, str(tmp_path)))
+    assert "ret" in made and "stddev_samp(volume" not in made and "vol_20d_avg" not in made and "next_open" not in made
+    assert "enriched" not in made
