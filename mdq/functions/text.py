@@ -40,16 +40,15 @@ FILING_WORDS = [
     "convertible note", "equity line", "committed equity facility",
 ]
 NEWS_WORDS = ["dilution", "offering", "capital raise", "equity financing", "share issuance", "warrant exercise", "convertible debt"]
+#: posts that one task parses
+POSTS = 20_000
 # ---- end of fixed values --------------------------------------------------------------
 
 
 def tickers(text: Column, stop_words: list[str] | None = None) -> Column:
     """Symbols in first-seen order; the stop list is a parameter."""
-    a = F.regexp_extract_all(text, F.lit(TICKER), 1)
-    b = F.regexp_extract_all(text, F.lit(TICKER), 2)
-    both = F.filter(F.zip_with(a, b, lambda x, y: F.when(x != "", x).otherwise(y)), lambda x: x != "")
-    stop = F.array(*[F.lit(w) for w in (stop_words or NOT_TICKERS)])
-    return F.array_except(F.array_distinct(both), stop)
+    found = F.transform(F.regexp_extract_all(text, F.lit(TICKER), 0), lambda x: F.ltrim(x, F.lit("$")))
+    return F.filter(F.array_distinct(found), lambda x: ~x.isin(stop_words or NOT_TICKERS))
 
 
 def session(text: Column) -> Column:
@@ -105,17 +104,25 @@ def with_blocks(df: DataFrame) -> DataFrame:
     # a part belongs to the symbol it starts with
     first = F.transform("_parts", lambda p: F.struct(F.upper(F.regexp_extract(p, r"^\s*\$?([A-Za-z]+)", 1)).alias("s"), p.alias("t")))
     df = df.withColumn("_parts", F.filter(first, lambda x: F.array_contains("symbols", x["s"])))
-    df = df.withColumn("ticker", F.explode("symbols"))
+    # the outer form, as Spark would find the symbols once more to leave out posts without any
+    df = df.withColumn("ticker", F.explode_outer("symbols")).where("ticker is not null")
     mine = F.filter("_parts", lambda x: x["s"] == F.col("ticker"))
     df = df.withColumn("_mine", F.try_element_at(mine, F.lit(-1)))
     block = F.when(F.size("_parts") < 2, F.col("content")).otherwise(F.coalesce("_mine.t", "content"))
     return df.withColumn("block", block).drop("_marked", "_parts", "_mine")
 
 
+def _spread(posts: DataFrame) -> DataFrame:
+    """posts dealt to tasks by their number: they are few bytes but much work each, so tasks by bytes would be few."""
+    if posts.isStreaming:
+        return posts
+    return posts.repartition(max(posts.sparkSession.sparkContext.defaultParallelism, -(-posts.count() // POSTS)))
+
+
 def parse_posts(posts: DataFrame) -> DataFrame:
     """posts(title, content, timestamp) to one entry row per ticker."""
     text = F.concat_ws("\n", "title", "content")
-    p = posts.withColumns({"symbols": tickers(text), "session": session(text), "post_ts": parse_time(F.col("timestamp"))}).where(F.size("symbols") > 0)
+    p = _spread(posts).withColumns({"symbols": tickers(text), "session": session(text), "post_ts": parse_time(F.col("timestamp"))})
     p = with_blocks(p.select("title", "content", "symbols", "session", "post_ts"))
     p = with_prices_near(p, "block", {"sup": SUPPORT, "res": RESISTANCE, "stp": STOP}).withColumn("all_p", F.array_sort(prices(F.col("block"))))
     median = F.coalesce(F.try_element_at("all_p", (F.floor(F.size("all_p") / 2) + 1).cast("int")), F.lit(0.0))

@@ -92,3 +92,13 @@ def test_prices_near_keyword_uses_every_match(spark):
     body = "support 1.5 " + "x" * 200 + " support 2.5"
     got = spark.createDataFrame([(body,)], "t string").select(text.prices_near(F.col("t"), text.SUPPORT).alias("p")).first().p
     assert got == [1.5, 2.5]
+
+
+def test_posts_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(text, "POSTS", 5)
+    rows = [(f"Daily list {k}", f"$ABCD support {k}.5 stop {k}\nTHE: $SELL XY: target {k + 9}", "2024-01-15T14:30:00Z") for k in range(60)]
+    posts = spark.createDataFrame(rows, "title string, content string, timestamp string").coalesce(1)
+    out = text.parse_posts(posts)
+    assert out.rdd.getNumPartitions() == 12
+    assert sorted((r.title, r.ticker) for r in out.collect()) == sorted((t, s) for t, _, _ in rows for s in ("ABCD", "XY"))
+    assert "array_except" not in out._jdf.queryExecution().optimizedPlan().toString()
