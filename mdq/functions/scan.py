@@ -1,49 +1,31 @@
 """State machines over ordered rows as scans of composed functions.
 
 What a row does to a machine of few states is a function from states to states: the list of the
-images of all states. Composing such functions is associative, so the state before any row is a
-prefix composition, which is found by doubling inside blocks of rows, then over one row per block,
-and so on: no loop over the rows of a key and no state in Python.
+images of all states. Composing such functions is associative, so the states before all rows of a
+batch are a prefix composition, which is found by doubling: no loop over the rows of a key. One
+state is handed from batch to batch, so the rows are shuffled and sorted once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: rows of a block, and the doublings that reach over one
-BLOCK, STEPS = 64, 6
 
-
-def _pick(state: Column, images: list[Column]) -> Column:
-    """images[state]; state counts from 0."""
-    out = images[-1]
-    for k in range(len(images) - 2, -1, -1):
-        out = F.when(state == k, images[k]).otherwise(out)
-    return out
-
-
-def _behind(names: list[str], ahead: str) -> dict[str, Column]:
-    """The images in names after those in ahead0, ahead1, ...; as they are where there is nothing ahead."""
-    images = [F.col(n) for n in names]
-    return {n: F.when(F.col(f"{ahead}{j}").isNull(), F.col(n)).otherwise(_pick(F.col(f"{ahead}{j}"), images)) for j, n in enumerate(names)}
-
-
-def _prefix(rows: DataFrame, keys: list[str], place: str, names: list[str], most: int) -> DataFrame:
-    """Replace the images in names by those of all rows of the key up to this one; place counts from 0 and is at most `most`."""
-    block = F.expr(f"{place} div {BLOCK}")
-    d = rows.withColumn("_block", block)
-    w = Window.partitionBy(*keys, "_block").orderBy(place)
-    for k in range(STEPS):
-        d = d.withColumns({f"_b{j}": F.lag(n, 1 << k).over(w) for j, n in enumerate(names)})
-        d = d.withColumns(_behind(names, "_b")).drop(*[f"_b{j}" for j in range(len(names))])
-    if most < BLOCK:
-        return d.drop("_block")
-    heads = d.groupBy(*keys, "_block").agg(F.max_by(F.struct(*names), place).alias("f")).select(*keys, F.col("_block").alias("_place"), "f.*")
-    heads = _prefix(heads, keys, "_place", names, most // BLOCK)
-    ahead = heads.select(*keys, (F.col("_place") + 1).alias("_block"), *[F.col(n).alias(f"_h{j}") for j, n in enumerate(names)])
-    d = d.join(ahead, [*keys, "_block"], "left")
-    return d.withColumns(_behind(names, "_h")).drop("_block", *[f"_h{j}" for j in range(len(names))])
+def _after(images: np.ndarray, number: np.ndarray, start: int, held: int) -> np.ndarray:
+    """The state after each row; images has a row's image of every state, number counts from 1 in each key, held is the state at the first row of a key gone on."""
+    place = np.arange(len(number))
+    first = np.maximum.accumulate(np.where(number == 1, place, 0))
+    done, shift = images, 1
+    while shift <= (place - first).max(initial=0):
+        late = np.flatnonzero(place - first >= shift)
+        done = done.copy()
+        done[late] = np.take_along_axis(done[late], done[late - shift], axis=1)
+        shift *= 2
+    return done[place, np.where(number[first] == 1, start, held)]
 
 
 def state_before(df: DataFrame, keys: list[str], order: str, images: list[Column], start: int, name: str = "state") -> DataFrame:
@@ -51,9 +33,21 @@ def state_before(df: DataFrame, keys: list[str], order: str, images: list[Column
 
     States are numbers from 0. Order is unique per key; null images keep the state.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
     names = [f"_f{s}" for s in range(len(images))]
-    d = df.withColumns({"_rn": F.row_number().over(w) - 1, **{n: F.coalesce(x, F.lit(s)).cast("int") for s, (n, x) in enumerate(zip(names, images))}})
-    most = d.agg(F.max("_rn")).first()[0] or 0
-    done = _prefix(d, keys, "_rn", names, most)
-    return done.withColumn(name, F.coalesce(F.lag(names[start]).over(w), F.lit(start))).drop("_rn", *names)
+    d = df.withColumns({"_rn": F.row_number().over(Window.partitionBy(*keys).orderBy(order)), **{n: F.coalesce(x, F.lit(s)).cast("int") for s, (n, x) in enumerate(zip(names, images))}})
+    d = d.select(*df.columns, "_rn", *names).sortWithinPartitions(*keys, "_rn")
+    own = len(df.columns)
+    schema = T.StructType([*d.schema.fields[:own], T.StructField(name, T.IntegerType())])
+
+    def run(batches):
+        held = start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, *steps = (batch.column(k).to_numpy() for k in range(own, batch.num_columns))
+            after = _after(np.stack(steps, axis=1), number, start, held)
+            before = np.where(number == 1, start, np.concatenate([[held], after[:-1]]))
+            held = int(after[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(before.astype(np.int32))], names=schema.names)
+
+    return d.mapInArrow(run, schema)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.core import ROOT_YEAR, div, last_n, nz, order_window, prior_n
+from ..functions.rolling import _ROWS, with_windows
 from ..functions.scan import state_before
 
 O, H, L, C, V = "open", "high", "low", "close", "volume"
@@ -116,12 +115,10 @@ def character_changes(df: DataFrame, n: int = 10, volume_rows: int = 20) -> Data
     return d.withColumn("change_of_character", nz(F.when(hit, F.greatest(F.least(F.col("turn") * 50, F.lit(1.0)), F.lit(-1.0)))))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("poc", "high", "low")]))
-def _value_area(closes: pd.Series, volumes: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+def _value_area(price: np.ndarray, volume: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Busiest bin's middle and the edges of the value area, for many windows at once."""
     bins, share = PROFILE_BINS - 1, 0.70
-    price, volume = np.stack(closes.to_numpy()).astype(float), np.stack(volumes.to_numpy()).astype(float)
-    low, step = lo.to_numpy(float), (hi - lo).to_numpy(float) / bins
+    step = (high - low) / bins
     with np.errstate(all="ignore"):
         at = np.ceil((price - low[:, None]) / step[:, None] - 1e-9) - 1
     at = np.clip(np.nan_to_num(at, nan=0.0, posinf=0.0, neginf=0.0), 0, bins - 1).astype(int)
@@ -139,7 +136,7 @@ def _value_area(closes: pd.Series, volumes: pd.Series, lo: pd.Series, hi: pd.Ser
         up = go & ~down & (last < bins - 1)
         now = now + np.where(down, left, 0) + np.where(up, right, 0)
         first, last = first - down, last + up
-    return pd.DataFrame({"poc": low + (top + 0.5) * step, "high": low + (last + 1) * step, "low": low + first * step})
+    return low + (top + 0.5) * step, low + (last + 1) * step, low + first * step
 
 
 #: edges of the price bins of a rolling profile
@@ -152,12 +149,31 @@ def rolling_profile(df: DataFrame, n: int = 20) -> DataFrame:
     The value area grows from the busiest bin to the busier neighbour, upwards if equal, until it
     holds 70 % of the volume. Rows without n rows before have 0.
     """
-    w = prior_n(n)
-    d = df.withColumns({"closes": F.collect_list(C).over(w), "volumes": F.collect_list(V).over(w), "lo": F.min(L).over(w), "hi": F.max(H).over(w)})
-    whole = d.where(F.size("closes") == n).select("ticker", "date", _value_area("closes", "volumes", "lo", "hi").alias("x"))
-    far = lambda x: nz(div(F.col(x) - F.col(C), F.col(C)))
-    out = df.join(whole, ["ticker", "date"], "left")
-    return out.select("ticker", "date", far("x.poc").alias("poc_distance"), far("x.high").alias("va_high_distance"), far("x.low").alias("va_low_distance"))
+    d = with_windows(df, {}, row="_rn", more=_profile(n))
+    return d.select("ticker", "date", *[x.alias(name) for name, x in _profile_out().items()])
+
+
+def _profile(n: int = 20) -> tuple:
+    """The step of with_windows that adds poc, va_high and va_low of the n rows before, null without so many known closes."""
+
+    def add(whole: dict[str, np.ndarray], number: np.ndarray) -> list[np.ndarray]:
+        out = np.full((3, len(number)), np.nan)
+        if len(whole[C]) > n:
+            # the window before a row ends one row earlier; the first rows of a key have none of their own
+            views = {c: np.lib.stride_tricks.sliding_window_view(whole[c][:-1], n)[-len(number) :] for c in (C, V, H, L)}
+            skip = len(number) - len(views[C])
+            for at in range(0, len(views[C]), _ROWS):
+                w = {c: x[at : at + _ROWS] for c, x in views.items()}
+                rows = np.flatnonzero((number[skip + at : skip + at + len(w[C])] > n) & ~np.isnan(w[C]).any(axis=1))
+                if len(rows):
+                    out[:, skip + at + rows] = _value_area(w[C][rows], np.nan_to_num(w[V][rows]), np.fmin.reduce(w[L][rows], axis=1), np.fmax.reduce(w[H][rows], axis=1))
+        return list(out)
+
+    return add, (C, V, H, L), n + 1, ("poc", "va_high", "va_low")
+
+
+def _profile_out() -> dict[str, Column]:
+    return {f"{x}_distance": nz(div(F.col(x) - F.col(C), F.col(C))) for x in ("poc", "va_high", "va_low")}
 
 
 def pivot_levels(h: Column, l: Column, c: Column) -> dict[str, tuple[Column, ...]]:
@@ -190,9 +206,20 @@ AVERAGES = (20, 50, 100, 200)
 
 def bands(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """Distances to moving averages, Bollinger and Keltner bands as shares of the close, band widths and positions, and the squeeze (the first inside the second)."""
+    d = with_windows(df.withColumns(_band_in()), _band_windows(n), row="_rn")
+    return d.select("ticker", "date", *[x.alias(n) for n, x in _band_out(k).items()])
+
+
+def _band_in() -> dict[str, Column]:
     pc = _lag(C)
-    d = df.withColumn("tr", F.greatest(F.col(H) - F.col(L), F.abs(F.col(H) - pc), F.abs(F.col(L) - pc)))
-    d = d.withColumns({"mid": _full(C, n, F.avg), "sd": _full(C, n, F.stddev_samp), "atr": _full("tr", n, F.avg), **{f"ma_{m}": _full(C, m, F.avg) for m in AVERAGES}})
+    return {"tr": F.greatest(F.col(H) - F.col(L), F.abs(F.col(H) - pc), F.abs(F.col(L) - pc))}
+
+
+def _band_windows(n: int = 20) -> dict[str, tuple[str, int, str]]:
+    return {"mid": ("full_mean", n, C), "sd": ("full_sd", n, C), "atr": ("full_mean", n, "tr"), **{f"ma_{m}": ("full_mean", m, C) for m in AVERAGES}}
+
+
+def _band_out(k: float = 2.0) -> dict[str, Column]:
     c, far = F.col(C), lambda x: div(x - F.col(C), F.col(C))
     flag = lambda x: _yes(x).cast("int")
     out: dict[str, Column] = {}
@@ -202,7 +229,7 @@ def bands(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
         low, high = F.col("mid") - half, F.col("mid") + half
         out |= {f"{name}_upper_distance": far(high), f"{name}_lower_distance": far(low), f"{name}_width": div(high - low, F.col("mid")), f"{name}_position": div(c - low, high - low)}
     out["squeeze"] = flag(F.col("sd") < F.col("atr"))
-    return d.select("ticker", "date", *[x.alias(n) for n, x in out.items()])
+    return out
 
 
 ROUND = (5, 10, 50, 100)
@@ -210,23 +237,35 @@ ROUND = (5, 10, 50, 100)
 
 def action_levels(df: DataFrame, n: int = 50) -> DataFrame:
     """Distances to the n-row extremes and to round numbers as shares of the close, place in the range, and consolidation (volatility of returns under half its 100-row mean)."""
-    d = df.withColumns({"r": div(C, _lag(C)) - 1, "hi": _full(H, n, F.max), "lo": _full(L, n, F.min)})
-    d = d.withColumn("vol", _full("r", 20, F.stddev_samp)).withColumn("usual", _full("vol", 100, F.avg))
+    d = with_windows(df.withColumns(_action_in()), _action_windows(n), row="_rn")
+    return d.select("ticker", "date", *[x.alias(n) for n, x in _action_out().items()])
+
+
+def _action_in() -> dict[str, Column]:
+    return {"r": div(C, _lag(C)) - 1}
+
+
+def _action_windows(n: int = 50) -> dict[str, tuple[str, int, str]]:
+    return {"hi": ("full_max", n, H), "lo": ("full_min", n, L), "vol": ("full_sd", 20, "r"), "usual": ("full_mean", 100, "vol")}
+
+
+def _action_out() -> dict[str, Column]:
     c, far = F.col(C), lambda x: div(x - F.col(C), F.col(C))
     out = {"distance_to_high": far(F.col("hi")), "distance_to_low": far(F.col("lo")), "range_position": div(c - F.col("lo"), F.col("hi") - F.col("lo"))}
     out |= {"consolidation": _yes(F.col("vol") < F.col("usual") * 0.5).cast("int")}
     out |= {f"distance_to_round_{k}": far(F.rint(c / k) * k) for k in ROUND}
-    return d.select("ticker", "date", *[x.alias(n) for n, x in out.items()])
+    return out
 
 
 def support_resistance(df: DataFrame) -> DataFrame:
     """The support/resistance family in one frame: profile, traditional pivots, bands and averages, action levels."""
-    profile = rolling_profile(df).select("ticker", "date", *[F.col(x).alias(f"sr_{x}") for x in ("poc_distance", "va_high_distance", "va_low_distance")])
-    pivots = pivot_distances(df).where("method = 'traditional'").select("ticker", "date", *[F.col(x).alias(f"sr_pivot_{x}") for x in PIVOTS])
-    out = profile
-    for part in (pivots, bands(df), action_levels(df)):
-        out = out.join(part, ["ticker", "date"])
-    return out
+    levels = pivot_levels(_lag(H), _lag(L), _lag(C))["traditional"]
+    pivots = {f"sr_pivot_{x}": nz(div(level - F.col(C), F.col(C))) for x, level in zip(PIVOTS, levels)}
+    # one order of the rows and one pass for all parts
+    d = with_windows(df.withColumns({**_band_in(), **_action_in(), **pivots}), {**_band_windows(), **_action_windows()}, row="_rn", more=_profile())
+    profile = {f"sr_{n}": x for n, x in _profile_out().items()}
+    out = d.where("ticker is not null and date is not null")
+    return out.select("ticker", "date", *[x.alias(n) for n, x in profile.items()], *pivots, *[x.alias(n) for n, x in {**_band_out(), **_action_out()}.items()])
 
 
 def linked(df: DataFrame, series: DataFrame, n: int = 60) -> DataFrame:
@@ -365,4 +404,6 @@ def family_features(df: DataFrame, names: list[str], market: DataFrame | None =
 
 def smart_money(df: DataFrame) -> DataFrame:
     """The smart-money family in one frame."""
-    return character_changes(structure_breaks(liquidity_sweeps(fair_value_gaps(order_blocks(df)))))
+    made = ["order_block_bull", "order_block_bear", "fvg_bull", "fvg_bear", "liquidity_sweep", "change_of_character"]
+    # the scan of breaks comes last, on what is still needed, so that all share one order of the rows
+    return structure_breaks(character_changes(liquidity_sweeps(fair_value_gaps(order_blocks(df)))).select(*df.columns, *made))

@@ -104,3 +104,42 @@ def test_families_by_name(spark):
     assert out.columns == ["ticker", "date", "fvg_bull", "range_position", "ma_20_distance"] and out.count() == 80
     with pytest.raises(KeyError):
         structure.family_features(df, ["nothing"])
+
+
+def test_families_take_one_order_of_the_rows(spark):
+    rows = [(t, *r[1:]) for t, seed in (("A", 5), ("B", 6), ("C", 7), (None, 8)) for r in ohlcv(spark, 230, seed)[0]]
+    rows = [(*r[:5], None, r[6]) if r[0] == "C" and k % 61 == 0 else r for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        sr, smc = structure.support_resistance(df), structure.smart_money(df)
+        for d in (sr, smc):
+            assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["ticker"], r["date"]): r for r in sr.collect()}
+        parts = [structure.rolling_profile(df), structure.bands(df), structure.action_levels(df)]
+        parts = [{(r["ticker"], r["date"]): r for r in p.collect()} for p in parts]
+        breaks = {(r["ticker"], r["date"]): r["break_of_structure"] for r in structure.structure_breaks(df).collect()}
+        assert {(r["ticker"], r["date"]): r["break_of_structure"] for r in smc.collect()} == breaks and len(breaks) == 920
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 690  # those with a ticker
+    for t in "ABC":
+        own = [r for r in rows if r[0] == t]
+        c = np.array([np.nan if r[5] is None else r[5] for r in own])
+        for k, r in enumerate(own):
+            x = got[t, r[1]]
+            profile = parts[0][t, r[1]]
+            assert [x[f"sr_{n}"] for n in ("poc_distance", "va_high_distance")] == [profile[n] for n in ("poc_distance", "va_high_distance")]
+            assert all(x[n] == p[t, r[1]][n] for p in parts[1:] for n in p[t, r[1]].asDict())
+            for m in (20, 200):
+                w = c[max(0, k - m + 1) : k + 1]
+                full = len(w) == m and not np.isnan(w).any()
+                assert x[f"ma_{m}_distance"] == (pytest.approx(w.mean() / c[k] - 1, abs=1e-9) if full else None)
+            hi, lo = (max if f == 3 else min for f in (3, 4))
+            w = own[max(0, k - 49) : k + 1]
+            assert x["range_position"] == (pytest.approx((c[k] - lo(q[4] for q in w)) / (hi(q[3] for q in w) - lo(q[4] for q in w))) if k >= 49 and not np.isnan(c[k]) else None)
+        if t != "C":
+            want = plain_profile(own)
+            assert [got[t, r[1]]["sr_poc_distance"] for r in own] == pytest.approx([w[0] for w in want], abs=1e-9)
+            hits = plain_breaks(own)
+            assert [breaks[t, r[1]] for r in own] == pytest.approx(list(hits.values()) if isinstance(hits, dict) else hits, abs=1e-9)
