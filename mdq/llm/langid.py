@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,10 +163,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             made = [counts((t or "").encode()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a.astype("<u4").tobytes() for a, _ in made]), pa.array([n.astype("<u4").tobytes() for _, n in made])], ["h", "lang", "at", "n"])
 
-    got = texts.select("text", "h", "lang").mapInArrow(features, "h long, lang string, at binary, n binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    # the counts stay in the buffers they came in: copies of them would add up in the driver
+    got = texts.select("text", "h", "lang").mapInArrow(features, "h long, lang string, at binary, n binary").toArrow()
+    order = pc.sort_indices(got.select(["h", "lang"]), sort_keys=[("h", "ascending"), ("lang", "ascending")]).to_pylist()
     index = {x: i for i, x in enumerate(sorted(langs))}
-    labels = np.array([index[x] for x in got["lang"].to_pylist()])
-    examples = [(np.frombuffer(a, "<u4"), np.frombuffer(n, "<u4").astype(np.float64)) for a, n in zip(got["at"].to_pylist(), got["n"].to_pylist())]
+    labels = np.array([index[got["lang"][k].as_py()] for k in order], dtype=np.int64)
+    examples = [tuple(np.frombuffer(got[c][k].as_buffer(), "<u4") for c in ("at", "n")) for k in order]
     hold = np.arange(len(labels)) % 5 == 4
     scores, bias = train([e for e, h in zip(examples, hold) if not h], labels[~hold], len(index))
     logits = np.array([(n / n.sum()) @ scores[a] + bias for (a, n), h in zip(examples, hold) if h]).reshape(-1, len(index))

@@ -1,12 +1,16 @@
-"""Near copies by the exact overlap of word shingles: a prefix join, verified links, connected components.
+"""Near copies by SimHash and the exact overlap of word shingles: BK-trees, a prefix join, verified links, connected components.
+
+Sets whose SimHash fingerprints are linked in the BK-trees of `simhash` are the first candidates.
+Overlaps near the bound differ in more bits than the trees can search, so a prefix join completes
+them; whichever way a pair is found, it is verified on the texts.
 
 Two sets of shingles whose overlap (intersection over union) reaches a bound share a shingle among
 the first few of each, in any fixed order, and from there on both have enough shingles left. So a
-set goes to the keys of its prefix, and pairs that pass this test at a common key are verified on
-their texts: no pair over the bound is missed. Shingles that a sample finds often come last in the
-order, so boilerplate seldom is a key. Keys of many sets link them to a pivot, then sets outside
-the key's largest component to some more pivots in each round; only those that none has linked are
-compared with the whole key at the end, in tiles.
+set goes to the keys of its prefix, and pairs that pass this test at a common key are verified: no
+pair over the bound is missed. Shingles that a sample finds often come last in the order, so
+boilerplate seldom is a key. Keys of many sets link them to a pivot, then sets outside the key's
+largest component to some more pivots in each round; only those that none has linked are compared
+with the whole key at the end, in tiles.
 
 Texts lie in bucketed groups that all passes read in place. To be verified, a text goes once to
 each block of pairs that have one set in common.
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from .buckets import bucketed
 from .common import NO_ID, staged
-from .simhash import components
+from .simhash import components, fingerprint, links
 from .words import Words, as_bytes, member, windows
 
 #: one set in so many is in the sample that orders the shingles, how many of them make a shingle common, and common ones at most
@@ -60,14 +64,26 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _marked(held: DataFrame, n: int) -> DataFrame:
-    """(__group, __row, id, sid) of bucketed (id, text): sid is a hash of the set of shingles. Staged."""
+    """(__group, __row, id, sid, fp) of bucketed (id, text): sid is a hash of the set of shingles, fp the SimHash of all shingles. Staged."""
 
     def run(batches):
         for batch in batches:
-            sid = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(as_bytes(batch.column(3)), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(sid, np.uint64).view(np.int64))], ["__group", "__row", "id", "sid"])
+            texts = as_bytes(batch.column(3))
+            sid = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(texts, n)]
+            fp = [fingerprint(t, n) for t in texts]
+            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sid, fp)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["__group", "__row", "id", "sid", "fp"])
+
+    return staged(held.select("__group", "__row", "id", "text").mapInArrow(run, "__group int, __row long, id long, sid long, fp long"), "marked")
+
 
-    return staged(held.select("__group", "__row", "id", "text").mapInArrow(run, "__group int, __row long, id long, sid long"), "marked")
+def _alike(firsts: DataFrame) -> DataFrame:
+    """(a, b): every set whose fingerprint is met or linked in the BK-trees of simhash.links, with one of the sets there."""
+    lead = staged(firsts.groupBy("fp").agg(F.min("sid").alias("lead")), "fingerprints")
+    same = firsts.join(lead, "fp").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    one, other = (lead.select(F.col("fp").alias(c), F.col("lead").alias("l" + c)) for c in "ab")
+    near = links(lead).join(one, "a").join(other, "b").groupBy("la").agg(F.min("lb").alias("lb"))
+    return same.unionByName(near.select(F.col("lb").alias("a"), F.col("la").alias("b"))).filter("a <> b")
 
 
 def _common(texts: DataFrame, n: int) -> np.ndarray:
@@ -268,6 +284,7 @@ def _relabelled(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _groups(held: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFrame | None:
     """(node, root) of the sets that links connect; None without any link."""
+    alike = staged(_alike(firsts), "alike")
     rows = _prefixes(held, n, percent).withColumn("label", F.col("sid"))
     roots = edges = done = None
     lower = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
@@ -276,7 +293,7 @@ def _groups(held: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFra
             break
         made = _pivots(rows, turn, percent) if turn < len(PIVOTS) else _rest(rows, percent)
         if turn == 0:
-            made = made.unionByName(_small(rows, percent))
+            made = alike.unionByName(made).unionByName(_small(rows, percent))
         # the set that comes first in a hash order leads, so that pairs share their leader
         led = F.xxhash64("a", F.lit(turn)) < F.xxhash64("b", F.lit(turn))
         made = made.select(F.when(led, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(led, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
@@ -309,7 +326,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     texts = held.select("__group", "__row", F.col(id_at).cast("long").alias("id"), F.col(text_at).cast("string").alias("text"))
     marked = _marked(texts, shingle)
     first = F.min(F.coalesce("id", F.lit(NO_ID))).alias("first")
-    firsts = staged(marked.groupBy("sid").agg(F.min(F.struct("__group", "__row")).alias("row"), first), "firsts")
+    firsts = staged(marked.groupBy("sid").agg(F.min(F.struct("__group", "__row")).alias("row"), F.min("fp").alias("fp"), first), "firsts")
     roots = _groups(texts, firsts, shingle, percent)
     own = firsts.withColumn("root", F.col("sid"))
     if roots is not None:

@@ -239,6 +239,19 @@ def test_near_copies_match_plain_version(spark, monkeypatch, small, common):
     assert sorted(r.doc_id for r in got.collect()) == plain_near_copies(list(zip(ids, texts)))
 
 
+def test_near_copies_come_from_fingerprints_too(spark):
+    words = prose(300).split()
+    other = [*words[:150], "elsewhere", *words[151:]]
+    held = frame(spark, [" ".join(words), " ".join(other), prose(300)]).select(F.lit(0).alias("__group"), F.col("doc_id").alias("__row"), F.col("doc_id").alias("id"), "text")
+    marked = near_copies._marked(held, 5)
+    want = {i: simhash.fingerprint(t.encode(), 5) for i, t in ((r.id, r.text) for r in held.collect())}
+    assert {r.id: r.fp % 2**64 for r in marked.collect()} == want
+    rows = [(k, fp) for k, fp in enumerate((0, 0, 5, -1, -1 - 7, 1 << 40 | 5))]  # 0 0 5 ...: within 3 bits of each other; -1 and -8 too
+    pairs = near_copies._alike(spark.createDataFrame(rows, "sid long, fp long")).collect()
+    assert {r.b for r in pairs} | {r.a for r in pairs} == {0, 1, 2, 3, 4, 5}
+    assert all({r.a, r.b} <= {0, 1, 2, 5} or {r.a, r.b} == {3, 4} for r in pairs)
+
+
 def test_near_copies_keep_rows_without_an_id(spark):
     text = prose(30)
     got = near_copies.keep_one(frame(spark, [text, text, None, text, "other words here"], [None, 7, None, 3, None])).collect()
@@ -315,6 +328,24 @@ def test_quality_of_250_languages(spark):
     assert {r.doc_id: r.kept for r in small.collect()}[248]
 
 
+def test_quality_compares_with_all_languages_however_many(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(rng.randint(1, 3)))
+    text = lambda k: " ".join(word(k) if rng.random() < 0.7 else word(0) for _ in range(90))
+    rows = [(k, text(k) if k % 9 else prose(60), f"l{k:03d}", "s", 1) for k in range(210)]
+    rows += [(900, rows[209][1], None, "s", 1), (901, rows[209][1], "l003", "s", 1), (902, rows[209][1], "x", "s", 1), (903, "", "y", "s", 1), (904, None, None, "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality.quality_rules(df, max_repeat_percent=101).collect()}
+    assert len(got) == 215 and all(got[k].kept and got[k].word_distance < 0.9 for k in (209, 900, 901, 902)) and got[903].char_distance is None
+    few = spark.createDataFrame([*rows[:12], (900, rows[11][1], None, "s", 1), (901, rows[11][1], "l003", "s", 1), *rows[-2:]], DOCS)
+    want = {r.doc_id: r for r in quality.quality_rules(few, max_repeat_percent=101).collect()}
+    monkeypatch.setattr(quality, "HELD", 5)
+    got = {r.doc_id: r for r in quality.quality_rules(few, max_repeat_percent=101).collect()}
+    for k, w in want.items():
+        assert (got[k].kept, got[k].n_common) == (w.kept, w.n_common)
+        assert [got[k].char_distance, got[k].word_distance] == [x if x is None else pytest.approx(x, abs=1e-6) for x in (w.char_distance, w.word_distance)]
+
+
 def test_quality_without_labels(spark):
     got = quality.quality_rules(frame(spark, [prose(60), None]).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.doc_id: (r.kept, r.char_distance) for r in got} == {0: (True, None), 1: (False, None)}
