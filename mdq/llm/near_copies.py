@@ -10,7 +10,8 @@ set goes to the keys of its prefix, and pairs that pass this test at a common ke
 pair over the bound is missed. Shingles that a sample finds often come last in the order, so
 boilerplate seldom is a key. Keys of many sets link them to a pivot, then sets outside the key's
 largest component to some more pivots in each round; only those that none has linked are compared
-with the whole key at the end, in tiles.
+with the whole key at the end, in tiles. The rounds end early once few comparisons are left, since
+each costs the driver some thirty stages; for the same reason sides of joins are not broadcast.
 
 Texts lie in bucketed groups that all passes read in place. To be verified, a text goes once to
 each block of pairs that have one set in common.
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .buckets import bucketed
 from .common import NO_ID, staged
@@ -63,6 +65,11 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides stay on the executors: a broadcast would build each in the driver, and there are dozens."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _marked(held: DataFrame, n: int) -> DataFrame:
     """(__group, __row, id, sid, fp) of bucketed (id, text): sid is a hash of the set of shingles, fp the SimHash of all shingles. Staged."""
 
@@ -80,9 +87,9 @@ def _marked(held: DataFrame, n: int) -> DataFrame:
 def _alike(firsts: DataFrame) -> DataFrame:
     """(a, b): every set whose fingerprint is met or linked in the BK-trees of simhash.links, with one of the sets there."""
     lead = staged(firsts.groupBy("fp").agg(F.min("sid").alias("lead")), "fingerprints")
-    same = firsts.join(lead, "fp").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    same = _join(firsts, lead, "fp").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     one, other = (lead.select(F.col("fp").alias(c), F.col("lead").alias("l" + c)) for c in "ab")
-    near = links(lead).join(one, "a").join(other, "b").groupBy("la").agg(F.min("lb").alias("lb"))
+    near = _join(_join(links(lead), one, "a"), other, "b").groupBy("la").agg(F.min("lb").alias("lb"))
     return same.unionByName(near.select(F.col("lb").alias("a"), F.col("la").alias("b"))).filter("a <> b")
 
 
@@ -189,11 +196,13 @@ def _small(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _with_main(rows: DataFrame) -> DataFrame:
-    """rows plus main, the largest component of their key, and all, how many sets the key has."""
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of large keys that links leave in several components, plus main, the largest of these, and all, how many sets the key has. Staged."""
+    rows = _join(rows.filter(F.col("g") > SMALL).select("key", "sid", "size", "left", "g"), roots, F.col("sid") == F.col("node"), "left")
+    rows = rows.select("key", "sid", "size", "left", "g", F.coalesce("root", "sid").alias("label"))
     of = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = of.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-    return rows.join(main, "key")
+    main = of.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    return staged(rows.join(main.filter(F.col("all") > F.col("most")).drop("most"), "key"), "open")
 
 
 def _pivots(rows: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -201,15 +210,14 @@ def _pivots(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     large = rows.filter(F.col("g") > SMALL)
     deal = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(PIVOTS[turn]))
     pivots = large.groupBy("key", deal.alias("deal")).agg(F.min_by(F.struct("sid", "size", "left", "label"), F.xxhash64("sid", F.lit(turn))).alias("p"))
-    asks = _with_main(large).filter("label <> main") if turn else large
+    asks = large.filter("label <> main") if turn else large
     both = asks.alias("r").join(pivots.alias("q").select("key", "p"), "key").filter(_may("r", "p", percent))
     return both.select(F.col("p.sid").alias("a"), F.col("r.sid").alias("b"))
 
 
 def _rest(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the sets outside a key's largest component with all others of the key, tile by tile."""
-    r = _with_main(rows.select("key", "sid", "size", "left", "label"))
-    r = r.withColumn("tiles", F.ceil(F.col("all") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    r = rows.withColumn("tiles", F.ceil(F.col("all") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     asks = r.filter("label <> main").select("key", F.col("tile").alias("i"), F.explode(every).alias("j"), F.struct("sid", "size", "left", "label").alias("s"), F.lit(0).alias("side"))
     all_ = r.select("key", F.explode(every).alias("i"), F.col("tile").alias("j"), F.struct("sid", "size", "left", "label").alias("s"), F.lit(1).alias("side"))
@@ -234,10 +242,10 @@ def _rest(rows: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the bound. Blocks hold pairs with one a; each of their texts goes there once."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    placed = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    need = placed.select("a", "part", F.col("a").alias("sid")).distinct().unionByName(placed.select("a", "part", F.col("b").alias("sid")))
-    need = need.join(firsts.select("sid", "row.*"), "sid").select("__group", "__row", "a", "part", "sid")
+    at = F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1
+    placed = pairs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / BLOCK).cast("int"))
+    heads = F.when(F.col("at") % BLOCK == 0, F.array("a", "b")).otherwise(F.array("b"))
+    need = _join(placed.select("a", "part", F.explode(heads).alias("sid")), firsts.select("sid", "row.*"), "sid").select("__group", "__row", "a", "part", "sid")
 
     def fetch(_, own, wanted):
         at = {r: k for k, r in enumerate(own["__row"].to_pylist())}
@@ -265,32 +273,34 @@ def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, n: int, perc
 
 
 def _relabelled(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, root): labels of all nodes after two hops over new edges, to the smallest label met. Staged.
+    """(node, root): labels after two hops over new edges, to the smallest label met; a node without a row is its own label. Staged.
 
     That joins what hangs on one pivot, at a few exchanges; labels that could still be joined only
     cost comparisons, the groups come from all edges at the end.
     """
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    fresh = ends if labels is None else ends.join(labels, "node", "left_anti")
-    fresh = fresh.select("node", F.col("node").alias("root"))
-    base = fresh if labels is None else labels.unionByName(fresh)
-    one, other = (base.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab")
-    e = edges.join(one, "a").join(other, "b").filter("ra <> rb").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if labels is not None:
+        for c in "uv":
+            e = _join(e, labels.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        e = e.filter("u <> v")
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    further = near.join(near.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m").select("u", "m2")
-    return staged(base.join(further, F.col("root") == F.col("u"), "left").select("node", F.coalesce("m2", "root").alias("root")), "labels")
+    further = _join(near, near.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m").filter("m2 < u").select(F.col("u").alias("node"), F.col("m2").alias("root"))
+    if labels is not None:
+        moved = _join(labels, further.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        further = further.unionByName(moved.select("node", F.coalesce("to", "root").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    return staged(further, "labels")
 
 
 def _groups(held: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFrame | None:
     """(node, root) of the sets that links connect; None without any link."""
     alike = staged(_alike(firsts), "alike")
     rows = _prefixes(held, n, percent).withColumn("label", F.col("sid"))
-    roots = edges = done = None
+    if rows.isEmpty():
+        return None
+    turn, sets, roots, edges, done = 0, firsts.count(), None, None, None
     lower = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    for turn in range(len(PIVOTS) + 1):
-        if rows.isEmpty():
-            break
+    while True:
         made = _pivots(rows, turn, percent) if turn < len(PIVOTS) else _rest(rows, percent)
         if turn == 0:
             made = alike.unionByName(made).unionByName(_small(rows, percent))
@@ -298,7 +308,7 @@ def _groups(held: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFra
         led = F.xxhash64("a", F.lit(turn)) < F.xxhash64("b", F.lit(turn))
         made = made.select(F.when(led, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(led, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
         if done is not None:
-            made = made.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(done, ["lo", "hi"], "left_anti").select("a", "b")
+            made = _join(made.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}), done, ["lo", "hi"], "left_anti").select("a", "b")
         pairs = staged(made, "pairs")
         done = lower(pairs) if done is None else done.unionByName(lower(pairs))
         found = _verified(pairs, firsts, held, n, percent)
@@ -306,11 +316,13 @@ def _groups(held: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFra
         if turn == len(PIVOTS):
             break
         roots = _relabelled(found, roots)
-        rows = rows.filter(F.col("g") > SMALL).drop("label").join(roots, F.col("sid") == F.col("node"), "left")
-        rows = rows.select("key", "sid", "size", "left", "g", F.coalesce("root", "sid").alias("label"))
-        split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        rows = staged(rows.join(split, "key", "left_semi"), "open")
-    return staged(components(edges), "roots") if edges is not None else None
+        rows = _open(rows, roots)
+        left = rows.filter("label <> main").agg(F.sum("all")).first()[0]
+        if left is None:
+            break
+        # where all pairs that are left are no more than the sets, another turn costs more than to compare them
+        turn = len(PIVOTS) if left <= sets else turn + 1
+    return staged(components(edges), "roots")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -330,11 +342,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     roots = _groups(texts, firsts, shingle, percent)
     own = firsts.withColumn("root", F.col("sid"))
     if roots is not None:
-        own = firsts.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+        own = _join(firsts, roots, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     least = own.groupBy("root").agg(F.min("first").alias("least"))
-    kept = own.join(least, "root").filter(F.col("first") == F.col("least")).select("sid", "least")
-    chosen = marked.join(kept, "sid").filter(F.col("id").isNull() | (F.col("id") == F.col("least")))
-    chosen = chosen.unionByName(marked.filter("id is null").join(kept, "sid", "left_anti").withColumn("least", F.lit(NO_ID)))
+    kept = _join(own, least, "root").filter(F.col("first") == F.col("least")).select("sid", "least")
+    chosen = _join(marked, kept, "sid").filter(F.col("id").isNull() | (F.col("id") == F.col("least")))
+    chosen = chosen.unionByName(_join(marked.filter("id is null"), kept, "sid", "left_anti").withColumn("least", F.lit(NO_ID)))
     rows = staged(chosen.select("__group", "__row"), "kept")
 
     def pick(_, own, wanted):

@@ -239,6 +239,20 @@ def test_near_copies_match_plain_version(spark, monkeypatch, small, common):
     assert sorted(r.doc_id for r in got.collect()) == plain_near_copies(list(zip(ids, texts)))
 
 
+def test_near_copies_take_one_more_turn_where_little_is_left(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    monkeypatch.setattr(near_copies, "COMMON", 1000)
+    pivots, rest, turns = near_copies._pivots, near_copies._rest, []
+    monkeypatch.setattr(near_copies, "_pivots", lambda rows, turn, percent: turns.append(turn) or pivots(rows, turn, percent))
+    monkeypatch.setattr(near_copies, "_rest", lambda rows, percent: turns.append("rest") or rest(rows, percent))
+    rng = random.Random(4)
+    shared, base = prose(40, rng), prose(60, rng)
+    texts = [shared + " " + prose(40, rng) for _ in range(5)] + [changed(base, 1, rng) for _ in range(4)] + [prose(12, rng) for _ in range(600)]
+    got = near_copies.keep_one(frame(spark, texts, list(range(len(texts)))))
+    assert sorted(r.doc_id for r in got.collect()) == plain_near_copies(list(enumerate(texts)))
+    assert turns == [0, "rest"]
+
+
 def test_near_copies_come_from_fingerprints_too(spark):
     words = prose(300).split()
     other = [*words[:150], "elsewhere", *words[151:]]
