@@ -118,7 +118,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_l
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, keep: float) -> tuple[float, float]:
-    """(temperature, least score): the temperature with the least log loss; the score that a share `keep` of the right predictions reach."""
+    """(temperature, least score): the temperature with the least log loss; the largest score that at least a share `keep` of the right predictions reach."""
     if not len(labels):
         return 1.0, 0.0
     grid = np.geomspace(0.05, 5, 60)
@@ -126,7 +126,8 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, keep: float) -> tuple[floa
     t = float(grid[int(np.argmin(loss))])
     p = softmax(logits / t)
     right = p.argmax(axis=1) == labels
-    least = float(np.quantile(p.max(axis=1)[right], 1 - keep)) if right.any() else 0.0
+    # no interpolation: it would reject the lowest of a few; prediction adds up in another order, so a little less
+    least = float(np.quantile(p.max(axis=1)[right], 1 - keep, method="lower")) - 1e-9 if right.any() else 0.0
     return t, least
 
 
@@ -171,9 +172,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     examples = [tuple(np.frombuffer(got[c][k].as_buffer(), "<u4") for c in ("at", "n")) for k in order]
     hold = np.arange(len(labels)) % 5 == 4
     scores, bias = train([e for e, h in zip(examples, hold) if not h], labels[~hold], len(index))
+    scores = scores.astype(np.float32)  # as prediction has them
     logits = np.array([(n / n.sum()) @ scores[a] + bias for (a, n), h in zip(examples, hold) if h]).reshape(-1, len(index))
     temperature, least = calibrate(logits, labels[hold], keep)
-    return Model(sorted(index), scores.astype(np.float32), bias, temperature, least)
+    return Model(sorted(index), scores, bias, temperature, least)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -605,6 +605,28 @@ def test_language_learns_only_outside_the_held_out_fold(spark):
     assert a.languages == b.languages and np.array_equal(a.scores, b.scores) and a.least == b.least
 
 
+def test_rejection_spares_the_share_of_calibration_texts_it_names():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 12, 999, 1001, 3000):
+        logits, labels = rng.standard_normal((n, 3)), np.zeros(n, int)
+        logits[:, 0] += 3 + rng.random(n)
+        t, least = langid.calibrate(logits, labels, 0.999)
+        p = langid.softmax(logits / t)
+        own = p.max(axis=1)[p.argmax(axis=1) == 0]
+        assert (own >= least).sum() >= 0.999 * len(own) and (own > least + 2e-9).sum() < len(own)
+
+
+def test_right_calibration_texts_are_accepted(spark):
+    """Few texts calibrate here, so none of the right ones may be rejected."""
+    df, _ = spoken(spark, 60)
+    more = spark.createDataFrame([(1000 + i, prose(200, random.Random(i)), "aa", "s", None) for i in range(4)], DOCS)
+    docs = df.unionByName(more)
+    rows = docs.filter(langid.fold_of(F.col("doc_id")) != 2).select(F.xxhash64("text").alias("h"), "lang", "doc_id").dropDuplicates(["h", "lang"]).orderBy("h", "lang").collect()
+    held = {r.doc_id for r in rows[4::5]}
+    said = [r for r in langid.predict(docs, langid.fit(docs)).collect() if r.doc_id in held and r.lang_pred == r.lang]
+    assert said and all(r.accepted for r in said)
+
+
 def test_subwords_do_not_depend_on_blocks(monkeypatch):
     data = prose(300).encode()
     whole = langid.counts(data)
