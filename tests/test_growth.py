@@ -5,7 +5,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from mdq.functions import rank
+from mdq.functions.rank import pct_ranks
 from mdq.operators import factors, population, reports, risk
 from mdq.plans import q_reports
 
@@ -117,3 +120,64 @@ def test_enriched_columns_are_computed_where_they_are_read(spark, tmp_path):
     made = plan(q_reports.q_monthly(spark, str(tmp_path)))
     assert "ret" in made and "stddev_samp(volume" not in made and "vol_20d_avg" not in made and "next_open" not in made
     assert "enriched" not in made
+
+
+def ran(df) -> str:
+    """The plan that was carried out."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("names", [["rel_strength_21d", "rel_strength_63d"], ["rel_vol_21d", "rel_vol_63d"]])
+def test_ranks_of_dates_move_the_rows_once(spark, names):
+    df, pdf = prices(spark, 100, 40)
+    frame = factors.compute(df, names)
+    done = ran(frame)
+    # by ticker, by date, and one row per date to find large ones
+    assert "Generate" not in done and "SortMergeJoin" not in done and done.count("Exchange hashpartitioning") <= 3
+    if names[0] == "rel_strength_21d":
+        got = frame.toPandas().sort_values(["ticker", "date"])
+        for name, n in zip(names, (21, 63)):
+            mom = pdf.groupby("ticker")["close"].transform(lambda s, n=n: s / s.shift(n) - 1)
+            assert np.allclose(got[name], mom.groupby(pdf["date"]).rank(pct=True).fillna(0.5))
+
+
+def ranked_rows():
+    """Groups of 900, 300 and no rows with a value; a value of a third of the rows, null groups, keys and values, keys that repeat."""
+    rng = np.random.default_rng(4)
+    rows = [(f"T{i}", int(rng.integers(0, 4) // 3), float(rng.normal()), float(rng.integers(0, 5))) for i in range(1200)]
+    rows = [(None if i % 31 == 0 else t, None if i % 37 == 0 else g, None if i % 11 == 0 else 0.5 if i % 3 else a, float("nan") if i % 41 == 0 else b) for i, (t, g, a, b) in enumerate(rows)]
+    rows += [(t, g, b, a) for t, g, a, b in rows[:50]] + [("Z", 9, None, None)]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("most", [0, 600, 10**6])
+def test_ranks_of_large_groups_by_ranges(spark, most):
+    rows = ranked_rows()
+    df = spark.createDataFrame(rows, "id long, ticker string, date int, a double, b double").repartition(5)
+    got = {r.id: r for r in pct_ranks(df, {"a": "ra", "b": "rb"}, ["ticker", "date"], most=most).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    for place, out in ((3, "ra"), (4, "rb")):
+        pdf = pd.DataFrame({"key": [(r[1], r[2]) for r in rows], "date": [r[2] for r in rows], "v": pd.Series([np.inf if r[place] is not None and np.isnan(r[place]) else r[place] for r in rows], dtype=float)})
+        pct = pdf.groupby("date")["v"].rank(pct=True)
+        pct = pct.groupby(pdf["key"]).transform("max").astype(float)
+        for i, r in enumerate(rows):
+            if r[1] is None or r[2] is None or np.isnan(pct[i]):
+                assert got[i][out] is None
+            else:
+                assert np.isclose(got[i][out], pct[i])
+
+
+def test_no_task_ranks_a_large_group(spark, monkeypatch):
+    # the last step deals rows by key; without it they lie where they were ranked
+    monkeypatch.setattr(rank, "_highest_of_key", lambda df, *_: df)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # one date, two rows in three share a value; two rows lie below it
+        df = spark.range(6000).selectExpr("concat('T', id) ticker", "0 date", "if(id % 3 = 0, id / 7, 0.5D) v")
+        made = pct_ranks(df, {"v": "r"}, ["ticker", "date"], most=1000)
+        tasks = made.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(x["count"] for x in tasks) == 6000 and max(x["count"] for x in tasks) < 2000
+        assert [x.r for x in made.where("v = 0.5").select("r").distinct().collect()] == [(2 + (4000 + 1) / 2) / 6000]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
